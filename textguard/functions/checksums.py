@@ -1,0 +1,80 @@
+"""Checksums C1 (IBAN mod 97) and C2 (ISO 7064 mod 11,10) as Spark column expressions.
+
+Both are folds over the characters of the candidate (``aggregate``), so no big
+integers and no Python are involved.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from textguard.functions.patterns import IBAN_LENGTHS
+
+
+def _chars(c: Column) -> Column:
+    return F.split(c, "")
+
+
+def normalize_candidate(value: Column) -> Column:
+    """Drop spaces, dots and hyphens before a checksum."""
+    return F.regexp_replace(value, r"[ .\-]", "")
+
+
+def iban_length_map() -> Column:
+    items = []
+    for country, length in IBAN_LENGTHS.items():
+        items += [F.lit(country), F.lit(length)]
+    return F.create_map(*items)
+
+
+def valid_iban(value: Column) -> Column:
+    """True when the candidate passes shape, per-country length and mod-97 = 1."""
+    c = F.upper(F.regexp_replace(value, r"[ \-]", ""))
+    shape = c.rlike(r"(?U)^[A-Z]{2}\d{2}[A-Z0-9]+$")
+    length_ok = F.char_length(c) == F.try_element_at(iban_length_map(), F.substring(c, 1, 2))
+    moved = F.concat(F.substring(c, 5, 1 << 20), F.substring(c, 1, 4))
+
+    def step(acc, ch):
+        letter = (acc * 100 + (F.ascii(ch) - 55)) % 97
+        digit = (acc * 10 + ch.try_cast("int")) % 97
+        return F.when(ch.rlike("^[A-Z]$"), letter).otherwise(digit)
+
+    mod = F.aggregate(_chars(moved), F.lit(0), step)
+    return F.coalesce(shape & length_ok & (mod == 1), F.lit(False))
+
+
+def valid_tax_id(value: Column) -> Column:
+    """True for 11 digits, not all equal, whose ISO 7064 mod 11,10 check digit matches."""
+    digits = _chars(value)
+
+    def step(prod, ch):
+        v = (ch.try_cast("int") + prod) % 10
+        return (F.when(v == 0, 10).otherwise(v) * 2) % 11
+
+    prod = F.aggregate(F.slice(digits, 1, 10), F.lit(10), step)
+    check = F.substring(value, 11, 1).try_cast("int")
+    ok = (
+        (F.char_length(value) == 11)
+        & value.rlike(r"^[0-9]{11}$")
+        & (F.size(F.array_distinct(digits)) > 1)
+        & (((11 - prod) % 10) == check)
+    )
+    return F.coalesce(ok, F.lit(False))
+
+
+def phone_digit_count_ok(value: Column) -> Column:
+    n = F.char_length(F.regexp_replace(value, r"(?U)\D", ""))
+    return (n >= 8) & (n <= 15)
+
+
+def candidate_check(kind: str | None, value: Column) -> Column | None:
+    if kind is None:
+        return None
+    if kind == "iban":
+        return valid_iban(normalize_candidate(value))
+    if kind == "tax_id":
+        return valid_tax_id(normalize_candidate(value))
+    if kind == "phone_digits":
+        return phone_digit_count_ok(value)
+    raise ValueError(f"unknown check {kind}")
