@@ -298,16 +298,42 @@ def anonymize(
     else:
         created = F.lit(created_at or datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
     principal = F.col(principal_col).cast("string") if principal_col else F.lit(None).cast("string")
-    mapping = out.filter(F.col("session_id").isNotNull()).select(
-        *[F.col(c) for c in key_cols],
-        F.col("session_id"),
+    # Mapping rows come out of a generator (0 or 1 per input row) rather than a filter on
+    # the derived session id: a Filter would be pushed down through the projections and
+    # inline the whole masking expression into its predicate.
+    mapping_row = F.struct(
+        *[F.col(c).alias(c) for c in key_cols],
+        F.col("session_id").alias("session_id"),
         principal.alias("principal_id"),
         created.alias("created_at"),
         F.col(f"{_P}_size").alias("size_bytes"),
         F.col(f"{_P}_map").alias("mappings"),
     )
-    ent_out = F.transform(F.col(f"{_P}_ents"), lambda s: s)
+    mapping = out.select(F.inline(F.when(F.col("session_id").isNotNull(), F.array(mapping_row))
+                                  .otherwise(F.array().cast(T.ArrayType(mapping_row_type(out, key_cols))))))
     masked_cols = [F.col(c) for c in out.columns if not c.startswith(_P)]
     if keep_entities:
-        masked_cols.append(F.when(ok, ent_out).alias("entities"))
-    return Anonymized(out.select(*masked_cols), mapping)
+        masked_cols.append(F.when(ok, F.col(f"{_P}_ents")).alias("entities"))
+    return Anonymized(barrier(out.select(*masked_cols)), mapping)
+
+
+def mapping_row_type(out: DataFrame, key_cols: Sequence[str]) -> T.StructType:
+    fields = [T.StructField(c, out.schema[c].dataType) for c in key_cols]
+    return T.StructType(fields + [
+        T.StructField("session_id", T.StringType()),
+        T.StructField("principal_id", T.StringType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("size_bytes", T.LongType()),
+        T.StructField("mappings", T.ArrayType(MAPPING_ENTRY)),
+    ])
+
+
+def barrier(df: DataFrame) -> DataFrame:
+    """Re-emit every column through a one-element ``inline``.
+
+    Filters that callers put on derived columns (``error``, ``pii_count``...) then stay
+    above the generator instead of being pushed into - and duplicating - the masking
+    expressions. Costs one struct per row.
+    """
+    cols = df.columns
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))

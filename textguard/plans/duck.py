@@ -106,3 +106,51 @@ def extract(kind: str, t: str) -> str:
     if kind in CHECKS:
         expr = f"list_filter({expr}, lambda v: {CHECKS[kind]('v')})"
     return expr
+
+
+# ---- masked-text oracle: split/extract lists over an alternation of whole rules ----
+
+def alternation(kinds) -> str:
+    parts = []
+    for k in kinds:
+        pattern, _ = RE2[k]
+        if pattern.startswith("(?i)"):
+            parts.append("(?i:" + pattern[4:] + ")")
+        else:
+            parts.append("(?:" + pattern + ")")
+    return "|".join(parts)
+
+
+def type_of(v: str, kinds) -> str:
+    whens = []
+    for k in kinds:
+        pattern, _ = RE2[k]
+        etype = "PHONE_NUMBER" if k.startswith("PHONE_") else k
+        whens.append(f"WHEN regexp_full_match({v}, '{pattern}') THEN '{etype}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def masked_lists(t: str, kinds, src: str) -> str:
+    """SELECT with m (matches), g (pieces), ty (types) for every row of ``src``."""
+    alt = alternation(kinds)
+    return (f"SELECT *, list_transform(m, lambda v: {type_of('v', kinds)}) AS ty FROM ("
+            f"SELECT *, regexp_extract_all({t}, '{alt}') AS m, regexp_split_to_array({t}, '{alt}') AS g FROM {src})")
+
+
+def placeholder_index(i: str = "i") -> str:
+    """Index of m[i] among distinct values of its type, by first appearance."""
+    return (f"len(list_distinct(list_filter(list_slice(m, 1, list_position(m, m[{i}]) - 1), "
+            f"lambda x: list_position(m, x) > 0 AND ty[list_position(m, x)] = ty[{i}])))")
+
+
+def assemble(repl: str) -> str:
+    """Masked text: piece i, then the replacement of match i, ..., then the last piece."""
+    return f"array_to_string(list_transform(range(1, len(m) + 1), lambda i: g[i] || ({repl})), '') || g[len(m) + 1]"
+
+
+def placeholder_repl() -> str:
+    return f"'<' || ty[i] || '_' || {placeholder_index()}::VARCHAR || '>'"
+
+
+def hmac16(v: str, ipad_hex: str, opad_hex: str) -> str:
+    return f"substr(sha256(unhex('{opad_hex}') || unhex(sha256(unhex('{ipad_hex}') || encode({v})))), 1, 16)"

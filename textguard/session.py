@@ -17,6 +17,9 @@ def get_spark(app: str = "textguard", master: str | None = None, shuffle_partiti
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Local mode runs everything in the driver JVM.
+            builder = builder.config("spark.driver.memory", os.environ.get("TEXTGUARD_DRIVER_MEMORY", "8g"))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
