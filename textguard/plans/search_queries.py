@@ -1 +1,158 @@
-"""Queries (filled in below)."""
+"""Queries for retrieval: hash embedding (K1), project scope (K2), vector top-k (K3-K6),
+BM25 top-k and hybrid RRF (K7, K8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textguard.functions.hashing import hash_embedding
+from textguard.operators import search as K
+from textguard.plans.registry import query
+from textguard.sources.tables import read_table
+
+GRANTED = [f"p{i}" for i in range(9)]  # the analyst may search p0..p8; p9 queries are refused
+_GRANTED_SQL = "(" + ", ".join(f"'{p}'" for p in GRANTED) + ")"
+TOP_K = 5
+_TOK = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+def corpus(spark, sf_dir):
+    """Corpus rows: embeddings joined with documents on vec_id = doc_id; project = 'p' || label."""
+    e = read_table(spark, sf_dir, "embeddings")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return e.join(d, e["vec_id"] == d["doc_id"]).select(
+        F.col("doc_id"), F.col("embedding").alias("vector"), "text", "source",
+        F.concat(F.lit("p"), F.col("label").cast("string")).alias("project_id"))
+
+
+def grants(spark):
+    return spark.createDataFrame([("analyst", p) for p in GRANTED], "principal_id string, project_id string")
+
+
+def _out(df, with_source: bool = False):
+    cols = [F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("rank"),
+            F.col("doc_id").cast("long").alias("doc_id")]
+    if with_source:
+        cols.append(F.col("source"))
+    cols += [F.round("score", 6).alias("score"), F.col("error.code").alias("error_code")]
+    return df.select(*cols)
+
+
+@query("hash_embed", (
+    "WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents) "
+    "SELECT doc_id, CAST(i AS BIGINT) AS dim, round((('0x' || substr(h, (i % 32) * 2 + 1, 2))::INTEGER / 255.0) * 2.0 - 1.0, 9) AS value "
+    "FROM h, range(0, 32) r(i)"
+))
+def hash_embed(spark, sf_dir):
+    """K1: deterministic 32-dimension hash embedding of every document (long form)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", hash_embedding(F.col("text"), 32).alias("v"))
+    return d.select("doc_id", F.posexplode("v").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("long"), F.round("value", 9).alias("value"))
+
+
+_VEC_ORACLE = (
+    "WITH corpus AS (SELECT d.doc_id, d.source, d.text, 'p' || e.label AS project_id, CAST(e.embedding AS DOUBLE[]) AS v "
+    "  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), "
+    "q AS (SELECT label AS query_id, 'p' || label AS project_id, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS qv FROM embeddings GROUP BY label), "
+    f"ok AS (SELECT * FROM q WHERE project_id IN {_GRANTED_SQL}), "
+    "s AS (SELECT ok.query_id, c.doc_id, c.source, c.text, "
+    "  1.0 / (1.0 + greatest(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - ok.qv[i]) * (c.v[i] - ok.qv[i]))), 0.0)) AS score "
+    "  FROM ok JOIN corpus c ON c.project_id = ok.project_id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source, text, doc_id) AS rank FROM s) "
+    "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, doc_id, source, round(score, 6) AS score, "
+    "CAST(NULL AS VARCHAR) AS error_code FROM r WHERE rank <= 5 "
+    "UNION ALL SELECT CAST(query_id AS BIGINT), NULL, NULL, NULL, NULL, 'project_not_authorized' FROM q "
+    f"WHERE project_id NOT IN {_GRANTED_SQL}"
+)
+
+
+@query("vector_topk", _VEC_ORACLE)
+def vector_topk(spark, sf_dir):
+    """K2/K3: per label, the first vector searches its own project (top 5, squared L2);
+    the p9 query is outside the analyst's grants and returns project_not_authorized."""
+    e = read_table(spark, sf_dir, "embeddings")
+    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qvec")).select(
+        F.col("label").cast("long").alias("query_id"), F.lit("analyst").alias("principal_id"),
+        F.concat(F.lit("p"), F.col("label").cast("string")).alias("project_id"),
+        F.concat(F.lit("nearest to first vector of label "), F.col("label").cast("string")).alias("query"),
+        F.lit(TOP_K).alias("top_k"), F.lit("vector").alias("search_mode"), "qvec")
+    res = K.vector_topk(q, corpus(spark, sf_dir), key_col="doc_id", grants=grants(spark))
+    return _out(res, with_source=True)
+
+
+def _bench_queries(spark, sf_dir):
+    b = read_table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), F.lit("analyst").alias("principal_id"),
+                    F.concat(F.lit("p"), (F.col("item_id") % 10).cast("string")).alias("project_id"),
+                    F.col("text").alias("query"), F.lit(TOP_K).alias("top_k"), F.lit("hybrid").alias("search_mode"))
+
+
+_BM25_CTE = (
+    "corpus AS (SELECT d.doc_id, d.source, d.text, 'p' || e.label AS project_id, CAST(e.embedding AS DOUBLE[]) AS v, "
+    f"  {_TOK.format(x='d.text')} AS toks FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), "
+    "stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM corpus), "
+    "post AS (SELECT doc_id, project_id, dl, t AS term, count(*) AS tf FROM "
+    "  (SELECT doc_id, project_id, len(toks) AS dl, unnest(toks) AS t FROM corpus) GROUP BY ALL), "
+    "dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), "
+    "q AS (SELECT item_id AS query_id, 'p' || (item_id % 10) AS project_id, text AS query FROM benchmark), "
+    f"ok AS (SELECT * FROM q WHERE project_id IN {_GRANTED_SQL}), "
+    "qt AS (SELECT query_id, project_id, t AS term, count(*) AS qtf FROM "
+    f"  (SELECT query_id, project_id, unnest({_TOK.format(x='query')}) AS t FROM ok) GROUP BY ALL), "
+    "bm AS (SELECT qt.query_id, p.doc_id, sum(qt.qtf * ln(1 + (stats.n - dfs.df + 0.5) / (dfs.df + 0.5)) * p.tf * 2.2 "
+    "  / (p.tf + 1.2 * (1 - 0.75 + 0.75 * p.dl / stats.avgdl))) AS score "
+    "  FROM qt JOIN dfs ON dfs.term = qt.term JOIN post p ON p.term = qt.term AND p.project_id = qt.project_id CROSS JOIN stats "
+    "  GROUP BY qt.query_id, p.doc_id), "
+    "bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm) "
+)
+_ERRS = ("UNION ALL SELECT CAST(query_id AS BIGINT), NULL, NULL, NULL, 'project_not_authorized' FROM q "
+         f"WHERE project_id NOT IN {_GRANTED_SQL}")
+
+
+@query("bm25_topk", (
+    f"WITH {_BM25_CTE}"
+    "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 6) AS score, "
+    f"CAST(NULL AS VARCHAR) AS error_code FROM bmr WHERE rank <= 5 {_ERRS}"
+))
+def bm25_topk(spark, sf_dir):
+    """K7 (text half): BM25 (k1 = 1.2, b = 0.75) top 5 per benchmark query inside its project."""
+    idx = K.build_text_index(corpus(spark, sf_dir), key_col="doc_id")
+    res = K.bm25_topk(_bench_queries(spark, sf_dir), idx, grants=grants(spark))
+    return _out(res)
+
+
+_QVEC = ("list_transform(range(0, 64), lambda i: (('0x' || substr(sha256(query), (i % 32) * 2 + 1, 2))::INTEGER / 255.0) * 2.0 - 1.0)")
+
+
+@query("hybrid_rrf", (
+    f"WITH {_BM25_CTE}, "
+    f"qv AS (SELECT query_id, project_id, {_QVEC} AS qv FROM ok), "
+    "vs AS (SELECT qv.query_id, c.doc_id, c.source, c.text, "
+    "  1.0 / (1.0 + greatest(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - qv.qv[i]) * (c.v[i] - qv.qv[i]))), 0.0)) AS score "
+    "  FROM qv JOIN corpus c ON c.project_id = qv.project_id), "
+    "vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source, text, doc_id) AS rank FROM vs), "
+    "f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, "
+    "  coalesce(1.0 / (60 + a.rank), 0.0) + coalesce(1.0 / (60 + b.rank), 0.0) AS score "
+    "  FROM (SELECT * FROM vr WHERE rank <= 5) a FULL OUTER JOIN (SELECT * FROM bmr WHERE rank <= 5) b "
+    "  ON a.query_id = b.query_id AND a.doc_id = b.doc_id), "
+    "fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) "
+    "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(greatest(score, 0.0), 6) AS score, "
+    f"CAST(NULL AS VARCHAR) AS error_code FROM fr WHERE rank <= 5 {_ERRS}"
+))
+def hybrid_rrf(spark, sf_dir):
+    """K7/K8: reciprocal-rank fusion (k = 60) of the vector ranking (hash-embedded query text,
+    64 dims) and the BM25 ranking, each cut at top_k."""
+    c = corpus(spark, sf_dir)
+    idx = K.build_text_index(c, key_col="doc_id")
+    res = K.hybrid_topk(_bench_queries(spark, sf_dir), c, idx, key_col="doc_id", grants=grants(spark), embed_dims=64)
+    return _out(res)
+
+
+@query("hybrid_without_index", (
+    "SELECT CAST(item_id AS BIGINT) AS query_id, CAST(NULL AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS doc_id, "
+    "CAST(NULL AS DOUBLE) AS score, CASE WHEN 'p' || (item_id % 10) IN " + _GRANTED_SQL +
+    " THEN 'knowledge_hybrid_unavailable' ELSE 'project_not_authorized' END AS error_code FROM benchmark"
+))
+def hybrid_without_index(spark, sf_dir):
+    """K7: hybrid search without a text index fails per query; it never falls back to vector search."""
+    res = K.hybrid_topk(_bench_queries(spark, sf_dir), corpus(spark, sf_dir), None, key_col="doc_id", grants=grants(spark))
+    return _out(res)
