@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textguard.functions.checksums import candidate_check
+from textguard.functions import sqltext as S
 from textguard.functions.patterns import MAX_ENTITIES, Recognizer
 
 SPAN_TYPE = T.StructType([
@@ -132,16 +133,18 @@ def resolve_overlaps(spans: Column) -> Column:
     return greedy_resolve(spans)
 
 
-def add_resolved(df: DataFrame, spans: Column, out_col: str, tmp: str = "_tg_bystart") -> DataFrame:
+def add_resolved(df: DataFrame, spans: Column | str, out_col: str, tmp: str = "_tg_bystart") -> DataFrame:
     """D3: longest, then leftmost, then detection order wins; output left to right.
 
     The spans are sorted by start into a column first; rows whose spans do not overlap at
     all (the common case) then skip the quadratic greedy pass - one linear check over the
     sorted array gives the same answer.
     """
-    df = df.withColumn(tmp, sort_by_start(spans))
-    by_start = F.col(tmp)
-    return df.withColumn(out_col, F.when(no_overlaps(by_start), by_start).otherwise(greedy_resolve(by_start))).drop(tmp)
+    src = F.expr(spans) if isinstance(spans, str) else spans
+    df = df.withColumn(tmp, src)
+    df = df.withColumn(tmp, F.expr(S.sort_by_start(S.q(tmp))))
+    t = S.q(tmp)
+    return df.withColumn(out_col, F.expr(f"IF({S.no_overlaps(t)}, {t}, {S.greedy(t)})")).drop(tmp)
 
 
 def _checker(kind):
@@ -164,43 +167,44 @@ def find_spans(
     """Add ``out_col`` (raw spans of all recognisers, after their checks) and ``count_col``.
 
     ``out_col`` is null when the raw count exceeds ``cap``: offsets are then never
-    computed, which bounds the per-row work. Three projections keep each regex
-    evaluated once per row (Catalyst does not merge projections that would duplicate
-    a non-trivial expression).
+    computed, which bounds the per-row work. Separate projections keep each regex
+    evaluated once per row (Catalyst does not merge projections that would duplicate a
+    non-trivial expression).
     """
     text = F.col(text_col)
     base = df.columns
-    vcols, gcols = [], []
     stage1 = []
     for i, (rec, _) in enumerate(recognizers):
         v = F.regexp_extract_all(text, F.lit(rec.pattern), 0)
         if rec.gate:
             v = F.when(F.instr(text, rec.gate) > 0, v).otherwise(F.array().cast(STRINGS_TYPE))
-        vcols.append(f"{prefix}_v{i}")
-        stage1.append(v.alias(vcols[-1]))
+        stage1.append(v.alias(f"{prefix}_v{i}"))
     df = df.select("*", *stage1)
 
-    stage2 = []
-    total = F.lit(0)
+    stage2, counts = [], []
     for i, (rec, _) in enumerate(recognizers):
-        vc = F.col(vcols[i])
-        gcols.append(f"{prefix}_g{i}")
-        stage2.append(F.when(F.size(vc) > 0, F.split(text, rec.pattern, -1)).alias(gcols[-1]))
-        if rec.check is None:
-            n = F.coalesce(F.size(vc), F.lit(0))
-        else:
-            n = F.coalesce(F.size(F.filter(vc, _checker(rec.check))), F.lit(0))
-        total = total + n
-    df = df.select("*", *stage2, total.alias(count_col))
+        v = S.q(f"{prefix}_v{i}")
+        stage2.append(F.when(F.col(f"{prefix}_v{i}").isNotNull() & (F.size(F.col(f"{prefix}_v{i}")) > 0),
+                             F.split(text, rec.pattern, -1)).alias(f"{prefix}_g{i}"))
+        chk = S.check(rec.check, "cv")
+        counts.append(f"coalesce(size({v}), 0)" if chk is None else f"coalesce(size(filter({v}, cv -> {chk})), 0)")
+    total = F.expr(" + ".join(counts) if counts else "0").alias(count_col)
+    df = df.select("*", *stage2, total)
+
+    stage3 = [F.expr(S.steps(S.q(f"{prefix}_v{i}"), S.q(f"{prefix}_g{i}"))).alias(f"{prefix}_s{i}")
+              for i in range(len(recognizers))]
+    df = df.select("*", *stage3)
 
     parts = []
     for i, (rec, ord_) in enumerate(recognizers):
-        vc, gc = F.col(vcols[i]), F.col(gcols[i])
-        sp = match_offsets(vc, gc, rec.etype, ord_)
-        if rec.check is not None:
-            sp = F.filter(sp, _span_checker(rec.check))
-        parts.append(F.when(F.size(vc) > 0, sp).otherwise(empty_spans()))
-    raw = F.when(F.col(count_col) <= cap, F.concat(*parts) if parts else empty_spans())
+        v = S.q(f"{prefix}_v{i}")
+        sp = S.spans_from(v, S.q(f"{prefix}_s{i}"), rec.etype, ord_)
+        chk = S.check(rec.check, "cs.`value`")
+        if chk is not None:
+            sp = f"filter({sp}, cs -> {chk})"
+        parts.append(f"IF(size({v}) > 0, {sp}, {S.EMPTY_SPANS})")
+    concat = f"concat({', '.join(parts)})" if parts else S.EMPTY_SPANS
+    raw = F.expr(f"IF({S.q(count_col)} <= {int(cap)}, {concat}, NULL)")
     return df.select(*base, raw.alias(out_col), F.col(count_col))
 
 
@@ -230,10 +234,8 @@ def find_literals(
         gcols.append(f"{prefix}_t{i}")
         g = F.when(F.instr(text, term) > 0, F.split(text, quote_literal(term), -1)).otherwise(F.array(text))
         stage1.append(g.alias(gcols[-1]))
-    total = F.lit(0)
-    for c in gcols:
-        total = total + F.coalesce(F.size(F.col(c)) - 1, F.lit(0))
-    df = df.select("*", *stage1).select("*", total.alias(count_col))
-    parts = [literal_offsets(F.col(c), term, etype, ord_) for c, term in zip(gcols, terms)]
-    spans = F.when(F.col(count_col) <= cap, F.concat(*parts))
+    total = " + ".join(f"coalesce(size({S.q(c)}) - 1, 0)" for c in gcols)
+    df = df.select("*", *stage1).select("*", F.expr(total).alias(count_col))
+    parts = [S.literal_spans(S.q(c), term, etype, ord_) for c, term in zip(gcols, terms)]
+    spans = F.expr(f"IF({S.q(count_col)} <= {int(cap)}, concat({', '.join(parts)}), NULL)")
     return df.select(*base, spans.alias(out_col), F.col(count_col))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from textguard import errors as E
 from textguard.functions import hashing
+from textguard.functions import sqltext as S
 from textguard.functions.patterns import (
     BUILTIN, CUSTOM_TYPE, MAX_ENTITIES, MAX_LITERAL_MATCHES, MAX_TEXT_BYTES, SECRET_TYPES,
     SUPPORTED_LANGUAGES, Recognizer,
@@ -212,63 +213,51 @@ def anonymize(
     out = out.withColumn("error", err)
 
     # M2/M3/M4: whitelist never releases secrets; blacklist adds CUSTOM spans and wins.
-    wl_c, bl_c = F.col(f"{_P}_wl"), F.col(f"{_P}_bl")
-    kept = F.filter(det, lambda s: is_secret(s) | ~overlaps_any(s, wl_c)) if wl else det
+    det_s, wl_s, bl_s = S.q(f"{_P}_det"), S.q(f"{_P}_wl"), S.q(f"{_P}_bl")
+    kept = f"filter({det_s}, s -> {S.is_secret('s')} OR NOT {S.overlaps_any('s', wl_s)})" if wl else det_s
     if bl:
-        if blacklist_beats_secrets:
-            kept = F.filter(kept, lambda s: ~overlaps_any(s, bl_c))
-        else:
-            kept = F.filter(kept, lambda s: is_secret(s) | ~overlaps_any(s, bl_c))
-        out = add_resolved(out, F.when(F.col("error").isNull(), F.concat(kept, bl_c)), f"{_P}_final")
+        keep_secret = "" if blacklist_beats_secrets else f"{S.is_secret('s')} OR "
+        kept = f"filter({kept}, s -> {keep_secret}NOT {S.overlaps_any('s', bl_s)})"
+        out = add_resolved(out, f"IF(error IS NULL, concat({kept}, {bl_s}), NULL)", f"{_P}_final")
     else:
-        out = out.withColumn(f"{_P}_final", F.when(F.col("error").isNull(), kept))
+        out = out.withColumn(f"{_P}_final", F.expr(f"IF(error IS NULL, {kept}, NULL)"))
 
     # M6: per type, left to right, one index per distinct value. Native array functions
     # (array_remove, array_position) instead of per-element lambdas keep this cheap.
-    fin = F.col(f"{_P}_final")
-    out = out.withColumn(f"{_P}_dv", F.array_distinct(
-        F.transform(fin, lambda s: F.struct(s["etype"].alias("etype"), s["value"].alias("value")))))
-    dv = F.col(f"{_P}_dv")
-    out = out.withColumn(f"{_P}_dt", F.transform(dv, lambda x: x["etype"]))
-    dt = F.col(f"{_P}_dt")
-    out = out.withColumn(f"{_P}_num", F.transform(dv, lambda x, i: i - F.size(F.array_remove(F.slice(dt, 1, i), x["etype"]))))
-    num = F.col(f"{_P}_num")
-
-    def placeholder(s):
-        idx = F.array_position(dv, F.struct(s["etype"].alias("etype"), s["value"].alias("value")))
-        return F.concat(F.lit("<"), s["etype"], F.lit("_"), num[idx - 1].cast("string"), F.lit(">"))
-
-    ents = F.transform(fin, lambda s: F.struct(
-        s["etype"].alias("etype"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"),
-        placeholder(s).alias("placeholder")))
-    out = out.withColumn(f"{_P}_ents", ents)
+    fin, dv, dt, num = (S.q(f"{_P}_{x}") for x in ("final", "dv", "dt", "num"))
+    out = out.withColumn(f"{_P}_dv", F.expr(
+        f"array_distinct(transform({fin}, s -> named_struct('etype', s.`etype`, 'value', s.`value`)))"))
+    out = out.withColumn(f"{_P}_dt", F.expr(f"transform({dv}, x -> x.`etype`)"))
+    out = out.withColumn(f"{_P}_num", F.expr(f"transform({dv}, (x, i) -> i - size(array_remove(slice({dt}, 1, i), x.`etype`)))"))
+    placeholder = (f"concat('<', s.`etype`, '_', CAST({num}[array_position({dv}, named_struct('etype', s.`etype`, "
+                   f"'value', s.`value`)) - 1] AS STRING), '>')")
+    out = out.withColumn(f"{_P}_ents", F.expr(
+        f"transform({fin}, s -> named_struct('etype', s.`etype`, 'value', s.`value`, 'start', s.`start`, "
+        f"'end', s.`end`, 'placeholder', {placeholder}))"))
 
     # Replacement text per entity.
     if strategy == "hash":
         keys = key_table if key_table is not None else hashing.key_table(spark, hash_key)
         out = out.withColumn("_tg_hk", F.lit(0)).join(F.broadcast(keys), "_tg_hk").drop("_tg_hk")
+    ents_s = S.q(f"{_P}_ents")
+    if strategy == "placeholder":
+        repl = "s.`placeholder`"
+    elif strategy == "redact":
+        repl = f"IF(s.`etype` = '{CUSTOM_TYPE}', s.`placeholder`, concat('[REDACTED_', s.`etype`, ']'))"
+    else:
+        digest = ("substring(sha2(concat(_tg_opad, unhex(sha2(concat(_tg_ipad, encode(s.`value`, 'UTF-8')), 256))), 256), 1, 16)")
+        repl = f"IF(s.`etype` = '{CUSTOM_TYPE}', s.`placeholder`, concat('<HASH_', s.`etype`, '_', {digest}, '>'))"
+    t = S.q(text_col)
+    prev_end = f"IF(i = 0, 0, {ents_s}[i - 1].`end`)"
+    masked = F.expr(
+        f"concat(array_join(transform({ents_s}, (s, i) -> concat(substring({t}, {prev_end} + 1, s.`start` - {prev_end}), {repl})), ''), "
+        f"substring({t}, coalesce(try_element_at({ents_s}, -1).`end`, 0) + 1))")
     ents_c = F.col(f"{_P}_ents")
 
-    def replacement(s):
-        if strategy == "placeholder":
-            return s["placeholder"]
-        if strategy == "redact":
-            other = F.concat(F.lit("[REDACTED_"), s["etype"], F.lit("]"))
-        else:
-            digest = F.substring(hashing.hmac_sha256_hex(s["value"], F.col("_tg_ipad"), F.col("_tg_opad")), 1, 16)
-            other = F.concat(F.lit("<HASH_"), s["etype"], F.lit("_"), digest, F.lit(">"))
-        return F.when(s["etype"] == CUSTOM_TYPE, s["placeholder"]).otherwise(other)
-
-    pieces = F.transform(ents_c, lambda s, i: F.concat(
-        F.substring(text, F.when(i == 0, 1).otherwise(ents_c[i - 1]["end"] + 1),
-                    s["start"] - F.when(i == 0, 0).otherwise(ents_c[i - 1]["end"])),
-        replacement(s)))
-    last_end = F.coalesce(F.try_element_at(ents_c, F.lit(-1))["end"], F.lit(0))
-    masked = F.concat(F.array_join(pieces, ""), F.substring(text, last_end + 1, F.char_length(text) + 1))
-
-    mappings = F.array_distinct(F.transform(ents_c, lambda s: F.struct(s["placeholder"].alias("placeholder"), s["value"].alias("value"))))
-    size_bytes = F.aggregate(mappings, F.lit(0).cast("long"),
-                             lambda acc, m: acc + F.octet_length(m["placeholder"]) + F.octet_length(m["value"]))
+    mappings = F.expr(f"array_distinct(transform({ents_s}, s -> named_struct('placeholder', s.`placeholder`, 'value', s.`value`)))")
+    size_bytes = F.expr(
+        f"aggregate(transform(array_distinct(transform({ents_s}, s -> named_struct('placeholder', s.`placeholder`, "
+        f"'value', s.`value`))), m -> octet_length(m.`placeholder`) + octet_length(m.`value`)), 0L, (a, b) -> a + b)")
     count = F.size(ents_c)
     reversible = F.lit(strategy == "placeholder") & (count > 0)
     key_exprs = [F.col(c) for c in key_cols] if key_cols else [F.col(text_col)]
