@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -18,3 +19,16 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+# A query-side table up to this many rows is broadcast (about 2 M rows of query terms
+# or query vectors, tens of MB); beyond it the join falls back to a shuffle join and
+# AQE (skew-join splitting) takes over.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after counting it: the size bound is checked, not assumed."""
+    if df.isStreaming:
+        return df
+    return F.broadcast(df) if df.count() <= max_rows else df

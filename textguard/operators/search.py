@@ -5,14 +5,16 @@ The corpus is ``(doc_key, vector, text, source, project_id)``, ideally stored pa
 by ``project_id`` so the project filter prunes files.
 
 Plan shape (exact search, no approximate index):
-* authorisation is a left join with the grants table (K2), validation is row-local (V6, V7);
-* scoring joins the corpus with the authorised queries on ``project_id``: the query side is
-  small and AQE broadcasts it when its measured size is under the broadcast threshold,
-  otherwise both sides shuffle on the project key (AQE splits skewed project partitions);
+* authorisation is a join with the grants table (K2), validation is row-local (V6, V7);
+* the query side (query vectors, query terms, grants) is counted and broadcast when it is
+  under ``BROADCAST_MAX_ROWS``; the corpus and the postings then stream through a
+  broadcast hash join without being shuffled. Above the bound the join falls back to a
+  shuffle on the project / term key, where AQE splits skewed partitions;
 * ranking uses ``row_number() <= 50`` (a literal) so Spark plans a partial
-  ``WindowGroupLimit`` before the shuffle: only k rows per query and partition travel.
-BM25 postings are partitioned by document key when the index is built, so per-(query,
-document) score sums need no further shuffle.
+  ``WindowGroupLimit`` right after scoring: only k rows per query and partition travel.
+BM25 postings are hash-partitioned by document key when the index is built, so the
+per-(query, document) score sums reuse that partitioning and candidate pairs are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from textguard import errors as E
 from textguard.functions.hashing import hash_embedding
 from textguard.operators import validate as V
+from textguard.operators.partitioning import broadcast_if_small
 
 MAX_TOP_K = 50
 MAX_FIELD_BYTES = 100 * 1024
@@ -49,7 +52,8 @@ def check_queries(queries: DataFrame, grants: DataFrame | None, allowed_projects
     """V6/V7 + K2: add ``error``; authorised = (principal, project) granted and project configured."""
     q = queries
     if grants is not None:
-        g = grants.select(F.col("principal_id").alias("_tg_gp"), F.col("project_id").alias("_tg_gproj")).distinct()
+        g = broadcast_if_small(
+            grants.select(F.col("principal_id").alias("_tg_gp"), F.col("project_id").alias("_tg_gproj")).distinct())
         q = q.join(g, (q[principal_col] == g["_tg_gp"]) & (q["project_id"] == g["_tg_gproj"]), "left")
         granted = F.col("_tg_gp").isNotNull()
     else:
@@ -78,7 +82,9 @@ def vector_scores(queries: DataFrame, corpus: DataFrame, key_col: str) -> DataFr
     q = queries.select("query_id", "project_id", F.col("top_k").cast("int").alias("top_k"),
                        F.col("qvec").cast("array<double>").alias("_tg_qv"))
     c = corpus.select(key_col, "project_id", "text", "source", F.col("vector").cast("array<double>").alias("_tg_v"))
-    j = c.join(q, "project_id")
+    # The corpus streams through a broadcast of the (counted) query side: no corpus shuffle,
+    # and the partial top-k runs right after the join in each corpus partition.
+    j = c.join(broadcast_if_small(q), "project_id")
     dist = squared_l2(F.col("_tg_v"), F.col("_tg_qv"))
     bad = F.isnan(dist) | (F.size(F.col("_tg_v")) != F.size(F.col("_tg_qv")))
     return j.select("query_id", "project_id", "top_k", key_col, "text", "source",
@@ -159,7 +165,9 @@ def bm25_scores(queries: DataFrame, index: TextIndex, k1: float = BM25_K1, b: fl
     qt = (queries.select("query_id", "project_id", "top_k", F.explode(tokenize(F.col("query"))).alias("term"))
           .groupBy("query_id", "project_id", "top_k", "term").agg(F.count(F.lit(1)).alias("qtf")))
     idf = F.log(1.0 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    qt = qt.join(index.doc_freq, "term").withColumn("idf", idf)
+    qt = broadcast_if_small(qt.join(index.doc_freq, "term").withColumn("idf", idf))
+    # Postings stay partitioned by document key: with the query terms broadcast, the
+    # per-(document, query) sum below needs no shuffle of the candidate pairs.
     j = index.postings.join(qt, ["term", "project_id"])
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(index.avg_len if index.avg_len else 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
