@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,6 +167,7 @@ def anonymize(
     run_token: str | None = None,
     blacklist_beats_secrets: bool = False,
     keep_entities: bool = False,
+    reuse: bool = False,
 ) -> Anonymized:
     """Mask every row of ``text_col``; return (masked rows, mapping rows).
 
@@ -174,6 +176,10 @@ def anonymize(
     has one row per session: ``session_id, principal_id, created_at, size_bytes, mappings``
     plus ``key_cols``; it holds original values and is never written by this function.
 
+    ``reuse=True`` persists the shared result (memory and disk) so the masked rows and the
+    mapping rows - and any further consumers - are derived from one detection pass;
+    recomputation after a lost executor is deterministic (session ids included).
+
     ``blacklist_beats_secrets=True`` reproduces the original rule that a blacklist term
     overlapping a secret drops the secret span (which can leave part of it visible);
     the default keeps such secret spans so the final pass masks them whole.
@@ -287,6 +293,8 @@ def anonymize(
     else:
         created = F.lit(created_at or datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
     principal = F.col(principal_col).cast("string") if principal_col else F.lit(None).cast("string")
+    if reuse:
+        out = out.persist(StorageLevel.MEMORY_AND_DISK)
     # Mapping rows come out of a generator (0 or 1 per input row) rather than a filter on
     # the derived session id: a Filter would be pushed down through the projections and
     # inline the whole masking expression into its predicate.

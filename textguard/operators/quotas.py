@@ -4,16 +4,18 @@ Both rules are sequential per key: whether a call is admitted depends on the cal
 admitted before it, and rejected calls are not logged. (A windowed ``count(*)`` over all
 calls would also count rejected ones and over-reject.)
 
-Batch plan: hash-partition by key, sort inside partitions by (key, ts, tie-break), then
-stream each partition through a fold in ``mapInPandas`` whose state is only the admitted
-timestamps still inside the window - at most ``limit`` entries per key, and one key at a
-time because of the sort. A key is never collected into memory, but one key's calls are
-processed in one task in time order, as the rule requires. The streaming form
-(``streaming.quotas``) keeps the same state per key across micro-batches.
+Batch plan: range-partition by (key, ts, id) - which splits a hot key's timeline over
+many tasks - sort inside partitions and stream each partition through a fold whose state
+is only the admitted timestamps still inside the window (at most ``limit`` entries, one
+key at a time). A key continuing from the previous partition starts from that
+partition's exit state; exit states are iterated to a fixed point, which makes every
+decision exact. No key is ever collected into memory or into one task. The streaming
+form (``streaming.pipelines``) keeps the same state per key across micro-batches.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Sequence
 
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textguard.session import cut_lineage
+
 RATE_LIMIT_CALLS = 120
 RATE_LIMIT_WINDOW_S = 60
 SESSIONS_PER_PRINCIPAL = 100
@@ -58,31 +62,71 @@ def admit_sequence(ts_us: np.ndarray, limit: int, window_us: int, keep_equal_age
     return out, log
 
 
-def _fold_partitions(key_cols, ts_col, id_col, limit, window_us, keep_equal_age, size_col, max_bytes):
+def _key_json(values) -> str:
+    return json.dumps([v.item() if hasattr(v, "item") else v for v in values], default=str)
+
+
+def _partition_fold(key_cols, limit, window_us, keep_equal_age, size_col, max_bytes, carry, emit):
+    """Fold one range partition (rows sorted by key, ts, id).
+
+    ``carry`` maps partition id -> (key json, [(ts, size), ...]): the admitted entries a
+    key already holds when it continues from the previous partition. With ``emit`` the
+    rows come back with ``accepted``; otherwise one summary row per partition (first key,
+    last key, exit state of the last key) is produced.
+    """
     def run(batches):
-        current_key, state = None, None
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        ck = carry.get(pid)
+        cur, first, state = None, None, None
         for pdf in batches:
             if pdf.empty:
-                yield pdf.assign(accepted=pd.Series(dtype=bool))
                 continue
-            keys = list(zip(*[pdf[c].tolist() for c in key_cols])) if key_cols else [()] * len(pdf)
+            keys = ([_key_json(k) for k in zip(*[pdf[c].to_numpy() for c in key_cols])]
+                    if key_cols else ["[]"] * len(pdf))
             ts = pdf["_tg_us"].to_numpy()
             sizes = pdf[size_col].to_numpy() if size_col else None
             flags = np.zeros(len(pdf), dtype=bool)
             start = 0
-            # Split the (sorted) batch into runs of equal key; carry state across batches.
             for i in range(1, len(pdf) + 1):
                 if i == len(pdf) or keys[i] != keys[start]:
-                    if keys[start] != current_key:
-                        current_key, state = keys[start], None
+                    k = keys[start]
+                    if k != cur:
+                        cur = k
+                        if first is None:
+                            first = k
+                            state = deque(ck[1]) if ck is not None and ck[0] == k else None
+                        else:
+                            state = None
                     f, state = admit_sequence(ts[start:i], limit, window_us, keep_equal_age,
                                               None if sizes is None else sizes[start:i], max_bytes, state)
                     flags[start:i] = f
                     start = i
-            yield pdf.drop(columns=["_tg_us"]).assign(accepted=flags)
+            if emit:
+                yield pdf.drop(columns=["_tg_us"]).assign(accepted=flags)
+        if not emit and first is not None:
+            yield pd.DataFrame({"part": [pid], "first": [first], "last": [cur],
+                                "exit_t": [[int(t) for t, _ in state]], "exit_s": [[int(x) for _, x in state]]})
     return run
 
 
+_SUMMARY = T.StructType([
+    T.StructField("part", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType()),
+    T.StructField("exit_t", T.ArrayType(T.LongType())), T.StructField("exit_s", T.ArrayType(T.LongType())),
+])
+
+
+def _carry_from(summaries) -> dict:
+    """Carry-in per partition: the exit state of the previous non-empty partition when it
+    ends with the key this partition starts with."""
+    carry, prev = {}, None
+    for row in sorted(summaries, key=lambda r: r["part"]):
+        if prev is not None and prev["last"] == row["first"]:
+            carry[row["part"]] = (row["first"], list(zip(prev["exit_t"], prev["exit_s"])))
+        prev = row
+    return carry
+
+
 def sliding_admission(
     df: DataFrame,
     key_cols: Sequence[str],
@@ -95,21 +139,37 @@ def sliding_admission(
     size_col: str | None = None,
     max_bytes: int | None = None,
     num_partitions: int | None = None,
+    max_rounds: int = 64,
 ) -> DataFrame:
-    """Adds ``accepted``: the exact sequential admission decision for every row."""
+    """Adds ``accepted``: the exact sequential admission decision for every row.
+
+    Rows are range-partitioned by (key, ts, id), so a hot key's timeline is split over
+    many tasks, and checkpointed to the shared checkpoint folder (fixed partitions for
+    every round, lineage cut). Each partition folds its rows; a key that continues from
+    the previous partition starts from that partition's exit state (its carry-in). Exit
+    states are recomputed until they stop changing - a fixed point where every carry-in
+    is the true state, so every decision equals the sequential fold. Usually two summary
+    passes; only per-partition summaries (at most ``limit`` timestamps each) reach the driver.
+    """
     key_cols = list(key_cols)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*key_cols, "_tg_us", id_col]
     staged = df.withColumn("_tg_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
-    if key_cols:
-        staged = staged.repartition(n, *[F.col(c) for c in key_cols])
+    staged = cut_lineage(staged.repartitionByRange(n, *[F.col(c) for c in order]).sortWithinPartitions(*order))
+    window_us = int(round(window_seconds * 1_000_000))
+    args = (key_cols, limit, window_us, keep_equal_age, size_col, max_bytes)
+    carry: dict = {}
+    for _ in range(max_rounds):
+        summaries = [r.asDict() for r in staged.mapInPandas(_partition_fold(*args, carry, False), _SUMMARY).collect()]
+        nxt = _carry_from(summaries)
+        if nxt == carry:
+            break
+        carry = nxt
     else:
-        staged = staged.repartition(1)  # one global sequence (opt-in, single task)
-    staged = staged.sortWithinPartitions(*key_cols, "_tg_us", id_col)
-    schema = T.StructType([f for f in df.schema.fields] + [T.StructField("accepted", T.BooleanType(), False)])
-    fold = _fold_partitions(key_cols, ts_col, id_col, limit, int(round(window_seconds * 1_000_000)),
-                            keep_equal_age, size_col, max_bytes)
-    return staged.mapInPandas(fold, schema)
+        raise RuntimeError("admission carry-in did not reach a fixed point")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField("accepted", T.BooleanType(), False)])
+    return staged.mapInPandas(_partition_fold(*args, carry, True), schema)
 
 
 def rate_limit(df: DataFrame, principal_col: str, ts_col: str, id_col: str, *,
@@ -134,8 +194,8 @@ def global_quota(df: DataFrame, ts_col: str, id_col: str, size_col: str, *,
                  max_bytes: int = MAX_VAULT_BYTES) -> DataFrame:
     """One vault-wide sequence: at most ``max_sessions`` live sessions and ``max_bytes`` live bytes.
 
-    Inherently sequential over all creates, so it runs as a single task; use it for
-    vault-sized inputs, not for whole tables at scale.
+    The single global timeline is range-partitioned like any hot key, so it is folded in
+    parallel and stitched exactly through the carry-in fixed point.
     """
     return sliding_admission(df, [], ts_col, id_col, limit=max_sessions, window_seconds=ttl_seconds,
-                             keep_equal_age=True, size_col=size_col, max_bytes=max_bytes, num_partitions=1)
+                             keep_equal_age=True, size_col=size_col, max_bytes=max_bytes)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,17 +145,23 @@ class TextIndex:
 def build_text_index(corpus: DataFrame, key_col: str = "doc_key", num_partitions: int | None = None) -> TextIndex:
     """Tokenise once; postings stay hash-partitioned by document key (one shuffle of the corpus).
 
-    Corpus-wide N and average length are read with one aggregate action, as an index
-    build would store them.
+    The postings are the index: they are persisted (memory and disk) and corpus-wide N and
+    average length are read from them with one aggregate action, as an index build stores
+    them. Later queries reuse the persisted postings instead of re-tokenising.
     """
     spark = corpus.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = corpus.select(key_col, "project_id", tokenize(F.col("text")).alias("toks")).repartition(n, key_col)
     docs = docs.withColumn("dl", F.size("toks"))
-    postings = (docs.select(key_col, "project_id", "dl", F.explode("toks").alias("term"))
-                .groupBy(key_col, "project_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    # explode_outer keeps a document without tokens as one null-term row, so it still counts
+    # in N and the average length (a null term never joins a query term).
+    postings = (docs.select(key_col, "project_id", "dl", F.explode_outer("toks").alias("term"))
+                .groupBy(key_col, "project_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+                .persist(StorageLevel.MEMORY_AND_DISK))
+    doc_freq = postings.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Same partitioning (document key): the per-document distinct needs no shuffle.
+    stats = (postings.select(key_col, "dl").distinct()
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first())
     return TextIndex(postings, doc_freq, int(stats["n"]), float(stats["avgdl"] or 0.0), key_col)
 
 
