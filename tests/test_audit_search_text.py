@@ -111,3 +111,34 @@ def test_streaming_equals_batch(spark):
     qs = entry.queries()
     for s, b in (("rate_limit_stream", "rate_limit"), ("audit_stream", "audit_by_type")):
         assert sorted(map(tuple, qs[s](spark, SF_SMALL).collect())) == sorted(map(tuple, qs[b](spark, SF_SMALL).collect()))
+
+
+def test_score_hygiene_and_result_caps(spark):
+    from textguard.operators import search as K
+    rows = [(1, [float("nan"), 0.0], "t", "s", "p"), (2, [0.0, 0.0], "ok", "s", "r"), (3, [0.0, 0.0], "x" * (100 * 1024 + 1), "s", "b")]
+    c = spark.createDataFrame(rows, "doc_key long, vector array<double>, text string, source string, project_id string")
+    q = _queries(spark, [(1, "u", "p", "q", 1, "vector", [0.0, 0.0]), (2, "u", "r", "q", 1, "vector", [0.0, 0.0]),
+                         (3, "u", "b", "q", 1, "vector", [0.0, 0.0])])
+    got = {r.query_id: r for r in K.vector_topk(q, c).collect()}
+    assert got[1].error.code == "knowledge_unavailable"       # NaN distance is an error, not a perfect score
+    assert got[2].error is None and got[2].score == 1.0
+    assert got[3].error.code == "knowledge_unavailable"       # field over 100 KiB
+    missing = K.vector_topk(q, c.drop("source")).collect()
+    assert {r.error.code for r in missing} == {"knowledge_unavailable"}  # schema check, no silent fallback
+
+
+def test_corpus_source_requires_allowlist_and_sinks(spark):
+    from textguard.operators.masking import anonymize
+    from textguard.sources.sinks import write_masked
+    from textguard.sources.tables import corpus_source
+    d = tempfile.mkdtemp(prefix="tg-corpus-")
+    spark.createDataFrame([([0.0], "a", "p", "s"), ([1.0], "b", "q", "s")], "vector array<double>, text string, project_id string, source string") \
+        .write.mode("overwrite").partitionBy("project_id").parquet(os.path.join(d, "c"))
+    with pytest.raises(ValueError):
+        corpus_source(spark, os.path.join(d, "c"), [])
+    assert [r.text for r in corpus_source(spark, os.path.join(d, "c"), ["p"]).collect()] == ["a"]
+    a = anonymize(spark.createDataFrame([(1, "x@y.de")], "id long, text string"), "text", key_cols=["id"])
+    write_masked(a, os.path.join(d, "m"))
+    assert os.path.exists(os.path.join(d, "m")) and not os.path.exists(os.path.join(d, "map"))
+    write_masked(a, os.path.join(d, "m2"), mapping_path=os.path.join(d, "map"))
+    assert spark.read.parquet(os.path.join(d, "map")).count() == 1

@@ -62,6 +62,17 @@ def admit_sequence(ts_us: np.ndarray, limit: int, window_us: int, keep_equal_age
     return out, log
 
 
+def epoch_micros(df: DataFrame, col: str):
+    """Microseconds since the epoch, independent of the session time zone.
+
+    ``timestamp_ntz`` values are wall-clock readings: they are measured against the NTZ epoch
+    directly, so daylight-saving shifts of the session zone cannot distort window ages.
+    """
+    if isinstance(df.schema[col].dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+    return F.unix_micros(F.col(col).cast("timestamp"))
+
+
 def _key_json(values) -> str:
     return json.dumps([v.item() if hasattr(v, "item") else v for v in values], default=str)
 
@@ -155,7 +166,7 @@ def sliding_admission(
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [*key_cols, "_tg_us", id_col]
-    staged = df.withColumn("_tg_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    staged = df.withColumn("_tg_us", epoch_micros(df, ts_col))
     staged = cut_lineage(staged.repartitionByRange(n, *[F.col(c) for c in order]).sortWithinPartitions(*order))
     window_us = int(round(window_seconds * 1_000_000))
     args = (key_cols, limit, window_us, keep_equal_age, size_col, max_bytes)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textguard.operators.masking import anonymize
-from textguard.operators.quotas import admit_sequence
+from textguard.operators.quotas import admit_sequence, epoch_micros
 from textguard.session import checkpoint_dir
 
 
@@ -39,7 +39,7 @@ def admission_state(stream: DataFrame, key_col: str, ts_col: str, id_col: str, *
     arrival order is the order of decisions, as for a live limiter.
     """
     window_us = int(round(window_seconds * 1_000_000))
-    staged = stream.withColumn("_tg_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    staged = stream.withColumn("_tg_us", epoch_micros(stream, ts_col))
     out_schema = T.StructType([
         T.StructField(id_col, stream.schema[id_col].dataType),
         T.StructField(key_col, stream.schema[key_col].dataType),
