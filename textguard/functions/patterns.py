@@ -86,6 +86,20 @@ IBAN_LENGTHS = {
 }
 # ---------------------------------------------------------------------------
 
+# Opt-in (not in the original rules): the whole PEM block, header to footer, as one PRIVATE_KEY span.
+PRIVATE_KEY_BLOCK = Recognizer(
+    "PRIVATE_KEY",
+    r"-----BEGIN (?:RSA|EC|OPENSSH|DSA|PRIVATE)(?: PRIVATE)? KEY-----(?:(?!-----END )[\s\S])*+-----END [A-Z ]*KEY-----"
+    r"|-----BEGIN (?:RSA|EC|OPENSSH|DSA|PRIVATE)(?: PRIVATE)? KEY-----",
+    gate="-----BEGIN ", secret=True)
+
 
 def by_etype(etype: str) -> list[Recognizer]:
     return [r for r in BUILTIN if r.etype == etype]
+
+
+def builtin(mask_pem_body: bool = False) -> tuple[Recognizer, ...]:
+    """The built-in rules; ``mask_pem_body`` swaps the header-only PEM rule for the block rule."""
+    if not mask_pem_body:
+        return BUILTIN
+    return tuple(PRIVATE_KEY_BLOCK if r is PRIVATE_KEY else r for r in BUILTIN)

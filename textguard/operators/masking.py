@@ -23,7 +23,7 @@ from textguard import errors as E
 from textguard.functions import hashing
 from textguard.functions import sqltext as S
 from textguard.functions.patterns import (
-    BUILTIN, CUSTOM_TYPE, MAX_ENTITIES, MAX_LITERAL_MATCHES, MAX_TEXT_BYTES, SECRET_TYPES,
+    BUILTIN, CUSTOM_TYPE, builtin, MAX_ENTITIES, MAX_LITERAL_MATCHES, MAX_TEXT_BYTES, SECRET_TYPES,
     SUPPORTED_LANGUAGES, Recognizer,
 )
 from textguard.functions.spans import (
@@ -56,8 +56,8 @@ def custom_recognizers(custom_patterns: Mapping[str, str] | None) -> list[Recogn
 
 
 def recognizer_plan(custom_patterns: Mapping[str, str] | None = None,
-                    only: Sequence[Recognizer] | None = None) -> list[tuple[Recognizer, int]]:
-    recs = custom_recognizers(custom_patterns) + list(only if only is not None else BUILTIN)
+                    only: Sequence[Recognizer] | None = None, mask_pem_body: bool = False) -> list[tuple[Recognizer, int]]:
+    recs = custom_recognizers(custom_patterns) + list(only if only is not None else builtin(mask_pem_body))
     return [(r, i) for i, r in enumerate(recs)]
 
 
@@ -77,6 +77,7 @@ def detect(
     key_cols: Sequence[str] = (),
     lang_col: str | None = None,
     external_languages: Sequence[str] = SUPPORTED_LANGUAGES,
+    mask_pem_body: bool = False,
 ) -> DataFrame:
     """Detected spans per row.
 
@@ -84,7 +85,7 @@ def detect(
     or in detection order (raw). ``{out_col}_error`` is set when the entity cap is exceeded.
     External (NER) spans, when given, are ``(key_cols..., etype, start, end, score)``.
     """
-    plan = recognizer_plan(custom_patterns, recognizers)
+    plan = recognizer_plan(custom_patterns, recognizers, mask_pem_body)
     raw_col, n_col = f"{_P}_raw", f"{_P}_nraw"
     out = find_spans(spread(df), text_col, plan, raw_col, n_col)
     over = F.col(n_col) > MAX_ENTITIES
@@ -168,6 +169,7 @@ def anonymize(
     blacklist_beats_secrets: bool = False,
     keep_entities: bool = False,
     reuse: bool = False,
+    mask_pem_body: bool = False,
 ) -> Anonymized:
     """Mask every row of ``text_col``; return (masked rows, mapping rows).
 
@@ -180,6 +182,8 @@ def anonymize(
     mapping rows - and any further consumers - are derived from one detection pass;
     recomputation after a lost executor is deterministic (session ids included).
 
+    ``mask_pem_body=True`` (opt-in) masks a whole PEM block instead of its header line only.
+
     ``blacklist_beats_secrets=True`` reproduces the original rule that a blacklist term
     overlapping a secret drops the secret span (which can leave part of it visible);
     the default keeps such secret spans so the final pass masks them whole.
@@ -205,7 +209,7 @@ def anonymize(
     # R1-R19 + D2/D3.
     out = detect(out, scan, custom_patterns=custom_patterns, recognizers=recognizers, out_col=f"{_P}_det",
                  external_spans=external_spans, key_cols=key_cols, lang_col=lang_col,
-                 external_languages=external_languages)
+                 external_languages=external_languages, mask_pem_body=mask_pem_body)
     det = F.col(f"{_P}_det")
 
     err = E.first_error(
