@@ -32,3 +32,35 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     if df.isStreaming:
         return df
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def partial_topk(df: DataFrame, group_col: str, score_col: str, k_col: str, bad_col: str | None = None) -> DataFrame:
+    """Per partition, keep each group's best ``k`` rows by score (all rows tied with the k-th
+    score included, scores compared at 1e-9), plus at most one ``bad`` row per group.
+
+    A streaming heap-like pass in ``mapInPandas``: memory is one Arrow batch plus the rows
+    kept so far, and candidates are never sorted as a whole - unlike a window limit, which
+    sorts every (group, candidate) pair of the partition first. The exact ranking then runs
+    on the survivors only.
+    """
+    import pandas as pd
+
+    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf[score_col].astype("float64").round(9)
+        rank = r.groupby(pdf[group_col]).rank(method="min", ascending=False)
+        keep = rank <= pdf[k_col]
+        if bad_col is not None:
+            bad = pdf[bad_col].astype(bool)
+            keep = (keep & ~bad) | (bad & ~pdf[group_col].where(bad).duplicated())
+        return pdf[keep.fillna(False).astype(bool)]
+
+    def run(batches):
+        kept = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            kept = prune(pdf if kept is None else pd.concat([kept, pdf], ignore_index=True))
+        if kept is not None:
+            yield kept
+
+    return df.mapInPandas(run, df.schema)

@@ -10,8 +10,9 @@ Plan shape (exact search, no approximate index):
   under ``BROADCAST_MAX_ROWS``; the corpus and the postings then stream through a
   broadcast hash join without being shuffled. Above the bound the join falls back to a
   shuffle on the project / term key, where AQE splits skewed partitions;
-* ranking uses ``row_number() <= 50`` (a literal) so Spark plans a partial
-  ``WindowGroupLimit`` right after scoring: only k rows per query and partition travel.
+* each partition keeps only its best k candidates per query (ties included) with a
+  streaming pass (``partial_topk``) - no sort of all candidate pairs - and the exact
+  ``row_number`` ranking runs on those survivors: only k rows per query and partition travel.
 BM25 postings are hash-partitioned by document key when the index is built, so the
 per-(query, document) score sums reuse that partitioning and candidate pairs are never
 shuffled.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from textguard import errors as E
 from textguard.functions.hashing import hash_embedding
 from textguard.operators import validate as V
-from textguard.operators.partitioning import broadcast_if_small
+from textguard.operators.partitioning import broadcast_if_small, partial_topk
 
 MAX_TOP_K = 50
 MAX_FIELD_BYTES = 100 * 1024
@@ -79,18 +80,28 @@ def _rank(scored: DataFrame, score_col: str, tiebreak: list[str]) -> DataFrame:
 
 
 def vector_scores(queries: DataFrame, corpus: DataFrame, key_col: str) -> DataFrame:
-    """K3 + K5: candidates within the query's project; score = 1 / (1 + max(0, squared L2))."""
+    """K3 + K5: candidates within the query's project; score = 1 / (1 + max(0, squared L2)).
+
+    Only (query, key, source, score) leave the join, and each partition keeps just its best
+    candidates per query (``partial_topk``); text is joined back onto those survivors.
+    """
     q = queries.select("query_id", "project_id", F.col("top_k").cast("int").alias("top_k"),
                        F.col("qvec").cast("array<double>").alias("_tg_qv"))
-    c = corpus.select(key_col, "project_id", "text", "source", F.col("vector").cast("array<double>").alias("_tg_v"))
-    # The corpus streams through a broadcast of the (counted) query side: no corpus shuffle,
-    # and the partial top-k runs right after the join in each corpus partition.
+    c = corpus.select(key_col, "project_id", "source", F.col("vector").cast("array<double>").alias("_tg_v"))
+    # The corpus streams through a broadcast of the (counted) query side: no corpus shuffle.
     j = c.join(broadcast_if_small(q), "project_id")
     dist = squared_l2(F.col("_tg_v"), F.col("_tg_qv"))
     bad = F.isnan(dist) | (F.size(F.col("_tg_v")) != F.size(F.col("_tg_qv")))
-    return j.select("query_id", "project_id", "top_k", key_col, "text", "source",
-                    F.when(~bad, 1.0 / (1.0 + F.greatest(dist, F.lit(0.0)))).alias("score"),
-                    bad.alias("_tg_bad"))
+    scored = j.select("query_id", "project_id", "top_k", key_col, "source",
+                      F.when(~bad, 1.0 / (1.0 + F.greatest(dist, F.lit(0.0)))).alias("score"),
+                      bad.alias("_tg_bad"))
+    # Survivors are few (about k per query and partition); persisting them lets the size
+    # check below materialise the scoring pass once instead of running it twice.
+    cand = partial_topk(scored, "query_id", "score", "top_k", "_tg_bad").persist(StorageLevel.MEMORY_AND_DISK)
+    texts = corpus.select(F.col(key_col).alias("_tg_k"), F.col("project_id").alias("_tg_p"), "text")
+    cand = broadcast_if_small(cand)
+    return cand.join(texts, (cand[key_col] == texts["_tg_k"]) & (cand["project_id"] == texts["_tg_p"])) \
+        .drop("_tg_k", "_tg_p")
 
 
 def finish(ranked: DataFrame, key_col: str) -> DataFrame:
@@ -189,7 +200,8 @@ def bm25_topk(queries: DataFrame, index: TextIndex | None, *, grants: DataFrame
     if index is None:
         q = q.withColumn("error", F.coalesce(F.col("error"), E.error(E.KNOWLEDGE_HYBRID_UNAVAILABLE)))
         return _errors_only(q, key).select("query_id", "rank", key, "score", "error")
-    ranked = _rank(bm25_scores(q.filter(F.col("error").isNull()), index), "score", [key])
+    scored = bm25_scores(q.filter(F.col("error").isNull()), index)
+    ranked = _rank(partial_topk(scored, "query_id", "score", "top_k"), "score", [key])
     res = ranked.filter(F.col("rank") <= F.col("top_k")).select("query_id", "rank", key, "score", E.no_error().alias("error"))
     return res.unionByName(_errors_only(q, key).select("query_id", "rank", key, "score", "error"))
 
@@ -207,7 +219,7 @@ def hybrid_topk(queries: DataFrame, corpus: DataFrame, index: TextIndex | None,
     ok = q.filter(F.col("error").isNull()).withColumn("qvec", hash_embedding(F.col("query"), embed_dims))
     vec = _rank(vector_scores(ok, corpus, key_col), "score", ["source", "text", key_col]) \
         .filter(F.col("rank") <= F.col("top_k")).select("query_id", "top_k", key_col, F.col("rank").alias("rv"))
-    txt = _rank(bm25_scores(ok, index), "score", [key_col]) \
+    txt = _rank(partial_topk(bm25_scores(ok, index), "query_id", "score", "top_k"), "score", [key_col]) \
         .filter(F.col("rank") <= F.col("top_k")).select("query_id", "top_k", key_col, F.col("rank").alias("rb"))
     fused = vec.join(txt, ["query_id", "top_k", key_col], "full_outer")
     rrf = F.coalesce(1.0 / (rrf_k + F.col("rv")), F.lit(0.0)) + F.coalesce(1.0 / (rrf_k + F.col("rb")), F.lit(0.0))
