@@ -35,8 +35,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 
 
 def partial_topk(df: DataFrame, group_col: str, score_col: str, k_col: str, bad_col: str | None = None) -> DataFrame:
-    """Per partition, keep each group's best ``k`` rows by score (all rows tied with the k-th
-    score included, scores compared at 1e-9), plus at most one ``bad`` row per group.
+    """Per partition, keep each group's best ``k`` rows by score (all rows within 1e-8 of the k-th
+    score included), plus at most one ``bad`` row per group.
 
     A streaming heap-like pass in ``mapInPandas``: memory is one Arrow batch plus the rows
     kept so far, and candidates are never sorted as a whole - unlike a window limit, which
@@ -46,9 +46,11 @@ def partial_topk(df: DataFrame, group_col: str, score_col: str, k_col: str, bad_
     import pandas as pd
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf[score_col].astype("float64").round(9)
-        rank = r.groupby(pdf[group_col]).rank(method="min", ascending=False)
-        keep = rank <= pdf[k_col]
+        sc = pdf[score_col].astype("float64")
+        order = sc.groupby(pdf[group_col]).rank(method="first", ascending=False)
+        kth = sc.where(order == pdf[k_col]).groupby(pdf[group_col]).transform("max")
+        # Ties and near-ties with the k-th score stay; the exact ranking runs afterwards.
+        keep = sc.notna() & (kth.isna() | (sc >= kth - 1e-8))
         if bad_col is not None:
             bad = pdf[bad_col].astype(bool)
             keep = (keep & ~bad) | (bad & ~pdf[group_col].where(bad).duplicated())

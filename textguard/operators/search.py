@@ -79,22 +79,106 @@ def _rank(scored: DataFrame, score_col: str, tiebreak: list[str]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_TOP_K)
 
 
+SHIP_MAX_QUERIES = 100_000   # query vectors shipped to every task per pass (counted first)
+QUERY_BLOCK = 256            # queries scored together against one Arrow batch of the corpus
+NEAR_TIE = 1e-8              # pre-selection keeps scores this close to the k-th (exact ranking decides)
+
+
+def _vector_pass(corpus: DataFrame, payload, key_col: str, key_type) -> DataFrame:
+    """One scan of the corpus: each corpus row enters Python once and is scored against its
+    project's (broadcast) query block with numpy; only the best candidates per query leave."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    spark = corpus.sparkSession
+    bc = spark.sparkContext.broadcast(payload)
+    schema = T.StructType([
+        T.StructField("query_id", T.LongType()), T.StructField("project_id", T.StringType()),
+        T.StructField("top_k", T.IntegerType()), T.StructField(key_col, key_type),
+        T.StructField("source", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("_tg_bad", T.BooleanType()),
+    ])
+
+    def run(batches):
+        by_project = bc.value
+        for pdf in batches:
+            out = []
+            for proj, g in pdf.groupby("project_id", sort=False):
+                for qids, qmat, ks in by_project.get(proj, ()):
+                    out.extend(_score_block(g, qids, qmat, ks, proj))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    def _score_block(g, qids, qmat, ks, proj):
+        out = []
+        d = qmat.shape[1]
+        vecs = g["vector"].to_numpy()
+        ok_len = np.array([v is not None and len(v) == d for v in vecs])
+        V = (np.vstack([np.asarray(v, dtype=np.float64) if o else np.full(d, np.nan) for v, o in zip(vecs, ok_len)])
+             if len(vecs) else np.zeros((0, d)))
+        keys, sources = g[key_col].to_numpy(), g["source"].to_numpy()
+        for b0 in range(0, len(qids), QUERY_BLOCK):
+            Q = qmat[b0:b0 + QUERY_BLOCK]
+            acc = np.zeros((V.shape[0], Q.shape[0]))
+            for i in range(d):  # sequential over dimensions: the same sums as the SQL fold
+                diff = V[:, i:i + 1] - Q[None, :, i]
+                acc += diff * diff
+            bad = np.isnan(acc)
+            score = 1.0 / (1.0 + np.maximum(acc, 0.0))
+            for j in range(Q.shape[0]):
+                k = int(ks[b0 + j])
+                sj, bj = score[:, j], bad[:, j]
+                good = np.flatnonzero(~bj)
+                if len(good):
+                    kth = np.sort(sj[good])[::-1][min(k, len(good)) - 1]
+                    sel = good[sj[good] >= kth - NEAR_TIE]  # ties (and near-ties) stay for the exact ranking
+                    out.append(pd.DataFrame({"query_id": qids[b0 + j], "project_id": proj, "top_k": k,
+                                             key_col: keys[sel], "source": sources[sel], "score": sj[sel],
+                                             "_tg_bad": False}))
+                if bj.any():
+                    i0 = int(np.flatnonzero(bj)[0])
+                    out.append(pd.DataFrame({"query_id": [qids[b0 + j]], "project_id": [proj], "top_k": [k],
+                                             key_col: [keys[i0]], "source": [sources[i0]], "score": [None],
+                                             "_tg_bad": [True]}))
+        return out
+
+    rows = corpus.select(key_col, "project_id", "source", F.col("vector").cast("array<double>").alias("vector"))
+    return rows.mapInPandas(run, schema)
+
+
 def vector_scores(queries: DataFrame, corpus: DataFrame, key_col: str) -> DataFrame:
     """K3 + K5: candidates within the query's project; score = 1 / (1 + max(0, squared L2)).
 
-    Only (query, key, source, score) leave the join, and each partition keeps just its best
-    candidates per query (``partial_topk``); text is joined back onto those survivors.
+    The authorised query set is counted and shipped to the tasks in blocks of at most
+    ``SHIP_MAX_QUERIES`` (one corpus scan per block); the corpus is never shuffled and
+    never paired with queries row by row. Each partition keeps its best candidates per
+    query (ties included, ``partial_topk``); text is joined back onto those survivors.
     """
-    q = queries.select("query_id", "project_id", F.col("top_k").cast("int").alias("top_k"),
-                       F.col("qvec").cast("array<double>").alias("_tg_qv"))
-    c = corpus.select(key_col, "project_id", "source", F.col("vector").cast("array<double>").alias("_tg_v"))
-    # The corpus streams through a broadcast of the (counted) query side: no corpus shuffle.
-    j = c.join(broadcast_if_small(q), "project_id")
-    dist = squared_l2(F.col("_tg_v"), F.col("_tg_qv"))
-    bad = F.isnan(dist) | (F.size(F.col("_tg_v")) != F.size(F.col("_tg_qv")))
-    scored = j.select("query_id", "project_id", "top_k", key_col, "source",
-                      F.when(~bad, 1.0 / (1.0 + F.greatest(dist, F.lit(0.0)))).alias("score"),
-                      bad.alias("_tg_bad"))
+    import numpy as np
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "project_id",
+                       F.col("top_k").cast("int").alias("top_k"), F.col("qvec").cast("array<double>").alias("qvec"))
+    n = q.count()
+    key_type = corpus.schema[key_col].dataType
+    passes = []
+    for lo in range(0, max(n, 1), SHIP_MAX_QUERIES):
+        block = q.orderBy("query_id").offset(lo).limit(SHIP_MAX_QUERIES) if n > SHIP_MAX_QUERIES else q
+        payload: dict = {}
+        for r in block.collect():
+            payload.setdefault(r["project_id"], []).append(r)
+        shipped = {}
+        for proj, rs in payload.items():
+            dims = {len(r["qvec"] or []) for r in rs}
+            for dim in dims:  # one matrix per vector width; a width mismatch scores as bad
+                sub = [r for r in rs if len(r["qvec"] or []) == dim]
+                shipped.setdefault(proj, []).append((np.array([r["query_id"] for r in sub], dtype=np.int64),
+                                                     np.array([r["qvec"] or [] for r in sub], dtype=np.float64).reshape(len(sub), dim),
+                                                     np.array([r["top_k"] for r in sub], dtype=np.int32)))
+        # Every width group is scored; rows whose width differs from a group's width score as bad.
+        passes.append(_vector_pass(corpus, shipped, key_col, key_type))
+    scored = passes[0]
+    for p in passes[1:]:
+        scored = scored.unionByName(p)
     # Survivors are few (about k per query and partition); persisting them lets the size
     # check below materialise the scoring pass once instead of running it twice.
     cand = partial_topk(scored, "query_id", "score", "top_k", "_tg_bad").persist(StorageLevel.MEMORY_AND_DISK)
