@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,18 +60,27 @@ def admission_state(stream: DataFrame, key_col: str, ts_col: str, id_col: str, *
 
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Drain a streaming query with ``availableNow`` into a memory table and return it.
+    """Drain a streaming query with ``availableNow`` into Parquet and return it as a table.
 
-    The checkpoint goes under the session's shared checkpoint folder, so a restarted
-    driver resumes instead of recomputing.
+    Each micro-batch is written by ``foreachBatch`` under the session's shared checkpoint
+    folder (overwritten in complete mode, appended otherwise), next to the stream's own
+    checkpoint, so nothing is held on the driver and a restarted driver resumes.
     """
     spark = df.sparkSession
-    ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (df.writeStream.format("memory").queryName(table).outputMode(output_mode)
+    base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
+    out_path, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+    complete = output_mode == "complete"
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite" if complete else "append").parquet(out_path)
+
+    q = (df.writeStream.foreachBatch(write).outputMode(output_mode)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(table)
+    try:
+        return spark.read.schema(df.schema).parquet(out_path)
+    except AnalysisException:  # no micro-batch ran: the stream was empty
+        return spark.createDataFrame([], df.schema)
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files_per_trigger: int | None = None) -> DataFrame:
