@@ -40,7 +40,8 @@ ALL_CODES = (
     VALIDATION_ERROR, INTERNAL_ERROR,
 )
 
-# Messages are fixed per code; the validation message is deliberately generic.
+# One message per code, never containing input values; the validation and
+# internal messages are deliberately generic.
 MESSAGES = {
     SESSION_NOT_FOUND: "session is unknown or expired",
     PROHIBITED_SECRET: "prohibited secret detected",

@@ -59,6 +59,10 @@ SECRET_TYPES = (
 
 CUSTOM_TYPE = "CUSTOM"
 
+# Detector mode names reported per language in the audit snapshot.
+MODE_EXTERNAL = "presidio"
+MODE_REGEX = "regex_fallback"
+
 SUPPORTED_LANGUAGES = ("de", "en", "fr", "it", "es")
 STRATEGIES = ("placeholder", "redact", "hash")
 SECRET_POLICIES = ("mask", "block")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textguard.functions.patterns import SUPPORTED_LANGUAGES
+from textguard.functions.patterns import MODE_EXTERNAL, MODE_REGEX, SUPPORTED_LANGUAGES
 
 MAX_STATS_BYTES = 64 * 1024
 
@@ -82,8 +82,8 @@ def snapshot(masked: DataFrame, restored: DataFrame | None, mapping: DataFrame,
     The partial aggregates (each one row, or one row per type) are stacked with
     ``unionByName`` and folded by a single global aggregation - no joins.
     """
-    modes = detector_modes or {lang: "regex_fallback" for lang in languages}
-    overall = "presidio" if any(v == "presidio" for v in modes.values()) else "regex_fallback"
+    modes = detector_modes or {lang: MODE_REGEX for lang in languages}
+    overall = MODE_EXTERNAL if any(v == MODE_EXTERNAL for v in modes.values()) else MODE_REGEX
     parts = [anonymization_totals(masked), entities_by_type(masked), session_counts(mapping, as_of, ttl_seconds)]
     if restored is not None:
         parts.append(restore_totals(restored))

@@ -24,7 +24,7 @@ from textguard.functions import hashing
 from textguard.functions import sqltext as S
 from textguard.functions.patterns import (
     BUILTIN, CUSTOM_TYPE, builtin, MAX_ENTITIES, MAX_LITERAL_MATCHES, MAX_TEXT_BYTES, SECRET_TYPES,
-    SUPPORTED_LANGUAGES, Recognizer,
+    SUPPORTED_LANGUAGES, MODE_EXTERNAL, MODE_REGEX, Recognizer,
 )
 from textguard.functions.spans import (
     add_resolved, empty_spans, find_literals, find_spans, overlaps_any, sort_by_start, span,
@@ -135,9 +135,9 @@ def _merge_external(df, text_col, ext, key_cols, lang_col, languages, raw_col, o
 
 def detector_modes(languages: Sequence[str] = SUPPORTED_LANGUAGES,
                    external_languages: Sequence[str] | None = None) -> dict[str, str]:
-    """``presidio`` where external spans are configured for the language, else ``regex_fallback``."""
+    """The external mode where external spans are configured for the language, else the regex mode."""
     ext = set(external_languages or ())
-    return {lang: ("presidio" if lang in ext else "regex_fallback") for lang in languages}
+    return {lang: (MODE_EXTERNAL if lang in ext else MODE_REGEX) for lang in languages}
 
 
 @dataclass
