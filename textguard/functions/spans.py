@@ -163,9 +163,13 @@ def find_spans(
     count_col: str,
     cap: int = MAX_ENTITIES,
     prefix: str = "_tgf",
+    iban_backoff: bool = False,
 ) -> DataFrame:
     """Add ``out_col`` (raw spans of all recognisers, after their checks) and ``count_col``.
 
+    ``iban_backoff`` (opt-in, not in the original rules): an IBAN candidate that fails its
+    checks is retried cut to its country's length when the cut ends at a token boundary.
+
     ``out_col`` is null when the raw count exceeds ``cap``: offsets are then never
     computed, which bounds the per-row work. Separate projections keep each regex
     evaluated once per row (Catalyst does not merge projections that would duplicate a
@@ -187,6 +191,8 @@ def find_spans(
         stage2.append(F.when(F.col(f"{prefix}_v{i}").isNotNull() & (F.size(F.col(f"{prefix}_v{i}")) > 0),
                              F.split(text, rec.pattern, -1)).alias(f"{prefix}_g{i}"))
         chk = S.check(rec.check, "cv")
+        if chk is not None and iban_backoff and rec.check == "iban":
+            chk = f"({chk} OR {S.iban_backoff_ok('cv')})"
         counts.append(f"coalesce(size({v}), 0)" if chk is None else f"coalesce(size(filter({v}, cv -> {chk})), 0)")
     total = F.expr(" + ".join(counts) if counts else "0").alias(count_col)
     df = df.select("*", *stage2, total)
@@ -200,7 +206,12 @@ def find_spans(
         v = S.q(f"{prefix}_v{i}")
         sp = S.spans_from(v, S.q(f"{prefix}_s{i}"), rec.etype, ord_)
         chk = S.check(rec.check, "cs.`value`")
-        if chk is not None:
+        if chk is not None and iban_backoff and rec.check == "iban":
+            cut = S.iban_cut("cs.`value`")
+            retry = (f"IF({S.iban_backoff_ok('cs.`value`')}, named_struct('etype', cs.`etype`, 'value', {cut}, "
+                     f"'start', cs.`start`, 'end', cs.`start` + char_length({cut}), 'ord', cs.`ord`), NULL)")
+            sp = f"filter(transform({sp}, cs -> IF({chk}, cs, {retry})), cs -> cs IS NOT NULL)"
+        elif chk is not None:
             sp = f"filter({sp}, cs -> {chk})"
         parts.append(f"IF(size({v}) > 0, {sp}, {S.EMPTY_SPANS})")
     concat = f"concat({', '.join(parts)})" if parts else S.EMPTY_SPANS

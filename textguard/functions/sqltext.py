@@ -53,6 +53,20 @@ def phone_digits_ok(x: str) -> str:
     return f"(char_length(regexp_replace({x}, {sql_str(r'(?U)\D')}, '')) BETWEEN 8 AND 15)"
 
 
+def iban_cut(x: str) -> str:
+    """The candidate cut after its country's number of characters (separators kept)."""
+    n = f"try_element_at({IBAN_MAP}, upper(substring({x}, 1, 2)))"
+    return f"regexp_extract({x}, concat('^(?:[A-Za-z0-9][ -]?){{', CAST({n} - 1 AS STRING), '}}[A-Za-z0-9]'), 0)"
+
+
+def iban_backoff_ok(x: str) -> str:
+    """Opt-in retry for a greedy candidate that failed: the country-length cut must end at a
+    token boundary and pass the checksum."""
+    c = iban_cut(x)
+    return (f"coalesce(char_length({c}) > 0 AND NOT (substring({x}, char_length({c}) + 1, 1) rlike '[A-Za-z0-9]') "
+            f"AND {valid_iban(normalized(c))}, false)")
+
+
 def check(kind: str | None, x: str) -> str | None:
     if kind is None:
         return None

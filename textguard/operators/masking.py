@@ -78,6 +78,7 @@ def detect(
     lang_col: str | None = None,
     external_languages: Sequence[str] = SUPPORTED_LANGUAGES,
     mask_pem_body: bool = False,
+    iban_backoff: bool = False,
 ) -> DataFrame:
     """Detected spans per row.
 
@@ -87,7 +88,7 @@ def detect(
     """
     plan = recognizer_plan(custom_patterns, recognizers, mask_pem_body)
     raw_col, n_col = f"{_P}_raw", f"{_P}_nraw"
-    out = find_spans(spread(df), text_col, plan, raw_col, n_col)
+    out = find_spans(spread(df), text_col, plan, raw_col, n_col, iban_backoff=iban_backoff)
     over = F.col(n_col) > MAX_ENTITIES
     merged = F.col(raw_col)
     if external_spans is not None:
@@ -170,6 +171,7 @@ def anonymize(
     keep_entities: bool = False,
     reuse: bool = False,
     mask_pem_body: bool = False,
+    iban_backoff: bool = False,
 ) -> Anonymized:
     """Mask every row of ``text_col``; return (masked rows, mapping rows).
 
@@ -183,6 +185,8 @@ def anonymize(
     recomputation after a lost executor is deterministic (session ids included).
 
     ``mask_pem_body=True`` (opt-in) masks a whole PEM block instead of its header line only.
+    ``iban_backoff=True`` (opt-in) retries an IBAN candidate that swallowed following words,
+    cut to its country's length (the original leaves such an IBAN visible).
 
     ``blacklist_beats_secrets=True`` reproduces the original rule that a blacklist term
     overlapping a secret drops the secret span (which can leave part of it visible);
@@ -209,7 +213,8 @@ def anonymize(
     # R1-R19 + D2/D3.
     out = detect(out, scan, custom_patterns=custom_patterns, recognizers=recognizers, out_col=f"{_P}_det",
                  external_spans=external_spans, key_cols=key_cols, lang_col=lang_col,
-                 external_languages=external_languages, mask_pem_body=mask_pem_body)
+                 external_languages=external_languages, mask_pem_body=mask_pem_body,
+                 iban_backoff=iban_backoff)
     det = F.col(f"{_P}_det")
 
     err = E.first_error(
