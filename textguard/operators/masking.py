@@ -23,11 +23,11 @@ from textguard import errors as E
 from textguard.functions import hashing
 from textguard.functions import sqltext as S
 from textguard.functions.patterns import (
-    BUILTIN, CUSTOM_TYPE, builtin, MAX_ENTITIES, MAX_LITERAL_MATCHES, MAX_TEXT_BYTES, SECRET_TYPES,
+    CUSTOM_TYPE, builtin, MAX_ENTITIES, MAX_LITERAL_MATCHES, SECRET_TYPES,
     SUPPORTED_LANGUAGES, MODE_EXTERNAL, MODE_REGEX, Recognizer,
 )
 from textguard.functions.spans import (
-    add_resolved, empty_spans, find_literals, find_spans, overlaps_any, sort_by_start, span,
+    add_resolved, empty_spans, find_literals, find_spans, span,
 )
 from textguard.operators import validate as V
 from textguard.operators.partitioning import spread
