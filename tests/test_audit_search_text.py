@@ -142,3 +142,20 @@ def test_corpus_source_requires_allowlist_and_sinks(spark):
     assert os.path.exists(os.path.join(d, "m")) and not os.path.exists(os.path.join(d, "map"))
     write_masked(a, os.path.join(d, "m2"), mapping_path=os.path.join(d, "map"))
     assert spark.read.parquet(os.path.join(d, "map")).count() == 1
+
+
+def test_mask_stream_equals_batch(spark):
+    from textguard.operators.masking import anonymize
+    from textguard.streaming.pipelines import file_stream, mask_stream
+    from tests.conftest import SF_SMALL
+    static = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    out = tempfile.mkdtemp(prefix="tg-mask-out-")
+    mp = tempfile.mkdtemp(prefix="tg-mask-map-")
+    src = file_stream(spark, f"{SF_SMALL}/documents.parque[t]", spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
+    q = mask_stream(src.select("doc_id", "text"), "text", out, mapping_path=mp, key_cols=["doc_id"], run_token="t")
+    q.awaitTermination()
+    got = {r.doc_id: (r.anonymized_text, r.session_id) for r in spark.read.parquet(out).collect()}
+    exp = {r.doc_id: (r.anonymized_text, r.session_id)
+           for r in anonymize(static, "text", key_cols=["doc_id"], run_token="t").masked.collect()}
+    assert got == exp
+    assert spark.read.parquet(mp).count() == sum(1 for v in exp.values() if v[1] is not None)

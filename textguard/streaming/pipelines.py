@@ -88,3 +88,26 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files_per_t
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(path)
+
+
+def mask_stream(stream: DataFrame, text_col: str, out_path: str, *, checkpoint_path: str | None = None,
+                mapping_path: str | None = None, available_now: bool = True, **anonymize_kwargs):
+    """S4/S5 on a stream: mask every micro-batch and append the masked rows to ``out_path``;
+    mapping rows go to ``mapping_path`` only when one is given. Each batch id writes its own
+    directory in overwrite mode, so a batch replayed after a failure (the checkpoint records
+    progress) rewrites the same deterministic rows - session ids derive from the run token and
+    the row key. Returns the started query."""
+    spark = stream.sparkSession
+    ckpt = checkpoint_path or os.path.join(checkpoint_dir(spark), f"mask-stream-{uuid.uuid4().hex}")
+    anonymize_kwargs.setdefault("run_token", uuid.uuid4().hex)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        a = anonymize(batch, text_col, reuse=mapping_path is not None, **anonymize_kwargs)
+        # One directory per batch id, overwritten: a replayed batch replaces its own rows.
+        a.masked.write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch_id}"))
+        if mapping_path is not None:
+            a.mapping.write.mode("overwrite").parquet(os.path.join(mapping_path, f"epoch={epoch_id}"))
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
