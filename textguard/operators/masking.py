@@ -79,6 +79,7 @@ def detect(
     external_languages: Sequence[str] = SUPPORTED_LANGUAGES,
     mask_pem_body: bool = False,
     iban_backoff: bool = False,
+    spread_input: bool = True,
 ) -> DataFrame:
     """Detected spans per row.
 
@@ -88,7 +89,7 @@ def detect(
     """
     plan = recognizer_plan(custom_patterns, recognizers, mask_pem_body)
     raw_col, n_col = f"{_P}_raw", f"{_P}_nraw"
-    out = find_spans(spread(df), text_col, plan, raw_col, n_col, iban_backoff=iban_backoff)
+    out = find_spans(spread(df) if spread_input else df, text_col, plan, raw_col, n_col, iban_backoff=iban_backoff)
     over = F.col(n_col) > MAX_ENTITIES
     merged = F.col(raw_col)
     if external_spans is not None:
@@ -214,7 +215,7 @@ def anonymize(
     out = detect(out, scan, custom_patterns=custom_patterns, recognizers=recognizers, out_col=f"{_P}_det",
                  external_spans=external_spans, key_cols=key_cols, lang_col=lang_col,
                  external_languages=external_languages, mask_pem_body=mask_pem_body,
-                 iban_backoff=iban_backoff)
+                 iban_backoff=iban_backoff, spread_input=False)
     det = F.col(f"{_P}_det")
 
     err = E.first_error(
