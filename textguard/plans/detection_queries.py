@@ -147,3 +147,32 @@ def _overlap_query(spark, sf_dir):
 
 
 query("resolve_overlaps")(_overlap_query)
+
+
+# A stand-in for an external analyzer's output in the expected schema: one span per
+# document over its first word, with a score derived from doc_id (half of them below 0.5).
+_EXT_END = "char_length(regexp_extract(text, '^[^ \\\\n]+', 0))"
+_EXT_END_D = "length(regexp_extract(text, '^[^ \\n]+', 0))"
+
+
+@query("detect_external_spans", (
+    f"WITH x AS ({duck.masked_lists('text', ['EMAIL_ADDRESS', 'GERMAN_LICENSE_PLATE'], 'documents')}), "
+    f"y AS (SELECT *, {_EXT_END_D} AS el, (doc_id % 10) >= 5 AND {_EXT_END_D} > 0 AS ext_ok, "
+    "  list_transform(range(1, len(m) + 1), lambda i: length(array_to_string(list_slice(g, 1, i), '')) "
+    "    + length(array_to_string(list_slice(m, 1, i - 1), ''))) AS st FROM x), "
+    # greedy: the external span (listed first) loses only to a strictly longer overlapping span
+    "z AS (SELECT *, ext_ok AND NOT coalesce(list_bool_or(list_transform(range(1, len(m) + 1), "
+    "  lambda i: st[i] < el AND length(m[i]) > el)), false) AS keep_ext FROM y), "
+    "k AS (SELECT *, list_filter(range(1, len(m) + 1), lambda i: NOT keep_ext OR st[i] >= el) AS kept FROM z) "
+    "SELECT doc_id, CAST(len(kept) + CASE WHEN keep_ext THEN 1 ELSE 0 END AS BIGINT) AS n_entities, "
+    "array_to_string(CASE WHEN keep_ext THEN ['ORG:' || substr(text, 1, el)] ELSE [] END "
+    "|| list_transform(kept, lambda i: ty[i] || ':' || m[i]), '|') AS entities FROM k"
+))
+def detect_external_spans(spark, sf_dir):
+    """External spans (score >= 0.5 kept) merged with the regex spans and re-resolved."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ext = docs.select("doc_id", F.lit("ORG").alias("etype"), F.lit(0).alias("start"), F.expr(_EXT_END).alias("end"),
+                      ((F.col("doc_id") % 10) / 10.0).alias("score")).filter(F.col("end") > 0)
+    d = detect(docs, "text", external_spans=ext, key_cols=["doc_id"])
+    return d.select("doc_id", F.size("entities").cast("long").alias("n_entities"),
+                    F.array_join(F.transform("entities", lambda s: F.concat(s["etype"], F.lit(":"), s["value"])), "|").alias("entities"))

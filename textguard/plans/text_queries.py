@@ -188,3 +188,17 @@ def error_envelope(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.expr(_ENV_T).alias("text"), F.expr(_LANG_S).alias("lang"))
     a = anonymize(d, "text", lang_col="lang", on_secret="block", key_cols=["doc_id"])
     return a.masked.select("doc_id", F.col("error.code").alias("error_code"), F.col("error.message").alias("error_message"))
+
+
+_OPT_S = ("CASE event_id % 5 WHEN 0 THEN 'placeholder' WHEN 1 THEN 'redact' WHEN 2 THEN 'hash' WHEN 3 THEN 'Hash' ELSE event_type END")
+_SEC_S = "CASE WHEN event_id % 7 = 0 THEN 'warn' WHEN event_id % 2 = 0 THEN 'mask' ELSE 'block' END"
+
+
+@query("validate_options", (
+    f"SELECT event_id, {_OPT_S} AS strategy, {_SEC_S} AS on_secret, "
+    f"{_OPT_S} IN ('placeholder', 'redact', 'hash') AND {_SEC_S} IN ('mask', 'block') AS ok FROM events"
+))
+def validate_options(spark, sf_dir):
+    """V3 as a column check: strategy in placeholder/redact/hash and secret policy in mask/block."""
+    e = read_table(spark, sf_dir, "events").select("event_id", F.expr(_OPT_S).alias("strategy"), F.expr(_SEC_S).alias("on_secret"))
+    return e.select("event_id", "strategy", "on_secret", V.options_ok(F.col("strategy"), F.col("on_secret")).alias("ok"))
