@@ -135,3 +135,12 @@ def test_restore_on_a_stream_matches_batch(spark):
     stream = spark.readStream.schema(req.schema).parquet(os.path.join(d, "r"))
     got = {r.id: r.restored_text for r in run_available_now(restore(stream, a.mapping), "restore").collect()}
     assert got == {1: "max@example.com", 2: "B-AB 12 and x@y.de"}
+
+
+def test_release_persisted_pass(spark):
+    from textguard.operators.masking import anonymize
+    a = anonymize(spark.createDataFrame([(1, "a@b.de")], "id long, text string"), "text", key_cols=["id"], reuse=True)
+    assert a.masked.count() == 1 and a.mapping.count() == 1
+    assert a.shared is not None and a.shared.storageLevel.useMemory
+    a.release()
+    assert not a.shared.storageLevel.useMemory

@@ -146,6 +146,12 @@ def detector_modes(languages: Sequence[str] = SUPPORTED_LANGUAGES,
 class Anonymized:
     masked: DataFrame
     mapping: DataFrame
+    shared: DataFrame | None = None  # the persisted pass when ``reuse=True``
+
+    def release(self) -> None:
+        """Drop the persisted pass (``reuse=True``) once every consumer has run."""
+        if self.shared is not None:
+            self.shared.unpersist()
 
 
 def anonymize(
@@ -321,7 +327,7 @@ def anonymize(
     masked_cols = [F.col(c) for c in out.columns if not c.startswith(_P)]
     if keep_entities:
         masked_cols.append(F.when(ok, F.col(f"{_P}_ents")).alias("entities"))
-    return Anonymized(barrier(out.select(*masked_cols)), mapping)
+    return Anonymized(barrier(out.select(*masked_cols)), mapping, out if reuse else None)
 
 
 def mapping_row_type(out: DataFrame, key_cols: Sequence[str]) -> T.StructType:

@@ -236,6 +236,10 @@ class TextIndex:
     avg_len: float
     key_col: str
 
+    def release(self) -> None:
+        """Drop the persisted postings once the index is no longer queried."""
+        self.postings.unpersist()
+
 
 def build_text_index(corpus: DataFrame, key_col: str = "doc_key", num_partitions: int | None = None) -> TextIndex:
     """Tokenise once; postings stay hash-partitioned by document key (one shuffle of the corpus).
