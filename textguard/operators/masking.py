@@ -350,3 +350,22 @@ def barrier(df: DataFrame) -> DataFrame:
     """
     cols = df.columns
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))
+
+
+def anonymize_columns(df: DataFrame, text_cols: Sequence[str], **kwargs) -> DataFrame:
+    """Mask several text columns in one narrow stage.
+
+    Each column is replaced by its masked text; ``<col>_pii_count`` and ``<col>_error`` are
+    added. Non-reversible strategies only: each reversible column would need its own mapping
+    scope, so use ``anonymize`` per column for placeholders.
+    """
+    strategy = kwargs.get("strategy", "placeholder")
+    if strategy == "placeholder":
+        raise ValueError("anonymize_columns supports the redact and hash strategies")
+    out = df
+    for c in text_cols:
+        a = anonymize(out, c, **kwargs).masked
+        keep = [x for x in out.columns if x != c]
+        out = a.select(*keep, F.col("anonymized_text").alias(c), F.col("pii_count").alias(f"{c}_pii_count"),
+                       F.col("error").alias(f"{c}_error"))
+    return out
