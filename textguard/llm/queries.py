@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, loss_text, parse_formatted
-from .common import table
+from .common import fold_of, table
 from .decontaminate import contained_items
+from .quality_rules import fit_quality
+from .resample import resample
+from .setsketch import near_duplicates
 from .sharding import shard_rows
+from .toxicity import fit_toxicity
 from .url_reputation import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +124,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page"), F.when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     return judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_importance")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log importance weight and Gumbel top-k draw of every document."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base rules and the likelihood-ratio verdict of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels)
+    s = F.col("s")
+    return docs.select("doc_id", model.columns(F.col("text")).alias("s")).select(
+        "doc_id", *[f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        model.base_failed(s).alias("base_failed"), model.kept(s).alias("kept"), "s.ratio")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels are learnt from the rows outside the held-out fold only."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(fold_of(F.col("doc_id"), 5) != 0))
+    scored = docs.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), model.column(F.col("text")).alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_near_duplicates", """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(4, len(w)) - 1], ' ')) AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (s) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+      WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
+FROM documents d JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c USING (doc_id) LEFT JOIN n USING (doc_id)
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets are at least 80 % alike."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
