@@ -1,10 +1,11 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared window by window.
 
-The ordinary dictionary is trained on windows of rows labelled 0. The toxic dictionary holds, on top of the
-same content, segments (words and word beginnings) that rows labelled 1 have much more often than rows
-labelled 0, strongest last, where zstandard finds them cheapest. Both are used as raw content, so that a
-window's two compressed lengths differ only by what the toxic segments save. Every window of the whole text
-is compressed with both; savings above the noise that ordinary windows show feed a two-feature logistic
+The ordinary dictionary is trained on windows of rows labelled 0. The toxic dictionary holds, ahead of
+the same content, segments (words and word beginnings) that rows labelled 1 have much more often than rows
+labelled 0. Both are used as raw content and with the same parameters, so that a window's two compressed
+lengths differ only by what the toxic segments save (trained on toxic text as it stands, zstandard's own
+choice of content is ordinary prose for the most part, and the difference is noise). Every window of the whole text
+is compressed with both; savings above the noise that ordinary windows show feed a three-feature logistic
 calibration.
 
 Labels are read for a bounded sample (``sample_rows`` ids of either label, in hash order); segments are
@@ -21,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from math import exp
 
 import numpy as np
 import pandas as pd
@@ -32,10 +34,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored
 from .ngrams import labelled_sample, lower_tokens
 
-WINDOW_WORDS = 24
+WINDOW_WORDS = 12
 #: A word beyond this many bytes is compressed in pieces of its own.
 WORD_BYTES = 256
-LEVEL = 7
+#: Fixed for both dictionaries: left to itself, zstandard chooses by the dictionary's size.
+PARAMETERS = {"window_log": 17, "chain_log": 16, "hash_log": 15, "search_log": 5, "min_match": 4, "target_length": 64, "strategy": zstandard.STRATEGY_LAZY2}
 SEGMENT_BYTES = (4, 8)
 MARKS = b".,;:!?\"'()*$%&#|<>"
 
@@ -65,7 +68,7 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     noise: float = 0.0
-    weights: tuple[float, float, float] = field(default=(-50.0, 0.0, 0.0))
+    weights: tuple[float, ...] = field(default=(-50.0, 0.0, 0.0, 0.0))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_pair"}
@@ -77,8 +80,9 @@ class ToxicityModel:
     def _pair(self):
         def compressor(content: bytes):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            parameters = zstandard.ZstdCompressionParameters(**PARAMETERS, write_content_size=0, write_checksum=0, write_dict_id=0)
+            d.precompute_compress(compression_params=parameters)
+            return zstandard.ZstdCompressor(dict_data=d, compression_params=parameters)
 
         return compressor(self.ordinary).compress, compressor(self.toxic).compress
 
@@ -89,14 +93,15 @@ class ToxicityModel:
         plain, toxic = self._pair
         return [len(plain(w)) - len(toxic(w)) for w in windows(text)]
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        s = [x - self.noise for x in self.savings(text) if x > self.noise]
-        return float(max(s, default=0.0)), float(np.log1p(sum(s)))
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Largest saving, all savings, and savings per window."""
+        saved = self.savings(text)
+        s = [x - self.noise for x in saved if x > self.noise]
+        return float(max(s, default=0.0)), float(np.log1p(sum(s))), sum(s) / max(1, len(saved))
 
     def score(self, text: str | None) -> float:
-        a, b = self.features(text)
-        w = self.weights
-        return float(1 / (1 + np.exp(-np.clip(w[0] + w[1] * a + w[2] * b, -50, 50))))
+        z = float(np.dot(self.weights, (1.0, *self.features(text))))
+        return 1 / (1 + exp(-min(max(z, -50.0), 50.0)))
 
     def column(self, text: Column) -> Column:
         model = self
@@ -132,11 +137,11 @@ def _segment_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("segment").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _toxic_segments(sample: DataFrame, n0: int, n1: int, lift: float, max_segments: int) -> list[bytes]:
-    """Strongest segments first; of a word and its beginnings only the strongest stays."""
+def _toxic_segments(sample: DataFrame, n0: int, n1: int, lift: float, min_share: float, max_segments: int) -> list[bytes]:
+    """Strongest segments first; of a word and its beginnings only the strongest stays, the longest of equals."""
     ratio = F.log(((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1)))
-    strong = _segment_counts(sample).where(F.col("n1") >= max(5, 0.01 * n1)).withColumn("ratio", ratio).where(F.col("ratio") > float(np.log(lift)))
-    rows = strong.orderBy(F.desc(F.col("n1") * F.col("ratio")), "segment").limit(max_segments).collect()
+    strong = _segment_counts(sample).where(F.col("n1") >= max(5, min_share * n1)).withColumn("ratio", ratio).where(F.col("ratio") > float(np.log(lift)))
+    rows = strong.orderBy(F.desc(F.col("n1") * F.col("ratio")), F.desc(F.length("segment")), "segment").limit(max_segments).collect()
     out: list[bytes] = []
     for s in (bytes(r["segment"]) for r in rows):
         if not any(s.startswith(t.rstrip()) or t.startswith(s.rstrip()) for t in out):
@@ -154,13 +159,13 @@ def _ordinary_content(sample: DataFrame, max_windows: int, dict_bytes: int) -> b
         return b"".join(found)[:dict_bytes]
 
 
-def _calibrate(features: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
+def _calibrate(features: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
     """Ridge logistic regression, then a shift that puts 0.5 where most sample rows are called right."""
     x = np.column_stack([np.ones(len(features)), features])
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
         w -= np.clip(np.linalg.solve(h, x.T @ (p - labels) + 1e-2 * w), -5, 5)
     z = x @ w
     cuts = np.unique(z)
@@ -172,7 +177,7 @@ def _calibrate(features: np.ndarray, labels: np.ndarray) -> tuple[float, float,
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000,
-                 lift: float = 10.0, max_segments: int = 2048, max_windows: int = 8000, dict_bytes: int = 16384) -> ToxicityModel:
+                 lift: float = 10.0, min_share: float = 0.025, max_segments: int = 2048, max_windows: int = 8000, dict_bytes: int = 16384) -> ToxicityModel:
     """Fit on ``docs`` with ``labels`` (id, toxic); pass only the labels that may be learnt from."""
     bounded_batches(docs.sparkSession)
     ids = None
@@ -186,11 +191,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if len(n) < 2:
         return ToxicityModel(b"", b"")
     ordinary = _ordinary_content(sample, max_windows, dict_bytes)
-    found = _toxic_segments(sample, n[0], n[1], lift, max_segments)
-    model = ToxicityModel(ordinary, ordinary + b"".join(reversed(found)))
+    found = _toxic_segments(sample, n[0], n[1], lift, min_share, max_segments)
+    model = ToxicityModel(ordinary, b"".join(found) + ordinary)
     quiet = F.udf(model.savings, "array<int>")
     noise = sample.where("toxic = 0").select(F.explode(quiet("text")).alias("s")).agg(F.percentile_approx("s", 0.999, 10000)).first()[0]
     model = ToxicityModel(model.ordinary, model.toxic, float(max(noise or 0, 0)))
-    measured = sample.select("toxic", F.udf(model.features, "struct<a: double, b: double>")("text").alias("f")).select("toxic", "f.a", "f.b").collect()
-    x = np.array([[r["a"], r["b"]] for r in measured])
+    measured = sample.select("toxic", F.udf(model.features, "struct<a: double, b: double, c: double>")("text").alias("f")).select("toxic", "f.a", "f.b", "f.c").collect()
+    x = np.array([[r["a"], r["b"], r["c"]] for r in measured])
     return ToxicityModel(model.ordinary, model.toxic, model.noise, _calibrate(x, np.array([r["toxic"] for r in measured])))
