@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, loss_text, parse_formatted
 from .common import fold_of, table
 from .decontaminate import contained_items
+from .packing import Encoder, pack
 from .quality_rules import fit_quality
 from .resample import resample
 from .setsketch import near_duplicates
@@ -166,3 +167,17 @@ FROM documents d JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are at least 80 % alike."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def public_encoder() -> Encoder:
+    """The encoder of ``byte_bpe_50k``; its vocabulary file as ranks stands beside the json file on every machine."""
+    import public_tokenizers
+
+    return Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document packed into sequences of at most 1,024 tokens."""
+    pieces = pack(table(spark, sf_dir, "documents"), public_encoder())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
