@@ -12,6 +12,7 @@ from .common import fold_of, table
 from .decontaminate import contained_items
 from .packing import Encoder, pack
 from .quality_rules import fit_quality
+from .recurrent_lm import score_documents
 from .resample import resample
 from .setsketch import near_duplicates
 from .sharding import shard_rows
@@ -181,3 +182,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document packed into sequences of at most 1,024 tokens."""
     pieces = pack(table(spark, sf_dir, "documents"), public_encoder())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op6_language_model")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and recurrent-model log10 probability of every whole document."""
+    return score_documents(table(spark, sf_dir, "documents"))
