@@ -193,9 +193,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     ordinary = _ordinary_content(sample, max_windows, dict_bytes)
     found = _toxic_segments(sample, n[0], n[1], lift, min_share, max_segments)
     model = ToxicityModel(ordinary, b"".join(found) + ordinary)
-    quiet = F.udf(model.savings, "array<int>")
+    quiet = F.udf(lambda t: model.savings(t), "array<int>")
     noise = sample.where("toxic = 0").select(F.explode(quiet("text")).alias("s")).agg(F.percentile_approx("s", 0.999, 10000)).first()[0]
     model = ToxicityModel(model.ordinary, model.toxic, float(max(noise or 0, 0)))
-    measured = sample.select("toxic", F.udf(model.features, "struct<a: double, b: double, c: double>")("text").alias("f")).select("toxic", "f.a", "f.b", "f.c").collect()
+    measured = sample.select("toxic", F.udf(lambda t: model.features(t), "struct<a: double, b: double, c: double>")("text").alias("f")).select("toxic", "f.a", "f.b", "f.c").collect()
     x = np.array([[r["a"], r["b"], r["c"]] for r in measured])
     return ToxicityModel(model.ordinary, model.toxic, model.noise, _calibrate(x, np.array([r["toxic"] for r in measured])))
