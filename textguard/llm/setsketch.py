@@ -14,7 +14,7 @@ registers agree the more often the more alike the sets are, so bands of register
    that 0.8 is out of reach for are dropped.
 4. The rest is verified on the full sets, and the verified links give components.
 
-With r = 5 registers a band and 48 bands, a pair at 0.8 meets with probability above 1 - 1e-8.
+With 64 bands of 6 registers, a pair at 0.8 meets with probability above 1 - 1e-8.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own component; a
 text of fewer words than a shingle is one shingle; rows that share an id are one node; rows without an id are
@@ -34,13 +34,16 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored
 from .ngrams import lower_tokens
 
-BANDS, ROWS = 48, 5
+BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
 #: Register base; with one byte per register the range 1.1 ** 254 covers minima of 32-bit uniforms.
 BASE, TOP = 1.1, 255
 #: Buckets up to this size compare all members: at most half as many rows per member.
 SMALL_BUCKET = 24
-PIVOTS = 6
+#: Pivots of a large bucket in the first round, four times as many in each that follows; and the pairs a member
+#: that may be left for a bucket to be finished by comparing all that is not connected.
+PIVOTS, MOST_PIVOTS = 6, 96
+LEFT_PAIRS = 128
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _MUL = (_RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * 2 + 1)[:, None]
@@ -124,13 +127,18 @@ def _sketch_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _band_rows(reps: DataFrame) -> DataFrame:
-    """(rep, band key) rows; the key holds the band's number and its registers."""
-    return reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("registers", i * ROWS + 1, F.lit(ROWS)))).alias("band", "part")) \
-        .select("rep", F.xxhash64("band", "part").alias("bucket"))
+    """(rep, size, bucket) rows; the bucket's key is a hash of the band's number and its registers."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("registers", i * ROWS + 1, F.lit(ROWS)))
+    return reps.select("rep", F.col("n_shingles").cast("int").alias("size"), F.posexplode(parts).alias("band", "part")).select("rep", "size", F.xxhash64("band", "part").alias("bucket"))
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives whose full sets are at least ``percent`` alike."""
+def _near_sizes(a: str, b: str, percent: int):
+    """Sets whose sizes differ more than this cannot be alike enough."""
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+
+
+def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame | None, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of representatives whose full sets are at least ``percent`` alike, and the sets read so far."""
     least = percent / 100
     side = reps.select("rep", "n_shingles", "registers")
     both = pairs.join(side.toDF("a", "n_a", "r_a"), "a").join(side.toDF("b", "n_b", "r_b"), "b")
@@ -143,7 +151,10 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
                 yield batch.filter(pa.array(ok)).select(["a", "b"])
 
     candidates = stored(both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(likely, "a long, b long"), "near-candidates")
-    needed = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "id", "print"), "rep").select("rep", "id", "print")
+    needed = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    if known is not None:
+        needed = needed.join(known.select("rep"), "rep", "left_anti")
+    needed = needed.join(reps.select("rep", "id", "print"), "rep").select("rep", "id", "print")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +164,8 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
             yield out.filter(pa.array(ok, pa.bool_()))
 
     full = docs.join(needed, "id").select("rep", "print", "text").mapInArrow(sets, "rep long, shingles binary")
-    full = stored(full.groupBy("rep").agg(F.first("shingles").alias("shingles")), "near-sets")
+    full = stored(full.dropDuplicates(["rep"]), "near-sets")
+    full = full if known is None else known.unionByName(full)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +177,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     checked = candidates.join(full.toDF("a", "s_a"), "a").join(full.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
-    return stored(checked.mapInArrow(exact, "a long, b long"), "near-links")
+    return stored(checked.mapInArrow(exact, "a long, b long"), "near-links"), full
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,53 +206,54 @@ def _connected(reps: DataFrame, links: DataFrame) -> DataFrame:
     return stored(components(reps, links), "connected")
 
 
-def _small_pairs(meet: DataFrame) -> DataFrame:
+def _small_pairs(meet: DataFrame, percent: int) -> DataFrame:
     small = meet.where(F.col("n") <= SMALL_BUCKET)
-    left, right = small.select("bucket", F.col("rep").alias("a")), small.select("bucket", F.col("rep").alias("b"))
-    return left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b"))).select("a", "b")
+    left, right = (small.select("bucket", F.col("rep").alias(x), F.col("size").alias(f"n_{x}")) for x in "ab")
+    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & _near_sizes("n_a", "n_b", percent)).select("a", "b")
 
 
 def _pivots(active: DataFrame, turn: int) -> DataFrame:
-    """(bucket, pivot): a few members of each bucket, drawn by hash."""
-    drawn = active.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn * PIVOTS + k)).alias("h"), "rep")).alias(f"p{k}") for k in range(PIVOTS)])
-    return drawn.select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.rep") for k in range(PIVOTS)]))).alias("pivot"))
-
-
-def _cross_pairs(active: DataFrame, open_buckets: DataFrame) -> DataFrame:
-    """Pairs of members with different labels, in buckets where one label holds nearly all members."""
-    rows = active.join(open_buckets.select("bucket", "main"), "bucket")
-    rest = rows.where("label != main").select("bucket", F.col("rep").alias("a"), F.col("label").alias("x"))
-    other = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("y"), "main")
-    pairs = rest.join(other, "bucket").where((F.col("x") != F.col("y")) & ((F.col("y") == F.col("main")) | (F.col("a") < F.col("b"))))
+    """(bucket, pivot, pivot_size): a few members of each bucket, drawn by hash."""
+    many = min(MOST_PIVOTS, PIVOTS * 4**turn)
+    drawn = active.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn * MOST_PIVOTS + k)).alias("h"), "rep", "size")).alias(f"p{k}") for k in range(many)])
+    each = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.rep").alias("pivot"), F.col(f"p{k}.size").alias("pivot_size")) for k in range(many)])))
+    return drawn.select("bucket", each.alias("p")).select("bucket", "p.*")
+
+
+def _cross_pairs(active: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members with different labels: those outside a bucket's main label against all others."""
+    rows = active.join(buckets.select("bucket", "main"), "bucket")
+    rest = rows.where("label != main").select("bucket", F.col("rep").alias("a"), F.col("label").alias("x"), F.col("size").alias("n_a"))
+    other = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("y"), F.col("size").alias("n_b"), "main")
+    once = (F.col("y") == F.col("main")) | (F.col("a") < F.col("b"))
+    pairs = rest.join(other, "bucket").where((F.col("x") != F.col("y")) & once & _near_sizes("n_a", "n_b", percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links that connect whatever any shared band and full verification would connect."""
+    """Verified links that connect whatever comparing all members of every bucket would connect."""
     bands = stored(_band_rows(reps), "bands")
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     meet = stored(bands.join(sizes, "bucket"), "buckets")
-    active = meet.where(F.col("n") > SMALL_BUCKET).select("bucket", "rep", F.col("rep").alias("label"))
-    pairs, links, turn = _small_pairs(meet), None, 0
+    active = meet.where(F.col("n") > SMALL_BUCKET).select("bucket", "rep", "size")
+    pairs, links, known, turn = _small_pairs(meet, percent), None, None, 0
     while True:
-        if not active.isEmpty():
+        more = not active.isEmpty()
+        if more:
             pivots = stored(_pivots(active, turn), "pivots")
-            hub = active.join(pivots, "bucket").where("rep != pivot")
+            hub = active.join(pivots, "bucket").where((F.col("rep") != F.col("pivot")) & _near_sizes("size", "pivot_size", percent))
             pairs = pairs.unionByName(hub.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
             active = active.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        found = _verify(pairs.distinct(), reps, docs, width, percent)
+        found, known = _verify(pairs.distinct(), reps, docs, known, width, percent)
         links = found if links is None else links.unionByName(found)
-        if active.isEmpty():
+        if not more:
             return links
-        labels = _connected(reps, links)
-        active = active.drop("label").join(labels, "rep")
-        by_label = active.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-        state = by_label.groupBy("bucket").agg(
+        active = stored(active.join(_connected(reps, links), "rep"), "active")
+        state = active.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(
             F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
-        state = stored(state.where("labels > 1").withColumn("cross", (F.col("n") * F.col("n") - F.col("squares")) / 2), "bucket-state")
-        near = F.col("cross") <= 2 * SMALL_BUCKET * F.col("n")  # few pairs a member are left: compare them all
-        pairs = _cross_pairs(active, state.where(near))
-        active = stored(active.join(state.where(~near).select("bucket"), "bucket", "left_semi").select("bucket", "rep", "label"), "active")
+        state = stored(state.where("labels > 1").withColumn("near", (F.col("n") * F.col("n") - F.col("squares")) / 2 <= LEFT_PAIRS * F.col("n")), "bucket-state")
+        pairs = _cross_pairs(active, state.where("near"), percent)
+        active = active.join(state.where("not near").select("bucket"), "bucket", "left_semi").select("bucket", "rep", "size")
         turn += 1
 
 
