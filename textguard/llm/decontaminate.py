@@ -4,9 +4,8 @@ Item sets are distinct five-word shingles (an item of fewer words is one shingle
 An item of q shingles counts as contained if a document has at least ceil(0.8 q) of them. Items are
 partitioned by set size: the size fixes how many shingles may be missing, and with it the length of
 the item's MinHash sketch, q - ceil(0.8 q) + 1 smallest hashes. A document that contains the item
-cannot miss all of them, so a hit on the sketch is a necessary condition and no leak is lost. Size
-classes that need more shingles than a document has are not searched. Candidates are then verified on
-the shingles themselves, not on hashes.
+cannot miss all of them, so a hit on the sketch is a necessary condition and no leak is lost, however long
+the document. Candidates are then verified on the shingles themselves, not on hashes.
 
 Documents stream through a hash join with the sketches, which Spark broadcasts while the stored sketch
 table is under its broadcast threshold and shuffles (with skew splitting) beyond it. Only documents with
@@ -34,7 +33,7 @@ def _shingle_rows(df: DataFrame, width: int, *keep: str) -> DataFrame:
 
 
 def item_shingles(items: DataFrame, item_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """item, shingle, width, q, need, size_class, sketch (is it one of the item's smallest hashes?)."""
+    """item, shingle, width, q, need, sketch (is it one of the item's smallest hashes?)."""
     w = items.select(F.col(item_col).alias("item"), words(ascii_lower(F.col(text_col))).alias("w")).where(F.size("w") > 0)
     sets = None
     for width in range(1, n + 1):
@@ -44,23 +43,21 @@ def item_shingles(items: DataFrame, item_col: str, text_col: str, n: int, percen
     grouped = sets.distinct().groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("shingle").alias("h"), "shingle", "width"))).alias("all"))
     q = F.size("all")
     need = F.ceil(q * percent / F.lit(100.0) - 1e-9).cast("int")
-    sized = grouped.select("item", "all", q.alias("q"), need.alias("need"), F.floor(F.log2(q)).cast("int").alias("size_class"))
-    return sized.select("item", "q", "need", "size_class", F.posexplode("all").alias("place", "s")).select(
-        "item", "q", "need", "size_class", "s.h", "s.shingle", "s.width", (F.col("place") <= F.col("q") - F.col("need")).alias("sketch"))
+    sized = grouped.select("item", "all", q.alias("q"), need.alias("need"))
+    return sized.select("item", "q", "need", F.posexplode("all").alias("place", "s")).select(
+        "item", "q", "need", "s.h", "s.shingle", "s.width", (F.col("place") <= F.col("q") - F.col("need")).alias("sketch"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
                     item_text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per (document, item) leak: doc id, item id, n_item, n_shared (distinct shingles)."""
     index = stored(item_shingles(items, item_col, item_text_col, n, percent), "item-shingles")
-    shapes = index.groupBy("width").agg(F.min("need").alias("need")).collect()  # n rows at most
+    widths = sorted(r["width"] for r in index.select("width").distinct().collect())  # n rows at most
     texts = docs.select(F.col(doc_col).alias("doc"), words(ascii_lower(F.col(text_col))).alias("w"))
-    sketches = index.where("sketch").select("h", "item", "need")
+    sketches = index.where("sketch").select("h", "item")
     hits = None
-    for shape in shapes:
-        enough = texts.where(F.size("w") >= shape["need"] + shape["width"] - 1).withColumn("n_own", F.size("w") - (shape["width"] - 1))
-        rows = _shingle_rows(enough, shape["width"], "doc", "n_own").select("doc", "n_own", F.xxhash64("shingle").alias("h"))
-        found = rows.join(sketches, (rows["h"] == sketches["h"]) & (rows["n_own"] >= sketches["need"])).select("doc", "item")
+    for width in widths:
+        found = _shingle_rows(texts, width, "doc").select("doc", F.xxhash64("shingle").alias("h")).join(sketches, "h").select("doc", "item")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:  # no item has a word
         schema = T.StructType([T.StructField(doc_col, docs.schema[doc_col].dataType), T.StructField(item_col, items.schema[item_col].dataType),
@@ -69,8 +66,8 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     candidates = stored(hits.distinct(), "leak-candidates")
     again = texts.join(candidates.select("doc").distinct().withColumnRenamed("doc", "c"), F.col("doc").eqNullSafe(F.col("c")), "left_semi")
     shingles = None
-    for shape in shapes:
-        rows = _shingle_rows(again, shape["width"], "doc")
+    for width in widths:
+        rows = _shingle_rows(again, width, "doc")
         shingles = rows if shingles is None else shingles.unionByName(rows)
     full = index.select(F.col("item").alias("i"), "shingle", "q", "need")
     shared = shingles.join(full, "shingle").select("doc", "i", "q", "need", "shingle").distinct()

@@ -43,7 +43,7 @@ WORDS = CLASSES * CLASS_SIZE
 START = WORDS + REST
 END = b""
 SPAN, BACK = 32, 20
-STREAMS = 16
+STREAMS, PART = 16, 256
 LEAST_TOKENS, TRAINER_TOKENS = 300_000, 300_000
 #: A word beyond this many bytes is never in the table of frequent words, which bounds that table.
 WORD_BYTES = 48
@@ -104,39 +104,48 @@ class Network:
         return out
 
     def train(self, documents: list[np.ndarray], rate: float) -> None:
-        """One pass over the documents, dealt to parallel streams; gradients reach back BACK steps."""
+        """One pass over the documents, dealt to parallel streams; gradients reach back BACK steps.
+
+        A long document is dealt in parts, each from a zero state, lest its end be all that is learnt last.
+        """
         if not documents:
             return
+        parts = [(d, a) for d in documents for a in range(0, len(d), PART)]
         load, streams = np.zeros(STREAMS, np.int64), [[] for _ in range(STREAMS)]
-        for d in documents:
+        for j in np.random.default_rng(len(parts)).permutation(len(parts)):
+            d, a = parts[j]
             k = int(load.argmin())
-            streams[k].append(d)
-            load[k] += len(d)
+            streams[k].append((d, a))
+            load[k] += min(PART, len(d) - a)
         length = int(load.max())
         inputs, targets = np.full((STREAMS, length), START, np.int32), np.full((STREAMS, length), -1, np.int32)
-        for k, ds in enumerate(streams):
+        fresh = np.zeros((STREAMS, length), bool)
+        for k, ps in enumerate(streams):
             at = 0
-            for d in ds:
-                targets[k, at : at + len(d)] = d
-                inputs[k, at + 1 : at + len(d)] = d[:-1]
-                at += len(d)
+            for d, a in ps:
+                n = min(PART, len(d) - a)
+                targets[k, at : at + n] = d[a : a + n]
+                inputs[k, at + 1 : at + n] = d[a : a + n - 1]
+                inputs[k, at] = d[a - 1] if a else START
+                fresh[k, at] = True
+                at += n
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
         h, turn = np.zeros((STREAMS, H), np.float32), 0
         for t0 in range(0, length, BACK):
-            x, y = inputs[:, t0 : t0 + BACK], targets[:, t0 : t0 + BACK]
+            x, y, new = inputs[:, t0 : t0 + BACK], targets[:, t0 : t0 + BACK], fresh[:, t0 : t0 + BACK]
             turn += 1
-            g, h = self._gradients(x, y, h)
+            g, h = self._gradients(x, y, new, h)
             for k, v in self.w.items():
                 m[k] += 0.1 * (g[k] - m[k])
                 s[k] += 0.01 * (g[k] * g[k] - s[k])
                 v -= rate * (m[k] / (1 - 0.9**turn)) / (np.sqrt(s[k] / (1 - 0.99**turn)) + 1e-6)
 
-    def _gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
+    def _gradients(self, x: np.ndarray, y: np.ndarray, new: np.ndarray, h: np.ndarray):
         span, past = x.shape[1], []
         states = np.empty((span, len(h), H), np.float32)
         for t in range(span):
-            h0 = np.where((x[:, t] == START)[:, None], np.float32(0), h)
+            h0 = np.where(new[:, t, None], np.float32(0), h)
             h, z, r, c = self.step(x[:, t], h0)
             past.append((h0, z, r, c))
             states[t] = h
@@ -177,7 +186,7 @@ class Network:
             g["zr"] += h0.T @ dzr
             g["c"] += (r * h0).T @ dc
             dh = dh * (1 - z) + drh * r + dzr @ self.w["zr"].T
-            dh[x[:, t] == START] = 0
+            dh[new[:, t]] = 0
         return {k: np.clip(v, -1, 1) for k, v in g.items()}, h
 
     def document_scores(self, documents: list[np.ndarray]) -> np.ndarray:
