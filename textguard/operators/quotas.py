@@ -4,28 +4,35 @@ Both rules are sequential per key: whether a call is admitted depends on the cal
 admitted before it, and rejected calls are not logged. (A windowed ``count(*)`` over all
 calls would also count rejected ones and over-reject.)
 
-Batch plan: range-partition by (key, ts, id) - which splits a hot key's timeline over
-many tasks - sort inside partitions and stream each partition through a fold whose state
-is only the admitted timestamps still inside the window (at most ``limit`` entries, one
-key at a time). A key continuing from the previous partition starts from that
-partition's exit state; exit states are iterated to a fixed point, which makes every
-decision exact. No key is ever collected into memory or into one task. The streaming
-form (``streaming.pipelines``) keeps the same state per key across micro-batches.
+Batch plan. Calls are range-partitioned by (key, ts, id), which splits a hot key's timeline,
+and written to the shared folder with the partition's number as a column. Every part is
+folded on its own, from an empty state; a fold holds only the admitted calls still inside the
+window. A key that goes on from one part into the next needs the exit state of the earlier
+part. Parts whose carry-in differs from the exit state before them are folded again, and only
+those: all of them at first, as states mostly converge (a quiet window empties them); then,
+from the first part of each chain that is not settled, ``CHAIN`` parts in a row per task. A key that is
+saturated throughout is sequential by its rule, so its chain takes one task after another,
+but no part is folded more than a fixed number of times, and no number of rounds is set.
+Only part numbers and hashes of keys and states reach the driver; states stay in files.
 """
 
 from __future__ import annotations
 
-import json
-from collections import deque
+import os
+import uuid
+from collections import Counter, deque
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from textguard.session import cut_lineage
+from textguard import errors as E
+from textguard.session import checkpoint_dir
 
 RATE_LIMIT_CALLS = 120
 RATE_LIMIT_WINDOW_S = 60
@@ -35,30 +42,46 @@ SESSION_TTL_S = 3600
 MAX_VAULT_BYTES = 100 * 1024 * 1024
 
 
+#: Outcomes of a call, in the order in which the rules are applied.
+ACCEPTED, TOO_LARGE, OWNER_FULL, FULL = 0, 1, 2, 3
+#: Parts of an unsettled chain that one task folds in a row, and rounds in which all unsettled parts are tried.
+CHAIN, EAGER_ROUNDS = 32, 3
+
+
 def admit_sequence(ts_us: np.ndarray, limit: int, window_us: int, keep_equal_age: bool,
-                   sizes: np.ndarray | None = None, max_bytes: int | None = None,
-                   state: deque | None = None) -> tuple[np.ndarray, deque]:
-    """Fold over one key's calls in order. Returns (admitted flags, state).
+                   sizes: np.ndarray | None = None, max_bytes: int | None = None, state: deque | None = None,
+                   owners: Sequence | None = None, owner_limit: int | None = None) -> tuple[np.ndarray, deque]:
+    """Fold over one key's calls in order. Returns (outcome per call, state).
 
     ``keep_equal_age=False`` (rate limit): an entry of age exactly ``window`` has left.
-    ``keep_equal_age=True`` (session TTL): it is still live.
-    ``state`` holds (ts, size) of admitted entries, oldest first.
+    ``keep_equal_age=True`` (session TTL): it is still live. The size of a call alone is
+    checked first, then its owner's live calls, then all live calls and bytes.
+    ``state`` holds (ts, size, owner) of admitted entries, oldest first.
     """
     log: deque = state if state is not None else deque()
-    live_bytes = sum(s for _, s in log)
-    out = np.zeros(len(ts_us), dtype=bool)
+    live_bytes = sum(e[1] for e in log)
+    held = Counter(e[2] for e in log) if owner_limit is not None else None
+    out = np.zeros(len(ts_us), dtype=np.int8)
     for i, t in enumerate(ts_us):
         t = int(t)
         while log and ((t - log[0][0] > window_us) if keep_equal_age else (log[0][0] <= t - window_us)):
-            live_bytes -= log.popleft()[1]
+            gone = log.popleft()
+            live_bytes -= gone[1]
+            if held is not None:
+                held[gone[2]] -= 1
         size = int(sizes[i]) if sizes is not None else 0
-        ok = len(log) < limit
-        if ok and max_bytes is not None:
-            ok = size <= max_bytes and live_bytes + size <= max_bytes
-        if ok:
-            log.append((t, size))
+        owner = owners[i] if owners is not None else None
+        if max_bytes is not None and size > max_bytes:
+            out[i] = TOO_LARGE
+        elif held is not None and held[owner] >= owner_limit:
+            out[i] = OWNER_FULL
+        elif len(log) >= limit or (max_bytes is not None and live_bytes + size > max_bytes):
+            out[i] = FULL
+        else:
+            log.append((t, size, owner))
             live_bytes += size
-            out[i] = True
+            if held is not None:
+                held[owner] += 1
     return out, log
 
 
@@ -73,69 +96,64 @@ def epoch_micros(df: DataFrame, col: str):
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def _key_json(values) -> str:
-    return json.dumps([v.item() if hasattr(v, "item") else v for v in values], default=str)
+#: Columns beside the caller's: of a call, and of the one row per part that sums it up (kind 0).
+_CALL = "_tg_kind int, _tg_key string, _tg_us long, _tg_size long, _tg_owner string, _tg_outcome int"
+_PART = "first string, last string, carry string, exit string, c_t array<long>, c_s array<long>, c_o array<string>"
+_STATE = ("c_t", "c_s", "c_o")
+
 
+def _hash(x) -> str:
+    """Names a key or a state; the empty state has the empty name."""
+    return md5(repr(x).encode()).hexdigest() if x else ""
 
-def _partition_fold(key_cols, limit, window_us, keep_equal_age, size_col, max_bytes, carry, emit):
-    """Fold one range partition (rows sorted by key, ts, id).
 
-    ``carry`` maps partition id -> (key json, [(ts, size), ...]): the admitted entries a
-    key already holds when it continues from the previous partition. With ``emit`` the
-    rows come back with ``accepted``; otherwise one summary row per partition (first key,
-    last key, exit state of the last key) is produced.
+def _fold_parts(limit, window_us, keep_equal_age, max_bytes, owner_limit, schema: pa.Schema):
+    """Fold calls sorted by (_tg_grp, _tg_part, _tg_kind, key, time, id); a row of kind 0 is a group's carry-in.
+
+    The state goes on from part to part within a group while the key stays the same. Calls come
+    back with their outcome, and each part with one row of kind 0 that holds its exit state.
     """
     def run(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        ck = carry.get(pid)
-        cur, first, state = None, None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = ([_key_json(k) for k in zip(*[pdf[c].to_numpy() for c in key_cols])]
-                    if key_cols else ["[]"] * len(pdf))
-            ts = pdf["_tg_us"].to_numpy()
-            sizes = pdf[size_col].to_numpy() if size_col else None
-            flags = np.zeros(len(pdf), dtype=bool)
-            start = 0
-            for i in range(1, len(pdf) + 1):
-                if i == len(pdf) or keys[i] != keys[start]:
-                    k = keys[start]
-                    if k != cur:
-                        cur = k
-                        if first is None:
-                            first = k
-                            state = deque(ck[1]) if ck is not None and ck[0] == k else None
-                        else:
-                            state = None
-                    f, state = admit_sequence(ts[start:i], limit, window_us, keep_equal_age,
-                                              None if sizes is None else sizes[start:i], max_bytes, state)
-                    flags[start:i] = f
-                    start = i
-            if emit:
-                yield pdf.drop(columns=["_tg_us"]).assign(accepted=flags)
-        if not emit and first is not None:
-            yield pd.DataFrame({"part": [pid], "first": [first], "last": [cur],
-                                "exit_t": [[int(t) for t, _ in state]], "exit_s": [[int(x) for _, x in state]]})
-    return run
+        grp = part = key = carried = None
+        first, carry, state = "", "", deque()
 
+        def build(n, known):
+            return pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
-_SUMMARY = T.StructType([
-    T.StructField("part", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType()),
-    T.StructField("exit_t", T.ArrayType(T.LongType())), T.StructField("exit_s", T.ArrayType(T.LongType())),
-])
+        def summary():
+            values = {"_tg_part": part, "_tg_kind": 0, "first": first, "last": _hash("k" + key), "carry": carry, "exit": _hash(list(state)),
+                      "c_t": [e[0] for e in state], "c_s": [e[1] for e in state], "c_o": [e[2] for e in state]}
+            return build(1, {k: pa.array([v], schema.field(k).type) for k, v in values.items()})
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {name: batch.column(name) for name in batch.schema.names}
+            outcome = np.zeros(batch.num_rows, dtype=np.int32)
+            groups, parts, kinds, ts, sizes = (col[c].to_numpy(zero_copy_only=False) for c in ("_tg_grp", "_tg_part", "_tg_kind", "_tg_us", "_tg_size"))
+            keys, owners = (np.array(col[c].to_pylist(), dtype=object) for c in ("_tg_key", "_tg_owner"))
+            cuts = np.flatnonzero((groups[1:] != groups[:-1]) | (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1]) | (keys[1:] != keys[:-1])) + 1
+            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [batch.num_rows]])):
+                if kinds[a] == 0:
+                    carried = (groups[a], deque(zip(*(col[c][int(a)].as_py() for c in _STATE))))
+                    continue
+                if part is not None and parts[a] != part:
+                    yield summary()
+                fresh = parts[a] != part
+                if groups[a] != grp:
+                    state = carried[1] if carried and carried[0] == groups[a] else deque()
+                elif keys[a] != key:
+                    state = deque()
+                if fresh:
+                    first, carry = _hash("k" + keys[a]), _hash(list(state))
+                grp, part, key = groups[a], parts[a], keys[a]
+                outcome[a:b], state = admit_sequence(ts[a:b], limit, window_us, keep_equal_age, sizes[a:b], max_bytes, state, owners[a:b], owner_limit)
+            calls = build(batch.num_rows, {**{f.name: col[f.name] for f in schema if f.name in col and f.name not in _STATE}, "_tg_outcome": pa.array(outcome)})
+            yield calls.filter(pa.array(kinds == 1))
+        if part is not None:
+            yield summary()
 
-def _carry_from(summaries) -> dict:
-    """Carry-in per partition: the exit state of the previous non-empty partition when it
-    ends with the key this partition starts with."""
-    carry, prev = {}, None
-    for row in sorted(summaries, key=lambda r: r["part"]):
-        if prev is not None and prev["last"] == row["first"]:
-            carry[row["part"]] = (row["first"], list(zip(prev["exit_t"], prev["exit_s"])))
-        prev = row
-    return carry
+    return run
 
 
 def sliding_admission(
@@ -149,45 +167,85 @@ def sliding_admission(
     keep_equal_age: bool,
     size_col: str | None = None,
     max_bytes: int | None = None,
+    owner_col: str | None = None,
+    owner_limit: int | None = None,
+    full_code: str = E.SESSION_CAPACITY,
     num_partitions: int | None = None,
-    max_rounds: int = 64,
 ) -> DataFrame:
-    """Adds ``accepted``: the exact sequential admission decision for every row.
-
-    Rows are range-partitioned by (key, ts, id), so a hot key's timeline is split over
-    many tasks, and checkpointed to the shared checkpoint folder (fixed partitions for
-    every round, lineage cut). Each partition folds its rows; a key that continues from
-    the previous partition starts from that partition's exit state (its carry-in). Exit
-    states are recomputed until they stop changing - a fixed point where every carry-in
-    is the true state, so every decision equals the sequential fold. Usually two summary
-    passes; only per-partition summaries (at most ``limit`` timestamps each) reach the driver.
+    """Adds ``accepted`` and ``error_code``: the exact sequential admission decision for every row.
+
+    ``error_code`` is null, ``resource_too_large`` or ``full_code``. The result is an ordinary table
+    over files in the shared folder: its rows do not depend on how the caller partitions it.
     """
-    key_cols = list(key_cols)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [*key_cols, "_tg_us", id_col]
-    staged = df.withColumn("_tg_us", epoch_micros(df, ts_col))
-    staged = cut_lineage(staged.repartitionByRange(n, *[F.col(c) for c in order]).sortWithinPartitions(*order))
-    window_us = int(round(window_seconds * 1_000_000))
-    args = (key_cols, limit, window_us, keep_equal_age, size_col, max_bytes)
-    carry: dict = {}
-    for _ in range(max_rounds):
-        summaries = [r.asDict() for r in staged.mapInPandas(_partition_fold(*args, carry, False), _SUMMARY).collect()]
-        nxt = _carry_from(summaries)
-        if nxt == carry:
+    base = os.path.join(checkpoint_dir(spark), f"admission-{uuid.uuid4().hex}")
+    key = F.to_json(F.struct(*[F.col(c) for c in key_cols])) if key_cols else F.lit("")
+    order = ["_tg_key", "_tg_us", id_col]
+    own = [f.name for f in df.schema.fields]
+    calls = df.select(
+        "*", F.lit(1).alias("_tg_kind"), key.alias("_tg_key"), epoch_micros(df, ts_col).alias("_tg_us"),
+        (F.col(size_col).cast("long") if size_col else F.lit(0).cast("long")).alias("_tg_size"),
+        (F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")).alias("_tg_owner"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields] + T.StructType.fromDDL(f"{_CALL}, {_PART}, _tg_part int").fields)
+    fold = _fold_parts(limit, int(round(window_seconds * 1_000_000)), keep_equal_age, max_bytes, owner_limit, to_arrow_schema(schema))
+
+    def rounds() -> DataFrame:
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField("round", T.IntegerType())])).parquet(base)
+
+    def write(rows: DataFrame, turn: int) -> None:
+        rows.mapInArrow(fold, schema).write.partitionBy("_tg_part").parquet(f"{base}/round={turn}")
+        for r in rounds().where((F.col("round") == turn) & (F.col("_tg_kind") == 0)).select("_tg_part", "first", "last", "carry", "exit").collect():
+            known[r["_tg_part"]] = {**r.asDict(), "round": turn}  # names of keys and states only
+
+    known: dict[int, dict] = {}
+    dealt = calls.repartitionByRange(n, *order).withColumn("_tg_part", F.spark_partition_id())
+    write(dealt.withColumn("_tg_grp", F.col("_tg_part")).sortWithinPartitions(*order), 0)
+    turn = 0
+    while True:
+        parts, bad = sorted(known), set()
+        carries: dict[int, int] = {}
+        for before, p in zip([None, *parts], parts):
+            goes_on = before is not None and known[before]["last"] == known[p]["first"]
+            if goes_on and known[before]["exit"]:
+                carries[p] = before
+            if known[p]["carry"] != (known[before]["exit"] if goes_on else ""):
+                bad.add(p)
+        if not bad:
             break
-        carry = nxt
-    else:
-        raise RuntimeError("admission carry-in did not reach a fixed point")
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("accepted", T.BooleanType(), False)])
-    return staged.mapInPandas(_partition_fold(*args, carry, True), schema)
+        turn += 1
+        groups = [(p, p) for p in sorted(bad)]
+        if turn > EAGER_ROUNDS:  # only from the first unsettled part of each chain, some parts in a row
+            groups, at = [], 0
+            while at < len(parts):
+                if parts[at] not in bad:
+                    at += 1
+                    continue
+                start, length = at, 0
+                while at < len(parts) and (at == start or known[parts[at - 1]]["last"] == known[parts[at]]["first"]):
+                    if length < CHAIN:
+                        groups.append((parts[at], parts[start]))
+                    length, at = length + 1, at + 1
+        again = spark.createDataFrame(groups, "_tg_part int, _tg_grp int")
+        rows = rounds().where((F.col("round") == 0) & F.col("_tg_part").isin([p for p, _ in groups]) & (F.col("_tg_kind") == 1))  # prunes folders
+        rows = rows.drop("round").join(F.broadcast(again), "_tg_part")  # a row per part
+        starts = [(known[carries[g]]["round"], carries[g], g) for g in sorted({g for _, g in groups}) if g in carries]
+        if starts:
+            exits = rounds().where("_tg_kind = 0").join(F.broadcast(spark.createDataFrame(starts, "round int, _tg_part int, _tg_grp int")), ["round", "_tg_part"])
+            rows = rows.unionByName(exits.drop("round").withColumn("_tg_part", F.lit(-1)))
+        write(rows.repartition("_tg_grp").sortWithinPartitions("_tg_grp", "_tg_part", "_tg_kind", *order), turn)
+    latest = spark.createDataFrame([(r["round"], p) for p, r in known.items()], "round int, _tg_part int")
+    outcome = F.col("_tg_outcome")
+    return rounds().where("_tg_kind = 1").join(F.broadcast(latest), ["round", "_tg_part"]).select(  # a row per part
+        *own, (outcome == ACCEPTED).alias("accepted"),
+        F.when(outcome == TOO_LARGE, E.RESOURCE_TOO_LARGE).when(outcome > TOO_LARGE, full_code).alias("error_code"))
 
 
 def rate_limit(df: DataFrame, principal_col: str, ts_col: str, id_col: str, *,
                max_calls: int = RATE_LIMIT_CALLS, window_seconds: float = RATE_LIMIT_WINDOW_S) -> DataFrame:
     """Per principal, drop log entries with t <= now - window; reject when ``max_calls`` remain."""
     return sliding_admission(df, [principal_col], ts_col, id_col, limit=max_calls,
-                             window_seconds=window_seconds, keep_equal_age=False)
+                             window_seconds=window_seconds, keep_equal_age=False, full_code=E.RATE_LIMIT_EXCEEDED)
 
 
 def session_quota(df: DataFrame, principal_col: str, ts_col: str, id_col: str, *,
@@ -205,8 +263,17 @@ def global_quota(df: DataFrame, ts_col: str, id_col: str, size_col: str, *,
                  max_bytes: int = MAX_VAULT_BYTES) -> DataFrame:
     """One vault-wide sequence: at most ``max_sessions`` live sessions and ``max_bytes`` live bytes.
 
-    The single global timeline is range-partitioned like any hot key, so it is folded in
-    parallel and stitched exactly through the carry-in fixed point.
+    The single global timeline is range-partitioned like any hot key, so its parts are folded in
+    parallel and joined through their carry-in states.
     """
     return sliding_admission(df, [], ts_col, id_col, limit=max_sessions, window_seconds=ttl_seconds,
                              keep_equal_age=True, size_col=size_col, max_bytes=max_bytes)
+
+
+def session_admission(df: DataFrame, principal_col: str, ts_col: str, id_col: str, size_col: str, *,
+                      max_per_principal: int = SESSIONS_PER_PRINCIPAL, max_sessions: int = MAX_SESSIONS,
+                      ttl_seconds: float = SESSION_TTL_S, max_bytes: int = MAX_VAULT_BYTES) -> DataFrame:
+    """T8 and T9 as one decision per create: its own size, then its principal's live sessions, then all
+    live sessions and bytes. A create that any rule rejects holds no session for the others."""
+    return sliding_admission(df, [], ts_col, id_col, limit=max_sessions, window_seconds=ttl_seconds, keep_equal_age=True,
+                             size_col=size_col, max_bytes=max_bytes, owner_col=principal_col, owner_limit=max_per_principal)

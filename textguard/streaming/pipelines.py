@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textguard.operators.masking import anonymize
-from textguard.operators.quotas import admit_sequence, epoch_micros
+from textguard.operators.quotas import ACCEPTED, admit_sequence, epoch_micros
 from textguard.session import checkpoint_dir
 
 
@@ -49,11 +49,11 @@ def admission_state(stream: DataFrame, key_col: str, ts_col: str, id_col: str, *
     state_schema = T.StructType([T.StructField("log", T.ArrayType(T.LongType()))])
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = deque((int(t), 0) for t in (state.get[0] if state.exists else []))
+        log = deque((int(t), 0, None) for t in (state.get[0] if state.exists else []))
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_tg_us", id_col], kind="stable")
         flags, log = admit_sequence(pdf["_tg_us"].to_numpy(np.int64), limit, window_us, keep_equal_age, state=log)
-        state.update(([t for t, _ in log],))
-        yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key_col: pdf[key_col].to_numpy(), "accepted": flags})
+        state.update(([e[0] for e in log],))
+        yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key_col: pdf[key_col].to_numpy(), "accepted": flags == ACCEPTED})
 
     return staged.groupBy(key_col).applyInPandasWithState(
         fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
