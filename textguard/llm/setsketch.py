@@ -7,9 +7,11 @@ registers agree the more often the more alike the sets are, so bands of register
 
 1. Documents with equal sets form one class; only class representatives go on (a group of copies of any size
    costs one partial count per task).
-2. Representatives that share a band meet in a bucket. Small buckets compare all members. In large ones a few
-   pivots are compared with all members and leave; what stays is compared only where it is not yet connected,
-   until every bucket is one component or empty. So groups of near copies cost a few rows per member.
+2. Representatives that share a band meet in a bucket. Small buckets compare all members. Members of large
+   ones count how many of their shingles any other such member has; who cannot reach the similarity with
+   that many shared shingles leaves. Then the member that meets most others and a few more pivots are compared
+   with all members; what stays is compared only where it is not yet connected, until every bucket is one
+   component or empty. So groups of near copies cost a few rows per member.
 3. A pair's Jaccard similarity is estimated by maximum likelihood from its registers and exact set sizes; pairs
    that 0.8 is out of reach for are dropped.
 4. The rest is verified on the full sets, and the verified links give components.
@@ -137,7 +139,34 @@ def _near_sizes(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame | None, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """rep, shingles (the full set, sorted) of the wanted representatives, read from their texts."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+            ok = [_print(s) == p for s, p in zip(found, batch.column("print").to_pylist())]  # an id may have several texts
+            out = pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "shingles"])
+            yield out.filter(pa.array(ok, pa.bool_()))
+
+    named = wanted.join(reps.select("rep", "id", "print"), "rep")
+    full = docs.join(named, "id").select("rep", "print", "text").mapInArrow(sets, "rep long, shingles binary")
+    return stored(full.dropDuplicates(["rep"]), "near-sets")
+
+
+def _most_shared(sets: DataFrame) -> DataFrame:
+    """rep, most: how many shingles of a set any other of the sets has; a bound on what it shares with one of them."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, own in zip(batch.column("rep").to_pylist(), batch.column("shingles").to_pylist()):
+                own = np.frombuffer(own, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep)), pa.array(own)], names=["rep", "shingle"])
+
+    shared = sets.select("rep", "shingles").mapInArrow(rows, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    alone = shared.where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    return sets.select("rep", (F.length("shingles") / 8).cast("int").alias("size")).join(alone, "rep", "left").select("rep", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
+def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of representatives whose full sets are at least ``percent`` alike, and the sets read so far."""
     least = percent / 100
     side = reps.select("rep", "n_shingles", "registers")
@@ -151,21 +180,8 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame
                 yield batch.filter(pa.array(ok)).select(["a", "b"])
 
     candidates = stored(both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(likely, "a long, b long"), "near-candidates")
-    needed = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    if known is not None:
-        needed = needed.join(known.select("rep"), "rep", "left_anti")
-    needed = needed.join(reps.select("rep", "id", "print"), "rep").select("rep", "id", "print")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            ok = [_print(s) == p for s, p in zip(found, batch.column("print").to_pylist())]  # an id may have several texts
-            out = pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "shingles"])
-            yield out.filter(pa.array(ok, pa.bool_()))
-
-    full = docs.join(needed, "id").select("rep", "print", "text").mapInArrow(sets, "rep long, shingles binary")
-    full = stored(full.dropDuplicates(["rep"]), "near-sets")
-    full = full if known is None else known.unionByName(full)
+    needed = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))).distinct()
+    full = known.unionByName(_sets(needed.join(known.select("rep"), "rep", "left_anti"), reps, docs, width))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,21 +228,35 @@ def _small_pairs(meet: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "bucket").where((F.col("a") < F.col("b")) & _near_sizes("n_a", "n_b", percent)).select("a", "b")
 
 
+def _reachable(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows whose set can be alike enough to a member of its bucket, whichever: their shared shingles suffice
+    beside the smallest set of the bucket."""
+    least = rows.groupBy("bucket").agg(F.min("size").alias("least"))
+    return rows.join(least, "bucket").where((100 + percent) * F.col("most") >= percent * (F.col("size") + F.col("least"))).drop("least")
+
+
 def _pivots(active: DataFrame, turn: int) -> DataFrame:
-    """(bucket, pivot, pivot_size): a few members of each bucket, drawn by hash."""
+    """(bucket, pivot, pivot_size, pivot_most): the member that meets most others, and a few drawn by hash."""
     many = min(MOST_PIVOTS, PIVOTS * 4**turn)
-    drawn = active.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn * MOST_PIVOTS + k)).alias("h"), "rep", "size")).alias(f"p{k}") for k in range(many)])
-    each = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.rep").alias("pivot"), F.col(f"p{k}.size").alias("pivot_size")) for k in range(many)])))
-    return drawn.select("bucket", each.alias("p")).select("bucket", "p.*")
+    member = [F.col("rep").alias("pivot"), F.col("size").alias("pivot_size"), F.col("most").alias("pivot_most")]
+    drawn = [F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn * MOST_PIVOTS + k)).alias("h"), F.struct(*member).alias("m"))) for k in range(many - 1)]
+    drawn.append(F.max(F.struct("weight", F.struct(*member).alias("m"))))
+    rows = active.groupBy("bucket").agg(*[d.alias(f"p{k}") for k, d in enumerate(drawn)])
+    return rows.select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.m") for k in range(many)]))).alias("p")).select("bucket", "p.*")
+
+
+def _alike(a: str, b: str, percent: int):
+    """Can two sets be alike enough, by their sizes (``a``, ``b``) and most shared shingles (``a_most``, ``b_most``)?"""
+    return _near_sizes(a, b, percent) & ((100 + percent) * F.least(f"{a}_most", f"{b}_most") >= percent * (F.col(a) + F.col(b)))
 
 
 def _cross_pairs(active: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     """Pairs of members with different labels: those outside a bucket's main label against all others."""
     rows = active.join(buckets.select("bucket", "main"), "bucket")
-    rest = rows.where("label != main").select("bucket", F.col("rep").alias("a"), F.col("label").alias("x"), F.col("size").alias("n_a"))
-    other = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("y"), F.col("size").alias("n_b"), "main")
+    rest = rows.where("label != main").select("bucket", F.col("rep").alias("a"), F.col("label").alias("x"), F.col("size").alias("n"), F.col("most").alias("n_most"))
+    other = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("y"), F.col("size").alias("m"), F.col("most").alias("m_most"), "main")
     once = (F.col("y") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = rest.join(other, "bucket").where((F.col("x") != F.col("y")) & once & _near_sizes("n_a", "n_b", percent))
+    pairs = rest.join(other, "bucket").where((F.col("x") != F.col("y")) & once & _alike("n", "m", percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -235,13 +265,18 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     bands = stored(_band_rows(reps), "bands")
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     meet = stored(bands.join(sizes, "bucket"), "buckets")
-    active = meet.where(F.col("n") > SMALL_BUCKET).select("bucket", "rep", "size")
-    pairs, links, known, turn = _small_pairs(meet, percent), None, None, 0
+    pairs, links, turn = _small_pairs(meet, percent), None, 0
+    large = meet.where(F.col("n") > SMALL_BUCKET)
+    members = large.groupBy("rep").agg(F.sum("n").alias("weight"))
+    known = _sets(members.select("rep"), reps, docs, width)
+    members = stored(members.join(_most_shared(known), "rep"), "members")
+    active = stored(_reachable(large.join(members, "rep"), percent).select("bucket", "rep", "size", "most", "weight"), "active")
     while True:
         more = not active.isEmpty()
         if more:
             pivots = stored(_pivots(active, turn), "pivots")
-            hub = active.join(pivots, "bucket").where((F.col("rep") != F.col("pivot")) & _near_sizes("size", "pivot_size", percent))
+            hub = active.withColumnRenamed("most", "size_most").join(pivots.withColumnRenamed("pivot_most", "pivot_size_most"), "bucket")
+            hub = hub.where((F.col("rep") != F.col("pivot")) & _alike("size", "pivot_size", percent))
             pairs = pairs.unionByName(hub.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
             active = active.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
         found, known = _verify(pairs.distinct(), reps, docs, known, width, percent)
@@ -253,7 +288,7 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
             F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
         state = stored(state.where("labels > 1").withColumn("near", (F.col("n") * F.col("n") - F.col("squares")) / 2 <= LEFT_PAIRS * F.col("n")), "bucket-state")
         pairs = _cross_pairs(active, state.where("near"), percent)
-        active = active.join(state.where("not near").select("bucket"), "bucket", "left_semi").select("bucket", "rep", "size")
+        active = active.join(state.where("not near").select("bucket"), "bucket", "left_semi").drop("label")
         turn += 1
 
 
