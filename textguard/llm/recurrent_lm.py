@@ -26,6 +26,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from math import ceil, log, log10
 from zlib import crc32
 
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, fold_of, stored
 from .ngrams import lower_tokens
+from .resample import kth_largest
 
 H = 16
 CLASSES, CLASS_SIZE, REST = 64, 64, 64
@@ -43,7 +45,7 @@ WORDS = CLASSES * CLASS_SIZE
 START = WORDS + REST
 END = b""
 SPAN, BACK = 32, 20
-STREAMS, PART = 16, 256
+STREAMS, PART, CHUNK = 32, 256, 8192
 LEAST_TOKENS, TRAINER_TOKENS = 300_000, 300_000
 #: A word beyond this many bytes is never in the table of frequent words, which bounds that table.
 WORD_BYTES = 48
@@ -91,16 +93,21 @@ class Network:
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of class and, for frequent words, word in class."""
-        group = np.where(target < WORDS, target // CLASS_SIZE, target - WORDS + CLASSES)
-        logits = h @ self.w["k"] + self.w["kb"]
-        out = logits[np.arange(len(h)), group] - np.log(np.exp(logits).sum(axis=1))
+        group = np.where(target < WORDS, target // CLASS_SIZE, target - WORDS + CLASSES).astype(np.uint8)
+        one = np.ones((len(h), 1), h.dtype)
+        h = np.concatenate([h, one], axis=1)  # so that the products hold the biases
+        logits = h @ np.concatenate([self.w["k"], self.w["kb"][None]])
+        out = logits[np.arange(len(h)), group]
+        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
         order = np.argsort(group, kind="stable")
         bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        v = np.concatenate([self.w["v"], self.w["vb"][:, None]], axis=1)
         for g in range(CLASSES):
             at = order[bounds[g] : bounds[g + 1]]
             if len(at):
-                logits = h[at] @ self.w["v"][g] + self.w["vb"][g]
-                out[at] += logits[np.arange(len(at)), target[at] - g * CLASS_SIZE] - np.log(np.exp(logits).sum(axis=1))
+                logits = h[at] @ v[g]
+                own = logits[np.arange(len(at)), target[at] - g * CLASS_SIZE]
+                out[at] += own - np.log(np.exp(logits, out=logits).sum(axis=1))
         return out
 
     def train(self, documents: list[np.ndarray], rate: float) -> None:
@@ -131,15 +138,15 @@ class Network:
                 at += n
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        h, turn = np.zeros((STREAMS, H), np.float32), 0
-        for t0 in range(0, length, BACK):
+        h = np.zeros((STREAMS, H), np.float32)
+        for turn, t0 in enumerate(range(0, length, BACK), 1):
             x, y, new = inputs[:, t0 : t0 + BACK], targets[:, t0 : t0 + BACK], fresh[:, t0 : t0 + BACK]
-            turn += 1
             g, h = self._gradients(x, y, new, h)
-            for k, v in self.w.items():
-                m[k] += 0.1 * (g[k] - m[k])
-                s[k] += 0.01 * (g[k] * g[k] - s[k])
-                v -= rate * (m[k] / (1 - 0.9**turn)) / (np.sqrt(s[k] / (1 - 0.99**turn)) + 1e-6)
+            for k, v in self.w.items():  # of the large tables only the rows that this span has used
+                at, d = g[k]
+                m[k][at] += 0.1 * (d - m[k][at])
+                s[k][at] += 0.01 * (d * d - s[k][at])
+                v[at] -= rate * (m[k][at] / (1 - 0.9**turn)) / (np.sqrt(s[k][at] / (1 - 0.99**turn)) + 1e-6)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, new: np.ndarray, h: np.ndarray):
         span, past = x.shape[1], []
@@ -149,7 +156,10 @@ class Network:
             h, z, r, c = self.step(x[:, t], h0)
             past.append((h0, z, r, c))
             states[t] = h
-        g = {k: np.zeros_like(v) for k, v in self.w.items()}
+        g = {k: np.zeros_like(self.w[k]) for k in ("zr", "c", "b", "k", "kb")}
+        used, place = np.unique(x, return_inverse=True)
+        dx_rows, place = np.zeros((len(used), 3 * H), np.float32), place.reshape(x.shape)
+        groups, dv, dvb = np.zeros(0, int), np.zeros((0, H, CLASS_SIZE), np.float32), np.zeros((0, CLASS_SIZE), np.float32)
         target = y.T.reshape(-1)
         ok = np.flatnonzero(target >= 0)
         flat, dflat = states.reshape(-1, H), np.zeros((span * len(h), H), np.float32)
@@ -162,13 +172,15 @@ class Network:
             p *= scale
             g["k"], g["kb"] = hs.T @ p, p.sum(axis=0)
             d = p @ self.w["k"].T
-            for k in np.unique(group[group < CLASSES]):
+            groups = np.unique(group[group < CLASSES])
+            dv, dvb = np.zeros((len(groups), H, CLASS_SIZE), np.float32), np.zeros((len(groups), CLASS_SIZE), np.float32)
+            for j, k in enumerate(groups):
                 at = np.flatnonzero(group == k)
                 q = np.exp(hs[at] @ self.w["v"][k] + self.w["vb"][k])
                 q /= q.sum(axis=1, keepdims=True)
                 q[np.arange(len(at)), tg[at] - k * CLASS_SIZE] -= 1
                 q *= scale
-                g["v"][k], g["vb"][k] = hs[at].T @ q, q.sum(axis=0)
+                dv[j], dvb[j] = hs[at].T @ q, q.sum(axis=0)
                 d[at] += q @ self.w["v"][k].T
             dflat[ok] = d
         dstates, dh = dflat.reshape(span, -1, H), np.zeros_like(h)
@@ -181,13 +193,15 @@ class Network:
             dr = drh * h0 * r * (1 - r)
             dzr = np.concatenate([dz, dr], axis=1)
             dx = np.concatenate([dzr, dc], axis=1)
-            np.add.at(g["x"], x[:, t], dx)
+            np.add.at(dx_rows, place[:, t], dx)
             g["b"] += dx.sum(axis=0)
             g["zr"] += h0.T @ dzr
             g["c"] += (r * h0).T @ dc
             dh = dh * (1 - z) + drh * r + dzr @ self.w["zr"].T
             dh[new[:, t]] = 0
-        return {k: np.clip(v, -1, 1) for k, v in g.items()}, h
+        every = slice(None)
+        parts = {**{k: (every, v) for k, v in g.items()}, "x": (used, dx_rows), "v": (groups, dv), "vb": (groups, dvb)}
+        return {k: (at, np.clip(v, -1, 1)) for k, (at, v) in parts.items()}, h
 
     def document_scores(self, documents: list[np.ndarray]) -> np.ndarray:
         """Natural-log likelihood of every document, all run side by side, longest first."""
@@ -209,8 +223,8 @@ class Network:
                 where.append(at)
             states, where = np.concatenate(states), np.concatenate(where)
             who = np.concatenate([np.arange(n) for n in alive])
-            for a in range(0, len(where), 1 << 15):
-                part = slice(a, a + (1 << 15))
+            for a in range(0, len(where), CHUNK):
+                part = slice(a, a + CHUNK)
                 total += np.bincount(who[part], self.log_probability(states[part], target[where[part]]), len(total))
         out = np.empty(len(documents))
         out[order] = total
@@ -219,17 +233,24 @@ class Network:
 
 @dataclass
 class Vocabulary:
-    """Frequent words with their counts, rest-class sums, N and V."""
+    """Frequent words by rank, each rank's network id and log10(c + 0.1); rest-class sums, N and V."""
 
-    known: dict[bytes, tuple[int, float]]  # word: (network id, log10(c + 0.1)); ids from WORDS on are rest classes
+    rank: dict[bytes, int]
+    network_id: np.ndarray  # by rank; ids from WORDS on are rest classes
+    log_count: np.ndarray
     total: int
     distinct: int
     rest_total: np.ndarray
     rest_distinct: np.ndarray
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        return np.fromiter((known[w][0] if w in known else WORDS + rest_class(w) for w in words), np.int32, len(words))
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Network ids, ranks (-1 beyond the table), and the words beyond the table."""
+        ranks = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int32, len(words))
+        ids = self.network_id[ranks]
+        beyond = np.flatnonzero(ranks < 0)
+        rare = [words[i] for i in beyond]
+        ids[beyond] = np.fromiter(map(rest_class, rare), np.int32, len(rare)) + WORDS
+        return ids, ranks, rare
 
 
 def _training_counts(docs: DataFrame) -> DataFrame:
@@ -255,19 +276,23 @@ def _training_counts(docs: DataFrame) -> DataFrame:
 
 
 def _vocabulary(counts: DataFrame, known_words: int) -> tuple[Vocabulary, np.ndarray]:
-    top = counts.where(F.length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(known_words).collect()
+    short = counts.where(F.length("word") <= WORD_BYTES).select("word", F.col("c").cast("double").alias("c"), "k")
+    if short.count() > known_words:  # words that tie with the limit stay out, so known_words rows are collected at most
+        short = short.where(F.col("c") > kth_largest(short, "c", known_words))
+    top = sorted(short.collect(), key=lambda r: (-r["c"], r["word"]))
     sums = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # REST rows
     rest_total, rest_distinct = (np.array([sums.get(k, (0, 0))[i] for k in range(REST)], float) for i in (0, 1))
-    known, word_counts = {}, np.zeros(WORDS)
+    word_counts, network_id = np.zeros(WORDS), np.zeros(max(1, len(top)), np.int32)
     for i, r in enumerate(top):
-        word, c = bytes(r["word"]), r["c"]
+        network_id[i] = i if i < WORDS else WORDS + r["k"]
         if i < WORDS:
-            word_counts[i] = c
-            rest_total[r["k"]] -= c
+            word_counts[i] = r["c"]
+            rest_total[r["k"]] -= r["c"]
             rest_distinct[r["k"]] -= 1
-        known[word] = (i if i < WORDS else WORDS + r["k"], log10(c + 0.1))
+    rank = {bytes(r["word"]): i for i, r in enumerate(top)}
+    log_count = np.log10(np.array([r["c"] for r in top] or [0.0]) + 0.1)
     total, distinct = sum(n for n, _ in sums.values()), sum(v for _, v in sums.values())
-    return Vocabulary(known, total, distinct, rest_total, rest_distinct), word_counts
+    return Vocabulary(rank, network_id, log_count, total, distinct, rest_total, rest_distinct), word_counts
 
 
 def _average(blobs: DataFrame) -> dict[str, np.ndarray] | None:
@@ -300,7 +325,7 @@ def _fit(docs: DataFrame, vocabulary: Vocabulary, shared, network: Network, frac
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Network.__new__(Network)
             own.w = {k: v.copy() for k, v in weights.value.items()}
-            documents = [shared.value.ids(tokens_of(t)) for batch in batches for t in batch.column(0).to_pylist()]
+            documents = [shared.value.read(tokens_of(t))[0] for batch in batches for t in batch.column(0).to_pylist()]
             if documents:
                 own.train(documents, rate / (1 + turn))
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own.w)], pa.binary()), pa.array([sum(map(len, documents))], pa.int64())], names=["blob", "n"])
@@ -328,43 +353,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.__new__(Network)
         net.w = weights.value
-        known = shared.value.known
+        words = shared.value
 
         def block(rows):
-            ids, counted, documents, tails, n_rare = [], [], [], [], []
-            for i, held, text in rows:
-                words = tokens_of(text)
-                own, logs, rare = np.empty(len(words), np.int32), 0.0, []
-                for j, w in enumerate(words):
-                    hit = known.get(w)
-                    if hit is None:
-                        own[j] = WORDS + rest_class(w)
-                        rare.append(w)
-                    else:
-                        own[j] = hit[0]
-                        logs += hit[1]
+            documents, tails, logs = [], [], np.empty(len(rows))
+            for j, (_, _, text) in enumerate(rows):
+                own, ranks, rare = words.read(tokens_of(text))
                 documents.append(own)
-                counted.append(logs)
                 tails.append(rare)
-                ids.append(i)
+                # the network's share of a rest word is its class; base and model add log10(c + 0.1) of rare words later
+                logs[j] = words.log_count[ranks[ranks >= 0]].sum()
+            frequent = np.array([words.log_count[d[d < WORDS]].sum() for d in documents])  # the first ranks are the network's ids
+            rest = np.array([rest_log[d[d >= WORDS] - WORDS].sum() for d in documents])
             model = net.document_scores(documents) / log(10)
             n = np.array([len(d) for d in documents])
-            rest = np.array([rest_log[d[d >= WORDS] - WORDS].sum() for d in documents])
-            frequent = np.array([word_logs(d) for d in documents])
-            logs = np.array(counted)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind), pa.array([r[1] for r in rows]), pa.array(n), pa.array(n - [len(t) for t in tails]), pa.array(logs - n * base_log),
+                [pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows]), pa.array(n), pa.array(n - [len(t) for t in tails]), pa.array(logs - n * base_log),
                  pa.array(model + logs - frequent - rest), pa.array(tails, pa.list_(pa.binary()))],
                 names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
-        table = np.zeros(WORDS)
-        for i, l in known.values():
-            if i < WORDS:
-                table[i] = l
-
-        def word_logs(d):
-            return table[d[d < WORDS]].sum()
-
         kind, rows, size = None, [], 0
         for batch in batches:
             kind = batch.schema.field(0).type
