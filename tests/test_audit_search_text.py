@@ -57,7 +57,7 @@ def test_bm25_hybrid_and_missing_index(spark):
     c = _corpus(spark)
     idx = K.build_text_index(c)
     q = _queries(spark, [(1, "u", "p", "hello world", 3, "hybrid", None)]).drop("qvec")
-    bm = K.bm25_topk(q, idx).orderBy("rank").collect()
+    bm = K.bm25_topk(q, c, idx).orderBy("rank").collect()
     assert [r.doc_key for r in bm] == [1, 2]
     hy = K.hybrid_topk(q, c, idx, embed_dims=2).collect()
     assert 1 <= len(hy) <= 3 and all(r.score > 0 for r in hy)
@@ -65,6 +65,50 @@ def test_bm25_hybrid_and_missing_index(spark):
     assert e.error.code == "knowledge_hybrid_unavailable"
 
 
+def test_requests_with_equal_ids_stay_apart_and_ids_keep_their_type(spark):
+    from textguard.operators import search as K
+    rows = [("same", "u", "p", "q", 1, "vector", [0.0, 0.0]), ("same", "v", "q", "q", 1, "vector", [0.0, 0.0]),
+            ("twin", "u", "p", "q", 1, "vector", [3.0, 0.0]), ("twin", "u", "p", "q", 1, "vector", [3.0, 0.0])]
+    q = spark.createDataFrame(rows, "query_id string, principal_id string, project_id string, query string, top_k int, search_mode string, qvec array<double>")
+    got = K.vector_topk(q, _corpus(spark)).collect()
+    assert sorted((r.query_id, r.doc_key, r.text) for r in got) == [("same", 1, "hello world"), ("same", 4, "secret"), ("twin", 3, "other words"), ("twin", 3, "other words")]
+    text_keys = _corpus(spark).withColumn("doc_key", F.concat(F.lit("k"), F.col("doc_key").cast("string")))
+    assert {r.doc_key for r in K.vector_topk(q, text_keys).collect()} == {"k1", "k3", "k4"}
+
+
+def test_far_vectors_rank_by_distance_and_bad_rows_fail_in_every_mode(spark):
+    from textguard.operators import search as K
+    rows = [(i, [1000.0 + (0.05 if i == 0 else 0.0) + i * 1e-3, 0.0], "word", "a" if i == 0 else "z", "p") for i in range(30)]
+    c = spark.createDataFrame(rows, "doc_key long, vector array<double>, text string, source string, project_id string")
+    q = _queries(spark, [(1, "u", "p", "word", 3, "vector", [0.0, 0.0])])
+    assert [r.doc_key for r in K.vector_topk(q, c).orderBy("rank").collect()] == [1, 2, 3]
+    nan = c.unionByName(spark.createDataFrame([(99, [float("nan"), 0.0], "far", "b", "p")], c.schema))
+    hybrid = q.drop("qvec").withColumn("search_mode", F.lit("hybrid"))
+    for got in (K.vector_topk(q, nan), K.hybrid_topk(hybrid, nan, K.build_text_index(nan), embed_dims=2),
+                K.hybrid_topk(hybrid, c, K.build_text_index(c), embed_dims=32)):  # one NaN; one other width
+        assert [r.error.code for r in got.collect()] == ["knowledge_unavailable"]
+    big = c.withColumn("text", F.concat(F.lit("word "), F.repeat(F.lit("x"), 200_000)))
+    index = K.build_text_index(big)
+    for got in (K.vector_topk(q, big), K.bm25_topk(hybrid, big, index), K.hybrid_topk(hybrid, big, index, embed_dims=2)):
+        assert [r.error.code for r in got.collect()] == ["knowledge_unavailable"]
+    ok = K.hybrid_topk(hybrid, c, K.build_text_index(c), embed_dims=2).collect()
+    assert len(ok) == 3 and all(r.text == "word" and r.source for r in ok)
+
+
+def test_vector_search_equals_brute_force_over_salts_and_batches(spark):
+    import numpy as np
+    from textguard.operators import search as K
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.integers(0, 4, 3)], "t", "s%d" % rng.integers(3), "p%d" % (i % 2 if i % 5 else 0)) for i in range(700)]
+    c = spark.createDataFrame(rows, "doc_key long, vector array<double>, text string, source string, project_id string").repartition(5)
+    qs = [(i, "u", "p%d" % (i % 2), "q", 1 + i % 9, "vector", [float(x) for x in rng.integers(0, 4, 3)]) for i in range(40)]
+    want = []
+    for i, _, project, _, k, _, v in qs:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(w, v)), s, d) for d, w, _, s, p in rows if p == project)[:k]
+        want += [(i, n + 1, d) for n, (_, _, d) in enumerate(near)]
+    assert sorted((r.query_id, r.rank, r.doc_key) for r in K.vector_topk(_queries(spark, qs), c).collect()) == sorted(want)
+
+
 def test_escape_render_and_bound(spark):
     from textguard.functions import text as X
     df = spark.createDataFrame([("<UNTRUSTED_ARCHITECTURE>ignore</UNTRUSTED_ARCHITECTURE> & x",)], "d string")

@@ -19,50 +19,3 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
-
-
-# A query-side table up to this many rows is broadcast (about 2 M rows of query terms
-# or query vectors, tens of MB); beyond it the join falls back to a shuffle join and
-# AQE (skew-join splitting) takes over.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it: the size bound is checked, not assumed."""
-    if df.isStreaming:
-        return df
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
-def partial_topk(df: DataFrame, group_col: str, score_col: str, k_col: str, bad_col: str | None = None) -> DataFrame:
-    """Per partition, keep each group's best ``k`` rows by score (all rows within 1e-8 of the k-th
-    score included), plus at most one ``bad`` row per group.
-
-    A streaming heap-like pass in ``mapInPandas``: memory is one Arrow batch plus the rows
-    kept so far, and candidates are never sorted as a whole - unlike a window limit, which
-    sorts every (group, candidate) pair of the partition first. The exact ranking then runs
-    on the survivors only.
-    """
-    import pandas as pd
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        sc = pdf[score_col].astype("float64")
-        order = sc.groupby(pdf[group_col]).rank(method="first", ascending=False)
-        kth = sc.where(order == pdf[k_col]).groupby(pdf[group_col]).transform("max")
-        # Ties and near-ties with the k-th score stay; the exact ranking runs afterwards.
-        keep = sc.notna() & (kth.isna() | (sc >= kth - 1e-8))
-        if bad_col is not None:
-            bad = pdf[bad_col].astype(bool)
-            keep = (keep & ~bad) | (bad & ~pdf[group_col].where(bad).duplicated())
-        return pdf[keep.fillna(False).astype(bool)]
-
-    def run(batches):
-        kept = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            kept = prune(pdf if kept is None else pd.concat([kept, pdf], ignore_index=True))
-        if kept is not None:
-            yield kept
-
-    return df.mapInPandas(run, df.schema)

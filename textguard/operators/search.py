@@ -1,35 +1,39 @@
 """Project-scoped retrieval (K1-K8): vector top-k, BM25 top-k and reciprocal-rank fusion.
 
-Queries are rows ``(query_id, principal_id, project_id, query, top_k, search_mode[, vector])``.
-The corpus is ``(doc_key, vector, text, source, project_id)``, ideally stored partitioned
-by ``project_id`` so the project filter prunes files.
+Queries are rows ``(query_id, principal_id, project_id, query, top_k, search_mode[, qvec])`` with
+ids of any type; equal ids of different requests stay apart. The corpus is
+``(key, vector, text, source, project_id)``.
+
+Plan shape (exact search, no approximate index; nothing is collected, and no job runs while the plan
+is built, except that ``build_text_index`` writes its tables):
 
-Plan shape (exact search, no approximate index):
 * authorisation is a join with the grants table (K2), validation is row-local (V6, V7);
-* the query side (query vectors, query terms, grants) is counted and broadcast when it is
-  under ``BROADCAST_MAX_ROWS``; the corpus and the postings then stream through a
-  broadcast hash join without being shuffled. Above the bound the join falls back to a
-  shuffle on the project / term key, where AQE splits skewed partitions;
-* each partition keeps only its best k candidates per query (ties included) with a
-  streaming pass (``partial_topk``) - no sort of all candidate pairs - and the exact
-  ``row_number`` ranking runs on those survivors: only k rows per query and partition travel.
-BM25 postings are hash-partitioned by document key when the index is built, so the
-per-(query, document) score sums reuse that partitioning and candidate pairs are never
-shuffled.
+* vector search deals corpus rows and queries by (project, salt). A project's queries come to every
+  salt once, its corpus rows to one salt, so a project with a third of all rows is spread over all
+  partitions. Inside a partition the queries are held, and the corpus streams past them in Arrow
+  batches; no (query, row) pair becomes a row, and at most k rows per query leave a partition;
+* rankings compare the squared distance itself, with exact ties in the order of source and key;
+* BM25 joins the query's terms, with their stored document frequencies, to the stored postings;
+* text is joined onto the ranked rows only. Result hygiene (K5) and caps (K6) are the same in all modes.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textguard import errors as E
 from textguard.functions.hashing import hash_embedding
 from textguard.operators import validate as V
-from textguard.operators.partitioning import broadcast_if_small, partial_topk
+from textguard.session import checkpoint_dir
 
 MAX_TOP_K = 50
 MAX_FIELD_BYTES = 100 * 1024
@@ -38,6 +42,7 @@ RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 REQUIRED = ("text", "source", "project_id")
+QUERY_BLOCK = 256            # queries scored together against one Arrow batch of the corpus
 
 
 def tokenize(text: Column) -> Column:
@@ -45,17 +50,12 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"), lambda acc, d: acc + d)
-
-
 def check_queries(queries: DataFrame, grants: DataFrame | None, allowed_projects=None,
                   principal_col: str = "principal_id") -> DataFrame:
     """V6/V7 + K2: add ``error``; authorised = (principal, project) granted and project configured."""
     q = queries
     if grants is not None:
-        g = broadcast_if_small(
-            grants.select(F.col("principal_id").alias("_tg_gp"), F.col("project_id").alias("_tg_gproj")).distinct())
+        g = grants.select(F.col("principal_id").alias("_tg_gp"), F.col("project_id").alias("_tg_gproj")).distinct()
         q = q.join(g, (q[principal_col] == g["_tg_gp"]) & (q["project_id"] == g["_tg_gproj"]), "left")
         granted = F.col("_tg_gp").isNotNull()
     else:
@@ -73,132 +73,168 @@ def check_queries(queries: DataFrame, grants: DataFrame | None, allowed_projects
     return q.withColumn("error", err).drop("_tg_gp", "_tg_gproj")
 
 
-def _rank(scored: DataFrame, score_col: str, tiebreak: list[str]) -> DataFrame:
-    """row_number per query by score (rounded to 1e-9 so float noise cannot reorder ties)."""
-    w = Window.partitionBy("query_id").orderBy(F.round(F.col(score_col), 9).desc(), *[F.col(c) for c in tiebreak])
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_TOP_K)
-
-
-SHIP_MAX_QUERIES = 100_000   # query vectors shipped to every task per pass (counted first)
-QUERY_BLOCK = 256            # queries scored together against one Arrow batch of the corpus
-NEAR_TIE = 1e-8              # pre-selection keeps scores this close to the k-th (exact ranking decides)
-
-
-def _vector_pass(corpus: DataFrame, payload, key_col: str, key_type) -> DataFrame:
-    """One scan of the corpus: each corpus row enters Python once and is scored against its
-    project's (broadcast) query block with numpy; only the best candidates per query leave."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    spark = corpus.sparkSession
-    bc = spark.sparkContext.broadcast(payload)
-    schema = T.StructType([
-        T.StructField("query_id", T.LongType()), T.StructField("project_id", T.StringType()),
-        T.StructField("top_k", T.IntegerType()), T.StructField(key_col, key_type),
-        T.StructField("source", T.StringType()), T.StructField("score", T.DoubleType()),
-        T.StructField("_tg_bad", T.BooleanType()),
-    ])
-
-    def run(batches):
-        by_project = bc.value
-        for pdf in batches:
-            out = []
-            for proj, g in pdf.groupby("project_id", sort=False):
-                for qids, qmat, ks in by_project.get(proj, ()):
-                    out.extend(_score_block(g, qids, qmat, ks, proj))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    def _score_block(g, qids, qmat, ks, proj):
-        out = []
-        d = qmat.shape[1]
-        vecs = g["vector"].to_numpy()
-        ok_len = np.array([v is not None and len(v) == d for v in vecs])
-        V = (np.vstack([np.asarray(v, dtype=np.float64) if o else np.full(d, np.nan) for v, o in zip(vecs, ok_len)])
-             if len(vecs) else np.zeros((0, d)))
-        keys, sources = g[key_col].to_numpy(), g["source"].to_numpy()
-        for b0 in range(0, len(qids), QUERY_BLOCK):
-            Q = qmat[b0:b0 + QUERY_BLOCK]
-            acc = np.zeros((V.shape[0], Q.shape[0]))
-            for i in range(d):  # sequential over dimensions: the same sums as the SQL fold
-                diff = V[:, i:i + 1] - Q[None, :, i]
-                acc += diff * diff
-            bad = np.isnan(acc)
-            score = 1.0 / (1.0 + np.maximum(acc, 0.0))
-            for j in range(Q.shape[0]):
-                k = int(ks[b0 + j])
-                sj, bj = score[:, j], bad[:, j]
-                good = np.flatnonzero(~bj)
-                if len(good):
-                    kth = np.sort(sj[good])[::-1][min(k, len(good)) - 1]
-                    sel = good[sj[good] >= kth - NEAR_TIE]  # ties (and near-ties) stay for the exact ranking
-                    out.append(pd.DataFrame({"query_id": qids[b0 + j], "project_id": proj, "top_k": k,
-                                             key_col: keys[sel], "source": sources[sel], "score": sj[sel],
-                                             "_tg_bad": False}))
-                if bj.any():
-                    i0 = int(np.flatnonzero(bj)[0])
-                    out.append(pd.DataFrame({"query_id": [qids[b0 + j]], "project_id": [proj], "top_k": [k],
-                                             key_col: [keys[i0]], "source": [sources[i0]], "score": [None],
-                                             "_tg_bad": [True]}))
-        return out
-
-    rows = corpus.select(key_col, "project_id", "source", F.col("vector").cast("array<double>").alias("vector"))
-    return rows.mapInPandas(run, schema)
-
-
-def vector_scores(queries: DataFrame, corpus: DataFrame, key_col: str) -> DataFrame:
-    """K3 + K5: candidates within the query's project; score = 1 / (1 + max(0, squared L2)).
-
-    The authorised query set is counted and shipped to the tasks in blocks of at most
-    ``SHIP_MAX_QUERIES`` (one corpus scan per block); the corpus is never shuffled and
-    never paired with queries row by row. Each partition keeps its best candidates per
-    query (ties included, ``partial_topk``); text is joined back onto those survivors.
+def _requests(queries: DataFrame, grants, allowed_projects) -> DataFrame:
+    """Checked queries with ``_tg_rk``, a digest of the whole request. Equal requests share it, and their result."""
+    q = check_queries(queries, grants, allowed_projects)
+    return q.withColumn("_tg_rk", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in queries.columns])), 256))
+
+
+def _ranked(scored: DataFrame, order: list[Column]) -> DataFrame:
+    """Best ``top_k`` rows per request; the constant limit lets Spark cut each partition before the shuffle."""
+    w = Window.partitionBy("_tg_rk").orderBy(*order)
+    rows = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_TOP_K)
+    return rows.filter(F.col("rank") <= F.col("top_k"))
+
+
+class _Nearest:
+    """Running best k corpus rows of one project's queries."""
+
+    def __init__(self):
+        self.names, self.vectors, self.ks = [], [], []
+        self.best = self.matrix = None
+
+    def add(self, name, vector, k):
+        self.names.append(name)
+        self.vectors.append(vector)
+        self.ks.append(k)
+
+    def see(self, keys: list, sources: list, vectors: list) -> None:
+        if self.best is None:
+            self.best = [[] for _ in self.names]
+            self.bad = [None] * len(self.names)
+            widths = [len(v) if v is not None else -1 for v in self.vectors]
+            self.groups = {w: [i for i, x in enumerate(widths) if x == w] for w in set(widths)}
+            self.matrix = {w: np.array([self.vectors[i] for i in own], float).reshape(len(own), max(w, 0)) for w, own in self.groups.items()}
+        own_widths = np.array([len(v) if v is not None else -2 for v in vectors])
+        for width, queries in self.groups.items():
+            fit = np.flatnonzero(own_widths == width)
+            if len(fit) < len(vectors):  # a vector of another width is a bad row
+                at = int(np.flatnonzero(own_widths != width)[0])
+                for i in queries:
+                    self.bad[i] = self.bad[i] or (keys[at], sources[at])
+            if not len(fit) or width < 0:
+                continue
+            rows = np.array([vectors[j] for j in fit], float).reshape(len(fit), width)
+            for b in range(0, len(queries), QUERY_BLOCK):
+                block = self.matrix[width][b : b + QUERY_BLOCK]
+                d2 = np.zeros((len(fit), len(block)))
+                for i in range(width):  # one dimension after another: the same sums as a fold in SQL
+                    diff = rows[:, i : i + 1] - block[None, :, i]
+                    d2 += diff * diff
+                for j, i in enumerate(queries[b : b + QUERY_BLOCK]):
+                    d = d2[:, j]
+                    good = ~np.isnan(d)
+                    if not good.all():
+                        at = fit[int(np.flatnonzero(~good)[0])]
+                        self.bad[i] = self.bad[i] or (keys[at], sources[at])
+                    k, best = self.ks[i], self.best[i]
+                    limit = best[k - 1][0] if len(best) >= k else np.inf
+                    near = np.flatnonzero(good & (d <= limit))
+                    if len(near) > k:  # all rows up to the k-th distance of this batch, then the exact order
+                        near = near[d[near] <= np.partition(d[near], k - 1)[k - 1]]
+                    best += [(float(d[x]), sources[fit[x]] or "", keys[fit[x]]) for x in near]
+                    best.sort()
+                    del best[k:]
+
+    def rows(self):
+        for i, name in enumerate(self.names):
+            if self.best is None:
+                return
+            for d, source, key in self.best[i]:
+                yield name, self.ks[i], key, source, d, False
+            if self.bad[i] is not None:
+                yield name, self.ks[i], *self.bad[i], None, True
+
+
+def vector_candidates(requests: DataFrame, corpus: DataFrame, key_col: str, salts: int | None = None) -> DataFrame:
+    """K3: per request and partition the best k corpus rows of its project: _tg_rk, top_k, key, source, d2, bad.
+
+    ``bad`` rows (a vector of another width, or a distance that is no number) say that the request must fail (K5).
     """
-    import numpy as np
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "project_id",
-                       F.col("top_k").cast("int").alias("top_k"), F.col("qvec").cast("array<double>").alias("qvec"))
-    n = q.count()
+    spark = corpus.sparkSession
+    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_type = corpus.schema[key_col].dataType
-    passes = []
-    for lo in range(0, max(n, 1), SHIP_MAX_QUERIES):
-        block = q.orderBy("query_id").offset(lo).limit(SHIP_MAX_QUERIES) if n > SHIP_MAX_QUERIES else q
-        payload: dict = {}
-        for r in block.collect():
-            payload.setdefault(r["project_id"], []).append(r)
-        shipped = {}
-        for proj, rs in payload.items():
-            dims = {len(r["qvec"] or []) for r in rs}
-            for dim in dims:  # one matrix per vector width; a width mismatch scores as bad
-                sub = [r for r in rs if len(r["qvec"] or []) == dim]
-                shipped.setdefault(proj, []).append((np.array([r["query_id"] for r in sub], dtype=np.int64),
-                                                     np.array([r["qvec"] or [] for r in sub], dtype=np.float64).reshape(len(sub), dim),
-                                                     np.array([r["top_k"] for r in sub], dtype=np.int32)))
-        # Every width group is scored; rows whose width differs from a group's width score as bad.
-        passes.append(_vector_pass(corpus, shipped, key_col, key_type))
-    scored = passes[0]
-    for p in passes[1:]:
-        scored = scored.unionByName(p)
-    # Survivors are few (about k per query and partition); persisting them lets the size
-    # check below materialise the scoring pass once instead of running it twice.
-    cand = partial_topk(scored, "query_id", "score", "top_k", "_tg_bad").persist(StorageLevel.MEMORY_AND_DISK)
-    texts = corpus.select(F.col(key_col).alias("_tg_k"), F.col("project_id").alias("_tg_p"), "text")
-    cand = broadcast_if_small(cand)
-    return cand.join(texts, (cand[key_col] == texts["_tg_k"]) & (cand["project_id"] == texts["_tg_p"])) \
-        .drop("_tg_k", "_tg_p")
-
-
-def finish(ranked: DataFrame, key_col: str) -> DataFrame:
-    """K4/K6: keep rank <= top_k; a query whose fields or total bytes exceed the caps errors as a whole."""
-    r = ranked.filter(F.col("rank") <= F.col("top_k"))
-    w = Window.partitionBy("query_id")
-    field_big = (F.octet_length("text") > MAX_FIELD_BYTES) | (F.octet_length("source") > MAX_FIELD_BYTES)
-    total = F.sum(F.octet_length("text") + F.octet_length("source")).over(w)
-    bad = F.max(F.col("_tg_bad").cast("int")).over(w) > 0
-    err = E.first_error((bad, E.KNOWLEDGE_UNAVAILABLE),
-                        (F.max(field_big.cast("int")).over(w) > 0, E.KNOWLEDGE_UNAVAILABLE),
-                        (total > MAX_RESULT_BYTES, E.KNOWLEDGE_UNAVAILABLE))
-    return r.withColumn("error", err).drop("_tg_bad")
+    queries = requests.select("_tg_rk", "project_id", F.col("top_k").cast("int").alias("top_k"), F.col("qvec").cast("array<double>").alias("vector")).distinct()
+    queries = queries.withColumn("_tg_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = corpus.select(F.col(key_col).alias("_tg_key"), "project_id", "source", F.col("vector").cast("array<double>").alias("vector"),
+                         F.pmod(F.xxhash64(key_col), F.lit(salts)).cast("int").alias("_tg_salt"))
+    rows = rows.join(requests.select("project_id").distinct(), "project_id", "left_semi")  # projects that nobody searches
+    both = queries.unionByName(rows, allowMissingColumns=True).repartition(salts, "project_id", "_tg_salt").sortWithinPartitions(
+        "project_id", "_tg_salt", F.col("_tg_rk").asc_nulls_last())  # a project's queries first
+    schema = T.StructType([T.StructField("_tg_rk", T.StringType()), T.StructField("top_k", T.IntegerType()), T.StructField(key_col, key_type),
+                           T.StructField("source", T.StringType()), T.StructField("d2", T.DoubleType()), T.StructField("bad", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def search(batches):
+        group, state = None, None
+
+        def out(state):
+            found = list(state.rows())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+        for batch in batches:
+            col = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            seen: list[int] = []
+
+            def flush():
+                if seen:
+                    state.see(*([col[c][i] for i in seen] for c in ("_tg_key", "source", "vector")))
+                    seen.clear()
+
+            for i in range(batch.num_rows):
+                here = (col["project_id"][i], col["_tg_salt"][i])
+                if here != group:
+                    if state is not None:
+                        flush()
+                        yield out(state)
+                    group, state = here, _Nearest()
+                if col["_tg_rk"][i] is not None:
+                    state.add(col["_tg_rk"][i], col["vector"][i], col["top_k"][i])
+                else:
+                    seen.append(i)
+            if state is not None:
+                flush()
+        if state is not None:
+            yield out(state)
+
+    return both.mapInArrow(search, schema)
+
+
+def _finish(requests: DataFrame, ranked: DataFrame, bad: DataFrame | None, corpus: DataFrame, key_col: str) -> DataFrame:
+    """Join text and source onto the ranked rows; a request with a bad row, a field or a total beyond the caps fails
+    as a whole (K5, K6). One error row per failed request; ids and columns keep their types."""
+    texts = corpus.select(F.col(key_col).alias("_tg_key"), F.col("project_id").alias("_tg_project"), "text", F.col("source").alias("_tg_source"))
+    project = requests.select("_tg_rk", "project_id").distinct()
+    found = ranked.select("_tg_rk", "rank", F.col(key_col).alias("_tg_key"), "score").join(project, "_tg_rk")
+    found = found.join(texts, (found["_tg_key"] == texts["_tg_key"]) & (found["project_id"] == texts["_tg_project"])).select(
+        "_tg_rk", "rank", found["_tg_key"].alias(key_col), "text", F.col("_tg_source").alias("source"), "score")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)), F.coalesce(F.octet_length("source"), F.lit(0))
+    state = found.groupBy("_tg_rk").agg((F.max(F.greatest(*size)) > MAX_FIELD_BYTES).alias("big"), (F.sum(size[0] + size[1]) > MAX_RESULT_BYTES).alias("much"))
+    fails = state.where("big OR much").select("_tg_rk")
+    if bad is not None:
+        fails = fails.unionByName(bad.select("_tg_rk"))
+    fails = fails.distinct().withColumn("failed", F.lit(True))
+    checked = requests.select("query_id", "_tg_rk", "error").join(fails, "_tg_rk", "left")
+    checked = checked.withColumn("error", F.when(F.col("error").isNull() & F.col("failed"), E.error(E.KNOWLEDGE_UNAVAILABLE)).otherwise(F.col("error")))
+    rows = checked.filter(F.col("error").isNull()).select("query_id", "_tg_rk", "error").join(found, "_tg_rk")
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields}
+    failed = checked.filter(F.col("error").isNotNull())
+    out = ["query_id", "rank", key_col, "text", "source", "score", "error"]
+    return rows.select(*out).unionByName(failed.select("query_id", *[none[c] for c in out[1:-1]], "error"))
+
+
+def _all_failed(requests: DataFrame, code: str, corpus: DataFrame | None, key_col: str) -> DataFrame:
+    """Every request that passed the checks fails with ``code``."""
+    key_type = corpus.schema[key_col].dataType if corpus is not None and key_col in corpus.columns else T.LongType()
+    return requests.select("query_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast(key_type).alias(key_col), F.lit(None).cast("string").alias("text"),
+                           F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("score"), F.coalesce(F.col("error"), E.error(code)).alias("error"))
+
+
+def _nearest(requests: DataFrame, corpus: DataFrame, key_col: str) -> tuple[DataFrame, DataFrame]:
+    found = vector_candidates(requests.filter(F.col("error").isNull()), corpus, key_col)
+    score = (F.lit(1.0) / (F.lit(1.0) + F.greatest(F.col("d2"), F.lit(0.0)))).alias("score")
+    good = found.filter(~F.col("bad")).select("_tg_rk", "top_k", key_col, "source", "d2", score)
+    return _ranked(good, [F.col("d2"), F.col("source"), F.col(key_col)]), found.filter("bad").select("_tg_rk")
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, *, key_col: str = "doc_key", grants: DataFrame | None = None,
@@ -208,90 +244,75 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, *, key_col: str = "doc_ke
     Queries carry ``qvec`` or, with ``embed_dims``, are embedded with the hash embedder (K1).
     Output: ``query_id, rank, key, text, source, score, error``.
     """
-    missing = [c for c in REQUIRED + ("vector",) if c not in corpus.columns]
-    q = check_queries(queries, grants, allowed_projects)
+    requests = _requests(queries, grants, allowed_projects)
+    if any(c not in corpus.columns for c in REQUIRED + ("vector",)):  # K4: schema check, no silent fallback
+        return _all_failed(requests, E.KNOWLEDGE_UNAVAILABLE, corpus, key_col)
     if embed_dims:
-        q = q.withColumn("qvec", hash_embedding(F.col("query"), embed_dims))
-    if missing:  # K4: schema check, no silent fallback
-        return _errors_only(q.withColumn("error", E.error(E.KNOWLEDGE_UNAVAILABLE)), key_col)
-    ok = q.filter(F.col("error").isNull())
-    ranked = _rank(vector_scores(ok, corpus, key_col), "score", ["source", "text", key_col])
-    res = finish(ranked, key_col).select("query_id", "rank", key_col, "text", "source", "score", "error")
-    return res.unionByName(_errors_only(q, key_col))
-
-
-def _errors_only(q: DataFrame, key_col: str) -> DataFrame:
-    return q.filter(F.col("error").isNotNull()).select(
-        "query_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias(key_col),
-        F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source"),
-        F.lit(None).cast("double").alias("score"), "error")
+        requests = requests.withColumn("qvec", hash_embedding(F.col("query"), embed_dims))
+    ranked, bad = _nearest(requests, corpus, key_col)
+    return _finish(requests, ranked, bad, corpus, key_col)
 
 
 @dataclass
 class TextIndex:
-    """The full-text "index": postings partitioned by document key plus corpus statistics."""
-    postings: DataFrame   # key, project_id, term, tf, dl
+    """The full-text index: stored tables of postings and document frequencies, and corpus statistics."""
+    postings: DataFrame   # key, project_id, term, tf, dl; sorted by project and term
     doc_freq: DataFrame   # term, df
     n_docs: int
     avg_len: float
     key_col: str
 
-    def release(self) -> None:
-        """Drop the persisted postings once the index is no longer queried."""
-        self.postings.unpersist()
-
-
-def build_text_index(corpus: DataFrame, key_col: str = "doc_key", num_partitions: int | None = None) -> TextIndex:
-    """Tokenise once; postings stay hash-partitioned by document key (one shuffle of the corpus).
 
-    The postings are the index: they are persisted (memory and disk) and corpus-wide N and
-    average length are read from them with one aggregate action, as an index build stores
-    them. Later queries reuse the persisted postings instead of re-tokenising.
-    """
+def build_text_index(corpus: DataFrame, key_col: str = "doc_key") -> TextIndex:
+    """Tokenise once and store the postings (range-partitioned and sorted by project and term, so that row groups
+    of other terms are skipped) and the document frequencies in the shared folder."""
     spark = corpus.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = corpus.select(key_col, "project_id", tokenize(F.col("text")).alias("toks")).repartition(n, key_col)
-    docs = docs.withColumn("dl", F.size("toks"))
-    # explode_outer keeps a document without tokens as one null-term row, so it still counts
-    # in N and the average length (a null term never joins a query term).
-    postings = (docs.select(key_col, "project_id", "dl", F.explode_outer("toks").alias("term"))
-                .groupBy(key_col, "project_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
-    doc_freq = postings.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Same partitioning (document key): the per-document distinct needs no shuffle.
-    stats = (postings.select(key_col, "dl").distinct()
-             .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first())
-    return TextIndex(postings, doc_freq, int(stats["n"]), float(stats["avgdl"] or 0.0), key_col)
-
-
-def bm25_scores(queries: DataFrame, index: TextIndex, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    base = os.path.join(checkpoint_dir(spark), f"text-index-{uuid.uuid4().hex}")
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    docs = corpus.select(key_col, "project_id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("toks"))
+    # A document without tokens stays as one null-term row: it counts in N and in the average length.
+    terms = docs.select(key_col, "project_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+    rows = terms.groupBy(key_col, "project_id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = table(rows.repartitionByRange("project_id", "term", key_col).sortWithinPartitions("project_id", "term"), "postings")
+    doc_freq = table(postings.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df")), "doc-freq")
+    # Every document has the rows of its terms: their tf sum up to the lengths, a null-term row adds none.
+    tokens = F.sum(F.when(F.col("term").isNotNull(), F.col("tf")))
+    stats = postings.agg(F.countDistinct("project_id", key_col).alias("n"), tokens.alias("tokens")).first()
+    mean = (stats["tokens"] or 0) / stats["n"] if stats["n"] else 0.0
+    return TextIndex(postings, doc_freq, int(stats["n"]), float(mean), key_col)
+
+
+def bm25_scores(requests: DataFrame, index: TextIndex, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Sum over query tokens (with multiplicity) of idf * tf(k1+1) / (tf + k1(1 - b + b dl/avgdl)),
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only documents of the query's project."""
-    key = index.key_col
-    qt = (queries.select("query_id", "project_id", "top_k", F.explode(tokenize(F.col("query"))).alias("term"))
-          .groupBy("query_id", "project_id", "top_k", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    terms = requests.select("_tg_rk", "project_id", F.col("top_k").cast("int").alias("top_k"), "query").distinct()
+    terms = terms.select("_tg_rk", "project_id", "top_k", F.explode(tokenize(F.col("query"))).alias("term"))
+    terms = terms.groupBy("_tg_rk", "project_id", "top_k", "term").agg(F.count("*").alias("qtf"))
     idf = F.log(1.0 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    qt = broadcast_if_small(qt.join(index.doc_freq, "term").withColumn("idf", idf))
-    # Postings stay partitioned by document key: with the query terms broadcast, the
-    # per-(document, query) sum below needs no shuffle of the candidate pairs.
-    j = index.postings.join(qt, ["term", "project_id"])
+    terms = terms.join(index.doc_freq, "term").withColumn("idf", idf)
+    hits = index.postings.join(terms, ["term", "project_id"])
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(index.avg_len if index.avg_len else 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return j.groupBy(key, "query_id", "project_id", "top_k").agg(F.sum(part).alias("score"))
+    return hits.groupBy(index.key_col, "_tg_rk", "top_k").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, index: TextIndex | None, *, grants: DataFrame | None = None,
-              allowed_projects=None) -> DataFrame:
-    """Top-k BM25 documents per authorised query: ``query_id, rank, key, score, error``."""
-    key = index.key_col if index is not None else "doc_key"
-    q = check_queries(queries, grants, allowed_projects)
+def _best_texts(requests: DataFrame, index: TextIndex) -> DataFrame:
+    """BM25 ranking; sums of floats may differ in the last bits between runs, so ranks compare 9 places."""
+    scored = bm25_scores(requests.filter(F.col("error").isNull()), index)
+    return _ranked(scored, [F.round("score", 9).desc(), F.col(index.key_col)])
+
+
+def bm25_topk(queries: DataFrame, corpus: DataFrame, index: TextIndex | None, *, key_col: str = "doc_key",
+              grants: DataFrame | None = None, allowed_projects=None) -> DataFrame:
+    """Top-k BM25 documents per authorised query: ``query_id, rank, key, text, source, score, error``."""
+    requests = _requests(queries, grants, allowed_projects)
     if index is None:
-        q = q.withColumn("error", F.coalesce(F.col("error"), E.error(E.KNOWLEDGE_HYBRID_UNAVAILABLE)))
-        return _errors_only(q, key).select("query_id", "rank", key, "score", "error")
-    scored = bm25_scores(q.filter(F.col("error").isNull()), index)
-    ranked = _rank(partial_topk(scored, "query_id", "score", "top_k"), "score", [key])
-    res = ranked.filter(F.col("rank") <= F.col("top_k")).select("query_id", "rank", key, "score", E.no_error().alias("error"))
-    return res.unionByName(_errors_only(q, key).select("query_id", "rank", key, "score", "error"))
+        return _all_failed(requests, E.KNOWLEDGE_HYBRID_UNAVAILABLE, corpus, key_col)
+    return _finish(requests, _best_texts(requests, index), None, corpus, key_col)
 
 
 def hybrid_topk(queries: DataFrame, corpus: DataFrame, index: TextIndex | None, *, key_col: str = "doc_key",
@@ -299,19 +320,17 @@ def hybrid_topk(queries: DataFrame, corpus: DataFrame, index: TextIndex | None,
                 rrf_k: int = RRF_K) -> DataFrame:
     """K7/K8: top_k by reciprocal-rank fusion of the vector and BM25 rankings (each cut at top_k);
     score = max(0, sum 1/(rrf_k + rank)). Without a text index every query fails with
-    ``knowledge_hybrid_unavailable`` - no silent fallback to vector search."""
-    q = check_queries(queries, grants, allowed_projects)
+    ``knowledge_hybrid_unavailable``; a bad vector fails the request as in vector search."""
+    requests = _requests(queries, grants, allowed_projects)
     if index is None:
-        q = q.withColumn("error", F.coalesce(F.col("error"), E.error(E.KNOWLEDGE_HYBRID_UNAVAILABLE)))
-        return _errors_only(q, key_col).select("query_id", "rank", key_col, "score", "error")
-    ok = q.filter(F.col("error").isNull()).withColumn("qvec", hash_embedding(F.col("query"), embed_dims))
-    vec = _rank(vector_scores(ok, corpus, key_col), "score", ["source", "text", key_col]) \
-        .filter(F.col("rank") <= F.col("top_k")).select("query_id", "top_k", key_col, F.col("rank").alias("rv"))
-    txt = _rank(partial_topk(bm25_scores(ok, index), "query_id", "score", "top_k"), "score", [key_col]) \
-        .filter(F.col("rank") <= F.col("top_k")).select("query_id", "top_k", key_col, F.col("rank").alias("rb"))
-    fused = vec.join(txt, ["query_id", "top_k", key_col], "full_outer")
+        return _all_failed(requests, E.KNOWLEDGE_HYBRID_UNAVAILABLE, corpus, key_col)
+    if any(c not in corpus.columns for c in REQUIRED + ("vector",)):
+        return _all_failed(requests, E.KNOWLEDGE_UNAVAILABLE, corpus, key_col)
+    requests = requests.withColumn("qvec", hash_embedding(F.col("query"), embed_dims))
+    near, bad = _nearest(requests, corpus, key_col)
+    near = near.select("_tg_rk", "top_k", key_col, F.col("rank").alias("rv"))
+    text = _best_texts(requests, index).select("_tg_rk", "top_k", key_col, F.col("rank").alias("rb"))
+    fused = near.join(text, ["_tg_rk", "top_k", key_col], "full_outer")
     rrf = F.coalesce(1.0 / (rrf_k + F.col("rv")), F.lit(0.0)) + F.coalesce(1.0 / (rrf_k + F.col("rb")), F.lit(0.0))
     fused = fused.withColumn("score", F.greatest(rrf, F.lit(0.0)))
-    ranked = _rank(fused, "score", [key_col]).filter(F.col("rank") <= F.col("top_k"))
-    res = ranked.select("query_id", "rank", key_col, "score", E.no_error().alias("error"))
-    return res.unionByName(_errors_only(q, key_col).select("query_id", "rank", key_col, "score", "error"))
+    return _finish(requests, _ranked(fused, [F.col("score").desc(), F.col(key_col)]), bad, corpus, key_col)

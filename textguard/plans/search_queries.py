@@ -25,6 +25,13 @@ def corpus(spark, sf_dir):
         F.concat(F.lit("p"), F.col("label").cast("string")).alias("project_id"))
 
 
+def all_documents(spark, sf_dir):
+    """Every document as a corpus row: project by id, vector from its own text (K1, 64 dimensions)."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", hash_embedding(F.col("text"), 64).alias("vector"), "text", "source",
+                    F.concat(F.lit("p"), (F.col("doc_id") % 10).cast("string")).alias("project_id"))
+
+
 def grants(spark):
     return spark.createDataFrame([("analyst", p) for p in GRANTED], "principal_id string, project_id string")
 
@@ -50,36 +57,94 @@ def hash_embed(spark, sf_dir):
         "doc_id", F.col("dim").cast("long"), F.round("value", 9).alias("value"))
 
 
-_VEC_ORACLE = (
-    "WITH corpus AS (SELECT d.doc_id, d.source, d.text, 'p' || e.label AS project_id, CAST(e.embedding AS DOUBLE[]) AS v "
-    "  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), "
-    "q AS (SELECT label AS query_id, 'p' || label AS project_id, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS qv FROM embeddings GROUP BY label), "
-    f"ok AS (SELECT * FROM q WHERE project_id IN {_GRANTED_SQL}), "
-    "s AS (SELECT ok.query_id, c.doc_id, c.source, c.text, "
-    "  1.0 / (1.0 + greatest(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - ok.qv[i]) * (c.v[i] - ok.qv[i]))), 0.0)) AS score "
-    "  FROM ok JOIN corpus c ON c.project_id = ok.project_id), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source, text, doc_id) AS rank FROM s) "
-    "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, doc_id, source, round(score, 6) AS score, "
-    "CAST(NULL AS VARCHAR) AS error_code FROM r WHERE rank <= 5 "
-    "UNION ALL SELECT CAST(query_id AS BIGINT), NULL, NULL, NULL, NULL, 'project_not_authorized' FROM q "
-    f"WHERE project_id NOT IN {_GRANTED_SQL}"
-)
+_L2 = "list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - ok.qv[i]) * (c.v[i] - ok.qv[i])))"
 
 
-@query("vector_topk", _VEC_ORACLE)
-def vector_topk(spark, sf_dir):
-    """K2/K3: per label, the first vector searches its own project (top 5, squared L2);
-    the p9 query is outside the analyst's grants and returns project_not_authorized."""
+def _vec_ctes(scale: str = "", text: str = "d.text") -> str:
+    v = "CAST(e.embedding AS DOUBLE[])" if not scale else f"list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x * {scale})"
+    return (
+        f"WITH corpus AS (SELECT d.doc_id, d.source, {text} AS text, 'p' || e.label AS project_id, {v} AS v "
+        "  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), "
+        f"q AS (SELECT label AS query_id, 'p' || label AS project_id, arg_min({v.replace('e.embedding', 'embedding')}, vec_id) AS qv FROM embeddings GROUP BY label), "
+        f"ok AS (SELECT * FROM q WHERE project_id IN {_GRANTED_SQL}), "
+        f"s AS (SELECT ok.query_id, c.project_id, c.doc_id, c.source, c.text, {_L2} AS d2 FROM ok JOIN corpus c ON c.project_id = ok.project_id), "
+        "r AS (SELECT *, 1.0 / (1.0 + greatest(d2, 0.0)) AS score, row_number() OVER (PARTITION BY query_id ORDER BY d2, source, doc_id) AS rank FROM s) "
+    )
+
+
+_REFUSED = (f"UNION ALL SELECT CAST(query_id AS BIGINT), NULL, NULL, NULL, NULL, 'project_not_authorized' FROM q WHERE project_id NOT IN {_GRANTED_SQL}")
+_ROWS = ("SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, doc_id, source, round(score, 6) AS score, "
+         "CAST(NULL AS VARCHAR) AS error_code FROM r WHERE rank <= 5 ")
+_FAILED = "UNION ALL SELECT DISTINCT CAST(query_id AS BIGINT), NULL::BIGINT, NULL::BIGINT, NULL, NULL, 'knowledge_unavailable' FROM r WHERE "
+
+
+def _label_queries(spark, sf_dir, scale: float | None = None):
+    """Per label, its first vector searches its own project."""
     e = read_table(spark, sf_dir, "embeddings")
-    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qvec")).select(
+    vec = F.min_by("embedding", "vec_id").cast("array<double>")
+    if scale:
+        vec = F.transform(vec, lambda x: x * F.lit(scale))
+    return e.groupBy("label").agg(vec.alias("qvec")).select(
         F.col("label").cast("long").alias("query_id"), F.lit("analyst").alias("principal_id"),
         F.concat(F.lit("p"), F.col("label").cast("string")).alias("project_id"),
         F.concat(F.lit("nearest to first vector of label "), F.col("label").cast("string")).alias("query"),
         F.lit(TOP_K).alias("top_k"), F.lit("vector").alias("search_mode"), "qvec")
-    res = K.vector_topk(q, corpus(spark, sf_dir), key_col="doc_id", grants=grants(spark))
+
+
+@query("vector_topk", f"{_vec_ctes()}{_ROWS}{_REFUSED}")
+def vector_topk(spark, sf_dir):
+    """K2/K3: per label, the first vector searches its own project (top 5, squared L2);
+    the p9 query is outside the analyst's grants and returns project_not_authorized."""
+    res = K.vector_topk(_label_queries(spark, sf_dir), corpus(spark, sf_dir), key_col="doc_id", grants=grants(spark))
+    return _out(res, with_source=True)
+
+
+@query("vector_far", f"{_vec_ctes('10000.0')}SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, doc_id FROM r WHERE rank <= 5")
+def vector_far(spark, sf_dir):
+    """K3 at large distances: vectors scaled by 10,000, ranked on the distance itself."""
+    c = corpus(spark, sf_dir).withColumn("vector", F.transform(F.col("vector").cast("array<double>"), lambda x: x * 10000.0))
+    res = K.vector_topk(_label_queries(spark, sf_dir, 10000.0), c, key_col="doc_id", grants=grants(spark))
+    return _out(res.filter(F.col("error").isNull())).select("query_id", "rank", "doc_id")
+
+
+# Project p3 holds vectors with a NaN, p5 vectors of another width.
+_BAD = "query_id IN (SELECT query_id FROM r WHERE project_id IN ('p3', 'p5') AND doc_id % 7 = 0)"
+
+
+@query("score_hygiene", f"{_vec_ctes()}{_ROWS}AND NOT {_BAD} {_FAILED}{_BAD} {_REFUSED}")
+def score_hygiene(spark, sf_dir):
+    """K5: a project with a NaN or a vector of another width fails its requests, whatever rank the row has."""
+    odd = F.col("doc_id") % 7 == 0
+    v = F.col("vector").cast("array<double>")
+    broken = (F.when(odd & (F.col("project_id") == "p3"), F.concat(F.array(F.lit(float("nan"))), F.slice(v, 2, 63)))
+              .when(odd & (F.col("project_id") == "p5"), F.slice(v, 1, 63)).otherwise(v))
+    res = K.vector_topk(_label_queries(spark, sf_dir), corpus(spark, sf_dir).withColumn("vector", broken), key_col="doc_id", grants=grants(spark))
     return _out(res, with_source=True)
 
 
+_LONG_SQL = "CASE WHEN d.doc_id % 40 = 0 THEN repeat('x', 102401) WHEN d.doc_id % 40 = 1 THEN repeat('x', 102400) ELSE d.text END"
+_TOO_LONG = "query_id IN (SELECT query_id FROM r WHERE rank <= 5 AND strlen(text) > 102400)"
+
+
+@query("result_caps", f"{_vec_ctes(text=_LONG_SQL)}{_ROWS}AND NOT {_TOO_LONG} {_FAILED}{_TOO_LONG} {_REFUSED}")
+def result_caps(spark, sf_dir):
+    """K6: a result text of 102,401 bytes fails its request, one of 102,400 bytes does not."""
+    d = F.col("doc_id") % 40
+    text = F.when(d == 0, F.repeat(F.lit("x"), 102401)).when(d == 1, F.repeat(F.lit("x"), 102400)).otherwise(F.col("text"))
+    res = K.vector_topk(_label_queries(spark, sf_dir), corpus(spark, sf_dir).withColumn("text", text), key_col="doc_id", grants=grants(spark))
+    return _out(res, with_source=True)
+
+
+@query("result_postfilter", f"{_vec_ctes()}SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, doc_id, md5(text) AS text_md5 FROM r WHERE rank <= 5")
+def result_postfilter(spark, sf_dir):
+    """K4: every row stands in a second project too, with the same key and vector; only the request's project may answer."""
+    c = corpus(spark, sf_dir)
+    other = c.withColumn("project_id", F.concat(F.lit("q"), F.col("project_id"))).withColumn("text", F.lit("of another project"))
+    res = K.vector_topk(_label_queries(spark, sf_dir), c.unionByName(other), key_col="doc_id", grants=grants(spark))
+    return res.filter(F.col("error").isNull()).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
 def _bench_queries(spark, sf_dir):
     b = read_table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), F.lit("analyst").alias("principal_id"),
@@ -88,8 +153,9 @@ def _bench_queries(spark, sf_dir):
 
 
 _BM25_CTE = (
-    "corpus AS (SELECT d.doc_id, d.source, d.text, 'p' || e.label AS project_id, CAST(e.embedding AS DOUBLE[]) AS v, "
-    f"  {_TOK.format(x='d.text')} AS toks FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), "
+    "corpus AS (SELECT d.doc_id, d.source, d.text, 'p' || (d.doc_id % 10) AS project_id, "
+    "  list_transform(range(0, 64), lambda i: (('0x' || substr(sha256(d.text), (i % 32) * 2 + 1, 2))::INTEGER / 255.0) * 2.0 - 1.0) AS v, "
+    f"  {_TOK.format(x='d.text')} AS toks FROM documents d), "
     "stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM corpus), "
     "post AS (SELECT doc_id, project_id, dl, t AS term, count(*) AS tf FROM "
     "  (SELECT doc_id, project_id, len(toks) AS dl, unnest(toks) AS t FROM corpus) GROUP BY ALL), "
@@ -114,9 +180,9 @@ _ERRS = ("UNION ALL SELECT CAST(query_id AS BIGINT), NULL, NULL, NULL, 'project_
     f"CAST(NULL AS VARCHAR) AS error_code FROM bmr WHERE rank <= 5 {_ERRS}"
 ))
 def bm25_topk(spark, sf_dir):
-    """K7 (text half): BM25 (k1 = 1.2, b = 0.75) top 5 per benchmark query inside its project."""
-    idx = K.build_text_index(corpus(spark, sf_dir), key_col="doc_id")
-    res = K.bm25_topk(_bench_queries(spark, sf_dir), idx, grants=grants(spark))
+    """K7 (text half): BM25 (k1 = 1.2, b = 0.75) top 5 per benchmark query inside its project, over all documents."""
+    c = all_documents(spark, sf_dir)
+    res = K.bm25_topk(_bench_queries(spark, sf_dir), c, K.build_text_index(c, key_col="doc_id"), key_col="doc_id", grants=grants(spark))
     return _out(res)
 
 
@@ -125,26 +191,24 @@ _QVEC = ("list_transform(range(0, 64), lambda i: (('0x' || substr(sha256(query),
 
 @query("hybrid_rrf", (
     f"WITH {_BM25_CTE}, "
-    f"qv AS (SELECT query_id, project_id, {_QVEC} AS qv FROM ok), "
-    "vs AS (SELECT qv.query_id, c.doc_id, c.source, c.text, "
-    "  1.0 / (1.0 + greatest(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - qv.qv[i]) * (c.v[i] - qv.qv[i]))), 0.0)) AS score "
-    "  FROM qv JOIN corpus c ON c.project_id = qv.project_id), "
-    "vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source, text, doc_id) AS rank FROM vs), "
+    f"ok2 AS (SELECT query_id, project_id, {_QVEC} AS qv FROM ok), "
+    f"vs AS (SELECT ok.query_id, c.doc_id, c.source, {_L2} AS d2 FROM ok2 ok JOIN corpus c ON c.project_id = ok.project_id), "
+    "vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, source, doc_id) AS rank FROM vs), "
     "f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, "
     "  coalesce(1.0 / (60 + a.rank), 0.0) + coalesce(1.0 / (60 + b.rank), 0.0) AS score "
     "  FROM (SELECT * FROM vr WHERE rank <= 5) a FULL OUTER JOIN (SELECT * FROM bmr WHERE rank <= 5) b "
     "  ON a.query_id = b.query_id AND a.doc_id = b.doc_id), "
-    "fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) "
-    "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(greatest(score, 0.0), 6) AS score, "
-    f"CAST(NULL AS VARCHAR) AS error_code FROM fr WHERE rank <= 5 {_ERRS}"
+    "fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) "
+    "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, fr.doc_id, d.source, round(greatest(score, 0.0), 6) AS score, "
+    f"CAST(NULL AS VARCHAR) AS error_code FROM fr JOIN documents d ON d.doc_id = fr.doc_id WHERE rank <= 5 {_ERRS.replace('NULL, NULL, NULL,', 'NULL, NULL, NULL, NULL,')}"
 ))
 def hybrid_rrf(spark, sf_dir):
-    """K7/K8: reciprocal-rank fusion (k = 60) of the vector ranking (hash-embedded query text,
-    64 dims) and the BM25 ranking, each cut at top_k."""
-    c = corpus(spark, sf_dir)
+    """K7/K8: reciprocal-rank fusion (k = 60) of the vector ranking (hash-embedded texts, 64 dims) and the BM25
+    ranking, each cut at top_k, over all documents."""
+    c = all_documents(spark, sf_dir)
     idx = K.build_text_index(c, key_col="doc_id")
     res = K.hybrid_topk(_bench_queries(spark, sf_dir), c, idx, key_col="doc_id", grants=grants(spark), embed_dims=64)
-    return _out(res)
+    return _out(res, with_source=True)
 
 
 @query("hybrid_without_index", (
@@ -154,5 +218,5 @@ def hybrid_rrf(spark, sf_dir):
 ))
 def hybrid_without_index(spark, sf_dir):
     """K7: hybrid search without a text index fails per query; it never falls back to vector search."""
-    res = K.hybrid_topk(_bench_queries(spark, sf_dir), corpus(spark, sf_dir), None, key_col="doc_id", grants=grants(spark))
+    res = K.hybrid_topk(_bench_queries(spark, sf_dir), all_documents(spark, sf_dir), None, key_col="doc_id", grants=grants(spark))
     return _out(res)
