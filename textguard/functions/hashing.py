@@ -38,11 +38,6 @@ def key_table(spark: SparkSession, key: bytes | None = None) -> DataFrame:
     return spark.createDataFrame([(0, bytearray(ipad), bytearray(opad))], schema)
 
 
-def hmac_sha256_hex(value: Column, ipad: Column, opad: Column) -> Column:
-    inner = F.unhex(F.sha2(F.concat(ipad, F.encode(value, "UTF-8")), 256))
-    return F.sha2(F.concat(opad, inner), 256)
-
-
 def uuid4_from_hex(h: Column) -> Column:
     """Format 32+ hex chars as a canonical lower-case UUID with version 4 and RFC variant."""
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, 1)
@@ -52,13 +47,20 @@ def uuid4_from_hex(h: Column) -> Column:
     )
 
 
-def session_id(run_token: str, *key_cols: Column) -> Column:
-    """Deterministic v4-shaped id from (run token, row key).
+def with_token(df: DataFrame, run_token: str) -> DataFrame:
+    """Add the run token as a column from a one-row table, so that it is no literal of the plan."""
+    schema = T.StructType([T.StructField("_tg_tk", T.IntegerType(), False), T.StructField("_tg_token", T.StringType(), False)])
+    tokens = df.sparkSession.createDataFrame([(0, run_token)], schema)
+    return df.withColumn("_tg_tk", F.lit(0)).join(F.broadcast(tokens), "_tg_tk").drop("_tg_tk")  # one row
+
+
+def session_id(*key_cols: Column) -> Column:
+    """Deterministic v4-shaped id from the run token (column ``_tg_token``) and the row key.
 
     Recomputing a lost partition yields the same ids, so the masked output and the
     mapping table always agree.
     """
-    parts = [F.lit(run_token)] + [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in key_cols]
+    parts = [F.col("_tg_token")] + [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in key_cols]
     return uuid4_from_hex(F.sha2(F.concat_ws("\u001f", *parts), 256))
 
 

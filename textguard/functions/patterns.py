@@ -98,10 +98,6 @@ PRIVATE_KEY_BLOCK = Recognizer(
     gate="-----BEGIN ", secret=True)
 
 
-def by_etype(etype: str) -> list[Recognizer]:
-    return [r for r in BUILTIN if r.etype == etype]
-
-
 def builtin(mask_pem_body: bool = False) -> tuple[Recognizer, ...]:
     """The built-in rules; ``mask_pem_body`` swaps the header-only PEM rule for the block rule."""
     if not mask_pem_body:

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textguard.functions.checksums import candidate_check
 from textguard.functions import sqltext as S
 from textguard.functions.patterns import MAX_ENTITIES, Recognizer
 
@@ -49,90 +48,11 @@ def span(etype, value, start, end, ord_) -> Column:
     )
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
-def overlaps_any(s: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: overlaps(s, o))
-
-
-def prefix_sums(lengths: Column) -> Column:
-    """Inclusive prefix sums of an int array in ceil(log2 n) passes (Hillis-Steele scan).
-
-    Each pass reads the previous pass's array through the lambda variable, so element
-    access is O(1) and the whole scan is O(n log n) - no quadratic array appends.
-    """
-    size = F.size(lengths)
-    strides = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda j: F.pow(F.lit(2), j).cast("int")),
-                       lambda k: k < size)
-    return F.aggregate(
-        strides, lengths,
-        lambda acc, k: F.transform(acc, lambda x, i: x + F.when(i >= k, acc[i - k]).otherwise(0)),
-    )
-
-
-def match_offsets(vals: Column, gaps: Column, etype, ord_) -> Column:
-    """Spans with code-point offsets: end_i = sum of (gap_j + match_j) lengths for j <= i."""
-    steps = F.zip_with(vals, F.slice(gaps, 1, F.size(vals)), lambda v, g: F.char_length(g) + F.char_length(v))
-    return F.zip_with(vals, prefix_sums(steps),
-                      lambda v, e: span(etype, v, e - F.char_length(v), e, ord_))
-
-
-def literal_offsets(gaps: Column, term: str, etype, ord_) -> Column:
-    """Spans of a literal term from the pieces between its occurrences."""
-    n = len(term)  # code points, like Python len()
-    steps = F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda g: F.char_length(g) + n)
-    return F.transform(prefix_sums(steps), lambda e: span(etype, term, e - n, e, ord_))
-
-
 def quote_literal(term: str) -> str:
     """Java regex quoting of a literal (same rule as Pattern.quote)."""
     return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def _span_len(s: Column) -> Column:
-    return s["end"] - s["start"]
-
-
-def _priority(a: Column, b: Column) -> Column:
-    """Longest first, then leftmost, then detection order."""
-    return (
-        F.when(_span_len(a) > _span_len(b), -1).when(_span_len(a) < _span_len(b), 1)
-        .when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
-        .when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1)
-        .otherwise(0)
-    )
-
-
-def sort_by_start(spans: Column) -> Column:
-    return F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
-                        .when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))
-
-
-def no_overlaps(by_start: Column) -> Column:
-    """True when spans sorted by start never overlap: each start >= the previous end (O(n))."""
-    return F.forall(
-        F.sequence(F.lit(1), F.greatest(F.size(by_start) - 1, F.lit(1))),
-        lambda i: (i >= F.size(by_start)) | (by_start[i - 1]["end"] <= by_start[i]["start"]),
-    )
-
-
-def greedy_resolve(spans: Column) -> Column:
-    """Greedy pass in priority order: keep a span when it overlaps no kept span."""
-    ordered = F.array_sort(spans, _priority)
-    kept = F.aggregate(
-        ordered, empty_spans(),
-        lambda kept, s: F.when(overlaps_any(s, kept), kept).otherwise(F.concat(kept, F.array(s))),
-    )
-    return sort_by_start(kept)
-
-
-def resolve_overlaps(spans: Column) -> Column:
-    """D3 as a single expression (greedy pass on every row). Prefer ``add_resolved``."""
-    return greedy_resolve(spans)
-
-
 def add_resolved(df: DataFrame, spans: Column | str, out_col: str, tmp: str = "_tg_bystart") -> DataFrame:
     """D3: longest, then leftmost, then detection order wins; output left to right.
 
@@ -147,14 +67,6 @@ def add_resolved(df: DataFrame, spans: Column | str, out_col: str, tmp: str = "_
     return df.withColumn(out_col, F.expr(f"IF({S.no_overlaps(t)}, {t}, {S.greedy(t)})")).drop(tmp)
 
 
-def _checker(kind):
-    return lambda x: candidate_check(kind, x)
-
-
-def _span_checker(kind):
-    return lambda s: candidate_check(kind, s["value"])
-
-
 def find_spans(
     df: DataFrame,
     text_col: str,

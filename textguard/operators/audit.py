@@ -116,10 +116,14 @@ def to_json_text(snap: DataFrame) -> DataFrame:
 
 
 def public_projection(json_text: Column) -> Column:
-    """Keep only the allowed keys of a JSON object; null when over 64 KiB or not an object.
+    """Keep only the allowed keys of a JSON object, each value as it is (explicit nulls, fractions and
+    nested objects included); null when over 64 KiB, not valid JSON as a whole, or not an object."""
+    v = F.try_parse_json(json_text)
 
-    Parsing with a fixed schema drops every unlisted key.
-    """
-    parsed = F.from_json(json_text, SNAPSHOT_SCHEMA)
-    is_object = F.ltrim(json_text).startswith("{") & F.from_json(json_text, "map<string,string>").isNotNull()
-    return F.when((F.octet_length(json_text) <= MAX_STATS_BYTES) & is_object, F.to_json(parsed))
+    def pair(key: str) -> Column:
+        value = F.variant_get(v, f"$.{key}", "variant")
+        return F.when(value.isNotNull(), F.concat(F.lit(f'"{key}":'), F.to_json(value)))
+
+    pairs = F.array_compact(F.array(*[pair(f.name) for f in SNAPSHOT_SCHEMA.fields]))
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    return F.when((F.octet_length(json_text) <= MAX_STATS_BYTES) & is_object, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,7 @@ from textguard.functions.spans import (
 )
 from textguard.operators import validate as V
 from textguard.operators.partitioning import spread
+from textguard.session import written
 
 MAX_MAPPING_BYTES = 100 * 1024 * 1024
 _P = "_tg"  # prefix of internal columns
@@ -182,6 +183,10 @@ def anonymize(
 ) -> Anonymized:
     """Mask every row of ``text_col``; return (masked rows, mapping rows).
 
+    ``key_cols`` must be unique per row (the mapping fails if they are not); without them ids are drawn
+    once and the input is written to the shared folder with them. Input columns named like an added
+    column are refused.
+
     Added columns: ``anonymized_text``, ``pii_count``, ``session_id`` (placeholder strategy
     with at least one entity), ``strategy`` (otherwise), ``error``. The mapping DataFrame
     has one row per session: ``session_id, principal_id, created_at, size_bytes, mappings``
@@ -203,10 +208,20 @@ def anonymize(
     wl = V.check_terms("whitelist", whitelist)
     bl = V.check_terms("blacklist", blacklist)
     base_cols = df.columns
+    clash = sorted({"anonymized_text", "pii_count", "session_id", "strategy", "error", "entities"} & set(base_cols))
+    if clash:
+        raise ValueError(f"rename the input columns {clash}: the result has columns of these names")
     text = F.col(text_col)
     lang = F.col(lang_col) if lang_col else F.lit(language)
     run_token = run_token or secrets.token_hex(16)
     spark = df.sparkSession
+    row_id = list(key_cols)
+    if strategy == "placeholder":
+        if not row_id:  # ids are drawn once and written with the rows, so every consumer sees the same
+            df = df.withColumn(f"{_P}_uid", F.expr("uuid()"))
+            df = df if df.isStreaming else written(df, "keyed-input")
+            row_id = [f"{_P}_uid"]
+        df = hashing.with_token(df, run_token)
 
     # V1/V2: row validation; rejected rows are not scanned.
     out = spread(df).withColumn(f"{_P}_verr", V.anonymize_request_error(text, lang))
@@ -282,11 +297,11 @@ def anonymize(
         f"'value', s.`value`))), m -> octet_length(m.`placeholder`) + octet_length(m.`value`)), 0L, (a, b) -> a + b)")
     count = F.size(ents_c)
     reversible = F.lit(strategy == "placeholder") & (count > 0)
-    key_exprs = [F.col(c) for c in key_cols] if key_cols else [F.col(text_col)]
-    sid = hashing.session_id(run_token, *key_exprs)
+    sid = hashing.session_id(*[F.col(c) for c in row_id]) if strategy == "placeholder" else F.lit(None).cast("string")
 
     out = out.select(
-        *[F.col(c) for c in base_cols if c not in ("error",)],
+        *[F.col(c) for c in base_cols],
+        *[F.col(c) for c in (*row_id, f"{_P}_token") if c not in base_cols and strategy == "placeholder"],
         F.when(F.col("error").isNull(), masked).alias("anonymized_text"),
         F.when(F.col("error").isNull(), count).alias("pii_count"),
         ents_c.alias(f"{_P}_ents"),
@@ -324,6 +339,10 @@ def anonymize(
     )
     mapping = out.select(F.inline(F.when(F.col("session_id").isNotNull(), F.array(mapping_row))
                                   .otherwise(F.array().cast(T.ArrayType(mapping_row_type(out, key_cols))))))
+    if key_cols and not out.isStreaming:  # keys that repeat would share a session: fail instead
+        same = F.count("*").over(Window.partitionBy("session_id"))
+        mapping = mapping.withColumn(f"{_P}_same", same).withColumn("session_id", F.when(
+            F.col(f"{_P}_same") == 1, F.col("session_id")).otherwise(F.raise_error(F.lit("key columns are not unique")))).drop(f"{_P}_same")
     masked_cols = [F.col(c) for c in out.columns if not c.startswith(_P)]
     if keep_entities:
         masked_cols.append(F.when(ok, F.col(f"{_P}_ents")).alias("entities"))

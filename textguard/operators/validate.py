@@ -38,9 +38,9 @@ def options_ok(strategy: Column, on_secret: Column) -> Column:
 def check_options(strategy: str, on_secret: str) -> None:
     """V3 for job parameters: fail fast on the driver."""
     if strategy not in STRATEGIES:
-        raise ValueError("unsupported masking strategy")
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
     if on_secret not in SECRET_POLICIES:
-        raise ValueError("unsupported secret policy")
+        raise ValueError(f"on_secret must be one of {SECRET_POLICIES}")
 
 
 def terms_ok(terms: Column) -> Column:
@@ -61,10 +61,10 @@ def check_terms(name: str, terms: Iterable[str] | None) -> tuple[str, ...]:
         return ()
     terms = list(terms)
     if len(terms) > MAX_TERMS:
-        raise ValueError(f"{name} must contain at most {MAX_TERMS} entries")
+        raise ValueError(f"{name}: {len(terms)} terms, limit {MAX_TERMS}")
     for t in terms:
         if not isinstance(t, str) or not t or len(t.encode("utf-8")) > MAX_TERM_BYTES:
-            raise ValueError(f"{name} terms must contain 1-{MAX_TERM_BYTES} UTF-8 bytes")
+            raise ValueError(f"{name}: a term is empty or longer than {MAX_TERM_BYTES} bytes")
     return tuple(dict.fromkeys(terms))
 
 

@@ -60,7 +60,7 @@ def restore(
     Error precedence (first failing check wins): text size -> id shape -> unknown or
     expired (age > ttl; a request older than the session is unknown) -> owner ->
     amplification. With ``at_edge=True`` the first two map to ``validation_error`` as at
-    the tool boundary; otherwise they are vault errors.
+    the tool boundary, and an empty text is one too; otherwise they are vault errors.
     """
     m = mapping.select(
         F.col("session_id").alias("_tg_sid"),
@@ -84,7 +84,7 @@ def restore(
     j = j.withColumn("_tg_r", F.when(found & owner_ok & (F.octet_length(text) <= max_restore_bytes),
                                      replace_longest_first(text, F.col("_tg_maps"), max_restore_bytes)))
     err = E.first_error(
-        (text.isNull() | (F.octet_length(text) > max_restore_bytes), size_code),
+        (text.isNull() | (F.octet_length(text) > max_restore_bytes) | (F.lit(at_edge) & (F.octet_length(text) == 0)), size_code),
         (~F.col("_tg_idok"), id_code),
         (~found, E.SESSION_NOT_FOUND),
         (~owner_ok, E.SESSION_NOT_AUTHORIZED),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textguard.functions import checksums as C
 from textguard.functions import patterns as P
+from textguard.functions import sqltext as S
 from textguard.operators.masking import detect
 from textguard.plans import duck
 from textguard.plans.registry import query
@@ -91,7 +91,7 @@ def iban_checksum(spark, sf_dir):
         F.struct(F.lit(3).cast("long").alias("kind"), F.expr(_IBAN3).alias("candidate")),
     )
     out = docs.select("doc_id", F.inline(cands))
-    return out.select("doc_id", "kind", "candidate", C.valid_iban(C.normalize_candidate(F.col("candidate"))).alias("valid"))
+    return out.select("doc_id", "kind", "candidate", F.expr(S.valid_iban(S.normalized("candidate"))).alias("valid"))
 
 
 @query("tax_id_checksum", (
@@ -109,7 +109,7 @@ def tax_id_checksum(spark, sf_dir):
         F.struct(F.lit(3).cast("long").alias("kind"), F.expr("repeat(cast(doc_id % 10 as string), 11)").alias("candidate")),
     )
     out = docs.select("doc_id", F.inline(cands))
-    return out.select("doc_id", "kind", "candidate", C.valid_tax_id(F.col("candidate")).alias("valid"))
+    return out.select("doc_id", "kind", "candidate", F.expr(S.valid_tax_id("candidate")).alias("valid"))
 
 
 @query("entity_cap", (

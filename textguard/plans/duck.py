@@ -49,7 +49,7 @@ def seeded(kind: str, text: str = "text") -> str:
     return f"{text} || chr(10) || {ok} || ' ;' || chr(10) || {bad} || ' ;' || chr(10)"
 
 
-# RE2 forms. Rules with lookaround are emulated with consumed delimiters, group 1.
+# The recognition rules in RE2 form. Rules with lookaround are emulated with consumed delimiters, group 1.
 RE2 = {
     "EMAIL_ADDRESS": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0),
     "IBAN_CODE": (r"(?:^|[^A-Za-z0-9])([A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9][ -]?){10,34})(?:[^A-Za-z0-9]|$)", 1),

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textguard.session import written
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -24,6 +27,28 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+_HELD: list = []
+
+
+def hold(result):
+    """Remember a masking pass that persists; ``releasing`` drops it once the query's rows are written."""
+    _HELD.append(result)
+    return result
+
+
+def releasing(fn: QueryFn) -> QueryFn:
+    """The query's result is written to the shared folder, then the passes it persisted are released."""
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _HELD.clear()
+        try:
+            return written(fn(spark, sf_dir), fn.__name__)
+        finally:
+            while _HELD:
+                _HELD.pop().release()
+    return run
+
+
 def load_all() -> None:
     """Import every plan module so their queries register."""
     from textguard.plans import (  # noqa: F401

@@ -32,10 +32,10 @@ def escape_untrusted(spark, sf_dir):
 
 
 @query("render_prompts", (
-    f"SELECT page_id, {_sql_str(X._SECURITY_HEAD)} || {_ESC_D} || {_sql_str(X._SECURITY_TAIL)} AS security_prompt, "
-    f"{_sql_str(X._PRIVACY_HEAD)} || {_ESC_D} || {_sql_str(X._PRIVACY_TAIL)} AS privacy_prompt, "
-    f"CAST((length({_sql_str(X._SECURITY_HEAD)} || {_ESC_D} || {_sql_str(X._SECURITY_TAIL)}) - "
-    f"length(replace({_sql_str(X._SECURITY_HEAD)} || {_ESC_D} || {_sql_str(X._SECURITY_TAIL)}, '{X.ARCH_CLOSE}', ''))) "
+    f"SELECT page_id, {_sql_str(X.SECURITY_HEAD)} || {_ESC_D} || {_sql_str(X.SECURITY_TAIL)} AS security_prompt, "
+    f"{_sql_str(X.PRIVACY_HEAD)} || {_ESC_D} || {_sql_str(X.PRIVACY_TAIL)} AS privacy_prompt, "
+    f"CAST((length({_sql_str(X.SECURITY_HEAD)} || {_ESC_D} || {_sql_str(X.SECURITY_TAIL)}) - "
+    f"length(replace({_sql_str(X.SECURITY_HEAD)} || {_ESC_D} || {_sql_str(X.SECURITY_TAIL)}, '{X.ARCH_CLOSE}', ''))) "
     f"// {len(X.ARCH_CLOSE)} AS BIGINT) AS n_close FROM pages"
 ))
 def render_prompts(spark, sf_dir):

@@ -33,14 +33,15 @@ def entity_counts(stream: DataFrame, text_col: str = "text", **anonymize_kwargs)
 
 
 def admission_state(stream: DataFrame, key_col: str, ts_col: str, id_col: str, *, limit: int,
-                    window_seconds: float, keep_equal_age: bool) -> DataFrame:
+                    window_seconds: float, keep_equal_age: bool, lateness: str = "0 seconds") -> DataFrame:
     """T8/T10 on a stream: per key, the admitted timestamps still inside the window are the state.
 
-    Rows of one key are sorted by (ts, id) inside each micro-batch; across batches the
-    arrival order is the order of decisions, as for a live limiter.
+    Rows of one key are sorted by (ts, id) inside each micro-batch; across batches the arrival order is the
+    order of decisions, as for a live limiter. A key's state leaves when the watermark has passed its last
+    admitted call by the window: from then on it cannot influence a decision.
     """
     window_us = int(round(window_seconds * 1_000_000))
-    staged = stream.withColumn("_tg_us", epoch_micros(stream, ts_col))
+    staged = stream.withColumn("_tg_us", epoch_micros(stream, ts_col)).withColumn("_tg_time", F.timestamp_micros("_tg_us")).withWatermark("_tg_time", lateness)
     out_schema = T.StructType([
         T.StructField(id_col, stream.schema[id_col].dataType),
         T.StructField(key_col, stream.schema[key_col].dataType),
@@ -49,38 +50,47 @@ def admission_state(stream: DataFrame, key_col: str, ts_col: str, id_col: str, *
     state_schema = T.StructType([T.StructField("log", T.ArrayType(T.LongType()))])
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = deque((int(t), 0, None) for t in (state.get[0] if state.exists else []))
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_tg_us", id_col], kind="stable")
         flags, log = admit_sequence(pdf["_tg_us"].to_numpy(np.int64), limit, window_us, keep_equal_age, state=log)
         state.update(([e[0] for e in log],))
+        last = int(pdf["_tg_us"].iloc[-1])
+        state.setTimeoutTimestamp(max((max(last, log[-1][0] if log else last) + window_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key_col: pdf[key_col].to_numpy(), "accepted": flags == ACCEPTED})
 
     return staged.groupBy(key_col).applyInPandasWithState(
-        fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+        fold, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Drain a streaming query with ``availableNow`` into Parquet and return it as a table.
+def run_available_now(df: DataFrame, name: str, output_mode: str = "append", base: str | None = None) -> DataFrame:
+    """Drain a streaming query with ``availableNow`` into Parquet and return all that it has written so far.
 
-    Each micro-batch is written by ``foreachBatch`` under the session's shared checkpoint
-    folder (overwritten in complete mode, appended otherwise), next to the stream's own
-    checkpoint, so nothing is held on the driver and a restarted driver resumes.
+    Every micro-batch overwrites the folder of its batch id, so a replayed batch replaces its own rows; in
+    complete mode the latest batch is the result. ``base`` (a folder that executors share) holds these folders
+    and the stream's checkpoint: a later call with the same ``base`` goes on where the earlier one stopped.
     """
     spark = df.sparkSession
-    base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
+    base = base or os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
     out_path, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    complete = output_mode == "complete"
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite" if complete else "append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch_id}"))
 
     q = (df.writeStream.foreachBatch(write).outputMode(output_mode)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    schema = T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])
     try:
-        return spark.read.schema(df.schema).parquet(out_path)
+        rows = spark.read.schema(schema).parquet(out_path)
     except AnalysisException:  # no micro-batch ran: the stream was empty
         return spark.createDataFrame([], df.schema)
+    if output_mode == "complete":
+        latest = rows.agg(F.max("epoch")).first()[0]
+        rows = rows.where(F.col("epoch") == latest) if latest is not None else rows
+    return rows.drop("epoch")
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -91,22 +101,27 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files_per_t
 
 
 def mask_stream(stream: DataFrame, text_col: str, out_path: str, *, checkpoint_path: str | None = None,
-                mapping_path: str | None = None, available_now: bool = True, **anonymize_kwargs):
-    """S4/S5 on a stream: mask every micro-batch and append the masked rows to ``out_path``;
-    mapping rows go to ``mapping_path`` only when one is given. Each batch id writes its own
-    directory in overwrite mode, so a batch replayed after a failure (the checkpoint records
-    progress) rewrites the same deterministic rows - session ids derive from the run token and
-    the row key. Returns the started query."""
+                mapping_path: str | None = None, available_now: bool = True, run_token: str | None = None, **anonymize_kwargs):
+    """S4/S5 on a stream: mask every micro-batch and write the masked rows below ``out_path``; mapping rows go
+    to ``mapping_path`` only when one is given.
+
+    Each batch id writes its own folder in overwrite mode. Session ids derive from the run token and the row
+    key, so a replayed batch rewrites the same rows only if a restart is given the same ``run_token``: it is
+    required together with ``checkpoint_path`` and ``mapping_path``. Returns the started query."""
     spark = stream.sparkSession
+    if checkpoint_path and mapping_path and run_token is None:
+        raise ValueError("a stream that restarts from a checkpoint needs a fixed run_token for its session ids")
     ckpt = checkpoint_path or os.path.join(checkpoint_dir(spark), f"mask-stream-{uuid.uuid4().hex}")
-    anonymize_kwargs.setdefault("run_token", uuid.uuid4().hex)
+    token = run_token or uuid.uuid4().hex
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        a = anonymize(batch, text_col, reuse=mapping_path is not None, **anonymize_kwargs)
-        # One directory per batch id, overwritten: a replayed batch replaces its own rows.
-        a.masked.write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch_id}"))
-        if mapping_path is not None:
-            a.mapping.write.mode("overwrite").parquet(os.path.join(mapping_path, f"epoch={epoch_id}"))
+        a = anonymize(batch, text_col, reuse=mapping_path is not None, run_token=token, **anonymize_kwargs)
+        try:
+            a.masked.write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch_id}"))
+            if mapping_path is not None:
+                a.mapping.write.mode("overwrite").parquet(os.path.join(mapping_path, f"epoch={epoch_id}"))
+        finally:
+            a.release()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w
