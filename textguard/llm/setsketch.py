@@ -42,10 +42,10 @@ REGISTERS = BANDS * ROWS
 BASE, TOP = 1.1, 255
 #: Buckets up to this size compare all members: at most half as many rows per member.
 SMALL_BUCKET = 24
-#: Pivots of a large bucket in the first round, four times as many in each that follows; and the pairs a member
+#: Pivots of a large bucket: one in the first round, then four times as many in each that follows; the pairs a member
 #: that may be left for a bucket to be finished by comparing all that is not connected.
 PIVOTS, MOST_PIVOTS = 6, 96
-LEFT_PAIRS = 128
+LEFT_PAIRS = 512
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _MUL = (_RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * 2 + 1)[:, None]
@@ -228,35 +228,46 @@ def _small_pairs(meet: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "bucket").where((F.col("a") < F.col("b")) & _near_sizes("n_a", "n_b", percent)).select("a", "b")
 
 
-def _reachable(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows whose set can be alike enough to a member of its bucket, whichever: their shared shingles suffice
-    beside the smallest set of the bucket."""
-    least = rows.groupBy("bucket").agg(F.min("size").alias("least"))
-    return rows.join(least, "bucket").where((100 + percent) * F.col("most") >= percent * (F.col("size") + F.col("least"))).drop("least")
-
-
 def _pivots(active: DataFrame, turn: int) -> DataFrame:
-    """(bucket, pivot, pivot_size, pivot_most): the member that meets most others, and a few drawn by hash."""
-    many = min(MOST_PIVOTS, PIVOTS * 4**turn)
-    member = [F.col("rep").alias("pivot"), F.col("size").alias("pivot_size"), F.col("most").alias("pivot_most")]
-    drawn = [F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn * MOST_PIVOTS + k)).alias("h"), F.struct(*member).alias("m"))) for k in range(many - 1)]
-    drawn.append(F.max(F.struct("weight", F.struct(*member).alias("m"))))
+    """(bucket, pivot, pivot_size): first the member that meets most others, later more and more drawn by hash."""
+    member = F.struct(F.col("rep").alias("pivot"), F.col("size").alias("pivot_size"))
+    if turn == 0:
+        drawn = [F.max(F.struct("weight", F.xxhash64("rep").alias("h"), member.alias("m")))]
+    else:
+        drawn = [F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn * MOST_PIVOTS + k)).alias("h"), member.alias("m"))) for k in range(min(MOST_PIVOTS, PIVOTS * 4**turn))]
     rows = active.groupBy("bucket").agg(*[d.alias(f"p{k}") for k, d in enumerate(drawn)])
-    return rows.select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.m") for k in range(many)]))).alias("p")).select("bucket", "p.*")
+    return rows.select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.m") for k in range(len(drawn))]))).alias("p")).select("bucket", "p.*")
+
 
+def _shared_shingles(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b, shared: the exact number of shingles that both sets have."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist())
+            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int32())], names=["a", "b", "shared"])
 
-def _alike(a: str, b: str, percent: int):
-    """Can two sets be alike enough, by their sizes (``a``, ``b``) and most shared shingles (``a_most``, ``b_most``)?"""
-    return _near_sizes(a, b, percent) & ((100 + percent) * F.least(f"{a}_most", f"{b}_most") >= percent * (F.col(a) + F.col(b)))
+    sets = known.select("rep", "shingles")
+    rows = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
+    return rows.mapInArrow(count, "a long, b long, shared int")
 
 
 def _cross_pairs(active: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members with different labels: those outside a bucket's main label against all others."""
+    """Pairs of members with different labels: those outside a bucket's main label against all others.
+
+    A pair is made in the first bucket that it shares, and only if it can be alike enough: two sets share no more
+    than the smaller part that either shares with the bucket's pivot, plus the smaller rest that either shares
+    with any member.
+    """
     rows = active.join(buckets.select("bucket", "main"), "bucket")
-    rest = rows.where("label != main").select("bucket", F.col("rep").alias("a"), F.col("label").alias("x"), F.col("size").alias("n"), F.col("most").alias("n_most"))
-    other = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("y"), F.col("size").alias("m"), F.col("most").alias("m_most"), "main")
+    places = rows.groupBy("rep").agg(F.collect_set("bucket").alias("places"))  # BANDS at most
+    rows = rows.join(places, "rep")
+    rest = rows.where("label != main").select("bucket", F.col("rep").alias("a"), F.col("label").alias("x"), F.col("size").alias("n"), F.col("inside").alias("i"), F.col("outside").alias("o"), F.col("places").alias("p"))
+    other = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("y"), F.col("size").alias("m"), F.col("inside").alias("j"), F.col("outside").alias("u"), F.col("places").alias("q"), "main")
     once = (F.col("y") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = rest.join(other, "bucket").where((F.col("x") != F.col("y")) & once & _alike("n", "m", percent))
+    enough = (100 + percent) * (F.least("i", "j") + F.least("o", "u")) >= percent * (F.col("n") + F.col("m"))
+    first = F.col("bucket") == F.array_min(F.array_intersect("p", "q"))
+    pairs = rest.join(other, "bucket").where((F.col("x") != F.col("y")) & once & _near_sizes("n", "m", percent) & enough & first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -265,30 +276,40 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     bands = stored(_band_rows(reps), "bands")
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     meet = stored(bands.join(sizes, "bucket"), "buckets")
-    pairs, links, turn = _small_pairs(meet, percent), None, 0
+    pairs, turn = _small_pairs(meet, percent), 0
     large = meet.where(F.col("n") > SMALL_BUCKET)
     members = large.groupBy("rep").agg(F.sum("n").alias("weight"))
     known = _sets(members.select("rep"), reps, docs, width)
     members = stored(members.join(_most_shared(known), "rep"), "members")
-    active = stored(_reachable(large.join(members, "rep"), percent).select("bucket", "rep", "size", "most", "weight"), "active")
+    # who shares too little with all members together cannot be alike enough to any
+    active = stored(large.join(members, "rep").where(100 * F.col("most") >= percent * F.col("size")).select("bucket", "rep", "size", "most", "weight"), "active")
+    links = None
+    if not active.isEmpty():
+        pivots = stored(_pivots(active, 0), "pivots")
+        hub = active.join(pivots, "bucket")
+        spokes = hub.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        shared = stored(_shared_shingles(spokes, known), "spokes")
+        hub = hub.join(shared.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "shared"), ["rep", "pivot"])  # without the pivots themselves
+        alike = hub.where((100 + percent) * F.col("shared") >= percent * (F.col("size") + F.col("pivot_size")))
+        links = stored(alike.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "near-links")
+        active = stored(hub.select("bucket", "rep", "size", "weight", F.col("shared").alias("inside"), (F.col("most") - F.col("shared")).alias("outside")), "active")
     while True:
-        more = not active.isEmpty()
+        more = turn > 0 and not active.isEmpty()
         if more:
             pivots = stored(_pivots(active, turn), "pivots")
-            hub = active.withColumnRenamed("most", "size_most").join(pivots.withColumnRenamed("pivot_most", "pivot_size_most"), "bucket")
-            hub = hub.where((F.col("rep") != F.col("pivot")) & _alike("size", "pivot_size", percent))
+            hub = active.join(pivots, "bucket").where((F.col("rep") != F.col("pivot")) & _near_sizes("size", "pivot_size", percent))
             pairs = pairs.unionByName(hub.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
             active = active.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
         found, known = _verify(pairs.distinct(), reps, docs, known, width, percent)
         links = found if links is None else links.unionByName(found)
-        if not more:
+        if active.isEmpty():
             return links
         active = stored(active.join(_connected(reps, links), "rep"), "active")
         state = active.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(
             F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
         state = stored(state.where("labels > 1").withColumn("near", (F.col("n") * F.col("n") - F.col("squares")) / 2 <= LEFT_PAIRS * F.col("n")), "bucket-state")
         pairs = _cross_pairs(active, state.where("near"), percent)
-        active = active.join(state.where("not near").select("bucket"), "bucket", "left_semi").drop("label")
+        active = stored(active.join(state.where("not near").select("bucket"), "bucket", "left_semi").drop("label"), "active")
         turn += 1
 
 
