@@ -50,7 +50,7 @@ LEAST_TOKENS, TRAINER_TOKENS = 300_000, 300_000
 #: A word beyond this many bytes is never in the table of frequent words, which bounds that table.
 WORD_BYTES = 48
 #: Bytes of text that are scored side by side.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
 
 
 def rest_class(word: bytes) -> int:
@@ -267,7 +267,7 @@ def _training_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words.update(tokens_of(text))
-                if len(words) > 400_000:
+                if len(words) > 250_000:
                     yield flush()
         yield flush()
 
@@ -277,8 +277,9 @@ def _training_counts(docs: DataFrame) -> DataFrame:
 
 def _vocabulary(counts: DataFrame, known_words: int) -> tuple[Vocabulary, np.ndarray]:
     short = counts.where(F.length("word") <= WORD_BYTES).select("word", F.col("c").cast("double").alias("c"), "k")
-    if short.count() > known_words:  # words that tie with the limit stay out, so known_words rows are collected at most
-        short = short.where(F.col("c") > kth_largest(short, "c", known_words))
+    times = stored(short.groupBy("c").agg(F.count("*").alias("words")), "lm-count-counts")
+    if (times.agg(F.sum("words")).first()[0] or 0) > known_words:  # words that tie with the limit stay out: known_words rows at most
+        short = short.where(F.col("c") > kth_largest(times, "c", known_words, "words"))
     top = sorted(short.collect(), key=lambda r: (-r["c"], r["word"]))
     sums = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # REST rows
     rest_total, rest_distinct = (np.array([sums.get(k, (0, 0))[i] for k in range(REST)], float) for i in (0, 1))

@@ -38,26 +38,26 @@ def gumbel(seed: int, *cols: Column) -> Column:
     return -F.log(-F.log((bits + 0.5) / float(1 << 52)))
 
 
-def kth_largest(keys: DataFrame, col: str, k: int) -> float:
-    """Exact k-th largest value of a double column: histogram counts, then the few values of one bin."""
-    low, high, n = keys.agg(F.min(col), F.max(col), F.count(col)).first()
+def kth_largest(keys: DataFrame, col: str, k: int, times: str = "1") -> float:
+    """Exact k-th largest value of a double column in which a row stands for ``times`` rows (an SQL expression):
+    histogram counts, then the few values of one bin."""
+    n_rows = F.coalesce(F.sum(F.expr(times)), F.lit(0))
+    low, high, n = keys.agg(F.min(col), F.max(col), n_rows).first()
     if not n or k <= 0:
         return float("inf")
     if k >= n:
         return low
+    above = 0
     while True:
         here = keys.where(F.col(col).between(low, high))
-        if here.agg(F.count("*")).first()[0] <= BINS or low == high:
-            values = here.groupBy(col).count().orderBy(F.desc(col)).collect()
-            above = keys.where(F.col(col) > high).count()
-            for value, times in values:
-                above += times
+        width = (high - low) / BINS
+        if not width or here.select(col).limit(BINS + 1).count() <= BINS:
+            for value, n in here.groupBy(col).agg(n_rows).orderBy(F.desc(col)).collect():
+                above += n
                 if above >= k:
                     return value
-        width = (high - low) / BINS
         place = F.least(F.floor((F.col(col) - low) / width), F.lit(BINS - 1))
-        bins = here.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min(col).alias("low"), F.max(col).alias("high")).orderBy(F.desc("place")).collect()
-        above = keys.where(F.col(col) > high).count()
+        bins = here.groupBy(place.alias("place")).agg(n_rows.alias("n"), F.min(col).alias("low"), F.max(col).alias("high")).orderBy(F.desc("place")).collect()
         for row in bins:
             if above + row["n"] >= k:
                 low, high = row["low"], row["high"]
