@@ -2,7 +2,8 @@
 
 The ordinary dictionary is trained on windows of rows labelled 0. The toxic dictionary holds, ahead of
 the same content, segments (words and word beginnings) that rows labelled 1 have much more often than rows
-labelled 0. Both are used as raw content and with the same parameters, so that a window's two compressed
+labelled 0; ordinary segments that begin alike stand in both, lest a shared beginning count as toxic. Both are
+used as raw content and with the same parameters, so that a window's two compressed
 lengths differ only by what the toxic segments save (trained on toxic text as it stands, zstandard's own
 choice of content is ordinary prose for the most part, and the difference is noise). Every window of the whole text
 is compressed with both; savings above the noise that ordinary windows show feed a three-feature logistic
@@ -137,16 +138,23 @@ def _segment_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("segment").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _toxic_segments(sample: DataFrame, n0: int, n1: int, lift: float, min_share: float, max_segments: int) -> list[bytes]:
-    """Strongest segments first; of a word and its beginnings only the strongest stays, the longest of equals."""
+def _toxic_segments(counts: DataFrame, n0: int, n1: int, lift: float, min_share: float, max_segments: int) -> tuple[list[bytes], list[bytes]]:
+    """Toxic segments, strongest first, and the ordinary segments that begin like one of them.
+
+    Of a word and its beginnings only the strongest stays, the longest of equals.
+    """
     ratio = F.log(((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1)))
-    strong = _segment_counts(sample).where(F.col("n1") >= max(5, min_share * n1)).withColumn("ratio", ratio).where(F.col("ratio") > float(np.log(lift)))
+    counts = counts.withColumn("ratio", ratio)
+    strong = counts.where((F.col("n1") >= max(5, min_share * n1)) & (F.col("ratio") > float(np.log(lift))))
     rows = strong.orderBy(F.desc(F.col("n1") * F.col("ratio")), F.desc(F.length("segment")), "segment").limit(max_segments).collect()
     out: list[bytes] = []
     for s in (bytes(r["segment"]) for r in rows):
         if not any(s.startswith(t.rstrip()) or t.startswith(s.rstrip()) for t in out):
             out.append(s)
-    return out
+    begin = SEGMENT_BYTES[0]
+    like = F.hex(F.substring("segment", 1, begin)).isin(sorted({s[:begin].hex().upper() for s in out}))
+    plain = counts.where(like & (F.col("n0") >= max(2, 0.002 * n0)) & (F.col("ratio") < float(np.log(lift)) / 2))
+    return out, [bytes(r["segment"]) for r in plain.orderBy(F.desc("n0"), "segment").limit(max_segments).collect()]
 
 
 def _ordinary_content(sample: DataFrame, max_windows: int, dict_bytes: int) -> bytes:
@@ -190,8 +198,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return ToxicityModel(b"", b"")
-    ordinary = _ordinary_content(sample, max_windows, dict_bytes)
-    found = _toxic_segments(sample, n[0], n[1], lift, min_share, max_segments)
+    counts = stored(_segment_counts(sample), "toxicity-segments")
+    found, alike = _toxic_segments(counts, n[0], n[1], lift, min_share, max_segments)
+    ordinary = b"".join(alike) + _ordinary_content(sample, max_windows, dict_bytes)
     model = ToxicityModel(ordinary, b"".join(found) + ordinary)
     quiet = F.udf(lambda t: model.savings(t), "array<int>")
     noise = sample.where("toxic = 0").select(F.explode(quiet("text")).alias("s")).agg(F.percentile_approx("s", 0.999, 10000)).first()[0]
