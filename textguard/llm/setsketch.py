@@ -7,7 +7,7 @@ registers agree the more often the more alike the sets are, so bands of register
 
 1. Documents with equal sets form one class; only class representatives go on (a group of copies of any size
    costs one partial count per task).
-2. Representatives that share a band meet in a bucket. Small buckets compare all members. Members of large
+2. Representatives that share a band meet in a bucket. Members of small buckets that meet twice are compared. Members of large
    ones count how many of their shingles any other such member has; who cannot reach the similarity with
    that many shared shingles leaves. Then the member that meets most others and a few more pivots are compared
    with all members; what stays is compared only where it is not yet connected, until every bucket is one
@@ -16,7 +16,7 @@ registers agree the more often the more alike the sets are, so bands of register
    that 0.8 is out of reach for are dropped.
 4. The rest is verified on the full sets, and the verified links give components.
 
-With 64 bands of 6 registers, a pair at 0.8 meets with probability above 1 - 1e-8.
+With 64 bands of 6 registers, a pair at 0.8 meets twice or more with probability above 1 - 1e-7.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own component; a
 text of fewer words than a shingle is one shingle; rows that share an id are one node; rows without an id are
@@ -228,6 +228,14 @@ def _small_pairs(meet: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "bucket").where((F.col("a") < F.col("b")) & _near_sizes("n_a", "n_b", percent)).select("a", "b")
 
 
+def _met_twice(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct pairs that share two small buckets, or one while they may share large ones as well."""
+    met = stored(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "met")
+    ids = members.select(F.col("rep").alias("member"))
+    once = met.where("n = 1").join(ids, F.col("a") == F.col("member"), "left_semi").join(ids, F.col("b") == F.col("member"), "left_semi")
+    return met.where("n > 1").unionByName(once).select("a", "b")
+
+
 def _pivots(active: DataFrame, turn: int) -> DataFrame:
     """(bucket, pivot, pivot_size): first the member that meets most others, later more and more drawn by hash."""
     member = F.struct(F.col("rep").alias("pivot"), F.col("size").alias("pivot_size"))
@@ -276,9 +284,9 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     bands = stored(_band_rows(reps), "bands")
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     meet = stored(bands.join(sizes, "bucket"), "buckets")
-    pairs, turn = _small_pairs(meet, percent), 0
     large = meet.where(F.col("n") > SMALL_BUCKET)
     members = large.groupBy("rep").agg(F.sum("n").alias("weight"))
+    pairs, turn = _met_twice(_small_pairs(meet, percent), members), 0
     known = _sets(members.select("rep"), reps, docs, width)
     members = stored(members.join(_most_shared(known), "rep"), "members")
     # who shares too little with all members together cannot be alike enough to any
