@@ -267,7 +267,7 @@ def _training_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words.update(tokens_of(text))
-                if len(words) > 250_000:
+                if len(words) > 150_000:
                     yield flush()
         yield flush()
 

@@ -130,7 +130,7 @@ def _segment_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[toxic].update(segments(text))
-                if len(counts[0]) + len(counts[1]) > 300_000:
+                if len(counts[0]) + len(counts[1]) > 150_000:
                     yield flush()
         yield flush()
 
