@@ -118,12 +118,12 @@ def to_json_text(snap: DataFrame) -> DataFrame:
 def public_projection(json_text: Column) -> Column:
     """Keep only the allowed keys of a JSON object, each value as it is (explicit nulls, fractions and
     nested objects included); null when over 64 KiB, not valid JSON as a whole, or not an object."""
-    v = F.try_parse_json(json_text)
+    v = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit("]")))  # in brackets, text after the object is an error
 
     def pair(key: str) -> Column:
-        value = F.variant_get(v, f"$.{key}", "variant")
+        value = F.variant_get(v, f"$[0].{key}", "variant")
         return F.when(value.isNotNull(), F.concat(F.lit(f'"{key}":'), F.to_json(value)))
 
     pairs = F.array_compact(F.array(*[pair(f.name) for f in SNAPSHOT_SCHEMA.fields]))
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    is_object = F.schema_of_variant(F.variant_get(v, "$[0]", "variant")).startswith("OBJECT") & F.variant_get(v, "$[1]", "variant").isNull()
     return F.when((F.octet_length(json_text) <= MAX_STATS_BYTES) & is_object, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -64,6 +65,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, for clusters on which it is not installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_textguard_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="textguard-package-")  # read by the driver only: Spark serves the file to executors
+    archive = shutil.make_archive(os.path.join(folder, "textguard"), "zip", os.path.dirname(package), os.path.basename(package))
+    sc.addPyFile(archive)
+    sc._textguard_shipped = True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: what it drew or computed stays fixed."""
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
