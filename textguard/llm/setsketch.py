@@ -166,8 +166,8 @@ def _most_shared(sets: DataFrame) -> DataFrame:
     return sets.select("rep", (F.length("shingles") / 8).cast("int").alias("size")).join(alone, "rep", "left").select("rep", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of representatives whose full sets are at least ``percent`` alike, and the sets read so far."""
+def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of representatives whose full sets are at least ``percent`` alike; ``known`` holds sets read before."""
     least = percent / 100
     side = reps.select("rep", "n_shingles", "registers")
     both = pairs.join(side.toDF("a", "n_a", "r_a"), "a").join(side.toDF("b", "n_b", "r_b"), "b")
@@ -183,17 +183,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame
     needed = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))).distinct()
     full = known.unionByName(_sets(needed.join(known.select("rep"), "rep", "left_anti"), reps, docs, width))
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    checked = candidates.join(full.toDF("a", "s_a"), "a").join(full.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
-    return stored(checked.mapInArrow(exact, "a long, b long"), "near-links"), full
+    return _alike(_shared_shingles(candidates, full), percent)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -248,16 +238,20 @@ def _pivots(active: DataFrame, turn: int) -> DataFrame:
 
 
 def _shared_shingles(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """a, b, shared: the exact number of shingles that both sets have."""
+    """a, b, shared, n_a, n_b: the exact number of shingles that both sets have, and their sizes."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist())
-            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int32())], names=["a", "b", "shared"])
+            both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist())]
+            n = ([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], [len(x) for x, _ in both], [len(y) for _, y in both])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int32()) for c in n)], names=["a", "b", "shared", "n_a", "n_b"])
 
     sets = known.select("rep", "shingles")
     rows = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
-    return rows.mapInArrow(count, "a long, b long, shared int")
+    return stored(rows.mapInArrow(count, "a long, b long, shared int, n_a int, n_b int"), "shared")
+
+
+def _alike(counted: DataFrame, percent: int) -> DataFrame:
+    return counted.where((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _cross_pairs(active: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
@@ -286,39 +280,34 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     meet = stored(bands.join(sizes, "bucket"), "buckets")
     large = meet.where(F.col("n") > SMALL_BUCKET)
     members = large.groupBy("rep").agg(F.sum("n").alias("weight"))
-    pairs, turn = _met_twice(_small_pairs(meet, percent), members), 0
-    known = _sets(members.select("rep"), reps, docs, width)
+    known = _sets(members.select("rep"), reps, docs, width)  # of all members of large buckets
+    links = _verify(_met_twice(_small_pairs(meet, percent), members), reps, docs, known, width, percent)
     members = stored(members.join(_most_shared(known), "rep"), "members")
     # who shares too little with all members together cannot be alike enough to any
     active = stored(large.join(members, "rep").where(100 * F.col("most") >= percent * F.col("size")).select("bucket", "rep", "size", "most", "weight"), "active")
-    links = None
-    if not active.isEmpty():
-        pivots = stored(_pivots(active, 0), "pivots")
-        hub = active.join(pivots, "bucket")
-        spokes = hub.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        shared = stored(_shared_shingles(spokes, known), "spokes")
-        hub = hub.join(shared.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "shared"), ["rep", "pivot"])  # without the pivots themselves
-        alike = hub.where((100 + percent) * F.col("shared") >= percent * (F.col("size") + F.col("pivot_size")))
-        links = stored(alike.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "near-links")
-        active = stored(hub.select("bucket", "rep", "size", "weight", F.col("shared").alias("inside"), (F.col("most") - F.col("shared")).alias("outside")), "active")
-    while True:
-        more = turn > 0 and not active.isEmpty()
-        if more:
-            pivots = stored(_pivots(active, turn), "pivots")
-            hub = active.join(pivots, "bucket").where((F.col("rep") != F.col("pivot")) & _near_sizes("size", "pivot_size", percent))
-            pairs = pairs.unionByName(hub.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
-            active = active.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        found, known = _verify(pairs.distinct(), reps, docs, known, width, percent)
-        links = found if links is None else links.unionByName(found)
-        if active.isEmpty():
-            return links
+    if active.isEmpty():
+        return links
+    hub = active.join(stored(_pivots(active, 0), "pivots"), "bucket")
+    spokes = _shared_shingles(hub.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), known)
+    links = links.unionByName(_alike(spokes, percent))
+    hub = hub.join(spokes.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "shared"), ["rep", "pivot"])  # without the pivots themselves
+    active = stored(hub.select("bucket", "rep", "size", "weight", F.col("shared").alias("inside"), (F.col("most") - F.col("shared")).alias("outside")), "active")
+    turn = 1
+    while not active.isEmpty():
         active = stored(active.join(_connected(reps, links), "rep"), "active")
         state = active.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(
             F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
         state = stored(state.where("labels > 1").withColumn("near", (F.col("n") * F.col("n") - F.col("squares")) / 2 <= LEFT_PAIRS * F.col("n")), "bucket-state")
         pairs = _cross_pairs(active, state.where("near"), percent)
         active = stored(active.join(state.where("not near").select("bucket"), "bucket", "left_semi").drop("label"), "active")
+        if not active.isEmpty():
+            pivots = stored(_pivots(active, turn), "pivots")
+            hub = active.join(pivots, "bucket").where((F.col("rep") != F.col("pivot")) & _near_sizes("size", "pivot_size", percent))
+            pairs = pairs.unionByName(hub.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
+            active = stored(active.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti"), "active")
+        links = links.unionByName(_alike(_shared_shingles(pairs.distinct(), known), percent))
         turn += 1
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
