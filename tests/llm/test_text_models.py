@@ -1,6 +1,7 @@
 """Toxicity, language model, importance resampling and quality rules."""
 
 import math
+import os
 import re
 from collections import Counter
 from zlib import crc32
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from textguard.llm import queries
 from textguard.llm.ngrams import lower_tokens, ngram_buckets
 from textguard.llm.quality_rules import base_counts, best_threshold, fit_quality
-from textguard.llm.recurrent_lm import Network, START, WORDS, score_documents
+from textguard.llm.recurrent_lm import Network, START, WORDS, _fit, score_documents
 from textguard.llm.resample import gumbel, kth_largest, resample
 from textguard.llm.toxicity import fit_toxicity
 
@@ -166,6 +167,27 @@ def test_language_model_base_scores_and_gain(spark):
     assert empty == []
 
 
+def test_every_training_row_is_learnt_in_every_round(spark, tmp_path):
+    rows = [(i, prose(i, 899), i % 10 == 0) for i in range(400)]  # 324,000 training tokens; beyond 300,000 only a share was learnt
+
+    class Words:
+        total = 360 * 900
+
+        @property
+        def value(self):
+            return self
+
+        def read(self, words):
+            with open(f"{tmp_path}/{os.getpid()}", "ab") as f:
+                f.write(b" ".join(words) + b"\n")
+            return np.array([crc32(w) % START for w in words], np.int32), None, []
+
+    df = spark.createDataFrame(rows, "id long, text string, held_out boolean").repartition(3)
+    _fit(df, Words(), Words(), Network(np.ones(WORDS), np.ones(START - WORDS)), rounds=2, rate=0.01)
+    read = Counter(line.strip().decode() for f in tmp_path.iterdir() for line in open(f, "rb"))
+    assert read == Counter({t: 2 for _, t, held_out in rows if not held_out})
+
+
 def test_network_probabilities_and_carried_state():
     rng = np.random.default_rng(1)
     net = Network(rng.integers(1, 100, WORDS).astype(float), np.full(START - WORDS, 50.0))

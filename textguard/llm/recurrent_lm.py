@@ -6,10 +6,11 @@ classes by its last two bytes. The output is factored: a softmax over classes, t
 softmax within the class; within a rest class a word has the smoothed share (c + 0.1) / (N_k + 0.1 (V_k + 1)) of
 its training count, so any word has a probability. Class and word biases start at the corpus frequencies.
 
-Training. Gated recurrent units, truncated backpropagation, Adam, all in numpy. The training rows are drawn by
-hash, ``fraction`` of them (a larger share of a small corpus, up to ``LEAST_TOKENS`` tokens), and dealt to trainers
-of about ``TRAINER_TOKENS`` tokens each; all start a round from the same weights, whose average starts the next
-round. So the work grows with the corpus and runs on all executors; averages are formed in groups.
+Training. Gated recurrent units, truncated backpropagation, Adam, all in numpy. Every training row is learnt in
+every round, at any size of the corpus. A task is one trainer: it reads its rows once, about ``TRAINER_TOKENS`` tokens
+at a time, each part from the weights after the part before. All start a round from the same weights, whose average
+starts the next round. So the work grows with the corpus and runs on all executors, where the rows lie; averages are
+formed in groups. Tokens learnt are counted, and a round that has not learnt all fails.
 
 Scoring. Documents run side by side through windows of ``SPAN`` steps; the state is carried from window to window,
 so a document is scored whole. Counts of words beyond the ``known_words`` most frequent (a bounded table sent to
@@ -46,7 +47,7 @@ START = WORDS + REST
 END = b""
 SPAN, BACK = 32, 20
 STREAMS, PART, CHUNK = 32, 256, 8192
-LEAST_TOKENS, TRAINER_TOKENS = 300_000, 300_000
+TRAINER_TOKENS = 300_000
 #: A word beyond this many bytes is never in the table of frequent words, which bounds that table.
 WORD_BYTES = 48
 #: Bytes of text that are scored side by side.
@@ -296,8 +297,8 @@ def _vocabulary(counts: DataFrame, known_words: int) -> tuple[Vocabulary, np.nda
     return Vocabulary(rank, network_id, log_count, total, distinct, rest_total, rest_distinct), word_counts
 
 
-def _average(blobs: DataFrame) -> dict[str, np.ndarray] | None:
-    """Mean of the trainers' weights, by tokens; groups of 16 or so at a time, so no task holds many sets of weights."""
+def _average(blobs: DataFrame) -> tuple[dict[str, np.ndarray], int] | None:
+    """Mean of the trainers' weights, by tokens, and the tokens; groups of 16 or so at a time, so no task holds many sets of weights."""
     def merge(rows: pa.Table) -> pa.Table:
         total, n = {}, 0
         for blob, tokens in zip(rows.column("blob").to_pylist(), rows.column("n").to_pylist()):
@@ -312,32 +313,38 @@ def _average(blobs: DataFrame) -> dict[str, np.ndarray] | None:
         groups = blobs.withColumn("g", F.pmod(F.xxhash64("blob"), F.lit(ceil(left / 16))))
         blobs = stored(groups.groupBy("g").applyInArrow(lambda rows: merge(rows), "blob binary, n long"), "lm-weights")
     row = blobs.first()
-    return pickle.loads(row["blob"]) if row else None
+    return (pickle.loads(row["blob"]), row["n"]) if row else None
 
 
-def _fit(docs: DataFrame, vocabulary: Vocabulary, shared, network: Network, fraction: float, rounds: int, rate: float) -> Network:
-    share = min(1.0, max(fraction, LEAST_TOKENS / max(1, vocabulary.total)))
-    trainers = max(1, ceil(vocabulary.total * share / TRAINER_TOKENS))
-    sample = docs.where("not held_out").where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share * 1_000_000).select("text")
-    sample = stored(sample.repartition(trainers), "lm-sample")
+def _fit(docs: DataFrame, vocabulary: Vocabulary, shared, network: Network, rounds: int, rate: float) -> Network:
+    rows = docs.where("not held_out").select("text").coalesce(max(1, ceil(vocabulary.total / TRAINER_TOKENS)))
     for turn in range(rounds):
         weights = docs.sparkSession.sparkContext.broadcast(network.w)
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Network.__new__(Network)
             own.w = {k: v.copy() for k, v in weights.value.items()}
-            documents = [shared.value.read(tokens_of(t))[0] for batch in batches for t in batch.column(0).to_pylist()]
-            if documents:
-                own.train(documents, rate / (1 + turn))
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own.w)], pa.binary()), pa.array([sum(map(len, documents))], pa.int64())], names=["blob", "n"])
-
-        mean = _average(sample.repartition(trainers).mapInArrow(train, "blob binary, n long"))
-        if mean is not None:
-            network.w = mean
+            documents, size, tokens = [], 0, 0
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    documents.append(shared.value.read(tokens_of(text))[0])
+                    size += len(documents[-1])
+                    if size >= TRAINER_TOKENS:
+                        own.train(documents, rate / (1 + turn))
+                        documents, size, tokens = [], 0, tokens + size
+            own.train(documents, rate / (1 + turn))
+            if tokens + size:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own.w)], pa.binary()), pa.array([tokens + size], pa.int64())], names=["blob", "n"])
+
+        learnt = _average(rows.mapInArrow(train, "blob binary, n long"))
+        if learnt is not None:
+            network.w, tokens = learnt
+            if tokens != vocabulary.total:
+                raise RuntimeError(f"round {turn} learnt {tokens} of {vocabulary.total} training tokens")
     return network
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, fraction: float = 0.03,
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10,
                     rounds: int = 2, rate: float = 0.01, known_words: int = 131_072) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for every row."""
     bounded_batches(docs.sparkSession)
@@ -346,7 +353,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = stored(_training_counts(docs), "lm-counts")
     vocabulary, word_counts = _vocabulary(counts, known_words)
     shared = spark.sparkContext.broadcast(vocabulary)  # known_words words of WORD_BYTES bytes at most
-    network = _fit(docs, vocabulary, shared, Network(word_counts, vocabulary.rest_total), fraction, rounds, rate)
+    network = _fit(docs, vocabulary, shared, Network(word_counts, vocabulary.rest_total), rounds, rate)
     weights = spark.sparkContext.broadcast(network.w)
     base_log = log10(vocabulary.total + 0.1 * (vocabulary.distinct + 1))
     rest_log = np.log10(vocabulary.rest_total + 0.1 * (vocabulary.rest_distinct + 1))
