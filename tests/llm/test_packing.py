@@ -63,6 +63,15 @@ def test_messy_rows_round_trip(spark):
     assert pack(messy(spark).limit(0), public_encoder()).count() == 0
 
 
+def test_literals_of_added_tokens_are_their_ids(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f" {end}\n{end} ", f"x{end}'s", "<|endoftext|", "<|endoftext |>", "<|ENDOFTEXT|>", f"<{end}>", f"\u00e9{end}\u00f1 1{end}2", f"<|endoftext{end}"]
+    assert public_encoder().encode(texts[0]) == [64, 220, 50256, 275]
+    assert [[*public_encoder().encode(t), END_ID] for t in texts] == [ids_of(t) for t in texts]
+    rows = list(enumerate(texts + [prose(3, 2000) + end + prose(4, 2000)]))
+    check(rows, pack(messy(spark, rows), public_encoder()).collect(), 1024)
+
+
 def test_small_window_many_rows(spark):
     rows = [(i % 400, prose(i, 1 + (i * 37) % 90)) for i in range(500)] + MESSY[:5]
     padding, total = check(rows, pack(messy(spark, rows), public_encoder(), window=64, slack=1).collect(), 64)

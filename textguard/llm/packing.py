@@ -34,12 +34,15 @@ END_ID = 0
 
 
 class Encoder:
-    """Byte-level BPE by the public vocabulary file (base64 token and rank per line); ids equal the json file's."""
+    """Byte-level BPE by the public vocabulary file (base64 token and rank per line); ids equal the json file's.
 
-    _loaded: dict[tuple[str, str], object] = {}
+    ``added`` are the json file's added tokens: their literals are cut out of a text before the merges.
+    """
 
-    def __init__(self, ranks_path: str, pattern: str):
-        self.key = (ranks_path, pattern)
+    _loaded: dict[tuple, object] = {}
+
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
+        self.key = (ranks_path, pattern, tuple((added or {}).items()))
 
     def encode(self, text: str) -> list[int]:
         bpe = self._loaded.get(self.key)
@@ -48,8 +51,8 @@ class Encoder:
 
             with open(self.key[0], "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            bpe = self._loaded[self.key] = tiktoken.Encoding("public", pat_str=self.key[1], mergeable_ranks=ranks, special_tokens={})
-        return bpe.encode_ordinary(text)
+            bpe = self._loaded[self.key] = tiktoken.Encoding("public", pat_str=self.key[1], mergeable_ranks=ranks, special_tokens=dict(self.key[2]))
+        return bpe.encode(text, allowed_special="all")
 
 
 def fillings(lengths: np.ndarray, window: int) -> np.ndarray:
