@@ -57,8 +57,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that contain a benchmark item go."""
-    return _without(docs, contained_items(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that contain a benchmark item go, each row judged by itself, also where ids are null or repeated."""
+    row = _spare_name(docs)
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    gone = contained_items(docs, table(spark, sf_dir, "benchmark"), doc_col=row).select(row).distinct()
+    return docs.join(gone, row, "left_anti").drop(row)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

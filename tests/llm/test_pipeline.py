@@ -55,3 +55,16 @@ def test_messy_rows_pass_the_stages(spark):
     assert leaks(spark, docs, SF).count() == len(rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_decontamination_judges_every_row_by_itself(spark):
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    item = max((t for t in items if t), key=lambda t: len(t.split()))
+    words = item.split()
+    half = len(words) // 2 + 2
+    parts = [" ".join(words[:half]), " ".join(words[half - 4 :])]  # only together do they hold the item
+    rows = [(None, item), (None, prose(7, 60)), (None, None), (7, item), (7, prose(8, 60)), (8, parts[0]), (8, parts[1]), (9, item), (10, prose(9, 60))]
+    docs = messy(spark, rows)
+    kept = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, (r for r in rows if r[1] != item)))
