@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, loss_text, parse_formatted
 from .common import fold_of, table
 from .decontaminate import contained_items
+from .divergence import source_divergence
+from .grouped_packing import WordEncoder, pack_whole
 from .packing import Encoder, pack
 from .quality_rules import fit_quality
 from .recurrent_lm import score_documents
+from .repair import damage, repair_conversations
 from .resample import resample
 from .setsketch import near_duplicates
 from .sharding import shard_rows
@@ -191,3 +194,73 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and recurrent-model log10 probability of every whole document."""
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_source_divergence", """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(total) AS total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(s.n, 0)::HUGEINT AS n, coalesce(v.v, 0)::HUGEINT AS v, coalesce(v.total, 0)::HUGEINT AS total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (g.n + 5 * g.v) AS BIGINT) AS p,
+             CAST(1 + (1000000000 * (k.total + 5)::HUGEINT) // (g.total + 5 * g.v) AS BIGINT) AS q
+      FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that each source has most above its language."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair", r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda s: ascii(s)::BIGINT)),
+                             lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) % 20 AS k FROM conversations, crc),
+y AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM x, (SELECT unnest([1, 2]) AS copy) WHERE k <> 0 AND (copy = 1 OR k = 3)),
+w AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM y),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM w),
+r AS (SELECT conv_id, turn, i, role, text, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior,
+             CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM z),
+f AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prior || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+ins(state, goal, cost, audit, turns) AS (VALUES ('', '', 0, '', []::VARCHAR[]), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []), ('', 'u', 3, 'I', ['user:']), ('s', 'u', 3, 'I', ['user:']), ('a', 'u', 3, 'I', ['user:']),
+      ('u', 'a', 3, 'I', ['assistant:']), ('', 'a', 6, 'II', ['user:', 'assistant:']), ('s', 'a', 6, 'II', ['user:', 'assistant:'])),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, goal AS state, {'cost': cost, 'audit': audit, 'turns': turns} AS best FROM f, ins WHERE state = ''
+  UNION ALL
+  SELECT conv_id, i, goal, min({'cost': best.cost + cost, 'audit': best.audit || audit, 'turns': list_concat(best.turns, turns)}) FROM (
+    SELECT e.conv_id, e.i, ins.goal, e.best, ins.cost, ins.audit, ins.turns FROM (
+      SELECT dp.conv_id, r.i, m.goal, {'cost': dp.best.cost + m.cost + CASE WHEN r.fault = 'truncated' AND m.edit <> 'D' THEN 3 ELSE 0 END, 'audit': dp.best.audit || m.edit,
+             'turns': CASE m.edit WHEN 'D' THEN dp.best.turns WHEN 'K' THEN list_append(dp.best.turns, r.role || ':' || r.text) ELSE list_append(dp.best.turns, CASE m.goal WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text) END} AS best
+      FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1
+      JOIN (VALUES ('', 's', 'K', 0, 's'), ('', 'u', 'K', 0, 'u'), ('s', 'u', 'K', 0, 'u'), ('u', 'a', 'K', 0, 'a'), ('a', 'u', 'K', 0, 'u'), ('', 'u', 'R', 3, ''), ('s', 'u', 'R', 3, ''), ('u', 'a', 'R', 3, ''), ('a', 'u', 'R', 3, ''),
+                   ('', '', 'D', 4, ''), ('s', 's', 'D', 4, ''), ('u', 'u', 'D', 4, ''), ('a', 'a', 'D', 4, '')) m(state, goal, edit, cost, initial)
+        ON m.state = dp.state AND (m.edit <> 'K' OR m.initial = r.initial) AND (m.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+    ) e JOIN ins ON ins.state = e.goal
+  ) GROUP BY conv_id, i, goal),
+o AS (SELECT dp.conv_id, min(best) AS best FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = f.n WHERE state IN ('', 'a') GROUP BY dp.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(o.best.cost, 0) AS BIGINT) AS cost, coalesce(o.best.audit, '') AS audit, sha256(coalesce(array_to_string(o.best.turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the audit of its cheapest repair and the repaired turns' digest."""
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
+@query("op13_best_fit")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in as few sequences of at most 2,048 tokens as linear grouping finds."""
+    import public_tokenizers
+
+    pieces = pack_whole(table(spark, sf_dir, "documents"), WordEncoder(public_tokenizers.path("word_bpe_49k.json")))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
