@@ -24,10 +24,10 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
-from .packing import _earlier, _tokens
+from .packing import END_ID, _earlier
 
 #: Words that one worker keeps with their ids; when they are more, it forgets all and begins anew.
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+CACHED_WORDS, CACHED_BYTES = 800_000, 64
 #: Chunks of printable ASCII and Latin-1 letters split into words as the tokenizer's own pattern does, once they are lower-cased.
-PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
+PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
 PLAIN_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -73,26 +73,27 @@ class WordEncoder:
         merges = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks={k: v for k, v in ranks.items() if k != b"\xff"}, special_tokens={})
         return Tokenizer.from_file(self.path), merges._core_bpe.encode_single_piece, {}
 
-    def encode(self, text: str) -> Iterator[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.path not in self._loaded:
             self._loaded[self.path] = self._load()
         tokenizer, merge, known = self._loaded[self.path]
         chunks = text.encode("utf-8", "replace").split()
-        new = list(set(chunks).difference(known))
+        new = set(chunks).difference(known)
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            new = list(set(chunks))
-        own, other = {}, []
+            new = set(chunks)
+        long, other = {}, []
         for chunk in new:
             plain = chunk.decode()
-            if PLAIN.match(plain):
-                (known if len(chunk) <= CACHED_BYTES else own)[chunk] = [i for w in PLAIN_WORDS.findall(plain.lower()) for i in merge(w.encode() + b"\xff")]
+            if PLAIN.match(plain) and "<|" not in plain:
+                (known if len(chunk) <= CACHED_BYTES else long)[chunk] = array("i", [i for w in PLAIN_WORDS.findall(plain.lower()) for i in merge(w.encode() + b"\xff")]).tobytes()
             else:
                 other.append(chunk)
-        for chunk, found in zip(other, tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)):
-            (known if len(chunk) <= CACHED_BYTES else own)[chunk] = found.ids
-        look = known.__getitem__ if not own else lambda c: own[c] if c in own else known[c]
-        return chain.from_iterable(map(look, chunks))
+        if other:
+            for chunk, found in zip(other, tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)):
+                (known if len(chunk) <= CACHED_BYTES else long)[chunk] = array("i", found.ids).tobytes()
+        look = known.__getitem__ if not long else lambda c: long[c] if c in long else known[c]
+        return np.frombuffer(b"".join(map(look, chunks)), np.int32)
 
 
 def best_configuration(sizes: np.ndarray, prices: np.ndarray, window: int) -> tuple[float, np.ndarray]:
@@ -203,11 +204,33 @@ def make_plan(histogram: np.ndarray, window: int, large: float = 1 / 3, groups:
     return Plan({p: tuple(np.array(c) for c in zip(*r)) for p, r in runs.items()}, sequences)
 
 
+def _encoded(docs: DataFrame, encoder, window: int) -> DataFrame:
+    """id, ids, tail (length of the last piece), tail_rank and full_rank (ranks within the task), part (the task's number, as data)."""
+    end = np.array([END_ID], np.int32)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, full = np.zeros(window, np.int64), 0
+        for batch in batches:
+            ids, ranks = [], []
+            for text in batch.column(1).to_pylist():
+                ids += [encoder.encode(text or ""), end]
+                length = len(ids[-2]) + 1
+                ranks.append((length, length % window, seen[length % window], full))
+                seen[length % window] += 1
+                full += length // window
+            length, tail, tail_rank, full_rank = np.array(ranks, np.int64).reshape(-1, 4).T
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(np.concatenate([*ids, end[:0]])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat, *(pa.array(c) for c in (tail, tail_rank, full_rank))], names=["id", "ids", "tail", "tail_rank", "full_rank"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(encode, f"id {kind}, ids array<int>, tail long, tail_rank long, full_rank long").withColumn("tail", F.col("tail").cast("int")).withColumn("part", F.spark_partition_id())
+
+
 def pack_whole(docs: DataFrame, encoder, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, large: float = 1 / 3, groups: int = 256) -> DataFrame:
     """One row per piece: id, piece, start, length, ids (binary, little-endian unsigned 32-bit), sequence_id, offset."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(_tokens(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), encoder, window), "whole-tokens")
+    rows = stored(_encoded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), encoder, window), "whole-tokens")
     histogram = np.zeros(window + 1, np.int64)
     for r in rows.groupBy("tail").count().collect():  # window rows at most
         histogram[r["tail"]] = r["count"]
