@@ -58,7 +58,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, *range(len(extra))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in extra)).repartition(5)
 
 
-@pytest.mark.parametrize("least, top, entries, sources", [(5, 50, 300_000, 1024), (2, 3, 40, 3), (1, 50, 1, 2), (1000, 50, 500, 4)])
+@pytest.mark.parametrize("least, top, entries, sources", [(5, 50, 300_000, 1024), (2, 3, 40, 5), (1, 50, 1, 7), (1000, 50, 500, 6)])
 def test_against_plain_counting(spark, monkeypatch, least, top, entries, sources):
     """One block, many runs, a run per document; sources in one block, in pairs of blocks; no term kept."""
     monkeypatch.setattr(D, "SOURCE_BLOCK", sources)
@@ -91,6 +91,8 @@ def test_heap_merges_overlapping_runs():
                 entry[0] += 1
                 entry[1][source] += n
         chunks += block.runs(4)
-    chunks = [tuple(list(c) if hasattr(c, "tolist") else c for c in chunk) for chunk in chunks]
-    found = list(merged_terms(iter(sorted(chunks, key=lambda c: c[:3]))))
-    assert {(lang, t): [n, Counter(f)] for lang, t, n, f in found} == want and len(found) == len(want)
+    chunks.sort(key=lambda c: c[:3])
+    found = list(merged_terms(iter(chunks)))
+    assert {(lang, t): Counter(f) for lang, t, f in found} == {k: c for k, (_, c) in want.items()} and len(found) == len(want)
+    frequent = {(lang, t) for lang, t, _ in merged_terms(iter(chunks), 28)}
+    assert frequent == {k for k, (n, _) in want.items() if n >= 28} and 0 < len(frequent) < len(want)

@@ -40,7 +40,8 @@ SHARDS_PER_PARTITION = 4
 #: Sources of one language whose pairs are summed at a time.
 SOURCE_BLOCK = 1024
 
-RUN = "shard int, lang binary, first binary, terms array<binary>, documents array<long>, sizes array<int>, names array<binary>, codes array<int>, counts array<long>"
+#: A chunk: ``terms`` are joined by spaces, which no term has; ``sizes`` say how many postings (codes, counts) each has.
+RUN = "shard int, lang binary, first binary, terms binary, documents array<long>, sizes array<int>, names array<binary>, codes array<int>, counts array<long>"
 
 
 class Block:
@@ -63,29 +64,28 @@ class Block:
         """Chunks of the block's runs: per shard and language the terms in order, each with its postings."""
         for lang, documents in self.documents.items():
             terms = sorted(documents)
+            shard = np.fromiter((crc32(t, crc32(lang)) for t in terms), np.int64, len(terms)) % shards
+            order = np.argsort(shard, kind="stable")
+            terms, shard = [terms[k] for k in order.tolist()], shard[order]
             place = {t: k for k, t in enumerate(terms)}
             groups = [(s, c) for (own, s), c in self.counts.items() if own == lang]
-            names = [s for s, _ in groups]
             at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for _, c in groups])
             code = np.repeat(np.arange(len(groups)), [len(c) for _, c in groups])
             count = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for _, c in groups])
             order = np.argsort(at, kind="stable")
             code, count = code[order], count[order]
             ends = np.searchsorted(at[order], np.arange(len(terms) + 1))
-            shard = np.fromiter((crc32(t, crc32(lang)) for t in terms), np.int64, len(terms)) % shards
-            by_shard = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+            sizes, per_term = np.diff(ends).astype(np.int32), np.fromiter(map(documents.__getitem__, terms), np.int64, len(terms))
+            cuts = np.searchsorted(shard, np.arange(shards + 1)).tolist()
             for s in range(shards):
-                for k in range(cuts[s], cuts[s + 1], CHUNK):
-                    own = by_shard[k : min(k + CHUNK, cuts[s + 1])]
-                    rows = np.concatenate([np.arange(ends[j], ends[j + 1]) for j in own])
-                    used, codes = np.unique(code[rows], return_inverse=True)
-                    yield (s, lang, terms[own[0]], [terms[j] for j in own], [documents[terms[j]] for j in own], (ends[own + 1] - ends[own]).astype(np.int32),
-                           [names[u] for u in used], codes.astype(np.int32), count[rows])
+                for a in range(cuts[s], cuts[s + 1], CHUNK):
+                    b = min(a + CHUNK, cuts[s + 1])
+                    used, codes = np.unique(code[ends[a] : ends[b]], return_inverse=True)
+                    yield s, lang, terms[a], b" ".join(terms[a:b]), per_term[a:b], sizes[a:b], [groups[u][0] for u in used], codes.astype(np.int32), count[ends[a] : ends[b]]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     names = ["shard", "lang", "first", "terms", "documents", "sizes", "names", "codes", "counts"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -115,41 +115,46 @@ def _spilled_runs(docs: DataFrame, shards: int, block_entries: int) -> DataFrame
     return docs.select("text", "lang", "source").mapInArrow(index, RUN)
 
 
-def merged_terms(chunks: Iterator[tuple]) -> Iterator[tuple[bytes, bytes, int, dict[bytes, int]]]:
-    """lang, term, documents, occurrences by source; chunks come ordered by shard, language and first term.
+def merged_terms(chunks: Iterator[tuple], least_documents: int = 1) -> Iterator[tuple[bytes, bytes, dict[bytes, int]]]:
+    """lang, term, occurrences by source; chunks come ordered by shard, language and first term.
 
-    The heap holds the next term of every open chunk. What is less than the newest chunk's first term cannot occur
-    in a chunk still to come and is complete.
+    The heap holds the next term of every open chunk of one shard and language. What is less than the newest chunk's
+    first term cannot occur in a chunk still to come and is complete.
     """
     heap: list[tuple] = []
-    opened = 0
-
-    def push(chunk: tuple, k: int, at: int) -> None:
-        nonlocal opened
+    section, opened = None, 0
+
+    def complete(below: bytes | None) -> Iterator[tuple]:
+        while heap and (below is None or heap[0][0] < below):
+            term, documents, postings = heap[0][0], 0, []
+            while heap and heap[0][0] == term:
+                _, number, k, chunk = heap[0]
+                terms, per_term, ends = chunk[:3]
+                documents += per_term[k]
+                postings.append((k, chunk))
+                if k + 1 < len(terms):
+                    heapq.heapreplace(heap, (terms[k + 1], number, k + 1, chunk))
+                else:
+                    heapq.heappop(heap)
+            if documents >= least_documents:
+                found: dict[bytes, int] = {}
+                for k, (_, _, ends, names, codes, counts) in postings:
+                    for code, count in zip(codes[ends[k] : ends[k + 1]].tolist(), counts[ends[k] : ends[k + 1]].tolist()):
+                        found[names[code]] = found.get(names[code], 0) + count
+                yield section[1], term, found
+
+    for shard, lang, first, terms, per_term, sizes, names, codes, counts in chunks:
+        if (shard, lang) != section:
+            yield from complete(None)
+            section = (shard, lang)
+        yield from complete(first)
         opened += 1
-        heapq.heappush(heap, (chunk[0], chunk[1], chunk[3][k], opened, k, at, chunk))
-
-    def complete(below: tuple | None) -> Iterator[tuple]:
-        while heap and (below is None or heap[0][:3] < below):
-            key, documents, found = heap[0][:3], 0, {}
-            while heap and heap[0][:3] == key:
-                *_, k, at, chunk = heapq.heappop(heap)
-                documents += chunk[4][k]
-                end = at + chunk[5][k]
-                for code, count in zip(chunk[7][at:end], chunk[8][at:end]):
-                    source = chunk[6][code]
-                    found[source] = found.get(source, 0) + count
-                if k + 1 < len(chunk[3]):
-                    push(chunk, k + 1, end)
-            yield key[1], key[2], documents, found
-
-    for chunk in chunks:
-        yield from complete(chunk[:3])
-        push(chunk, 0, 0)
+        ends = [0, *np.cumsum(sizes).tolist()]
+        heapq.heappush(heap, (first, opened, 0, (terms.split(b" "), per_term.tolist(), ends, names, codes, counts)))
     yield from complete(None)
 
 
-def kept_terms(docs: DataFrame, least_documents: int = 30, block_entries: int = 300_000) -> DataFrame:
+def kept_terms(docs: DataFrame, least_documents: int = 30, block_entries: int = 500_000) -> DataFrame:
     """lang, term, sources, counts, total of every term in at least ``least_documents`` documents of its language."""
     spark = docs.sparkSession
     shards = SHARDS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -158,8 +163,11 @@ def kept_terms(docs: DataFrame, least_documents: int = 30, block_entries: int =
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks() -> Iterator[tuple]:
             for batch in batches:
+                plain = [column.to_pylist() for column in batch.columns[:4]]
+                lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(k) for k in (4, 5, 7, 8))]
                 for k in range(batch.num_rows):
-                    yield tuple(column[k].as_py() for column in batch.columns)
+                    per_term, sizes, codes, counts = (values[ends[k] : ends[k + 1]] for values, ends in lists)
+                    yield *(column[k] for column in plain), per_term, sizes, batch.column(6)[k].as_py(), codes, counts
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             langs, terms, found = zip(*rows)
@@ -169,12 +177,11 @@ def kept_terms(docs: DataFrame, least_documents: int = 30, block_entries: int =
                  pa.array([sum(f.values()) for f in found], pa.int64())], names=["lang", "term", "sources", "counts", "total"])
 
         rows = []
-        for lang, term, documents, found in merged_terms(chunks()):
-            if documents >= least_documents:
-                rows.append((lang, term, found))
-                if len(rows) == 256:
-                    yield out(rows)
-                    rows = []
+        for row in merged_terms(chunks(), least_documents):
+            rows.append(row)
+            if len(rows) == 256:
+                yield out(rows)
+                rows = []
         if rows:
             yield out(rows)
 
@@ -279,7 +286,7 @@ def _pairs(frequencies: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(fixes, ["lang", "a", "b"], "left").select("lang", "source", "item", value.cast("long").alias("value"))
 
 
-def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_documents: int = 30, top_terms: int = 50, block_entries: int = 300_000) -> DataFrame:
+def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_documents: int = 30, top_terms: int = 50, block_entries: int = 500_000) -> DataFrame:
     """lang, source, part, item, value, rank: distances to other sources, and the terms a source has most above its language."""
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
     frequencies = kept_terms(docs, least_documents, block_entries)
