@@ -184,8 +184,8 @@ def anonymize(
     """Mask every row of ``text_col``; return (masked rows, mapping rows).
 
     ``key_cols`` must be unique per row (the mapping fails if they are not); without them ids are drawn
-    once and the input is written to the shared folder with them. Input columns named like an added
-    column are refused.
+    once and the input is written to the shared folder with them (a stream is refused). Input columns named like
+    an added column are refused.
 
     Added columns: ``anonymized_text``, ``pii_count``, ``session_id`` (placeholder strategy
     with at least one entity), ``strategy`` (otherwise), ``error``. The mapping DataFrame
@@ -218,8 +218,9 @@ def anonymize(
     row_id = list(key_cols)
     if strategy == "placeholder":
         if not row_id:  # ids are drawn once and written with the rows, so every consumer sees the same
-            df = df.withColumn(f"{_P}_uid", F.expr("uuid()"))
-            df = df if df.isStreaming else written(df, "keyed-input")
+            if df.isStreaming:
+                raise ValueError("reversible masking of a stream needs key_cols: ids drawn per query would differ between masked and mapping rows")
+            df = written(df.withColumn(f"{_P}_uid", F.expr("uuid()")), "keyed-input")
             row_id = [f"{_P}_uid"]
         df = hashing.with_token(df, run_token)
 

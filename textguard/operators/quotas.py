@@ -78,7 +78,10 @@ def admit_sequence(ts_us: np.ndarray, limit: int, window_us: int, keep_equal_age
         elif len(log) >= limit or (max_bytes is not None and live_bytes + size > max_bytes):
             out[i] = FULL
         else:
-            log.append((t, size, owner))
+            at = len(log)
+            while at and log[at - 1][0] > t:  # a late call (streams only) takes its place in time
+                at -= 1
+            log.insert(at, (t, size, owner))
             live_bytes += size
             if held is not None:
                 held[owner] += 1

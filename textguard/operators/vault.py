@@ -62,20 +62,32 @@ def restore(
     amplification. With ``at_edge=True`` the first two map to ``validation_error`` as at
     the tool boundary, and an empty text is one too; otherwise they are vault errors.
     """
-    m = mapping.select(
+    m = sessions(mapping)
+    req = keyed(requests, session_col)
+    j = req.join(m, req["_tg_key"] == m["_tg_sid"], "left")
+    age = _micros(F.col(ts_col)) - _micros(F.col("_tg_created"))
+    found = F.col("_tg_sid").isNotNull() & (age >= 0) & (age <= F.lit(int(ttl_seconds * 1_000_000)).cast("long"))
+    return answered(j, found, text_col, principal_col, max_restore_bytes, at_edge)
+
+
+def sessions(mapping: DataFrame) -> DataFrame:
+    return mapping.select(
         F.col("session_id").alias("_tg_sid"),
         F.col("principal_id").alias("_tg_owner"),
         F.col("created_at").alias("_tg_created"),
         F.col("mappings").alias("_tg_maps"),
     )
+
+
+def keyed(requests: DataFrame, session_col: str) -> DataFrame:
+    """Only well-formed ids can match; malformed ones get no join key (null never joins)."""
     req = requests.withColumn("_tg_idok", V.session_id_ok(F.col(session_col)))
-    # Only well-formed ids can match; malformed ones skip the join key (null never joins).
-    req = req.withColumn("_tg_key", F.when(F.col("_tg_idok"), F.col(session_col)))
-    j = req.join(m, req["_tg_key"] == m["_tg_sid"], "left")
+    return req.withColumn("_tg_key", F.when(F.col("_tg_idok"), F.col(session_col)))
+
 
+def answered(j: DataFrame, found: Column, text_col: str, principal_col: str | None, max_restore_bytes: int, at_edge: bool) -> DataFrame:
+    """Restored text or error of every request that was joined with the session it names (``found``: a live one)."""
     text = F.col(text_col)
-    age = _micros(F.col(ts_col)) - _micros(F.col("_tg_created"))
-    found = F.col("_tg_sid").isNotNull() & (age >= 0) & (age <= F.lit(int(ttl_seconds * 1_000_000)).cast("long"))
     caller = F.col(principal_col) if principal_col else F.lit(None).cast("string")
     owner_ok = F.col("_tg_owner").isNull() | (F.col("_tg_owner") == F.coalesce(caller, F.lit("\u0000")))
     size_code = E.VALIDATION_ERROR if at_edge else E.RESOURCE_TOO_LARGE

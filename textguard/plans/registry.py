@@ -52,5 +52,5 @@ def releasing(fn: QueryFn) -> QueryFn:
 def load_all() -> None:
     """Import every plan module so their queries register."""
     from textguard.plans import (  # noqa: F401
-        detection_queries, masking_queries, vault_queries, audit_queries, search_queries, text_queries,
+        detection_queries, masking_queries, vault_queries, audit_queries, stream_queries, search_queries, text_queries,
     )
