@@ -43,6 +43,24 @@ def test_reputation_shrinks_towards_the_parent(spark):
     assert out["v.foul.org"].bad_rate > out["new.site.net"].bad_rate  # an unseen host inherits its domain
 
 
+def test_hosts_without_evidence_stay_where_many_pages_are_bad(spark):
+    """The limit follows the corpus: with half of all labelled pages bad, clean and unlabelled hosts are allowed, bad ones blocked."""
+    hosts = {"clean.org": (40, 0), "usual.org": (40, 20), "bad.org": (40, 38), "few.net": (2, 2), "new.net": (0, 0), "worse.com": (80, 50)}
+    rows, outcomes = [], []
+    for host, (labelled, bad) in hosts.items():
+        for k in range(max(labelled, 3)):
+            rows.append((len(rows), f"http://{host}/{k}"))
+            if k < labelled:
+                outcomes.append((rows[-1][0], int(k < bad)))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = judge_urls(pages, spark.createDataFrame(outcomes, "page long, bad int"), [])
+    verdicts = {r["host"]: r["verdict"] for r in found.collect()}
+    assert verdicts["clean.org"] == verdicts["usual.org"] == verdicts["new.net"] == "allow" and verdicts["bad.org"] == "block"
+    assert found.where("bound > 0.2 AND verdict = 'allow'").count() > 0
+    fixed = judge_urls(pages, spark.createDataFrame(outcomes, "page long, bad int"), [], limit=0.999)
+    assert fixed.where("verdict = 'block'").count() == 0
+
+
 def digest(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 

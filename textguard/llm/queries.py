@@ -122,8 +122,8 @@ bd AS (SELECT host, al / (al + be) - 1.645 * sqrt(al * be / ((al + be) * (al + b
 rules(rule, rhost, rpath, rverdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
 fit AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(rverdict, length(rule)) AS verdict FROM (SELECT DISTINCT host, path FROM p), rules
         WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path)
-SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN bd.bound > 0.2 THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path LEFT JOIN bd ON p.host = bd.host
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN bd.bound > g0.m THEN 'block' ELSE 'allow' END) AS verdict
+FROM p CROSS JOIN g0 LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path LEFT JOIN bd ON p.host = bd.host
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page url. A page's outcome is its label: bad if it is of low quality or toxic."""

@@ -3,7 +3,9 @@
 Labelled page outcomes are counted per host. Beta-binomial priors pass from the suffix to the
 registered domain to the host: each level is shrunk towards its parent's mean, with a strength
 estimated by the method of moments over all groups of that level. A page is blocked when the
-lower posterior bound of its host's bad rate is above a limit.
+lower posterior bound of its host's bad rate is above a limit, the mean rate of all labelled pages
+unless one is given: a host is blocked only when it is proven worse than the corpus, so hosts
+without evidence stay, however high that mean is.
 
 Defined results: a null url or one without ``://`` has an empty host and path; hosts without
 labelled pages get their parent's mean; repeated page ids are judged row by row and their outcomes
@@ -65,7 +67,7 @@ def _strength(groups: DataFrame, least: float, most: float) -> float:
 
 
 def host_reputation(hosts: DataFrame, least: float = 2.0, most: float = 1000.0) -> DataFrame:
-    """``hosts`` has host, n (labelled pages) and x (bad ones); returns host, alpha, beta."""
+    """``hosts`` has host, n (labelled pages) and x (bad ones); returns host, alpha, beta and the mean of all pages."""
     hosts = stored(
         hosts.select("host", "n", "x", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix")),
         "hosts",
@@ -83,11 +85,11 @@ def host_reputation(hosts: DataFrame, least: float = 2.0, most: float = 1000.0)
         alpha, beta = F.col("x") + s * F.col("m"), F.col("n") - F.col("x") + s * (1 - F.col("m"))
         groups = groups.select(*keys, alpha.alias("alpha"), beta.alias("beta"))
         parents = groups.select(*keys, (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("m"))
-    return groups.select("host", "alpha", "beta")
+    return groups.select("host", "alpha", "beta", F.lit(float((x + 1) / (n + 2))).alias("mean"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], page_col: str = "page_id", url_col: str = "url",
-               z: float = 1.645, limit: float = 0.2) -> DataFrame:
+               z: float = 1.645, limit: float | None = None) -> DataFrame:
     """Verdict per page row. ``outcomes`` has (page, bad): bad 1 for a bad page, 0 for a good one.
 
     Returns ``page_col``, host, path, rule, verdict, bad_rate (posterior mean), bound (lower bound).
@@ -102,7 +104,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], page_co
     total = F.col("alpha") + F.col("beta")
     mean = F.col("alpha") / total
     bound = mean - z * F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1)))
-    judged = urls.join(host_reputation(hosts).select("host", mean.alias("bad_rate"), bound.alias("bound")), "host", "left")
+    judged = urls.join(host_reputation(hosts).select("host", mean.alias("bad_rate"), bound.alias("bound"), F.col("mean") if limit is None else F.lit(limit).alias("mean")), "host", "left")
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    verdict = F.coalesce(verdict, F.when(F.col("bound") > limit, "block").otherwise("allow"))
+    verdict = F.coalesce(verdict, F.when(F.col("bound") > F.col("mean"), "block").otherwise("allow"))
     return judged.select(F.col("page").alias(page_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"), "bad_rate", "bound")
