@@ -2,7 +2,8 @@
 
 Queries are rows ``(query_id, principal_id, project_id, query, top_k, search_mode[, qvec])`` with
 ids of any type; equal ids of different requests stay apart. The corpus is
-``(key, vector, text, source, project_id)``.
+``(key, vector, text, source, project_id)``; keys may repeat: rows are told apart by ``_row_print``, and equal
+rows each take a rank of their own.
 
 Plan shape (exact search, no approximate index; nothing is collected, and no job runs while the plan
 is built, except that ``build_text_index`` writes its tables):
@@ -50,6 +51,11 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 
+def _row_print() -> Column:
+    """Tells rows that share a key and a project apart; rows that also share it have the same text and source."""
+    return F.xxhash64("text", "source").alias("_tg_row")
+
+
 def check_queries(queries: DataFrame, grants: DataFrame | None, allowed_projects=None,
                   principal_col: str = "principal_id") -> DataFrame:
     """V6/V7 + K2: add ``error``; authorised = (principal, project) granted and project configured."""
@@ -98,7 +104,7 @@ class _Nearest:
         self.vectors.append(vector)
         self.ks.append(k)
 
-    def see(self, keys: list, sources: list, vectors: list) -> None:
+    def see(self, keys: list, prints: list, sources: list, vectors: list) -> None:
         if self.best is None:
             self.best = [[] for _ in self.names]
             self.bad = [None] * len(self.names)
@@ -111,7 +117,7 @@ class _Nearest:
             if len(fit) < len(vectors):  # a vector of another width is a bad row
                 at = int(np.flatnonzero(own_widths != width)[0])
                 for i in queries:
-                    self.bad[i] = self.bad[i] or (keys[at], sources[at])
+                    self.bad[i] = self.bad[i] or (keys[at], prints[at], sources[at])
             if not len(fit) or width < 0:
                 continue
             rows = np.array([vectors[j] for j in fit], float).reshape(len(fit), width)
@@ -126,13 +132,13 @@ class _Nearest:
                     good = ~np.isnan(d)
                     if not good.all():
                         at = fit[int(np.flatnonzero(~good)[0])]
-                        self.bad[i] = self.bad[i] or (keys[at], sources[at])
+                        self.bad[i] = self.bad[i] or (keys[at], prints[at], sources[at])
                     k, best = self.ks[i], self.best[i]
                     limit = best[k - 1][0] if len(best) >= k else np.inf
                     near = np.flatnonzero(good & (d <= limit))
                     if len(near) > k:  # all rows up to the k-th distance of this batch, then the exact order
                         near = near[d[near] <= np.partition(d[near], k - 1)[k - 1]]
-                    best += [(float(d[x]), sources[fit[x]] or "", keys[fit[x]]) for x in near]
+                    best += [(float(d[x]), sources[fit[x]] or "", keys[fit[x]], prints[fit[x]]) for x in near]
                     best.sort()
                     del best[k:]
 
@@ -140,14 +146,14 @@ class _Nearest:
         for i, name in enumerate(self.names):
             if self.best is None:
                 return
-            for d, source, key in self.best[i]:
-                yield name, self.ks[i], key, source, d, False
+            for d, source, key, row in self.best[i]:
+                yield name, self.ks[i], key, row, source, d, False
             if self.bad[i] is not None:
                 yield name, self.ks[i], *self.bad[i], None, True
 
 
 def vector_candidates(requests: DataFrame, corpus: DataFrame, key_col: str, salts: int | None = None) -> DataFrame:
-    """K3: per request and partition the best k corpus rows of its project: _tg_rk, top_k, key, source, d2, bad.
+    """K3: per request and partition the best k corpus rows of its project: _tg_rk, top_k, key, _tg_row, source, d2, bad.
 
     ``bad`` rows (a vector of another width, or a distance that is no number) say that the request must fail (K5).
     """
@@ -156,13 +162,14 @@ def vector_candidates(requests: DataFrame, corpus: DataFrame, key_col: str, salt
     key_type = corpus.schema[key_col].dataType
     queries = requests.select("_tg_rk", "project_id", F.col("top_k").cast("int").alias("top_k"), F.col("qvec").cast("array<double>").alias("vector")).distinct()
     queries = queries.withColumn("_tg_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = corpus.select(F.col(key_col).alias("_tg_key"), "project_id", "source", F.col("vector").cast("array<double>").alias("vector"),
-                         F.pmod(F.xxhash64(key_col), F.lit(salts)).cast("int").alias("_tg_salt"))
+    rows = corpus.select(F.col(key_col).alias("_tg_key"), _row_print(), "project_id", "source", F.explode(F.array(F.col("vector").cast("array<double>"))).alias("vector"))
+    # (a generator's column has no constraint: Catalyst fails on those of embeddings computed in the same plan, in the union below)
+    rows = rows.withColumn("_tg_salt", F.pmod(F.xxhash64("_tg_key", "_tg_row"), F.lit(salts)).cast("int"))
     rows = rows.join(requests.select("project_id").distinct(), "project_id", "left_semi")  # projects that nobody searches
     both = queries.unionByName(rows, allowMissingColumns=True).repartition(salts, "project_id", "_tg_salt").sortWithinPartitions(
         "project_id", "_tg_salt", F.col("_tg_rk").asc_nulls_last())  # a project's queries first
     schema = T.StructType([T.StructField("_tg_rk", T.StringType()), T.StructField("top_k", T.IntegerType()), T.StructField(key_col, key_type),
-                           T.StructField("source", T.StringType()), T.StructField("d2", T.DoubleType()), T.StructField("bad", T.BooleanType())])
+                           T.StructField("_tg_row", T.LongType()), T.StructField("source", T.StringType()), T.StructField("d2", T.DoubleType()), T.StructField("bad", T.BooleanType())])
     arrow = to_arrow_schema(schema)
 
     def search(batches):
@@ -178,7 +185,7 @@ def vector_candidates(requests: DataFrame, corpus: DataFrame, key_col: str, salt
 
             def flush():
                 if seen:
-                    state.see(*([col[c][i] for i in seen] for c in ("_tg_key", "source", "vector")))
+                    state.see(*([col[c][i] for i in seen] for c in ("_tg_key", "_tg_row", "source", "vector")))
                     seen.clear()
 
             for i in range(batch.num_rows):
@@ -203,11 +210,14 @@ def vector_candidates(requests: DataFrame, corpus: DataFrame, key_col: str, salt
 def _finish(requests: DataFrame, ranked: DataFrame, bad: DataFrame | None, corpus: DataFrame, key_col: str) -> DataFrame:
     """Join text and source onto the ranked rows; a request with a bad row, a field or a total beyond the caps fails
     as a whole (K5, K6). One error row per failed request; ids and columns keep their types."""
-    texts = corpus.select(F.col(key_col).alias("_tg_key"), F.col("project_id").alias("_tg_project"), "text", F.col("source").alias("_tg_source"))
+    texts = corpus.select(F.col(key_col).alias("_tg_key"), F.col("project_id").alias("_tg_project"), _row_print(), "text", F.col("source").alias("_tg_source"))
     project = requests.select("_tg_rk", "project_id").distinct()
-    found = ranked.select("_tg_rk", "rank", F.col(key_col).alias("_tg_key"), "score").join(project, "_tg_rk")
-    found = found.join(texts, (found["_tg_key"] == texts["_tg_key"]) & (found["project_id"] == texts["_tg_project"])).select(
-        "_tg_rk", "rank", found["_tg_key"].alias(key_col), "text", F.col("_tg_source").alias("source"), "score")
+    found = ranked.select("_tg_rk", "rank", F.col(key_col).alias("_tg_want"), F.col("_tg_row").alias("_tg_print"), "score").join(project, "_tg_rk")
+    wanted = found.select(F.col("_tg_want").alias("_tg_k"), F.col("_tg_print").alias("_tg_p"), F.col("project_id").alias("_tg_of")).distinct()
+    texts = wanted.join(texts, F.col("_tg_key").eqNullSafe(F.col("_tg_k")) & (F.col("_tg_row") == F.col("_tg_p")) & (F.col("_tg_project") == F.col("_tg_of")))
+    texts = texts.groupBy("_tg_k", "_tg_p", "_tg_of").agg(F.first("text").alias("text"), F.first("_tg_source").alias("source"))  # equal rows: one text
+    found = found.join(texts, F.col("_tg_want").eqNullSafe(F.col("_tg_k")) & (F.col("_tg_print") == F.col("_tg_p")) & (F.col("project_id") == F.col("_tg_of"))).select(
+        "_tg_rk", "rank", F.col("_tg_want").alias(key_col), "text", "source", "score")
     size = F.coalesce(F.octet_length("text"), F.lit(0)), F.coalesce(F.octet_length("source"), F.lit(0))
     state = found.groupBy("_tg_rk").agg((F.max(F.greatest(*size)) > MAX_FIELD_BYTES).alias("big"), (F.sum(size[0] + size[1]) > MAX_RESULT_BYTES).alias("much"))
     fails = state.where("big OR much").select("_tg_rk")
@@ -233,8 +243,8 @@ def _all_failed(requests: DataFrame, code: str, corpus: DataFrame | None, key_co
 def _nearest(requests: DataFrame, corpus: DataFrame, key_col: str) -> tuple[DataFrame, DataFrame]:
     found = vector_candidates(requests.filter(F.col("error").isNull()), corpus, key_col)
     score = (F.lit(1.0) / (F.lit(1.0) + F.greatest(F.col("d2"), F.lit(0.0)))).alias("score")
-    good = found.filter(~F.col("bad")).select("_tg_rk", "top_k", key_col, "source", "d2", score)
-    return _ranked(good, [F.col("d2"), F.col("source"), F.col(key_col)]), found.filter("bad").select("_tg_rk")
+    good = found.filter(~F.col("bad")).select("_tg_rk", "top_k", key_col, "_tg_row", "source", "d2", score)
+    return _ranked(good, [F.col("d2"), F.col("source"), F.col(key_col), F.col("_tg_row")]), found.filter("bad").select("_tg_rk")
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, *, key_col: str = "doc_key", grants: DataFrame | None = None,
@@ -256,7 +266,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, *, key_col: str = "doc_ke
 @dataclass
 class TextIndex:
     """The full-text index: stored tables of postings and document frequencies, and corpus statistics."""
-    postings: DataFrame   # key, project_id, term, tf, dl; sorted by project and term
+    postings: DataFrame   # key, _tg_row, project_id, copies, term, tf, dl; sorted by project and term
     doc_freq: DataFrame   # term, df
     n_docs: int
     avg_len: float
@@ -273,15 +283,19 @@ def build_text_index(corpus: DataFrame, key_col: str = "doc_key") -> TextIndex:
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
-    docs = corpus.select(key_col, "project_id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("toks"))
+    docs = corpus.select(key_col, "project_id", _row_print(), F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("toks"))
+    row = [key_col, "_tg_row", "project_id"]
+    copies = docs.groupBy(*row).agg(F.count("*").alias("copies")).where("copies > 1")  # equal rows share postings
     # A document without tokens stays as one null-term row: it counts in N and in the average length.
-    terms = docs.select(key_col, "project_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-    rows = terms.groupBy(key_col, "project_id", "dl", "term").agg(F.count("*").alias("tf"))
+    terms = docs.select(*row, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+    rows = terms.groupBy(*row, "dl", "term").agg(F.count("*").alias("n"))
+    again = copies.select(F.col(key_col).alias("_tg_k"), F.col("_tg_row").alias("_tg_r"), F.col("project_id").alias("_tg_p"), F.col("copies").alias("_tg_c"))
+    rows = rows.join(again, F.col(key_col).eqNullSafe(F.col("_tg_k")) & (F.col("_tg_row") == F.col("_tg_r")) & F.col("project_id").eqNullSafe(F.col("_tg_p")), "left")
+    rows = rows.select(*row, F.coalesce("_tg_c", F.lit(1)).alias("copies"), "dl", "term", (F.col("n") / F.coalesce("_tg_c", F.lit(1))).cast("long").alias("tf"))
     postings = table(rows.repartitionByRange("project_id", "term", key_col).sortWithinPartitions("project_id", "term"), "postings")
-    doc_freq = table(postings.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df")), "doc-freq")
-    # Every document has the rows of its terms: their tf sum up to the lengths, a null-term row adds none.
-    tokens = F.sum(F.when(F.col("term").isNotNull(), F.col("tf")))
-    stats = postings.agg(F.countDistinct("project_id", key_col).alias("n"), tokens.alias("tokens")).first()
+    doc_freq = table(postings.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("copies").alias("df")), "doc-freq")
+    tokens = F.sum(F.when(F.col("term").isNotNull(), F.col("tf") * F.col("copies")))
+    stats = corpus.agg(F.count("*").alias("n")).crossJoin(postings.agg(tokens.alias("tokens"))).first()  # one row each
     mean = (stats["tokens"] or 0) / stats["n"] if stats["n"] else 0.0
     return TextIndex(postings, doc_freq, int(stats["n"]), float(mean), key_col)
 
@@ -297,13 +311,15 @@ def bm25_scores(requests: DataFrame, index: TextIndex, k1: float = BM25_K1, b: f
     hits = index.postings.join(terms, ["term", "project_id"])
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(index.avg_len if index.avg_len else 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return hits.groupBy(index.key_col, "_tg_rk", "top_k").agg(F.sum(part).alias("score"))
+    return hits.groupBy(index.key_col, "_tg_row", "copies", "_tg_rk", "top_k").agg(F.sum(part).alias("score"))
 
 
 def _best_texts(requests: DataFrame, index: TextIndex) -> DataFrame:
     """BM25 ranking; sums of floats may differ in the last bits between runs, so ranks compare 9 places."""
     scored = bm25_scores(requests.filter(F.col("error").isNull()), index)
-    return _ranked(scored, [F.round("score", 9).desc(), F.col(index.key_col)])
+    best = _ranked(scored, [F.round("score", 9).desc(), F.col(index.key_col), F.col("_tg_row")]).drop("rank")
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies").cast("int"), "top_k"))))  # equal rows take a rank each
+    return _ranked(best, [F.round("score", 9).desc(), F.col(index.key_col), F.col("_tg_row")])
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, index: TextIndex | None, *, key_col: str = "doc_key",
@@ -328,9 +344,15 @@ def hybrid_topk(queries: DataFrame, corpus: DataFrame, index: TextIndex | None,
         return _all_failed(requests, E.KNOWLEDGE_UNAVAILABLE, corpus, key_col)
     requests = requests.withColumn("qvec", hash_embedding(F.col("query"), embed_dims))
     near, bad = _nearest(requests, corpus, key_col)
-    near = near.select("_tg_rk", "top_k", key_col, F.col("rank").alias("rv"))
-    text = _best_texts(requests, index).select("_tg_rk", "top_k", key_col, F.col("rank").alias("rb"))
-    fused = near.join(text, ["_tg_rk", "top_k", key_col], "full_outer")
+    same = ["_tg_rk", "top_k", key_col, "_tg_row", "_tg_copy"]
+    copy = F.row_number().over(Window.partitionBy("_tg_rk", key_col, "_tg_row").orderBy("rank"))  # equal rows meet one to one
+    near = near.withColumn("_tg_copy", copy).select(*same, F.col("rank").alias("rv"))
+    text = _best_texts(requests, index).withColumn("_tg_copy", copy).select(*[F.col(c).alias(f"{c}_b") for c in same], F.col("rank").alias("rb"))
+    meet = F.lit(True)
+    for c in same:  # keys may be null
+        meet = meet & F.col(c).eqNullSafe(F.col(f"{c}_b"))
+    fused = near.join(text, meet, "full_outer")
+    fused = fused.select(*[F.when(F.col("rv").isNotNull(), F.col(c)).otherwise(F.col(f"{c}_b")).alias(c) for c in same], "rv", "rb")
     rrf = F.coalesce(1.0 / (rrf_k + F.col("rv")), F.lit(0.0)) + F.coalesce(1.0 / (rrf_k + F.col("rb")), F.lit(0.0))
     fused = fused.withColumn("score", F.greatest(rrf, F.lit(0.0)))
-    return _finish(requests, _ranked(fused, [F.col("score").desc(), F.col(key_col)]), bad, corpus, key_col)
+    return _finish(requests, _ranked(fused, [F.col("score").desc(), F.col(key_col), F.col("_tg_row"), F.col("_tg_copy")]), bad, corpus, key_col)
