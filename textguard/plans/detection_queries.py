@@ -133,8 +133,37 @@ _OVERLAP_SEED = (
     "concat(text, ' postgres://u', doc_id, ':p@example.com/db ', 'sk-ant-', lpad(cast(doc_id as string), 20, 'b'), "
     "' +33 1 42 ', lpad(cast(doc_id as string), 8, '0'), ' x', doc_id, '@example.com ')"
 )
-def _overlap_query(spark, sf_dir):
-    """D3 over seeded overlapping candidates; checked against a brute-force resolver in tests."""
+_OVERLAP_SEED_D = (
+    "text || ' postgres://u' || doc_id || ':p@example.com/db ' || 'sk-ant-' || lpad(doc_id::VARCHAR, 20, 'b') || "
+    "' +33 1 42 ' || lpad(doc_id::VARCHAR, 8, '0') || ' x' || doc_id || '@example.com '"
+)
+_OVERLAP_KINDS = ["EMAIL_ADDRESS", "PHONE_E164", "GERMAN_LICENSE_PLATE", "ANTHROPIC_KEY", "OPENAI_KEY", "CONNECTION_STRING", "PHONE_FORMATTED"]
+
+
+def _hits_of(ord_: int, kind: str) -> str:
+    """Whole matches (phones with the sign before and after them) and the pieces between them, in DuckDB."""
+    pattern, group = duck.RE2[kind]
+    etype = "PHONE_NUMBER" if group else kind
+    return (f"SELECT doc_id, '{etype}' AS etype, {ord_} AS ord, {group} AS grouped, regexp_extract_all(t, '{pattern}') AS m, "
+            f"regexp_extract_all(t, '{pattern}', {group}) AS v, regexp_split_to_array(t, '{pattern}') AS g FROM t")
+
+
+@query("resolve_overlaps", (
+    f"WITH RECURSIVE t AS (SELECT doc_id, {_OVERLAP_SEED_D} AS t FROM documents), "
+    f"h AS ({' UNION ALL '.join(_hits_of(i, k) for i, k in enumerate(_OVERLAP_KINDS))}), "
+    "s AS (SELECT doc_id, etype, ord, v[i] AS value, length(array_to_string(list_slice(g, 1, i), '') || array_to_string(list_slice(m, 1, i - 1), '')) "
+    "  + CASE WHEN grouped = 1 AND m[i][1] <> '+' THEN 1 ELSE 0 END AS st FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM h)), "
+    "r AS (SELECT *, st + length(value) AS en, row_number() OVER (PARTITION BY doc_id ORDER BY length(value) DESC, st, ord) AS rn FROM s "
+    f"  WHERE ord <> {len(_OVERLAP_KINDS) - 1} OR {duck.phone_digits_ok('value')}), "
+    # greedy over the ranked spans: one that meets none of those kept so far is kept
+    "k AS (SELECT doc_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(st BIGINT, en BIGINT, etype VARCHAR, value VARCHAR)[]) AS kept FROM documents "
+    "  UNION ALL SELECT k.doc_id, r.rn, CASE WHEN len(list_filter(k.kept, lambda x: x.st < r.en AND r.st < x.en)) > 0 THEN k.kept "
+    "  ELSE list_append(k.kept, {'st': r.st, 'en': r.en, 'etype': r.etype, 'value': r.value}) END FROM k JOIN r ON r.doc_id = k.doc_id AND r.rn = k.rn + 1), "
+    "o AS (SELECT doc_id, list_sort(arg_max(kept, rn)) AS kept FROM k GROUP BY doc_id) "
+    "SELECT doc_id, CAST(len(kept) AS BIGINT) AS n_kept, array_to_string(list_transform(kept, lambda x: x.etype || ':' || x.st || ':' || x.value), '|') AS kept FROM o"
+))
+def resolve_overlaps(spark, sf_dir):
+    """D3 over seeded overlapping candidates: longest, then leftmost, then detection order wins."""
     docs = read_table(spark, sf_dir, "documents")
     seeded = docs.select("doc_id", F.expr(_OVERLAP_SEED).alias("text"))
     recs = [P.EMAIL, P.PHONE_E164, P.PLATE, P.ANTHROPIC_KEY, P.OPENAI_KEY, P.CONNECTION_STRING, P.PHONE_FORMATTED]
@@ -146,9 +175,6 @@ def _overlap_query(spark, sf_dir):
     )
 
 
-query("resolve_overlaps")(_overlap_query)
-
-
 # A stand-in for an external analyzer's output in the expected schema: one span per
 # document over its first word, with a score derived from doc_id (half of them below 0.5).
 _EXT_END = "char_length(regexp_extract(text, '^[^ \\\\n]+', 0))"
