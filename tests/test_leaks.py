@@ -40,3 +40,28 @@ def test_iban_followed_by_words_parity_and_backoff(masker):
     assert "DE89370400440532013000" in r.anonymized_text  # parity: greedy candidate fails the length check
     (r,), _ = masker([text], iban_backoff=True)
     assert r.anonymized_text == "IBAN <IBAN_CODE_0> token here; <IBAN_CODE_1> ok"
+
+
+def test_limits_store_no_texts_and_no_values(spark):
+    """What the folds of rate limit and session caps write holds neither texts nor mapped values."""
+    import os
+
+    from textguard.operators.limits import anonymize_calls
+    from textguard.session import checkpoint_dir
+    base = checkpoint_dir(spark)
+    before = set(os.listdir(base))
+    calls = spark.createDataFrame([(k, f"mail u{k}@secret.example", "ann" if k % 2 else "bob", k) for k in range(8)], "id long, text string, who string, at long")
+    out = anonymize_calls(calls.withColumn("ts", F.timestamp_seconds("at")), "text", id_col="id", principal_col="who", ts_col="ts", max_calls=3, max_per_principal=2)
+    codes = {r["id"]: r["error"] and r["error"]["code"] for r in out.masked.collect()}
+    assert list(codes.values()).count("rate_limit_exceeded") == 2 and list(codes.values()).count("privacy_session_capacity_exhausted") == 2
+    assert {r["id"] for r in out.mapping.collect()} == {k for k, c in codes.items() if c is None}
+    written = 0
+    for folder in set(os.listdir(base)) - before:
+        for root, _, files in os.walk(os.path.join(base, folder)):
+            for name in files:
+                if name.endswith(".parquet"):
+                    written += 1
+                    for r in spark.read.parquet(os.path.join(root, name)).collect():
+                        assert "secret.example" not in str(r)
+    assert written
+    out.release()
