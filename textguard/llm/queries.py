@@ -77,17 +77,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_chat", r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
-SELECT conv_id, count(*) AS n_turns,
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prior FROM t),
+b AS (SELECT conv_id, CAST(min(place) FILTER (prior || '>' || role NOT IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS INTEGER) AS bad_turn, arg_max(role, place) AS ends FROM o GROUP BY conv_id)
+SELECT conv_id, any_value(bad_turn IS NULL AND ends = 'assistant') AS valid, any_value(bad_turn) AS bad_turn, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
   CAST(sum(length('### ' || replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '#', '\h'), ':', '\c') || ': '
     || replace(replace(replace(text, '\', '\\'), '<', '\l'), '#', '\h') || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t JOIN b USING (conv_id) GROUP BY conv_id
 """)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every formatted conversation, read back from the formatted text and its segments."""
+    """Digests of every formatted conversation, read back from the formatted text and its segments, and the role machine's verdict."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(EXTRA_CONVERSATION, "conv_id long, turn long, role string, text string"))
     out = format_conversations(rows)
@@ -95,7 +97,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = loss_text(F.col("segments"))
     read = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
-        "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(read, 256).alias("turns_sha256"),
+        "conv_id", "valid", "bad_turn", F.size(turns).cast("long").alias("n_turns"), F.sha2(read, 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
