@@ -6,11 +6,12 @@ classes by its last two bytes. The output is factored: a softmax over classes, t
 softmax within the class; within a rest class a word has the smoothed share (c + 0.1) / (N_k + 0.1 (V_k + 1)) of
 its training count, so any word has a probability. Class and word biases start at the corpus frequencies.
 
-Training. Gated recurrent units, truncated backpropagation, Adam, all in numpy. Every training row is learnt in
-every round, at any size of the corpus. A task is one trainer: it reads its rows once, about ``TRAINER_TOKENS`` tokens
-at a time, each part from the weights after the part before. All start a round from the same weights, whose average
-starts the next round. So the work grows with the corpus and runs on all executors, where the rows lie; averages are
-formed in groups. Tokens learnt are counted, and a round that has not learnt all fails.
+Training. Gated recurrent units, truncated backpropagation, Adam, all in numpy. Every training row is learnt once in
+every round, at any size of the corpus. A round has ``LEGS`` legs; a hash of a row tells its leg. A task is one trainer:
+it reads its rows once, about ``TRAINER_TOKENS`` tokens at a time, each part from the weights after the part before, in
+``STREAMS`` streams side by side, so that a step is a few large products. All start a leg from the same weights, whose
+average starts the next leg. So the work grows with the corpus and runs on all executors, where the rows lie; averages
+are formed in groups. Tokens learnt are counted, and a round that has not learnt all fails.
 
 Scoring. Documents run side by side through windows of ``SPAN`` steps; the state is carried from window to window,
 so a document is scored whole. Counts of words beyond the ``known_words`` most frequent (a bounded table sent to
@@ -46,7 +47,9 @@ WORDS = CLASSES * CLASS_SIZE
 START = WORDS + REST
 END = b""
 SPAN, BACK = 32, 20
-STREAMS, PART, CHUNK = 32, 256, 8192
+STREAMS, PART, CHUNK = 256, 256, 8192
+#: Parts of a round; the weights are averaged after each.
+LEGS = 2
 TRAINER_TOKENS = 300_000
 #: A word beyond this many bytes is never in the table of frequent words, which bounds that table.
 WORD_BYTES = 48
@@ -137,19 +140,22 @@ class Network:
                 inputs[k, at] = d[a - 1] if a else START
                 fresh[k, at] = True
                 at += n
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
         h = np.zeros((STREAMS, H), np.float32)
-        for turn, t0 in enumerate(range(0, length, BACK), 1):
+        if not hasattr(self, "turn"):  # moments and their age last as long as the trainer
+            self.m, self.s = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
+            self.turn = 0
+        for t0 in range(0, length, BACK):
             x, y, new = inputs[:, t0 : t0 + BACK], targets[:, t0 : t0 + BACK], fresh[:, t0 : t0 + BACK]
             g, h = self._gradients(x, y, new, h)
-            for k, v in self.w.items():  # of the large tables only the rows that this span has used
+            self.turn += 1
+            for k, v in self.w.items():  # of the input table only the rows that this span has used
                 at, d = g[k]
-                m[k][at] += 0.1 * (d - m[k][at])
-                s[k][at] += 0.01 * (d * d - s[k][at])
-                v[at] -= rate * (m[k][at] / (1 - 0.9**turn)) / (np.sqrt(s[k][at] / (1 - 0.99**turn)) + 1e-6)
+                m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * d
+                s = self.s[k][at] = 0.99 * self.s[k][at] + 0.01 * d * d
+                v[at] -= (rate / (1 - 0.9**self.turn)) * m / (np.sqrt(s / (1 - 0.99**self.turn)) + 1e-6)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, new: np.ndarray, h: np.ndarray):
+        """Rows and gradients of each table (mean loss of the span's targets), and the state after it."""
         span, past = x.shape[1], []
         states = np.empty((span, len(h), H), np.float32)
         for t in range(span):
@@ -157,51 +163,54 @@ class Network:
             h, z, r, c = self.step(x[:, t], h0)
             past.append((h0, z, r, c))
             states[t] = h
-        g = {k: np.zeros_like(self.w[k]) for k in ("zr", "c", "b", "k", "kb")}
-        used, place = np.unique(x, return_inverse=True)
-        dx_rows, place = np.zeros((len(used), 3 * H), np.float32), place.reshape(x.shape)
-        groups, dv, dvb = np.zeros(0, int), np.zeros((0, H, CLASS_SIZE), np.float32), np.zeros((0, CLASS_SIZE), np.float32)
+        g = {k: np.zeros_like(v) for k, v in self.w.items() if k != "x"}
         target = y.T.reshape(-1)
-        ok = np.flatnonzero(target >= 0)
         flat, dflat = states.reshape(-1, H), np.zeros((span * len(h), H), np.float32)
+        group = np.where(target < WORDS, target // CLASS_SIZE, target - WORDS + CLASSES).astype(np.int16)
+        ok = np.argsort(group, kind="stable")[np.count_nonzero(target < 0) :]  # by class; places without a target came first
         if len(ok):
-            hs, tg, scale = flat[ok], target[ok], np.float32(1 / len(ok))
-            group = np.where(tg < WORDS, tg // CLASS_SIZE, tg - WORDS + CLASSES)
-            p = np.exp(hs @ self.w["k"] + self.w["kb"])
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(ok)), group] -= 1
-            p *= scale
+            hs, tg, group, scale = flat[ok], target[ok], group[ok], np.float32(1 / len(ok))
+            p = hs @ self.w["k"]
+            p += self.w["kb"]
+            np.exp(p, out=p)
+            p *= scale / p.sum(axis=1, keepdims=True)
+            rows = np.arange(len(ok))
+            p[rows, group] -= scale
             g["k"], g["kb"] = hs.T @ p, p.sum(axis=0)
             d = p @ self.w["k"].T
-            groups = np.unique(group[group < CLASSES])
-            dv, dvb = np.zeros((len(groups), H, CLASS_SIZE), np.float32), np.zeros((len(groups), CLASS_SIZE), np.float32)
-            for j, k in enumerate(groups):
-                at = np.flatnonzero(group == k)
-                q = np.exp(hs[at] @ self.w["v"][k] + self.w["vb"][k])
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(at)), tg[at] - k * CLASS_SIZE] -= 1
-                q *= scale
-                dv[j], dvb[j] = hs[at].T @ q, q.sum(axis=0)
+            bounds = np.searchsorted(group, np.arange(CLASSES + 1))
+            for k in np.flatnonzero(np.diff(bounds)):
+                at = slice(bounds[k], bounds[k + 1])
+                q = hs[at] @ self.w["v"][k]
+                q += self.w["vb"][k]
+                np.exp(q, out=q)
+                q *= scale / q.sum(axis=1, keepdims=True)
+                q[rows[: len(q)], tg[at] - k * CLASS_SIZE] -= scale
+                g["v"][k], g["vb"][k] = hs[at].T @ q, q.sum(axis=0)
                 d[at] += q @ self.w["v"][k].T
             dflat[ok] = d
         dstates, dh = dflat.reshape(span, -1, H), np.zeros_like(h)
+        dx = np.empty((span, len(h), 3 * H), np.float32)
         for t in range(span - 1, -1, -1):
             h0, z, r, c = past[t]
             dh = dh + dstates[t]
             dc = dh * z * (1 - c * c)
-            dz = dh * (c - h0) * z * (1 - z)
             drh = dc @ self.w["c"].T
-            dr = drh * h0 * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            dx = np.concatenate([dzr, dc], axis=1)
-            np.add.at(dx_rows, place[:, t], dx)
-            g["b"] += dx.sum(axis=0)
+            dx[t, :, :H] = dh * (c - h0) * z * (1 - z)
+            dx[t, :, H : 2 * H] = drh * h0 * r * (1 - r)
+            dx[t, :, 2 * H :] = dc
+            dzr = dx[t, :, : 2 * H]
             g["zr"] += h0.T @ dzr
             g["c"] += (r * h0).T @ dc
             dh = dh * (1 - z) + drh * r + dzr @ self.w["zr"].T
             dh[new[:, t]] = 0
-        every = slice(None)
-        parts = {**{k: (every, v) for k, v in g.items()}, "x": (used, dx_rows), "v": (groups, dv), "vb": (groups, dvb)}
+        dx = dx.reshape(-1, 3 * H)
+        g["b"] = dx.sum(axis=0)
+        ids = x.T.reshape(-1).astype(np.int16)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        parts = {**{k: (slice(None), v) for k, v in g.items()}, "x": (ids[first], np.add.reduceat(dx[order], first))}
         return {k: (at, np.clip(v, -1, 1)) for k, (at, v) in parts.items()}, h
 
     def document_scores(self, documents: list[np.ndarray]) -> np.ndarray:
@@ -317,35 +326,39 @@ def _average(blobs: DataFrame) -> tuple[dict[str, np.ndarray], int] | None:
 
 
 def _fit(docs: DataFrame, vocabulary: Vocabulary, shared, network: Network, rounds: int, rate: float) -> Network:
-    rows = docs.where("not held_out").select("text").coalesce(max(1, ceil(vocabulary.total / TRAINER_TOKENS)))
+    rows = docs.where("not held_out").select("text", F.pmod(F.xxhash64("id", "text"), F.lit(LEGS)).alias("leg"))
+    trainers = max(1, ceil(vocabulary.total / LEGS / TRAINER_TOKENS))
     for turn in range(rounds):
-        weights = docs.sparkSession.sparkContext.broadcast(network.w)
-
-        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Network.__new__(Network)
-            own.w = {k: v.copy() for k, v in weights.value.items()}
-            documents, size, tokens = [], 0, 0
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    documents.append(shared.value.read(tokens_of(text))[0])
-                    size += len(documents[-1])
-                    if size >= TRAINER_TOKENS:
-                        own.train(documents, rate / (1 + turn))
-                        documents, size, tokens = [], 0, tokens + size
-            own.train(documents, rate / (1 + turn))
-            if tokens + size:
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own.w)], pa.binary()), pa.array([tokens + size], pa.int64())], names=["blob", "n"])
-
-        learnt = _average(rows.mapInArrow(train, "blob binary, n long"))
-        if learnt is not None:
-            network.w, tokens = learnt
-            if tokens != vocabulary.total:
-                raise RuntimeError(f"round {turn} learnt {tokens} of {vocabulary.total} training tokens")
+        tokens = 0
+        for leg in range(LEGS):
+            weights = docs.sparkSession.sparkContext.broadcast(network.w)
+            slower = rate / (1 + LEGS * turn + leg) ** 0.5
+
+            def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = Network.__new__(Network)
+                own.w = {k: v.copy() for k, v in weights.value.items()}
+                documents, size, learnt = [], 0, 0
+                for batch in batches:
+                    for text in batch.column(0).to_pylist():
+                        documents.append(shared.value.read(tokens_of(text))[0])
+                        size += len(documents[-1])
+                        if size >= TRAINER_TOKENS:
+                            own.train(documents, slower)
+                            documents, size, learnt = [], 0, learnt + size
+                own.train(documents, slower)
+                if learnt + size:
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own.w)], pa.binary()), pa.array([learnt + size], pa.int64())], names=["blob", "n"])
+
+            learnt = _average(rows.where(F.col("leg") == leg).select("text").coalesce(trainers).mapInArrow(train, "blob binary, n long"))
+            if learnt is not None:  # a leg may have no rows
+                network.w, tokens = learnt[0], tokens + learnt[1]
+        if tokens != vocabulary.total:
+            raise RuntimeError(f"round {turn} learnt {tokens} of {vocabulary.total} training tokens")
     return network
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10,
-                    rounds: int = 2, rate: float = 0.01, known_words: int = 131_072) -> DataFrame:
+                    rounds: int = 1, rate: float = 0.05, known_words: int = 131_072) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for every row."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
