@@ -10,8 +10,8 @@ registers agree the more often the more alike the sets are, so bands of register
 2. Representatives that share a band meet in a bucket. Members of small buckets that meet twice are compared. Members of large
    ones count how many of their shingles any other such member has; who cannot reach the similarity with
    that many shared shingles leaves. Then the member that meets most others and a few more pivots are compared
-   with all members; what stays is compared only where it is not yet connected, until every bucket is one
-   component or empty. So groups of near copies cost a few rows per member.
+   with all members; what stays is compared only where it is not yet connected and where what both lack of the
+   first pivot leaves enough to share, until every bucket is one component or empty. So groups of near copies cost a few rows per member.
 3. A pair's Jaccard similarity is estimated by maximum likelihood from its registers and exact set sizes; pairs
    that 0.8 is out of reach for are dropped.
 4. The rest is verified on the full sets, and the verified links give components.
@@ -46,6 +46,8 @@ SMALL_BUCKET = 24
 #: that may be left for a bucket to be finished by comparing all that is not connected.
 PIVOTS, MOST_PIVOTS = 6, 96
 LEFT_PAIRS = 512
+#: Longs of 64 bits that tell which shingles of its bucket's first pivot a member lacks, a slot per hash.
+SLOTS = 16
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _MUL = (_RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * 2 + 1)[:, None]
@@ -237,6 +239,28 @@ def _pivots(active: DataFrame, turn: int) -> DataFrame:
     return rows.select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.m") for k in range(len(drawn))]))).alias("p")).select("bucket", "p.*")
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    """SLOTS longs with the bits of the hashes' slots set; equal hashes have equal slots."""
+    bits = np.zeros(64 * SLOTS, np.uint8)
+    bits[shingles % np.uint64(64 * SLOTS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _spokes(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Shared shingles of members (a) and pivots (b), and in ``lost`` the slots of the pivot's shingles that a member lacks."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist())]
+            lacks = [np.setdiff1d(y, x, assume_unique=True) for x, y in both]
+            n = [len(y) - len(l) for (_, y), l in zip(both, lacks)], [len(x) for x, _ in both], [len(y) for _, y in both]
+            lost = pa.array([_slots(l) for l in lacks], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int32()) for c in n), lost], names=["a", "b", "shared", "n_a", "n_b", "lost"])
+
+    sets = known.select("rep", "shingles")
+    rows = members.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
+    return stored(rows.mapInArrow(count, "a long, b long, shared int, n_a int, n_b int, lost array<bigint>"), "spokes")
+
+
 def _shared_shingles(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """a, b, shared, n_a, n_b: the exact number of shingles that both sets have, and their sizes."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,16 +282,22 @@ def _cross_pairs(active: DataFrame, buckets: DataFrame, percent: int) -> DataFra
     """Pairs of members with different labels: those outside a bucket's main label against all others.
 
     A pair is made in the first bucket that it shares, and only if it can be alike enough: two sets share no more
-    than the smaller part that either shares with the bucket's pivot, plus the smaller rest that either shares
-    with any member.
+    than the part that either shares with the bucket's pivot, less a shingle for every slot of which only the other
+    lacks some, plus the smaller rest that either shares with any member.
     """
     rows = active.join(buckets.select("bucket", "main"), "bucket")
     places = rows.groupBy("rep").agg(F.collect_set("bucket").alias("places"))  # BANDS at most
     rows = rows.join(places, "rep")
-    rest = rows.where("label != main").select("bucket", F.col("rep").alias("a"), F.col("label").alias("x"), F.col("size").alias("n"), F.col("inside").alias("i"), F.col("outside").alias("o"), F.col("places").alias("p"))
-    other = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("y"), F.col("size").alias("m"), F.col("inside").alias("j"), F.col("outside").alias("u"), F.col("places").alias("q"), "main")
+    rest = rows.where("label != main").select("bucket", F.col("rep").alias("a"), F.col("label").alias("x"), F.col("size").alias("n"), F.col("inside").alias("i"), F.col("outside").alias("o"), F.col("places").alias("p"), F.col("lost").alias("s"))
+    other = rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("y"), F.col("size").alias("m"), F.col("inside").alias("j"), F.col("outside").alias("u"), F.col("places").alias("q"), F.col("lost").alias("t"), "main")
     once = (F.col("y") == F.col("main")) | (F.col("a") < F.col("b"))
     enough = (100 + percent) * (F.least("i", "j") + F.least("o", "u")) >= percent * (F.col("n") + F.col("m"))
+
+    def only(x: str, y: str):  # slots set in y, not in x
+        return sum(F.bit_count(F.col(y)[k].bitwiseAND(F.bitwise_not(F.col(x)[k]))) for k in range(SLOTS))
+
+    both = F.least(F.col("i") - only("s", "t"), F.col("j") - only("t", "s"))
+    enough &= (100 + percent) * (both + F.least("o", "u")) >= percent * (F.col("n") + F.col("m"))
     first = F.col("bucket") == F.array_min(F.array_intersect("p", "q"))
     pairs = rest.join(other, "bucket").where((F.col("x") != F.col("y")) & once & _near_sizes("n", "m", percent) & enough & first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -288,10 +318,10 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     if active.isEmpty():
         return links
     hub = active.join(stored(_pivots(active, 0), "pivots"), "bucket")
-    spokes = _shared_shingles(hub.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), known)
+    spokes = _spokes(hub.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), known)
     links = links.unionByName(_alike(spokes, percent))
-    hub = hub.join(spokes.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "shared"), ["rep", "pivot"])  # without the pivots themselves
-    active = stored(hub.select("bucket", "rep", "size", "weight", F.col("shared").alias("inside"), (F.col("most") - F.col("shared")).alias("outside")), "active")
+    hub = hub.join(spokes.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "shared", "lost"), ["rep", "pivot"])  # without the pivots themselves
+    active = stored(hub.select("bucket", "rep", "size", "weight", F.col("shared").alias("inside"), (F.col("most") - F.col("shared")).alias("outside"), "lost"), "active")
     turn = 1
     while not active.isEmpty():
         active = stored(active.join(_connected(reps, links), "rep"), "active")
