@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textguard.llm import queries
 from textguard.llm.ngrams import lower_tokens, ngram_buckets
-from textguard.llm.quality_rules import base_counts, best_threshold, fit_quality
+from textguard.llm.quality_rules import base_counts, best_cut, best_threshold, fit_quality
 from textguard.llm.recurrent_lm import Network, START, WORDS, _fit, score_documents
 from textguard.llm.resample import gumbel, kth_largest, resample
 from textguard.llm.toxicity import fit_toxicity
@@ -105,6 +105,41 @@ def test_quality_on_messy_and_empty_tables(spark):
     assert fit_quality(messy(spark), labels.limit(0)).threshold == float("-inf")
 
 
+def test_models_learn_from_every_labelled_row(spark):
+    """More labelled rows than any sample of 8,000 takes, whether their ids are sent to all tasks or dealt."""
+    texts = {i: f"w{i % 97} v{i // 97} " + " ".join(f"u{(i + k) % 31}" for k in range(20)) for i in range(9000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    quality = {i: int(i % 20 != 0) for i in texts}
+    labels = labelled(spark, [(i, q, 0) for i, q in quality.items()] + [(40, 1, 0)])  # both good and bad: bad
+    raw, good = np.zeros(1 << 16), np.zeros(1 << 16)
+    for i, t in texts.items():
+        own = ngram_buckets(lower_tokens(t))
+        np.add.at(raw, own, 1)
+        np.add.at(good, own, quality[i])
+    ratios = np.log((good + 1) / (good.sum() + 65536)) - np.log((raw + 1) / (raw.sum() + 65536))
+    ratio = np.array([np.float64(np.float32(ratios)[ngram_buckets(lower_tokens(t))].mean()) for t in texts.values()])
+    q = np.array(list(quality.values()))
+    for broadcast_ids in (0, 100_000):
+        model = fit_quality(docs, labels, max_loss=0.05, broadcast_ids=broadcast_ids)
+        assert np.abs(model.ratios - ratios).max() < 1e-5
+        assert abs(model.threshold - best_threshold(ratio[q == 1], ratio[q == 0], 0.05)) < 1e-5
+    both = good.copy()
+    np.add.at(both, ngram_buckets(lower_tokens(texts[40])), 1)  # here a row that any label calls good counts
+    ratios = np.log((both + 1) / (both.sum() + 65536)) - np.log((raw + 1) / (raw.sum() + 65536))
+    for r in resample(docs, labels, broadcast_ids=0).collect():
+        assert abs(r.log_weight - ratios[ngram_buckets(lower_tokens(texts[r.doc_id]))].sum()) < 1e-3
+
+
+def test_best_cut_equals_sorting(spark):
+    rng = np.random.default_rng(3)
+    for n, top, max_loss in ((400, 30, 0.001), (400, 30, 0.2), (3000, 10_000, 0.1), (5, 3, 1.0), (50, 1, 0.5)):
+        kinds, ratio = rng.integers(0, 2, n), rng.integers(0, top, n) / 7 - 1.0
+        ratio = ratio + kinds * 0.5
+        want = best_threshold(ratio[kinds == 1], ratio[kinds == 0], max_loss)
+        assert best_cut(spark.createDataFrame([(int(k), float(x)) for k, x in zip(kinds, ratio)], "kind int, ratio double"), max_loss) == want
+    assert best_cut(spark.createDataFrame([(1, 0.5)], "kind int, ratio double"), 0.1) == float("-inf")
+
+
 def test_importance_weights_and_top_k(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     texts, good_ids = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id for r in labels.where("quality = 1").collect()}

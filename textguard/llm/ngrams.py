@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, stored
 
 BUCKET_BITS = 16
+#: Up to this many labelled ids are sent to every task (16 bytes each); beyond it the texts are dealt by id.
+BROADCAST_IDS = 500_000
 #: Odd 64-bit multipliers that spread word hashes over the buckets.
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -64,6 +66,18 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np
             - np.log((raw + smoothing) / (raw.sum() + smoothing * len(raw)))).astype(np.float32)
 
 
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, kinds: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``kind, text`` of every row of ``docs`` that ``kinds`` (id, kind) names, stored. Of an id with several kinds the least counts.
+
+    Stored, lest a later function runs below the join, on every row.
+    """
+    ids = kinds.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled_id")).agg(F.min("kind").alias("kind"))
+    ids = stored(ids, "labelled-ids")
+    ids = ids.hint("broadcast" if ids.count() <= broadcast_ids else "shuffle_hash")  # the texts are never sorted
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return stored(rows.join(ids, F.col("id") == F.col("labelled_id")).select("kind", "text"), "labelled-rows")
+
+
 def labelled_sample(labels: DataFrame, id_col: str, flag, rows: int) -> DataFrame:
     """At most ``rows`` ids of the labelled rows that ``flag`` holds for, in hash order: a bounded, repeatable sample."""
     ids = labels.where(flag & F.col(id_col).isNotNull()).select(id_col).distinct()

@@ -1,9 +1,9 @@
 """Quality rules: base rules on words and repeats, and a hashed n-gram log-likelihood ratio.
 
-The ratio compares a multinomial over trusted rows (a bounded sample of rows labelled good) with one
-over the whole corpus; a document's ratio is its mean per n-gram. A document is kept if no base rule
-fails and its ratio is at or above a threshold. The threshold comes from the labelled sample: the one that
-separates good and bad rows best among those that reject at most ``max_loss`` of the good rows.
+The ratio compares a multinomial over trusted rows (all rows labelled good) with one over the whole corpus;
+a document's ratio is its mean per n-gram. A document is kept if no base rule fails and its ratio is at or
+above a threshold. The threshold comes from all labelled rows: the one that separates good and bad rows best
+among those that reject at most ``max_loss`` of the good rows.
 
 Defined results: a null text has no words and fails the base rules; rows are judged one by one, repeated
 ids and rows alike; without labels of both kinds the threshold keeps everything that passes the base
@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
-from .ngrams import labelled_sample, log_ratio, lower_tokens, ngram_buckets, ngram_counts
+from .ngrams import BROADCAST_IDS, labelled_rows, log_ratio, lower_tokens, ngram_buckets, ngram_counts
 
 WINDOW = 8
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double"
@@ -102,18 +102,36 @@ def best_threshold(good: np.ndarray, bad: np.ndarray, max_loss: float) -> float:
     return float((below + cuts[best]) / 2) if gain[best] > 0 else float("-inf")
 
 
+def best_cut(scored: DataFrame, max_loss: float) -> float:
+    """``best_threshold`` of a table (kind, ratio) of any size: cuts in ranges of ratios, with counts that start at those of the ranges before."""
+    cuts = scored.groupBy("ratio").agg(F.sum("kind").alias("good"), F.sum(1 - F.col("kind")).alias("bad"))
+    cuts = stored(cuts.repartitionByRange("ratio").withColumn("part", F.spark_partition_id()), "quality-cuts")
+    starts, good, bad, before = [], 0, 0, None
+    for r in cuts.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("ratio").alias("last")).orderBy("part").collect():  # a row per range
+        starts.append((r["part"], good, bad, before))
+        good, bad, before = good + r["good"], bad + r["bad"], r["last"]
+    if not good or not bad:
+        return float("-inf")
+    begun = scored.sparkSession.createDataFrame(starts, "part int, good0 long, bad0 long, before double")
+    order = Window.partitionBy("part").orderBy("ratio")
+    below = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.col(f"{c}0") + F.coalesce(F.sum(c).over(below), F.lit(0))
+    rows = cuts.join(F.broadcast(begun), "part").select("ratio", F.coalesce(F.lag("ratio").over(order), "before").alias("below"),
+                                                        (so_far("good") / good).alias("lost"), (so_far("bad") / bad).alias("rejected"))
+    gain = F.when(F.col("lost") <= max_loss, F.col("rejected") - F.col("lost")).otherwise(-1.0)
+    best = rows.withColumn("gain", gain).orderBy(F.desc("gain"), "ratio").first()
+    return (best["below"] + best["ratio"]) / 2 if best["gain"] > 0 else float("-inf")
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted: str = "quality = 1",
-                rejected: str = "quality = 0", sample_rows: int = 8000, max_loss: float = 0.001) -> QualityModel:
-    """Fit on ``docs`` with ``labels`` (id, quality). ``sample_rows`` bounds the labelled ids of either kind."""
-    good = labelled_sample(labels, id_col, F.expr(trusted), sample_rows).select(F.col(id_col).alias("sample_id"), F.lit(1).alias("kind"))
-    bad = labelled_sample(labels, id_col, F.expr(rejected), sample_rows).select(F.col(id_col).alias("sample_id"), F.lit(0).alias("kind"))
-    sample = F.broadcast(good.unionByName(bad).groupBy("sample_id").agg(F.min("kind").alias("kind")))  # 2 * sample_rows rows at most
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, F.col("id") == F.col("sample_id"), "left")
-    target, raw = ngram_counts(marked.withColumn("trusted", F.coalesce(F.col("kind") == 1, F.lit(False))), "text", "trusted")
+                rejected: str = "quality = 0", max_loss: float = 0.001, broadcast_ids: int = BROADCAST_IDS) -> QualityModel:
+    """Fit on ``docs`` with ``labels`` (id, quality): every row, and every label that is ``trusted`` or ``rejected``."""
+    good = labels.where(F.expr(trusted)).select(id_col, F.lit(1).alias("kind"))
+    bad = labels.where(F.expr(rejected)).select(id_col, F.lit(0).alias("kind"))
+    labelled = labelled_rows(docs, id_col, text_col, good.unionByName(bad), broadcast_ids)
+    _, raw = ngram_counts(docs.withColumn("trusted", F.lit(False)), text_col, "trusted")
+    target, _ = ngram_counts(labelled.where("kind = 1").withColumn("trusted", F.lit(True)), "text", "trusted")
     model = QualityModel(log_ratio(target, raw), float("-inf"))
     bounded_batches(docs.sparkSession)
-    labelled = stored(marked.where("kind is not null").select("kind", "text"), "quality-sample")  # else the function runs below the join, on every row
     scored = labelled.select("kind", model.columns(F.col("text")).alias("s")).where(~model.base_failed(F.col("s"))).select("kind", "s.ratio")
-    rows = scored.collect()  # as many rows as the sample has documents
-    by = {k: np.array([r["ratio"] for r in rows if r["kind"] == k]) for k in (0, 1)}
-    return QualityModel(model.ratios, best_threshold(by[1], by[0], max_loss))
+    return QualityModel(model.ratios, best_cut(scored, max_loss))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
-from .ngrams import labelled_sample, log_ratio, lower_tokens, ngram_buckets, ngram_counts
+from .ngrams import BROADCAST_IDS, labelled_rows, log_ratio, lower_tokens, ngram_buckets, ngram_counts
 
 BINS = 4096
 
@@ -66,18 +66,18 @@ def kth_largest(keys: DataFrame, col: str, k: int, times: str = "1") -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1",
-             share: float | None = None, sample_rows: int = 8000, seed: int = 7) -> DataFrame:
+             share: float | None = None, seed: int = 7, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """id, log_weight, gumbel_key, kept for every row. ``share`` of the rows is drawn; by default as many as
-    the labels call good. ``sample_rows`` bounds the labelled rows that the target model is fitted on."""
+    the labels call good. The target model is fitted on all rows that they call good."""
     bounded_batches(docs.sparkSession)
     known = labels.where(F.expr(target).isNotNull())
     if share is None:
         good, n = known.agg(F.sum(F.expr(target).cast("long")), F.count("*")).first()
         share = (good or 0) / n if n else 1.0
-    sample = F.broadcast(labelled_sample(labels, id_col, F.expr(target), sample_rows).select(F.col(id_col).alias("sample_id")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = rows.join(sample, F.col("id") == F.col("sample_id"), "left").withColumn("is_target", F.col("sample_id").isNotNull())
-    ratios = log_ratio(*ngram_counts(marked, "text", "is_target"))
+    _, raw = ngram_counts(rows.withColumn("is_target", F.lit(False)), "text", "is_target")
+    good_rows = labelled_rows(docs, id_col, text_col, labels.where(F.expr(target)).select(id_col, F.lit(1).alias("kind")), broadcast_ids)
+    ratios = log_ratio(ngram_counts(good_rows.withColumn("is_target", F.lit(True)), "text", "is_target")[0], raw)
     scores = stored(rows.select("id", log_weight(ratios, F.col("text")).alias("log_weight"), F.xxhash64("text").alias("h")), "importance")
     keyed = scores.select("id", "log_weight", (F.col("log_weight") + gumbel(seed, F.col("id"), F.col("h"))).alias("gumbel_key"))
     limit = kth_largest(keyed, "gumbel_key", round(share * scores.count()))
