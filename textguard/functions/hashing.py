@@ -67,7 +67,8 @@ def session_id(*key_cols: Column) -> Column:
 def hash_embedding(text: Column, dims: int = 32) -> Column:
     """K1: SHA-256 of the UTF-8 text; component i = byte[i mod 32] / 255 * 2 - 1 (not semantic)."""
     digest = F.sha2(F.encode(text, "UTF-8"), 256)
-    return F.transform(
+    # The digest is the one element of an array: inside the inner function it is a variable, else it would be computed per component.
+    return F.element_at(F.transform(F.array(digest), lambda h: F.transform(
         F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: (F.conv(F.substring(digest, (i % 32) * 2 + 1, 2), 16, 10).cast("double") / 255.0) * 2.0 - 1.0,
-    )
+        lambda i: (F.conv(F.substring(h, (i % 32) * 2 + 1, 2), 16, 10).cast("double") / 255.0) * 2.0 - 1.0,
+    )), 1)
