@@ -74,3 +74,20 @@ def test_hybrid_rows_with_equal_keys(spark):
     got = answers(K.hybrid_topk(queries, corpus, K.build_text_index(corpus), embed_dims=8))
     rows = [r for r in ROWS if r[3] == "p" and r[1] is not None]
     assert Counter(g[1:4] for g in got) == Counter(r[:3] for r in rows)
+
+
+def test_postings_of_a_document_stay_where_it_was_read(spark):
+    """No posting is shuffled: a document's lie side by side in one file; equal rows share theirs."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [(i, f"p{i % 3}", " ".join(words[: 1 + i % 8] * 2), "s") for i in range(60)] + [(7, "p1", " ".join(words * 2), "s"), (None, "p0", None, "s"), (99, "p0", "", "s")]
+    corpus = spark.createDataFrame(rows, "doc_key long, project_id string, text string, source string").repartition(4)
+    index = K.build_text_index(corpus)
+    files = index.postings.groupBy("doc_key", "_tg_row", "project_id").agg(F.countDistinct(F.input_file_name()).alias("files"), F.count_distinct("term").alias("terms"),
+                                                                          F.max("copies").alias("copies"), F.max("dl").alias("dl"), F.max("tf").alias("tf")).collect()
+    assert len(files) == 62 and all(r.files == 1 for r in files)
+    for r in files:
+        n = 1 + r.doc_key % 8 if r.doc_key is not None and r.doc_key != 99 else 0
+        assert (r.terms, r.dl, r.tf) == (n, 2 * n, 2 if n else 1)
+        assert r.copies == (2 if r.doc_key == 7 else 1)
+    assert index.n_docs == 63
+    assert {r.term: r.df for r in index.doc_freq.collect()} == {w: sum(i % 8 >= k for i in range(60)) + 1 for k, w in enumerate(words)}

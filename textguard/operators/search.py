@@ -6,7 +6,7 @@ ids of any type; equal ids of different requests stay apart. The corpus is
 rows each take a rank of their own.
 
 Plan shape (exact search, no approximate index; nothing is collected, and no job runs while the plan
-is built, except that ``build_text_index`` writes its tables):
+is built, except that ``build_text_index`` writes its tables and BM25 counts the terms of the requests):
 
 * authorisation is a join with the grants table (K2), validation is row-local (V6, V7);
 * vector search deals corpus rows and queries by (project, salt). A project's queries come to every
@@ -14,7 +14,8 @@ is built, except that ``build_text_index`` writes its tables):
   partitions. Inside a partition the queries are held, and the corpus streams past them in Arrow
   batches; no (query, row) pair becomes a row, and at most k rows per query leave a partition;
 * rankings compare the squared distance itself, with exact ties in the order of source and key;
-* BM25 joins the query's terms, with their stored document frequencies, to the stored postings;
+* BM25 joins the query's terms, with their stored document frequencies, to the stored postings, which lie document
+  by document: neither building nor reading them shuffles a posting, and scores are summed before their shuffle;
 * text is joined onto the ranked rows only. Result hygiene (K5) and caps (K6) are the same in all modes.
 """
 
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,8 @@ BM25_K1, BM25_B = 1.2, 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 REQUIRED = ("text", "source", "project_id")
 QUERY_BLOCK = 256            # queries scored together against one Arrow batch of the corpus
+INDEX_BLOCK = 256            # documents whose terms are counted together
+BROADCAST_TERMS = 1_000_000  # up to this many terms of requests are sent to every task
 
 
 def tokenize(text: Column) -> Column:
@@ -266,16 +270,36 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, *, key_col: str = "doc_ke
 @dataclass
 class TextIndex:
     """The full-text index: stored tables of postings and document frequencies, and corpus statistics."""
-    postings: DataFrame   # key, _tg_row, project_id, copies, term, tf, dl; sorted by project and term
+    postings: DataFrame   # key, _tg_row, project_id, copies, term, tf, dl; those of a document side by side
     doc_freq: DataFrame   # term, df
     n_docs: int
     avg_len: float
     key_col: str
 
 
+def _count_terms(schema: pa.Schema):
+    """Rows (..., toks) to one row per document and distinct term; a document without tokens stays as one null-term row."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, INDEX_BLOCK):
+                block = batch.slice(at, INDEX_BLOCK)
+                toks = block.column("toks")
+                dl = pc.list_value_length(toks).to_numpy(zero_copy_only=False)
+                coded = pc.dictionary_encode(toks.flatten())
+                width = max(1, len(coded.dictionary))
+                pairs, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                empty = np.flatnonzero(dl == 0)
+                doc = np.concatenate([pairs // width, empty])
+                code = pa.array(np.concatenate([pairs % width, np.zeros(len(empty), np.int64)]), mask=np.arange(len(doc)) >= len(pairs))
+                found = {"term": coded.dictionary.take(code), "tf": pa.array(np.concatenate([tf, np.ones(len(empty), np.int64)])), "dl": pa.array(dl[doc])}
+                yield pa.RecordBatch.from_arrays([(found[f.name] if f.name in found else block.column(f.name).take(pa.array(doc))).cast(f.type) for f in schema], schema=schema)
+
+    return run
+
+
 def build_text_index(corpus: DataFrame, key_col: str = "doc_key") -> TextIndex:
-    """Tokenise once and store the postings (range-partitioned and sorted by project and term, so that row groups
-    of other terms are skipped) and the document frequencies in the shared folder."""
+    """Tokenise once, count every document's terms where it is read, and store the postings and the document
+    frequencies in the shared folder. Only narrow rows (keys, and counts per term and task) are shuffled."""
     spark = corpus.sparkSession
     base = os.path.join(checkpoint_dir(spark), f"text-index-{uuid.uuid4().hex}")
 
@@ -283,16 +307,18 @@ def build_text_index(corpus: DataFrame, key_col: str = "doc_key") -> TextIndex:
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
-    docs = corpus.select(key_col, "project_id", _row_print(), F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("toks"))
     row = [key_col, "_tg_row", "project_id"]
-    copies = docs.groupBy(*row).agg(F.count("*").alias("copies")).where("copies > 1")  # equal rows share postings
+    docs = corpus.select(key_col, _row_print(), "project_id", "text")
+    again = docs.groupBy(F.col(key_col).alias("_tg_k"), F.col("_tg_row").alias("_tg_r"), F.col("project_id").alias("_tg_p")).agg(F.count("*").alias("copies"))
+    again = table(again.where("copies > 1"), "copies")  # equal rows share postings
+    same = F.col(key_col).eqNullSafe(F.col("_tg_k")) & (F.col("_tg_row") == F.col("_tg_r")) & F.col("project_id").eqNullSafe(F.col("_tg_p"))
+    rows = docs.join(again, same, "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    if again.head(1):
+        rows = rows.unionByName(docs.join(again, same).groupBy(*row).agg(F.first("text").alias("text"), F.first("copies").alias("copies")))
+    rows = rows.select(*row, "copies", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("toks"))
     # A document without tokens stays as one null-term row: it counts in N and in the average length.
-    terms = docs.select(*row, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-    rows = terms.groupBy(*row, "dl", "term").agg(F.count("*").alias("n"))
-    again = copies.select(F.col(key_col).alias("_tg_k"), F.col("_tg_row").alias("_tg_r"), F.col("project_id").alias("_tg_p"), F.col("copies").alias("_tg_c"))
-    rows = rows.join(again, F.col(key_col).eqNullSafe(F.col("_tg_k")) & (F.col("_tg_row") == F.col("_tg_r")) & F.col("project_id").eqNullSafe(F.col("_tg_p")), "left")
-    rows = rows.select(*row, F.coalesce("_tg_c", F.lit(1)).alias("copies"), "dl", "term", (F.col("n") / F.coalesce("_tg_c", F.lit(1))).cast("long").alias("tf"))
-    postings = table(rows.repartitionByRange("project_id", "term", key_col).sortWithinPartitions("project_id", "term"), "postings")
+    schema = T.StructType([*(rows.schema[c] for c in [*row, "copies"]), *T.StructType.fromDDL("dl int, term string, tf long").fields])
+    postings = table(rows.mapInArrow(_count_terms(to_arrow_schema(schema)), schema), "postings")
     doc_freq = table(postings.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("copies").alias("df")), "doc-freq")
     tokens = F.sum(F.when(F.col("term").isNotNull(), F.col("tf") * F.col("copies")))
     stats = corpus.agg(F.count("*").alias("n")).crossJoin(postings.agg(tokens.alias("tokens"))).first()  # one row each
@@ -308,7 +334,8 @@ def bm25_scores(requests: DataFrame, index: TextIndex, k1: float = BM25_K1, b: f
     terms = terms.groupBy("_tg_rk", "project_id", "top_k", "term").agg(F.count("*").alias("qtf"))
     idf = F.log(1.0 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.join(index.doc_freq, "term").withColumn("idf", idf)
-    hits = index.postings.join(terms, ["term", "project_id"])
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # only chooses the join
+    hits = index.postings.join(terms.hint("broadcast" if few else "shuffle_hash"), ["term", "project_id"])
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(index.avg_len if index.avg_len else 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     return hits.groupBy(index.key_col, "_tg_row", "copies", "_tg_rk", "top_k").agg(F.sum(part).alias("score"))
