@@ -3,6 +3,8 @@
 import datetime as dt
 import tempfile
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,19 @@ def test_streams_without_keys_are_refused(spark):
     with pytest.raises(ValueError, match="key_cols"):
         S.mask_stream(stream, "text", f"{base}/out")
     assert [tuple(r) for r in S.run_available_now(S.entity_counts(stream), "keyless", "complete").collect()] == [("EMAIL_ADDRESS", 1)]
+
+
+def test_calls_of_a_fold_are_narrow_arrays(spark):
+    """Owners are numbers, rows that only carry a time never reach the fold, and answers leave in short frames."""
+    batches = [pd.DataFrame({"_tg_us": [5, 3], "event_id": [2, 1], "_tg_owner": ["a", "b"], "_tg_time": [None, None]}),
+               pd.DataFrame({"_tg_us": [3, 1], "event_id": [0, 9], "_tg_owner": ["a", "c"], "_tg_time": [None, None]})]
+    calls, owners = S._in_order(iter(batches), "event_id", "_tg_owner")
+    assert calls["event_id"].tolist() == [9, 0, 1, 2] and calls["_tg_us"].tolist() == [1, 3, 3, 5]
+    assert calls["_tg_owner"].dtype.kind == "i" and [owners[i] for i in calls["_tg_owner"]] == ["c", "a", "b", "a"] and "_tg_time" not in calls
+    text, _ = S._in_order(iter([pd.DataFrame({"_tg_us": [1, 1], "event_id": ["b", "a"], "_tg_time": [None, None]})]), "event_id")
+    assert text["event_id"].tolist() == ["a", "b"]
+    frames = list(S._answers({"event_id": np.arange(S.ANSWER_ROWS + 1)}))
+    assert [len(f) for f in frames] == [S.ANSWER_ROWS, 1]
+    rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "event_id long, ts timestamp")
+    staged = S._calls(rows, "ts", "0 seconds", event_id=F.col("event_id")).collect()
+    assert [(r.event_id, r._tg_time) for r in staged] == [(1, None)]

@@ -50,13 +50,37 @@ def _calls(stream: DataFrame, ts_col: str, lateness: str, **named) -> DataFrame:
     dropped: so every call is a row without event time, and a second row carries its time to move the watermark."""
     rows = stream.select(epoch_micros(stream, ts_col).alias("_tg_us"), *[c.alias(n) for n, c in named.items()])
     times = F.array(F.lit(None).cast("timestamp"), F.timestamp_micros("_tg_us"))
-    return rows.withColumn("_tg_time", F.explode(times)).withWatermark("_tg_time", lateness)
+    return rows.withColumn("_tg_time", F.explode(times)).withWatermark("_tg_time", lateness).where("_tg_time IS NULL")
 
 
-def _in_order(batches: Iterator[pd.DataFrame], id_col: str) -> pd.DataFrame:
-    """The micro-batch's calls of one key by (time, id)."""
-    calls = [batch[batch["_tg_time"].isna()] for batch in batches]
-    return pd.concat(calls, ignore_index=True).sort_values(["_tg_us", id_col], kind="stable")
+def _in_order(batches: Iterator[pd.DataFrame], id_col: str, owner_col: str | None = None) -> tuple[dict[str, np.ndarray], list]:
+    """The micro-batch's calls of one key by (time, id), as plain arrays; an owner is its place in the list of owners."""
+    owners: dict[str, int] = {}
+    parts: dict[str, list[np.ndarray]] = {}
+    for batch in batches:
+        for name in batch.columns:
+            if name == owner_col:
+                parts.setdefault(name, []).append(np.fromiter((owners.setdefault(o, len(owners)) for o in batch[name]), np.int32, len(batch)))
+            elif name != "_tg_time":
+                parts.setdefault(name, []).append(batch[name].to_numpy())
+    calls = {name: np.concatenate(parts.pop(name)) for name in list(parts)}
+    if calls[id_col].dtype.kind in "iu":
+        order = np.lexsort((calls[id_col], calls["_tg_us"]))
+    else:
+        order = pd.DataFrame({"us": calls["_tg_us"], "id": calls[id_col]}).sort_values(["us", "id"], kind="stable").index.to_numpy()
+    for name in calls:
+        calls[name] = calls[name][order]
+    return calls, list(owners)
+
+
+#: Decisions that leave a fold as one frame.
+ANSWER_ROWS = 50_000
+
+
+def _answers(columns: dict) -> Iterator[pd.DataFrame]:
+    n = len(next(iter(columns.values())))
+    for at in range(0, n, ANSWER_ROWS):
+        yield pd.DataFrame({name: col[at : at + ANSWER_ROWS] for name, col in columns.items()})
 
 
 def admission_state(stream: DataFrame, key_col: str, ts_col: str, id_col: str, *, limit: int,
@@ -81,11 +105,11 @@ def admission_state(stream: DataFrame, key_col: str, ts_col: str, id_col: str, *
             state.remove()
             return
         held = deque((int(t), 0, None) for t in (state.get[0] if state.exists else []))
-        pdf = _in_order(batches, id_col)
-        flags, log = admit_sequence(pdf["_tg_us"].to_numpy(np.int64), limit, window_us, keep_equal_age, state=held)
+        calls, _ = _in_order(batches, id_col)
+        flags, log = admit_sequence(calls["_tg_us"].astype(np.int64), limit, window_us, keep_equal_age, state=held)
         state.update(([e[0] for e in log],))
-        _until(state, max(int(pdf["_tg_us"].iloc[-1]), log[-1][0] if log else 0), window_us)
-        yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key_col: pdf[key_col].to_numpy(), "accepted": flags == ACCEPTED})
+        _until(state, max(int(calls["_tg_us"][-1]), log[-1][0] if log else 0), window_us)
+        yield from _answers({id_col: calls[id_col], key_col: calls[key_col], "accepted": flags == ACCEPTED})
 
     return staged.groupBy(key_col).applyInPandasWithState(
         fold, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
@@ -113,13 +137,19 @@ def session_admission_state(stream: DataFrame, principal_col: str, ts_col: str,
         if state.hasTimedOut:
             state.remove()
             return
-        held = deque(zip(map(int, state.get[0]), map(int, state.get[1]), state.get[2])) if state.exists else deque()
-        pdf = _in_order(batches, id_col)
-        outcome, log = admit_sequence(pdf["_tg_us"].to_numpy(np.int64), max_sessions, window_us, True, sizes=pdf["_tg_size"].to_numpy(np.int64), max_bytes=max_bytes,
-                                      state=held, owners=pdf["_tg_owner"].tolist(), owner_limit=max_per_principal)
-        state.update(tuple([e[k] for e in log] for k in range(3)))
-        _until(state, max(int(pdf["_tg_us"].iloc[-1]), log[-1][0] if log else 0), window_us)
-        yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "accepted": outcome == ACCEPTED, "error_code": codes[outcome]})
+        calls, owners = _in_order(batches, id_col, "_tg_owner")
+        place = {o: i for i, o in enumerate(owners)}
+        held = deque()
+        for t, size, owner in zip(*state.get) if state.exists else ():
+            if owner not in place:
+                place[owner] = len(owners)
+                owners.append(owner)
+            held.append((int(t), int(size), place[owner]))
+        outcome, log = admit_sequence(calls["_tg_us"].astype(np.int64), max_sessions, window_us, True, sizes=calls["_tg_size"].astype(np.int64), max_bytes=max_bytes,
+                                      state=held, owners=calls["_tg_owner"], owner_limit=max_per_principal)
+        state.update(([e[0] for e in log], [e[1] for e in log], [owners[e[2]] for e in log]))
+        _until(state, max(int(calls["_tg_us"][-1]), log[-1][0] if log else 0), window_us)
+        yield from _answers({id_col: calls[id_col], "accepted": outcome == ACCEPTED, "error_code": codes[outcome]})
 
     return staged.groupBy("_tg_vault").applyInPandasWithState(fold, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
