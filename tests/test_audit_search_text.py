@@ -210,3 +210,17 @@ def test_mask_stream_equals_batch(spark):
            for r in anonymize(static, "text", key_cols=["doc_id"], run_token="t").masked.collect()}
     assert got == exp
     assert spark.read.parquet(mp).count() == sum(1 for v in exp.values() if v[1] is not None)
+
+
+def test_hash_embedding_computes_the_digest_once(spark):
+    from textguard.functions.hashing import hash_embedding
+
+    df = spark.createDataFrame([("a",), (None,), ("é x",)], "t string").select("t", hash_embedding(F.col("t"), 40).alias("v"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") < plan.index("lambdafunction(")  # outside of the function that is called per component
+    for r in df.collect():
+        if r.t is None:
+            assert r.v == [None] * 40
+        else:
+            h = hashlib.sha256(r.t.encode()).digest()
+            assert r.v == [h[i % 32] / 255.0 * 2.0 - 1.0 for i in range(40)]
