@@ -102,6 +102,23 @@ def test_components_of_chains_and_stars(spark):
     assert components(nodes, spark.createDataFrame([], "a long, b long")).where("rep != label").count() == 0
 
 
+def test_components_take_every_link_once_and_then_links_of_roots(spark, monkeypatch):
+    links = [(i, j) for i in range(40) for j in range(i)] + [(100, 39)]  # a group of copies, and one more beside its greatest id
+    kept, rows = setsketch.stored, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "edges":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(setsketch, "stored", counted)
+    nodes = spark.createDataFrame([(i,) for i in [*range(40), 100]], "rep long")
+    got = components(nodes, spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["label"] for r in got} == {0} and len(got) == 41
+    assert sum(rows) <= len(links) + 41
+
+
 @pytest.mark.parametrize("similarity", [0.3, 0.6, 0.8, 0.95])
 def test_registers_agree_with_similarity_and_likelihood_keeps_alike_pairs(similarity):
     rng = np.random.default_rng(int(similarity * 100))

@@ -188,26 +188,29 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame
     return _alike(_shared_shingles(candidates, full), percent)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, label) with label the least rep reachable: least neighbour, then short cuts, until nothing changes."""
-    spark = nodes.sparkSession
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stored(both, "edges")
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "labels")
-    before = None
+def _roots(hooks: DataFrame) -> DataFrame:
+    """(a, up) with up the end of every chain of hooks; a root hooks to itself. Chains get half as long in every turn."""
     while True:
-        state = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
-        if state == before:
-            break
-        before = state
-        # hook: a label takes the least label next to any of its members
-        least = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        hooks = labels.join(least, "a").groupBy("label").agg(F.min("other").alias("to"))
-        near = labels.join(hooks, "label").select("a", F.least("label", "to").alias("mid"))
-        # short cut: labels are nodes, so follow each to its own label
-        up = near.select(F.col("a").alias("mid"), F.col("mid").alias("top"))
-        labels = stored(near.join(up, "mid", "left").select("a", F.least("mid", F.coalesce("top", "mid")).alias("label")), "labels")
-    return nodes.select("rep").join(labels.withColumnRenamed("a", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+        further = hooks.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        hooks = stored(hooks.select("a", "up").join(further, "up").select("a", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "hooks")
+        if hooks.where("moved").isEmpty():
+            return hooks.select("a", "up")
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, label) with label the least rep reachable: hook to the least neighbour, follow hooks to their roots, link the roots.
+
+    Every turn replaces links by distinct ones between roots, at most half as many nodes, so the links are read once, not once a turn.
+    """
+    edges = stored(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = nodes.select("rep", F.col("rep").alias("label"))
+    while not edges.isEmpty():
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = _roots(stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("up")), "hooks"))
+        labels = stored(labels.join(roots.toDF("label", "up"), "label", "left").select("rep", F.coalesce("up", "label").alias("label")), "labels")
+        ends = edges.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").where("x != y")
+        edges = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    return labels
 
 
 def _connected(reps: DataFrame, links: DataFrame) -> DataFrame:
@@ -324,7 +327,9 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     active = stored(hub.select("bucket", "rep", "size", "weight", F.col("shared").alias("inside"), (F.col("most") - F.col("shared")).alias("outside"), "lost"), "active")
     turn = 1
     while not active.isEmpty():
-        active = stored(active.join(_connected(reps, links), "rep"), "active")
+        labels = _connected(reps, links)
+        links = labels.where("rep != label").select(F.col("label").alias("a"), F.col("rep").alias("b"))  # connect the same with a link per member
+        active = stored(active.join(labels, "rep"), "active")
         state = active.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(
             F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
         state = stored(state.where("labels > 1").withColumn("near", (F.col("n") * F.col("n") - F.col("squares")) / 2 <= LEFT_PAIRS * F.col("n")), "bucket-state")
