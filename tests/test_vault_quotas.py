@@ -155,6 +155,59 @@ def test_session_admission_applies_all_rules_in_order(spark):
     assert len(set(exp.values())) == 3
 
 
+def test_passing_rejected_runs_equals_the_rules_call_by_call():
+    """A saturated log rejects long runs; each call keeps the code of the first rule that it breaks, also over a cut."""
+    import random
+    import numpy as np
+    from textguard.operators import quotas as Q
+    for seed in range(30):
+        rnd = random.Random(seed)
+        keep, n, gap = bool(seed % 2), 700, rnd.choice([1, 3, 40])
+        ts = np.cumsum([rnd.randint(0, gap) for _ in range(n)])
+        sizes = np.array([rnd.choice([0, 10, 60, 101, 500]) for _ in range(n)])
+        owners = np.array([rnd.choice(["a", "b", "c", None]) for _ in range(n)], dtype=object)
+        live, exp = [], []
+        for t, size, who in zip(ts, sizes, owners):
+            live = [e for e in live if (t - e[0] <= 90 if keep else e[0] > t - 90)]
+            if size > 100:
+                exp.append(Q.TOO_LARGE)
+            elif sum(e[2] == who for e in live) >= 2:
+                exp.append(Q.OWNER_FULL)
+            elif len(live) >= 4 or sum(e[1] for e in live) + size > 100:
+                exp.append(Q.FULL)
+            else:
+                exp.append(Q.ACCEPTED)
+                live.append((t, size, who))
+        cut, state, got = rnd.randint(0, n), None, []
+        for part in (slice(0, cut), slice(cut, n)):
+            out, state = Q.admit_sequence(ts[part], 4, 90, keep, sizes[part], 100, state, owners[part], 2)
+            got += out.tolist()
+        assert got == exp
+
+
+def test_states_are_found_without_the_callers_columns(spark, monkeypatch):
+    """Rounds store exit states only; the caller's columns are written with the calls and with their outcome."""
+    from textguard.operators import quotas as Q
+    stored, real = [], Q.written
+
+    def noted(df, name):
+        stored.append((name, df.columns))
+        return real(df, name)
+
+    monkeypatch.setattr(Q, "written", noted)
+    df = spark.range(1500).selectExpr("id", "timestamp_seconds(id) AS ts", "id % 7 AS size", "repeat('x', 50) AS note")
+    out = Q.global_quota(df, "ts", "id", "size", max_sessions=9, ttl_seconds=100, max_bytes=30)
+    live, exp = [], {}
+    for i in range(1500):
+        live = [e for e in live if i - e[0] <= 100]
+        exp[i] = len(live) < 9 and sum(e[1] for e in live) + i % 7 <= 30
+        live += [(i, i % 7)] if exp[i] else []
+    assert {r.id: r.accepted for r in out.collect()} == exp
+    assert out.columns == ["id", "ts", "size", "note", "accepted", "error_code"]
+    assert [name for name, columns in stored if "note" in columns] == ["admission-calls", "admission"]
+    assert sum(name == "admission-exits" for name, _ in stored) > 1
+
+
 def test_restore_on_a_stream_matches_batch(spark):
     """Responses arriving as a stream are restored by a stream-static left join with the mappings."""
     import os

@@ -5,23 +5,26 @@ admitted before it, and rejected calls are not logged. (A windowed ``count(*)``
 calls would also count rejected ones and over-reject.)
 
 Batch plan. Calls are range-partitioned by (key, ts, id), which splits a hot key's timeline,
-and written to the shared folder with the partition's number as a column. Every part is
-folded on its own, from an empty state; a fold holds only the admitted calls still inside the
-window. A key that goes on from one part into the next needs the exit state of the earlier
-part. Parts whose carry-in differs from the exit state before them are folded again, and only
-those: all of them at first, as states mostly converge (a quiet window empties them); then,
-from the first part of each chain that is not settled, ``CHAIN`` parts in a row per task. A key that is
-saturated throughout is sequential by its rule, so its chain takes one task after another,
-but no part is folded more than a fixed number of times, and no number of rounds is set.
+and written once to the shared folder in that order, with the partition's number and a place as
+columns. A fold holds only the admitted calls still inside the window. A key that goes on from one
+part into the next needs the exit state of the earlier part, so the states at the ends of parts
+are found first: of each part only its last key's calls matter for that, as time, size and owner
+in blocks, without the caller's columns. Every part starts from an empty state; parts whose carry-in
+differs from the exit state before them are folded again, and only those that one key fills: all of
+them at first, as states mostly converge (a quiet window empties them); then, from the first part of
+each chain that is not settled, ``CHAIN`` parts in a row per task. A key that is saturated throughout
+is sequential by its rule, so its chain takes one task after another, but no part is folded more than
+a fixed number of times, no number of rounds is set, and the fold passes the calls that a full log
+rejects in whole runs. With all carry-ins known, one last fold over all parts gives each call its outcome.
 Only part numbers and hashes of keys and states reach the driver; states stay in files.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+import json
 from collections import Counter, deque
 from collections.abc import Sequence
+from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from textguard import errors as E
-from textguard.session import checkpoint_dir
+from textguard.session import written
 
 RATE_LIMIT_CALLS = 120
 RATE_LIMIT_WINDOW_S = 60
@@ -46,31 +49,53 @@ MAX_VAULT_BYTES = 100 * 1024 * 1024
 ACCEPTED, TOO_LARGE, OWNER_FULL, FULL = 0, 1, 2, 3
 #: Parts of an unsettled chain that one task folds in a row, and rounds in which all unsettled parts are tried.
 CHAIN, EAGER_ROUNDS = 32, 3
+#: Calls of a block, and calls rejected in a row before the rest of a run is looked for.
+BLOCK, PASS_AFTER = 4096, 8
 
 
 def admit_sequence(ts_us: np.ndarray, limit: int, window_us: int, keep_equal_age: bool,
                    sizes: np.ndarray | None = None, max_bytes: int | None = None, state: deque | None = None,
-                   owners: Sequence | None = None, owner_limit: int | None = None) -> tuple[np.ndarray, deque]:
+                   owners: Sequence | None = None, owner_limit: int | None = None,
+                   numbered: tuple[list, np.ndarray] | None = None) -> tuple[np.ndarray, deque]:
     """Fold over one key's calls in order. Returns (outcome per call, state).
 
     ``keep_equal_age=False`` (rate limit): an entry of age exactly ``window`` has left.
     ``keep_equal_age=True`` (session TTL): it is still live. The size of a call alone is
     checked first, then its owner's live calls, then all live calls and bytes.
-    ``state`` holds (ts, size, owner) of admitted entries, oldest first.
+    ``state`` holds (ts, size, owner) of admitted entries, oldest first. ``numbered``: the
+    distinct owners and each call's place among them, if the caller has them.
     """
     log: deque = state if state is not None else deque()
     live_bytes = sum(e[1] for e in log)
     held = Counter(e[2] for e in log) if owner_limit is not None else None
-    out = np.zeros(len(ts_us), dtype=np.int8)
-    for i, t in enumerate(ts_us):
-        t = int(t)
+    n = len(ts_us)
+    out = np.zeros(n, dtype=np.int8)
+    in_order = bool((ts_us[1:] >= ts_us[:-1]).all())
+    index = {o: k for k, o in enumerate(numbered[0])} if numbered else {}  # else filled once a run is passed
+    codes = numbered[1] if numbered else None
+    i = row = 0  # row: calls rejected in a row
+    while i < n:
+        t = int(ts_us[i])
         while log and ((t - log[0][0] > window_us) if keep_equal_age else (log[0][0] <= t - window_us)):
             gone = log.popleft()
             live_bytes -= gone[1]
             if held is not None:
                 held[gone[2]] -= 1
+                if not held[gone[2]]:
+                    del held[gone[2]]
+        if row >= PASS_AFTER and in_order:
+            if held is not None and codes is None:
+                codes = np.fromiter((index.setdefault(o, len(index)) for o in owners), np.int64, n)
+            full = np.zeros(len(index), dtype=bool)
+            if held is not None:
+                full[[index[o] for o, c in held.items() if c >= owner_limit and o in index]] = True
+            end = n if not log else int(np.searchsorted(ts_us, log[0][0] + window_us, "right" if keep_equal_age else "left"))
+            i = _pass_rejected(out, i, end, sizes, max_bytes, live_bytes, codes, full, len(log) >= limit)
+            row = 0
+            continue
         size = int(sizes[i]) if sizes is not None else 0
         owner = owners[i] if owners is not None else None
+        row += 1
         if max_bytes is not None and size > max_bytes:
             out[i] = TOO_LARGE
         elif held is not None and held[owner] >= owner_limit:
@@ -78,6 +103,7 @@ def admit_sequence(ts_us: np.ndarray, limit: int, window_us: int, keep_equal_age
         elif len(log) >= limit or (max_bytes is not None and live_bytes + size > max_bytes):
             out[i] = FULL
         else:
+            row = 0
             at = len(log)
             while at and log[at - 1][0] > t:  # a late call (streams only) takes its place in time
                 at -= 1
@@ -85,9 +111,32 @@ def admit_sequence(ts_us: np.ndarray, limit: int, window_us: int, keep_equal_age
             live_bytes += size
             if held is not None:
                 held[owner] += 1
+        i += 1
     return out, log
 
 
+def _pass_rejected(out: np.ndarray, i: int, end: int, sizes, max_bytes, live_bytes: int, codes, full: np.ndarray, log_full: bool) -> int:
+    """Fills the outcomes from call ``i`` on up to the first call that fits, or to ``end``, where an entry leaves the log.
+
+    Until then the state stays as it is, so the rules are compared for whole runs, whose width doubles.
+    """
+    width = 64
+    while i < end:
+        to = min(end, i + width)
+        too_large = sizes[i:to] > max_bytes if max_bytes is not None else np.zeros(to - i, dtype=bool)
+        owner_full = full[codes[i:to]] if codes is not None else np.zeros(to - i, dtype=bool)
+        rejected = too_large | owner_full | log_full
+        if max_bytes is not None:
+            rejected |= sizes[i:to] > max_bytes - live_bytes
+        run = to - i if rejected.all() else int(rejected.argmin())
+        out[i : i + run] = np.where(too_large, TOO_LARGE, np.where(owner_full, OWNER_FULL, FULL))[:run]
+        i += run
+        if i < to:
+            break
+        width *= 2
+    return i
+
+
 def epoch_micros(df: DataFrame, col: str):
     """Microseconds since the epoch, independent of the session time zone.
 
@@ -99,66 +148,104 @@ def epoch_micros(df: DataFrame, col: str):
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-#: Columns beside the caller's: of a call, and of the one row per part that sums it up (kind 0).
-_CALL = "_tg_kind int, _tg_key string, _tg_us long, _tg_size long, _tg_owner string, _tg_outcome int"
-_PART = "first string, last string, carry string, exit string, c_t array<long>, c_s array<long>, c_o array<string>"
+#: Entries of a log: of a block's calls, and of a part's exit state.
+_LOG = "c_t array<long>, c_s array<long>, c_o array<string>"
 _STATE = ("c_t", "c_s", "c_o")
+_BLOCK = f"_tg_part int, _tg_at long, {_LOG}"
+_EXIT = f"_tg_part int, carry string, exit string, {_LOG}"
 
 
 def _hash(x) -> str:
-    """Names a key or a state; the empty state has the empty name."""
+    """Names a state; the empty state has the empty name."""
     return md5(repr(x).encode()).hexdigest() if x else ""
 
 
-def _fold_parts(limit, window_us, keep_equal_age, max_bytes, owner_limit, schema: pa.Schema):
-    """Fold calls sorted by (_tg_grp, _tg_part, _tg_kind, key, time, id); a row of kind 0 is a group's carry-in.
+def _numbers(col: pa.Array) -> np.ndarray:
+    if col.null_count:
+        raise ValueError("a call's time or size is null")
+    return col.to_numpy(zero_copy_only=False)
 
-    The state goes on from part to part within a group while the key stays the same. Calls come
-    back with their outcome, and each part with one row of kind 0 that holds its exit state.
-    """
+
+def _in_blocks(schema: pa.Schema):
+    """Calls in the order of their files (_tg_part, _tg_at, _tg_us, _tg_size, _tg_owner), ``BLOCK`` at most in one row."""
     def run(batches):
-        grp = part = key = carried = None
-        first, carry, state = "", "", deque()
+        for batch in batches:
+            part, at = (batch.column(c).to_numpy() for c in ("_tg_part", "_tg_at"))
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (at[1:] != at[:-1] + 1)) + 1
+            starts = [a for lo, hi in zip([0, *cuts], [*cuts, len(part)]) for a in range(lo, hi, BLOCK)]
+            offsets = pa.array([*starts, len(part)], pa.int32())
+            _numbers(batch.column("_tg_us")), _numbers(batch.column("_tg_size"))
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(c)).cast(schema.field(name).type) for c, name in zip(("_tg_us", "_tg_size", "_tg_owner"), _STATE)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(at[starts], pa.int64()), *lists], schema=schema)
 
-        def build(n, known):
-            return pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+    return run
+
+
+def _fold_blocks(admit, schema: pa.Schema):
+    """Fold blocks sorted by (_tg_grp, _tg_part, _tg_at); part -1 is a group's carry-in. One row per part: its exit state.
+
+    The state goes on from part to part within a group.
+    """
+    def run(batches):
+        grp = part = None
+        carry, state = "", deque()
 
         def summary():
-            values = {"_tg_part": part, "_tg_kind": 0, "first": first, "last": _hash("k" + key), "carry": carry, "exit": _hash(list(state)),
-                      "c_t": [e[0] for e in state], "c_s": [e[1] for e in state], "c_o": [e[2] for e in state]}
-            return build(1, {k: pa.array([v], schema.field(k).type) for k, v in values.items()})
+            values = [part, carry, _hash(list(state)), *([e[k] for e in state] for k in range(3))]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = {name: batch.column(name) for name in batch.schema.names}
-            outcome = np.zeros(batch.num_rows, dtype=np.int32)
-            groups, parts, kinds, ts, sizes = (col[c].to_numpy(zero_copy_only=False) for c in ("_tg_grp", "_tg_part", "_tg_kind", "_tg_us", "_tg_size"))
-            keys, owners = (np.array(col[c].to_pylist(), dtype=object) for c in ("_tg_key", "_tg_owner"))
-            cuts = np.flatnonzero((groups[1:] != groups[:-1]) | (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1]) | (keys[1:] != keys[:-1])) + 1
-            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [batch.num_rows]])):
-                if kinds[a] == 0:
-                    carried = (groups[a], deque(zip(*(col[c][int(a)].as_py() for c in _STATE))))
-                    continue
-                if part is not None and parts[a] != part:
+            for i, (g, p) in enumerate(zip(batch.column("_tg_grp").to_pylist(), batch.column("_tg_part").to_pylist())):
+                if part is not None and (p != part or g != grp):
                     yield summary()
-                fresh = parts[a] != part
-                if groups[a] != grp:
-                    state = carried[1] if carried and carried[0] == groups[a] else deque()
-                elif keys[a] != key:
-                    state = deque()
-                if fresh:
-                    first, carry = _hash("k" + keys[a]), _hash(list(state))
-                grp, part, key = groups[a], parts[a], keys[a]
-                outcome[a:b], state = admit_sequence(ts[a:b], limit, window_us, keep_equal_age, sizes[a:b], max_bytes, state, owners[a:b], owner_limit)
-            calls = build(batch.num_rows, {**{f.name: col[f.name] for f in schema if f.name in col and f.name not in _STATE}, "_tg_outcome": pa.array(outcome)})
-            yield calls.filter(pa.array(kinds == 1))
+                    part = None
+                if g != grp:
+                    grp, state = g, deque()
+                ts, sizes, owners = (batch.column(c)[i].values for c in _STATE)
+                if p < 0:
+                    state = deque(zip(ts.to_pylist(), sizes.to_pylist(), owners.to_pylist()))
+                    continue
+                if part is None:
+                    part, carry = p, _hash(list(state))
+                _, state = admit(ts.to_numpy(), sizes.to_numpy(), state, owners)
         if part is not None:
             yield summary()
 
     return run
 
 
+def _fold_calls(admit, schema: pa.Schema):
+    """Fold calls sorted by (_tg_part, _tg_at), each part's keys from an empty state, its first key from the part's
+    carry-in, if there is a row that holds it (_tg_at -1). Calls come back with their outcome."""
+    def run(batches):
+        part = key = None
+        state, carried = deque(), None
+        for batch in batches:
+            parts, ats = batch.column("_tg_part").to_numpy(), batch.column("_tg_at").to_numpy()
+            keys = batch.column("_tg_key").dictionary_encode()
+            names, code = keys.dictionary, keys.indices.fill_null(-1).to_numpy()
+            calls = ats >= 0
+            outcome = np.zeros(batch.num_rows, dtype=np.int32)
+            cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (code[1:] != code[:-1]) | ~calls[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]) if batch.num_rows else ():
+                if not calls[a]:
+                    held = json.loads(batch.column("_tg_carry")[int(a)].as_py())
+                    carried = (parts[a], deque(zip(*(held[c] for c in _STATE))))
+                    continue
+                own = names[int(code[a])].as_py()
+                if parts[a] != part:
+                    state = carried[1] if carried and carried[0] == parts[a] else deque()
+                elif own != key:
+                    state = deque()
+                part, key = parts[a], own
+                ts, sizes = (_numbers(batch.column(c).slice(a, b - a)) for c in ("_tg_us", "_tg_size"))
+                outcome[a:b], state = admit(ts, sizes, state, batch.column("_tg_owner").slice(a, b - a))
+            known = {"_tg_outcome": pa.array(outcome)}
+            yield pa.RecordBatch.from_arrays([known[f.name] if f.name in known else batch.column(f.name) for f in schema], schema=schema).filter(pa.array(calls))
+
+    return run
+
+
 def sliding_admission(
     df: DataFrame,
     key_cols: Sequence[str],
@@ -182,64 +269,78 @@ def sliding_admission(
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = os.path.join(checkpoint_dir(spark), f"admission-{uuid.uuid4().hex}")
     key = F.to_json(F.struct(*[F.col(c) for c in key_cols])) if key_cols else F.lit("")
     order = ["_tg_key", "_tg_us", id_col]
-    own = [f.name for f in df.schema.fields]
+    window_us = int(round(window_seconds * 1_000_000))
+
+    def admit(ts, sizes, state, owners):
+        if owner_limit is None:
+            return admit_sequence(ts, limit, window_us, keep_equal_age, sizes, max_bytes, state)
+        owners = owners.dictionary_encode()
+        names = [*owners.dictionary.to_pylist(), None]
+        codes = owners.indices.fill_null(len(names) - 1).to_numpy()
+        return admit_sequence(ts, limit, window_us, keep_equal_age, sizes, max_bytes, state, np.array(names, dtype=object)[codes], owner_limit, (names, codes))
+
     calls = df.select(
-        "*", F.lit(1).alias("_tg_kind"), key.alias("_tg_key"), epoch_micros(df, ts_col).alias("_tg_us"),
+        "*", key.alias("_tg_key"), epoch_micros(df, ts_col).alias("_tg_us"),
         (F.col(size_col).cast("long") if size_col else F.lit(0).cast("long")).alias("_tg_size"),
         (F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")).alias("_tg_owner"))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields] + T.StructType.fromDDL(f"{_CALL}, {_PART}, _tg_part int").fields)
-    fold = _fold_parts(limit, int(round(window_seconds * 1_000_000)), keep_equal_age, max_bytes, owner_limit, to_arrow_schema(schema))
-
-    def rounds() -> DataFrame:
-        return spark.read.schema(T.StructType([*schema.fields, T.StructField("round", T.IntegerType())])).parquet(base)
-
-    def write(rows: DataFrame, turn: int) -> None:
-        rows.mapInArrow(fold, schema).write.partitionBy("_tg_part").parquet(f"{base}/round={turn}")
-        for r in rounds().where((F.col("round") == turn) & (F.col("_tg_kind") == 0)).select("_tg_part", "first", "last", "carry", "exit").collect():
-            known[r["_tg_part"]] = {**r.asDict(), "round": turn}  # names of keys and states only
-
-    known: dict[int, dict] = {}
-    dealt = calls.repartitionByRange(n, *order).withColumn("_tg_part", F.spark_partition_id())
-    write(dealt.withColumn("_tg_grp", F.col("_tg_part")).sortWithinPartitions(*order), 0)
-    turn = 0
-    while True:
-        parts, bad = sorted(known), set()
-        carries: dict[int, int] = {}
-        for before, p in zip([None, *parts], parts):
-            goes_on = before is not None and known[before]["last"] == known[p]["first"]
-            if goes_on and known[before]["exit"]:
-                carries[p] = before
-            if known[p]["carry"] != (known[before]["exit"] if goes_on else ""):
-                bad.add(p)
-        if not bad:
-            break
-        turn += 1
+    dealt = calls.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    calls = written(dealt.withColumn("_tg_part", F.spark_partition_id()).withColumn("_tg_at", F.monotonically_increasing_id()), "admission-calls")
+    ends = calls.groupBy("_tg_part").agg(F.min("_tg_key").alias("first"), F.max("_tg_key").alias("last"))
+    ends = written(ends.coalesce(1), "admission-ends")  # a row per part
+    last = F.broadcast(ends.select(F.col("_tg_part").alias("of"), "last"))
+    tails = calls.join(last, (F.col("_tg_part") == F.col("of")) & (F.col("_tg_key") == F.col("last")))
+    blocks = written(tails.select("_tg_part", "_tg_at", "_tg_us", "_tg_size", "_tg_owner").mapInArrow(_in_blocks(to_arrow_schema(T.StructType.fromDDL(_BLOCK))), _BLOCK), "admission-blocks")
+    known = {r["_tg_part"]: r.asDict() for r in ends.select("_tg_part", F.md5("first").alias("first"), F.md5("last").alias("last")).collect()}  # names of keys only
+    parts = sorted(known)
+    before = {p: b for b, p in zip(parts, parts[1:]) if known[b]["last"] == known[p]["first"]}  # the part whose last key goes on in p
+    exits: list[DataFrame] = []
+
+    def states(of: dict[int, int]) -> DataFrame:
+        """The exit states of parts, renamed to the part (or group) that they are carried into."""
+        wanted = [(known[b]["turn"], b, to) for to, b in of.items()]
+        rows = spark.createDataFrame(wanted, "turn int, _tg_part int, into int")
+        every = reduce(DataFrame.unionByName, [e.withColumn("turn", F.lit(i)) for i, e in enumerate(exits)])
+        return every.join(F.broadcast(rows), ["turn", "_tg_part"]).select("into", *_STATE)
+
+    def fold(groups: list[tuple[int, int]]) -> None:
+        again = spark.createDataFrame(groups, "_tg_part int, _tg_grp int")
+        rows = blocks.where(F.col("_tg_part").isin([p for p, _ in groups])).join(F.broadcast(again), "_tg_part")  # a row per part
+        starts = {g: before[g] for g in {g for _, g in groups} if known[g]["first"] == known[g]["last"] and g in before and known[before[g]].get("exit")}
+        if starts:
+            rows = rows.unionByName(states(starts).select(F.lit(-1).alias("_tg_part"), F.lit(-1).cast("long").alias("_tg_at"), *_STATE, F.col("into").alias("_tg_grp")))
+        rows = rows.repartition(min(n, len(groups)), "_tg_grp").sortWithinPartitions("_tg_grp", "_tg_part", "_tg_at")
+        exits.append(written(rows.mapInArrow(_fold_blocks(admit, to_arrow_schema(T.StructType.fromDDL(_EXIT))), _EXIT), "admission-exits"))
+        for r in exits[-1].select("_tg_part", "carry", "exit").collect():
+            known[r["_tg_part"]].update(carry=r["carry"], exit=r["exit"], turn=len(exits) - 1)  # names of states only
+
+    if parts:
+        fold([(p, p) for p in parts])
+    while bad := {p for p, b in before.items() if known[p]["first"] == known[p]["last"] and known[p]["carry"] != known[b]["exit"]}:
         groups = [(p, p) for p in sorted(bad)]
-        if turn > EAGER_ROUNDS:  # only from the first unsettled part of each chain, some parts in a row
+        if len(exits) > EAGER_ROUNDS:  # only from the first unsettled part of each chain, some parts in a row
             groups, at = [], 0
             while at < len(parts):
                 if parts[at] not in bad:
                     at += 1
                     continue
                 start, length = at, 0
-                while at < len(parts) and (at == start or known[parts[at - 1]]["last"] == known[parts[at]]["first"]):
-                    if length < CHAIN:
+                while at < len(parts) and (at == start or parts[at] in before):
+                    if length < CHAIN and (at == start or known[parts[at]]["first"] == known[parts[at]]["last"]):
                         groups.append((parts[at], parts[start]))
                     length, at = length + 1, at + 1
-        again = spark.createDataFrame(groups, "_tg_part int, _tg_grp int")
-        rows = rounds().where((F.col("round") == 0) & F.col("_tg_part").isin([p for p, _ in groups]) & (F.col("_tg_kind") == 1))  # prunes folders
-        rows = rows.drop("round").join(F.broadcast(again), "_tg_part")  # a row per part
-        starts = [(known[carries[g]]["round"], carries[g], g) for g in sorted({g for _, g in groups}) if g in carries]
-        if starts:
-            exits = rounds().where("_tg_kind = 0").join(F.broadcast(spark.createDataFrame(starts, "round int, _tg_part int, _tg_grp int")), ["round", "_tg_part"])
-            rows = rows.unionByName(exits.drop("round").withColumn("_tg_part", F.lit(-1)))
-        write(rows.repartition("_tg_grp").sortWithinPartitions("_tg_grp", "_tg_part", "_tg_kind", *order), turn)
-    latest = spark.createDataFrame([(r["round"], p) for p, r in known.items()], "round int, _tg_part int")
+        fold(groups)
+    own = [f.name for f in df.schema.fields]
+    rows = calls.withColumn("_tg_carry", F.lit(None).cast("string"))
+    if carries := {p: b for p, b in before.items() if known[b]["exit"]}:
+        starts = states(carries).select(F.col("into").alias("_tg_part"), F.lit(-1).cast("long").alias("_tg_at"), F.to_json(F.struct(*_STATE)).alias("_tg_carry"))
+        rows = rows.unionByName(starts, allowMissingColumns=True)  # a string: Spark hands rows with array columns to Python in time quadratic in a batch
+    schema = T.StructType([*df.schema.fields, T.StructField("_tg_outcome", T.IntegerType())])
+    rows = rows.repartition(n, "_tg_part").sortWithinPartitions("_tg_part", "_tg_at")
+    out = written(rows.mapInArrow(_fold_calls(admit, to_arrow_schema(schema)), schema), "admission")
     outcome = F.col("_tg_outcome")
-    return rounds().where("_tg_kind = 1").join(F.broadcast(latest), ["round", "_tg_part"]).select(  # a row per part
+    return out.select(
         *own, (outcome == ACCEPTED).alias("accepted"),
         F.when(outcome == TOO_LARGE, E.RESOURCE_TOO_LARGE).when(outcome > TOO_LARGE, full_code).alias("error_code"))
 
