@@ -7,9 +7,10 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from textguard.llm import queries
+from textguard.llm import quality_rules, queries
 from textguard.llm.ngrams import lower_tokens, ngram_buckets
 from textguard.llm.quality_rules import base_counts, best_cut, best_threshold, fit_quality
 from textguard.llm.recurrent_lm import Network, START, WORDS, _fit, score_documents
@@ -130,6 +131,23 @@ def test_models_learn_from_every_labelled_row(spark):
         assert abs(r.log_weight - ratios[ngram_buckets(lower_tokens(texts[r.doc_id]))].sum()) < 1e-3
 
 
+def test_labelled_rows_are_measured_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def columns(self, text):
+        @F.pandas_udf(quality_rules.BASE)
+        def measure(texts: pd.Series) -> pd.DataFrame:
+            seen.add(len(texts))
+            return pd.DataFrame([(60, 200, 0, 0, 0, float(len(t))) for t in texts], columns=[c.split()[0] for c in quality_rules.BASE.split(", ")])
+
+        return measure(text)
+
+    monkeypatch.setattr(quality_rules.QualityModel, "columns", columns)
+    docs = spark.createDataFrame([(i, prose(i + 1, 60)) for i in range(40)], "doc_id long, text string")
+    model = fit_quality(docs, labelled(spark, [(i, i % 2, 0) for i in range(30)]), max_loss=1.0)
+    assert seen.value == 30 and model.min_words == 20
+
+
 def test_best_cut_equals_sorting(spark):
     rng = np.random.default_rng(3)
     for n, top, max_loss in ((400, 30, 0.001), (400, 30, 0.2), (3000, 10_000, 0.1), (5, 3, 1.0), (50, 1, 0.5)):

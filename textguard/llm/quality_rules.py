@@ -133,5 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     target, _ = ngram_counts(labelled.where("kind = 1").withColumn("trusted", F.lit(True)), "text", "trusted")
     model = QualityModel(log_ratio(target, raw), float("-inf"))
     bounded_batches(docs.sparkSession)
-    scored = labelled.select("kind", model.columns(F.col("text")).alias("s")).where(~model.base_failed(F.col("s"))).select("kind", "s.ratio")
+    # stored, lest Spark move the filter below and measure every text twice, in two Python workers per task
+    measured = stored(labelled.select("kind", model.columns(F.col("text")).alias("s")), "quality-measures")
+    scored = measured.where(~model.base_failed(F.col("s"))).select("kind", "s.ratio")
     return QualityModel(model.ratios, best_cut(scored, max_loss))
