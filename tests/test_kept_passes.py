@@ -1,4 +1,6 @@
 """What a query keeps of its masking pass stays out of the executors' memory, and its rows stay right."""
+import json
+
 import pytest
 
 TEXTS = ["mail ann@example.com and B-AB 12", "nothing here", "x@y.de, x@y.de", "key " + "AKIA" + "Q" * 16, None, "B-AB 12 x@y.de"]
@@ -28,6 +30,10 @@ def run(spark, sf_dir, monkeypatch):
     return lambda name: ([r.asDict() for r in entry.queries()[name](spark, sf_dir).collect()], kept)
 
 
+def on_disk(kept):
+    return [level is not None and level.useDisk and not level.useMemory for level, _ in kept] == [True]
+
+
 def test_one_consumer_keeps_nothing_by_type(run):
     rows, kept = run("audit_by_type")
     assert {r["etype"]: r["n"] for r in rows} == {"EMAIL_ADDRESS": 8, "GERMAN_LICENSE_PLATE": 4, "AWS_KEY": 2}
@@ -38,3 +44,11 @@ def test_one_consumer_keeps_nothing_by_lang(run):
     rows, kept = run("audit_by_lang")
     assert {r["lang"]: (r["total_anonymizations"], r["total_pii_entities"]) for r in rows} == {"en": (4, 8), "de": (6, 6)}
     assert kept == []
+
+
+def test_snapshot_pass_is_on_disk(run):
+    rows, kept = run("audit_json")
+    snap = json.loads(rows[0]["json"])
+    assert snap["entities_by_type"] == {"AWS_KEY": 2, "EMAIL_ADDRESS": 8, "GERMAN_LICENSE_PLATE": 4}
+    assert (snap["total_deanonymizations"], snap["failed_deanonymizations"], snap["active_sessions"]) == (4, 4, 8)
+    assert on_disk(kept)

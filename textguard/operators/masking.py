@@ -147,10 +147,10 @@ def detector_modes(languages: Sequence[str] = SUPPORTED_LANGUAGES,
 class Anonymized:
     masked: DataFrame
     mapping: DataFrame
-    shared: DataFrame | None = None  # the persisted pass when ``reuse=True``
+    shared: DataFrame | None = None  # the persisted pass when ``reuse`` is set
 
     def release(self) -> None:
-        """Drop the persisted pass (``reuse=True``) once every consumer has run."""
+        """Drop the persisted pass (``reuse``) once every consumer has run."""
         if self.shared is not None:
             self.shared.unpersist()
 
@@ -177,7 +177,7 @@ def anonymize(
     run_token: str | None = None,
     blacklist_beats_secrets: bool = False,
     keep_entities: bool = False,
-    reuse: bool = False,
+    reuse: bool | StorageLevel = False,
     mask_pem_body: bool = False,
     iban_backoff: bool = False,
 ) -> Anonymized:
@@ -194,7 +194,9 @@ def anonymize(
 
     ``reuse=True`` persists the shared result (memory and disk) so the masked rows and the
     mapping rows - and any further consumers - are derived from one detection pass;
-    recomputation after a lost executor is deterministic (session ids included).
+    recomputation after a lost executor is deterministic (session ids included). A storage level
+    is used as given: ``DISK_ONLY`` for tables that may outgrow the executors, as texts that are
+    kept in memory can fill a small heap before Spark moves any of them to disk.
 
     ``mask_pem_body=True`` (opt-in) masks a whole PEM block instead of its header line only.
     ``iban_backoff=True`` (opt-in) retries an IBAN candidate that swallowed following words,
@@ -326,7 +328,7 @@ def anonymize(
         created = F.lit(created_at or datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
     principal = F.col(principal_col).cast("string") if principal_col else F.lit(None).cast("string")
     if reuse:
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)
+        out = out.persist(StorageLevel.MEMORY_AND_DISK if reuse is True else reuse)
     # Mapping rows come out of a generator (0 or 1 per input row) rather than a filter on
     # the derived session id: a Filter would be pushed down through the projections and
     # inline the whole masking expression into its predicate.
