@@ -46,6 +46,12 @@ def test_one_consumer_keeps_nothing_by_lang(run):
     assert kept == []
 
 
+def test_totals_pass_is_on_disk(run):
+    rows, kept = run("audit_totals")
+    assert rows == [{"total_anonymizations": 10, "total_pii_entities": 14, "total_deanonymizations": 4, "failed_deanonymizations": 4}]
+    assert on_disk(kept)
+
+
 def test_snapshot_pass_is_on_disk(run):
     rows, kept = run("audit_json")
     snap = json.loads(rows[0]["json"])
