@@ -68,6 +68,12 @@ def test_snapshot_pass_is_on_disk(run):
     assert on_disk(kept)
 
 
+def test_roundtrip_pass_is_on_disk(run):
+    rows, kept = run("roundtrip")
+    assert {r["doc_id"]: r["restored_text"] for r in rows} == {k: TEXTS[k % 6] for k in range(12) if k % 6 not in (1, 4)}
+    assert on_disk(kept)
+
+
 def test_restore_pass_is_on_disk(run, name):
     rows, kept = run(name)
     code = {1: "session_not_authorized", 3: "session_not_found", 4: "session_not_found", 5: "session_not_found"}
