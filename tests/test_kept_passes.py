@@ -80,3 +80,10 @@ def test_restore_pass_is_on_disk(run, name):
     expected = {k: (k % 6, code.get(k % 6), TEXTS[k % 6] if k % 6 in (0, 2) else None) for k in range(12) if k % 6 not in (1, 4)}
     assert {r["doc_id"]: (r["kind"], r["error_code"], r["restored_text"]) for r in rows} == expected and len(rows) == 8
     assert on_disk(kept)
+
+
+def test_restore_cap_pass_is_on_disk(run):
+    rows, kept = run("restore_cap")
+    size = {0: 4000 * 16, 2: 4000 * 7, 3: 72_000, 5: 4000 * 7}
+    assert {r["doc_id"]: (r["error_code"], r["restored_bytes"]) for r in rows} == {k: (None, size[k % 6]) for k in range(12) if k % 6 in size}
+    assert on_disk(kept)
