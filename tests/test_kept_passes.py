@@ -74,6 +74,7 @@ def test_roundtrip_pass_is_on_disk(run):
     assert on_disk(kept)
 
 
+@pytest.mark.parametrize("name", ["restore_errors", "restore_stream"])
 def test_restore_pass_is_on_disk(run, name):
     rows, kept = run(name)
     code = {1: "session_not_authorized", 3: "session_not_found", 4: "session_not_found", 5: "session_not_found"}
@@ -87,3 +88,14 @@ def test_restore_cap_pass_is_on_disk(run):
     size = {0: 4000 * 16, 2: 4000 * 7, 3: 72_000, 5: 4000 * 7}
     assert {r["doc_id"]: (r["error_code"], r["restored_bytes"]) for r in rows} == {k: (None, size[k % 6]) for k in range(12) if k % 6 in size}
     assert on_disk(kept)
+
+
+def test_limited_calls_pass_is_on_disk_and_masks_once(run, monkeypatch):
+    from textguard.operators import masking
+
+    counted = []
+    monkeypatch.setattr(masking, "spread", lambda df: counted.append(df) or df)
+    rows, kept = run("limited_calls")
+    assert len(rows) == 12 and [r["doc_id"] for r in rows if r["plain_md5"]] and all(r["error_code"] or r["has_session"] or TEXTS[r["doc_id"] % 6] in (None, TEXTS[1]) for r in rows)
+    assert on_disk(kept)
+    assert not counted  # counting the partitions of the joined calls runs their shuffle once more

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def anonymize_calls(
     decisions = Q.rate_limit(calls.select(id_col, principal_col, ts_col), principal_col, ts_col, id_col, max_calls=max_calls, window_seconds=window_seconds)
     decided = _decided(calls, decisions, id_col)
     a = anonymize(decided.where("accepted").drop("accepted", "error_code"), text_col, key_cols=[id_col], principal_col=principal_col,
-                  created_at=ts_col, reuse=True, **options)
+                  created_at=ts_col, reuse=StorageLevel.DISK_ONLY, spread_input=False, **options)
     creates = Q.session_admission(a.mapping.select(id_col, "principal_id", "created_at", "size_bytes"), "principal_id", "created_at", id_col, "size_bytes",
                                   max_per_principal=max_per_principal, max_sessions=max_sessions, ttl_seconds=ttl_seconds, max_bytes=max_bytes)
     mapping = _decided(a.mapping, creates, id_col).where("accepted").drop("accepted", "error_code")

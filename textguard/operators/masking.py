@@ -180,6 +180,7 @@ def anonymize(
     reuse: bool | StorageLevel = False,
     mask_pem_body: bool = False,
     iban_backoff: bool = False,
+    spread_input: bool = True,
 ) -> Anonymized:
     """Mask every row of ``text_col``; return (masked rows, mapping rows).
 
@@ -201,6 +202,8 @@ def anonymize(
     ``mask_pem_body=True`` (opt-in) masks a whole PEM block instead of its header line only.
     ``iban_backoff=True`` (opt-in) retries an IBAN candidate that swallowed following words,
     cut to its country's length (the original leaves such an IBAN visible).
+    ``spread_input=False`` takes the input's partitions as they are: counting those of a joined
+    input runs its shuffles once more.
 
     ``blacklist_beats_secrets=True`` reproduces the original rule that a blacklist term
     overlapping a secret drops the secret span (which can leave part of it visible);
@@ -227,7 +230,7 @@ def anonymize(
         df = hashing.with_token(df, run_token)
 
     # V1/V2: row validation; rejected rows are not scanned.
-    out = spread(df).withColumn(f"{_P}_verr", V.anonymize_request_error(text, lang))
+    out = (spread(df) if spread_input else df).withColumn(f"{_P}_verr", V.anonymize_request_error(text, lang))
     out = out.withColumn(f"{_P}_scan", F.when(F.col(f"{_P}_verr").isNull(), text))
     scan = f"{_P}_scan"
 
